@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, exact, substring
+from tracelake.llm import bpe, decontaminate, exact, secrets, shards, substring
 
 MODULES = {
     "op1_decontamination": decontaminate,
+    "op4_secret_scan": secrets,
     "op5_substring_dedup": substring,
     "op6_exact_dedup": exact,
+    "op9_sharding": shards,
+    "op10_bpe": bpe,
 }
 
 
