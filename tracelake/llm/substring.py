@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm import _words as W
 from tracelake.llm._io import materialize
@@ -86,33 +87,26 @@ def _windows(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, WINDOWS)
 
 
-def parse(place: np.ndarray, owner: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, reference) from the sorted starts of reference windows."""
-    if not len(place):
-        return []
-    new = np.flatnonzero(np.diff(place) > 1) + 1
-    first = np.append(0, new)
-    last = np.append(new, len(place)) - 1
-    return [(int(place[a]), int(place[b] - place[a]) + window, int(owner[a])) for a, b in zip(first, last, strict=True)]
+def factors(hits: DataFrame, key: list[str], window: int) -> DataFrame:
+    """Greedy factors from reference windows (place, owner): longest runs of places, with the first one's reference."""
+    run = F.col("place") - F.dense_rank().over(Window.partitionBy(*key).orderBy("place"))
+    found = hits.withColumn("run", run).groupBy(*key, "run").agg(F.min("place").alias("start"), F.max("place").alias("last"), F.min(F.struct("place", "owner")).alias("first"))
+    return found.select(*key, F.col("start").cast("long").alias("start"), (F.col("last") - F.col("start") + window).cast("long").alias("words"), F.col("first.owner").alias("doc"))
 
 
 def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """docs: doc_id, text, whole document (smaller id with the same words), hits (array of place and owner)."""
+    """docs: doc_id, text, whole document (smaller id with the same words), its factors."""
 
     def run(batches):
         for part, words in _rows(batches, 1):
             out: list[list] = [[] for _ in range(6)]
-            for i, (doc, same, hits) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True)):
+            for i, (doc, same, hits) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 a, b = int(words.first[i]), int(words.first[i + 1])
                 n = b - a
                 if same is not None and n >= window:
                     factors = [(0, n, same)]
-                elif hits.is_valid:
-                    place = np.asarray(hits.values.field(0))
-                    by = np.argsort(place, kind="stable")
-                    place, owner = place[by], np.asarray(hits.values.field(1))[by]
-                    once = np.append(True, np.diff(place) > 0)
-                    factors = parse(place[once], owner[once], window)
+                elif hits is not None:
+                    factors = [(x["start"], x["words"], x["doc"]) for x in sorted(hits, key=lambda x: x["start"])]
                 else:
                     factors = []
                 keep = np.ones(n, bool)
@@ -148,15 +142,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, with_text:
     seeds = materialize(_seeds(docs, window, seed))
     # Equal word sequences: the smallest id represents them.
     same = seeds.groupBy("whole").agg(F.min("doc_id").alias("same"), F.max("doc_id").alias("most")).where("same < most").select("whole", "same")
+    same = materialize(same)  # joins of plain exchanges: Spark splits a hot key's rows
     marked = materialize(seeds.join(same, "whole", "left").select(*key, "seed", F.expr("if(same < doc_id, same, null)").alias("same")))
     copies = marked.where("same is not null").select(*key, "same").distinct()
     owners = marked.where("same is null").select(*key, F.explode("seed").alias("seed"))
     shared = owners.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("seed")
+    shared = materialize(shared)
     wanted = owners.join(shared, "seed").groupBy(*key).agg(F.collect_set("seed").alias("seed"))
     windows = materialize(_windows(docs.join(wanted, key).select("doc_id", "text", "row", "seed"), window, seed))
     windows = windows.select(*key, F.explode(F.arrays_zip("hash", "place")).alias("w")).select(*key, F.col("w.hash").alias("hash"), F.col("w.place").alias("place"))
     index = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("hash", "owner")
-    hits = windows.join(index, "hash").where("owner < doc_id").groupBy(*key).agg(F.collect_list(F.struct("place", "owner")).alias("hits"))
+    hits = windows.join(materialize(index), "hash").where("owner < doc_id")
+    hits = factors(hits, key, window).groupBy(*key).agg(F.collect_list(F.struct("start", "words", "doc")).alias("hits"))
     return _cut(docs.join(copies, key, "left").join(hits, key, "left").select("doc_id", "text", "same", "hits"), window, with_text)
 
 
