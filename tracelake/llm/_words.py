@@ -146,7 +146,7 @@ def slices(batch: pa.RecordBatch, text: int = 1, limit: int = SLICE) -> Iterator
     n = batch.num_rows
     if not n:
         return
-    column = batch.column(text).cast(pa.large_string())
+    column = batch.column(text).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1 + column.offset)[column.offset :]
     at = 0
     while at < n:
