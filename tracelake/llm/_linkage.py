@@ -1,10 +1,18 @@
 """Candidates from bands, verification, and distributed union-find, for items with sets of 64-bit hashes.
 
-No step emits all pairs of a bucket. First every item meets the smallest item of its best shared bucket
-(the one that it shares most bands with); verified links are joined into components. Then only buckets that
-still hold several components are compared, between components: blocks of signatures go to tasks, and the
-pairs that a Bayesian bound cannot exclude are verified on their full sets. A pair inside one component needs no
-check: the components are the result, and no link between different components is lost.
+No step emits all pairs of a bucket, and none needs to: the components are the result, so a pair inside one
+component needs no check.
+
+1. Stars: every item meets the centers of its buckets that it shares most bands with. A bucket's center is the
+   member with most bucket mates in all, so that the original of edited copies comes before the copies.
+2. Forest: buckets that still hold several components are compared between components, in blocks of
+   signatures. Of the pairs that a Bayesian bound cannot exclude, each block keeps a spanning forest, the most
+   similar first; its edges are verified on full sets.
+3. Rest: in buckets that are still mixed, rows with any pair left are dealt to the same blocks with their full sets,
+   and all pairs left between components are verified there. Only links leave the task.
+
+A pair is compared in the bucket of its first shared band only. Every pair that shares a band thus ends inside a
+component, excluded by the bound, or verified.
 """
 
 from __future__ import annotations
@@ -17,20 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm import _words as W
 from tracelake.llm._io import join_checked, materialize
 
 BLOCK = 256
 STEP = 16
-SIGNATURE = 128
-TOGETHER = 200_000
+SIGNATURE = 256
+CENTERS = 2
 
 
-@lru_cache(2)
+@lru_cache(4)
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
-    x = W._mix(np.arange(1, 2 * n + 1, dtype=W.U) * W.U(0x9E3779B97F4A7C15))
-    return (x[:n] >> W.U(32)).astype(np.uint32) | np.uint32(1), (x[n:] >> W.U(32)).astype(np.uint32)
+    x = W._mix(np.arange(1, 2 * n + 1, dtype=W.U) * W.U(0x9E3779B97F4A7C15)) >> W.U(32)
+    return x[::2].astype(np.uint32) | np.uint32(1), x[1::2].astype(np.uint32)
 
 
 def minhash(x: np.ndarray, n: int) -> np.ndarray:
@@ -82,9 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large)
-        small = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = large.join(small, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(edges)
         before, state = state, _state(edges)
@@ -97,14 +105,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first())
 
 
-def _signed(sets: DataFrame) -> DataFrame:
+def _signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Adds ``sig``: the low bytes of a longer signature (equal with at least the similarity's probability), and 32-bit band keys."""
+
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, 1, 4 * W.SLICE):
-                sigs = [minhash(np.frombuffer(x.as_buffer(), W.U), SIGNATURE).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sigs, pa.binary())], ["id", "set", "sig"])
+                sigs, keys = [], []
+                for x in part.column(1):
+                    full = minhash(np.frombuffer(x.as_buffer(), W.U), max(SIGNATURE, bands * rows))
+                    sigs.append(full[:SIGNATURE].astype(np.uint8).tobytes())
+                    keys.append(band_keys(full[: bands * rows], rows).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], ["id", "set", "sig", "bands"])
 
-    return sets.select("id", "set").mapInArrow(run, "id binary, set binary, sig binary")
+    return sets.select("id", "set").mapInArrow(run, "id binary, set binary, sig binary, bands binary")
 
 
 def _pruned(pairs: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFrame:
@@ -112,30 +126,30 @@ def _pruned(pairs: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFr
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for i in (2, 3))
-            at, same = surviving(a, b, least)
-            at = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(same, pa.int32())], ["a", "b", "same"])
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for i in (2, 3))
+            at = pa.array(surviving(a, b, least)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     one, two = sets.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sets.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, same int")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+    """Pairs that are linked by their full sets."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if linked(np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U), percent)]
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -143,91 +157,171 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _across(shared: DataFrame, roots: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Pairs between components inside shared buckets that the signatures do not exclude."""
-    rows = shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+def _stars(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b): each item with the CENTERS centers that it shares most buckets with."""
+    weight = materialize(shared.groupBy("id").agg(F.sum("n").alias("weight")))
+    centers = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.weight").alias("weight"))
+    met = shared.join(materialize(centers), "key").where("id != b").groupBy("id", "b", "weight").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("weight"), "b"))
+    return met.withColumn("place", place).where(F.col("place") <= CENTERS).select(F.col("id").alias("a"), "b")
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, band, id, root, block, lo, hi) of buckets with several components, dealt to pairs of blocks."""
+    rows = shared.select("key", "band", "id").join(roots, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
     mixed = materialize(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
     rows = materialize(join_checked(rows, mixed, "key"))
-    each = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     # Rows of a bucket's largest component meet only the others; these meet each other too.
-    main = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
-    main = materialize(main.select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("blocks")))
-    rows = join_checked(rows, main, "key").withColumn("is_main", F.expr("root = main"))
-    rows = rows.withColumn("block", F.expr("pmod(xxhash64(id), if(is_main, main_blocks, blocks))"))
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("blocks"))
+    rows = join_checked(rows, materialize(main), "key").withColumn("is_main", F.expr("root = main"))
     # Block numbers: the others 0, 1, ...; the main component's -1, -2, ...
-    rows = rows.withColumn("block", F.expr("if(is_main, -1 - block, block)"))
+    rows = rows.withColumn("block", F.expr("pmod(xxhash64(id), if(is_main, main_blocks, blocks))")).withColumn("block", F.expr("if(is_main, -1 - block, block)"))
     rows = rows.withColumn("meets", F.expr("if(is_main, sequence(0L, blocks - 1), concat(sequence(0L, blocks - 1), transform(sequence(0L, main_blocks - 1), x -> -1L - x)))"))
-    rows = rows.select("key", "id", "root", "block", F.explode("meets").alias("other")).select("key", "id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    rows = rows.join(sets.select("id", "sig"), "id").select("key", "lo", "hi", "block", "id", "root", "sig")
+    rows = rows.select("key", "band", "id", "root", "block", F.explode("meets").alias("other"))
+    return rows.select("key", "band", "id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+class _Block:
+    """Rows of one bucket in one pair of blocks."""
+
+    def __init__(self, band: int, lo: int, hi: int, rows: list[tuple]):
+        known: dict[bytes, int] = {}
+        self.ids = [r[0] for r in rows]
+        self.root = np.array([known.setdefault(r[1], len(known)) for r in rows])
+        self.block = np.array([r[2] for r in rows])
+        self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SIGNATURE)
+        self.bands = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
+        self.band, self.lo, self.hi = band, lo, hi
+
+    def pairs(self, least: tuple[int, ...]):
+        """Pairs between components, in their first shared bucket, that the signatures do not exclude: rows and matches."""
+        out = [[], [], []]
+        n = np.arange(len(self.ids))
+        for i in n if self.lo == self.hi else n[self.block == self.lo]:
+            j = n[i + 1 :] if self.lo == self.hi else n[self.block == self.hi]
+            j = j[self.root[j] != self.root[i]]
+            if self.band and len(j):
+                j = j[~(self.bands[j, : self.band] == self.bands[i, : self.band]).any(1)]
+            if len(j):
+                at, same = surviving(np.broadcast_to(self.sig[i], (len(j), SIGNATURE)), self.sig[j], least)
+                out[0].append(np.full(len(at), i))
+                out[1].append(j[at])
+                out[2].append(same)
+        a, b, same = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        best = np.argsort(-same, kind="stable")
+        return a[best].tolist(), b[best].tolist()
+
+    def forest(self, pairs, ok=None) -> list[tuple[bytes, bytes]]:
+        """Pairs that join components, in order, if ``ok`` holds for them."""
+        up = list(range(int(self.root.max()) + 1))
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for i, j in zip(*pairs, strict=True):
+            a, b = find(self.root[i]), find(self.root[j])
+            if a != b and (ok is None or ok(i, j)):
+                up[a] = b
+                out.append((self.ids[i], self.ids[j]))
+        return out
+
+
+def _blocks(batches, width: int):
+    """Groups of rows (key, lo, hi, band, ...) in the sorted stream of a partition."""
+    group, held = None, []
+    for batch in batches:
+        for key, lo, hi, band, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != (key, lo, hi, band):
+                if len(held) > 1:
+                    yield group, held
+                group, held = (key, lo, hi, band), []
+            held.append(tuple(rest[:width]))
+    if len(held) > 1:
+        yield group, held
+
+
+def _in_groups(found, names: list[str], kinds: list, most: int = 20_000):
+    out: list[tuple] = []
+    for rows in found:
+        out += rows
+        if len(out) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out = []
+    columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
 
+ORDER = ["key", "lo", "hi", "band"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*ORDER).sortWithinPartitions(*ORDER)
+
+
+def _forest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFrame:
     def run(batches):
-        group, held = None, []
-
-        def pairs():
-            ids = [x[1] for x in held]
-            known: dict[bytes, int] = {}
-            root = np.array([known.setdefault(x[2], len(known)) for x in held])
-            sig = np.frombuffer(b"".join(x[3] for x in held), np.uint32).reshape(-1, SIGNATURE)
-            block = np.array([x[0] for x in held])
-            found: list[tuple] = []
-            for i in range(len(held) if group[1] == group[2] else 0):
-                j = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                found += compare(i, j, sig, ids)
-            if group[1] != group[2]:
-                other = np.flatnonzero(block == group[2])
-                for i in np.flatnonzero(block == group[1]).tolist():
-                    found += compare(i, other[root[other] != root[i]], sig, ids)
-            return found
-
-        def compare(i, j, sig, ids):
-            at, same = surviving(np.broadcast_to(sig[i], (len(j), SIGNATURE)), sig[j], least)
-            return [(*sorted((ids[i], ids[int(j[k])])), int(s)) for k, s in zip(at.tolist(), same.tolist(), strict=True)]
-
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.int32())], ["a", "b", "same"])
+        blocks = (_Block(g[3], g[1], g[2], rows) for g, rows in _blocks(batches, 5))
+        yield from _in_groups((b.forest(b.pairs(least)) for b in blocks), ["a", "b"], [pa.binary()] * 2)
 
-        for batch in batches:
-            out = []
-            for key, lo, hi, block, one, root, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group != (key, lo, hi):
-                    out += pairs() if len(held) > 1 else []
-                    group, held = (key, lo, hi), []
-                held.append((block, one, root, sig))
-            yield batch_of(out)
-        yield batch_of(pairs() if len(held) > 1 else [])
+    rows = rows.join(sets.select("id", "sig", "bands"), "id").select(*ORDER, "id", "root", "block", "sig", "bands")
+    return _dealt(rows).mapInArrow(run, "a binary, b binary").distinct()
 
-    order = ["key", "lo", "hi"]
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
 
+def _open(rows: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFrame:
+    """Rows that still have a pair which the signatures do not exclude."""
 
-def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, miss: float = 1e-8) -> DataFrame:
+    def run(batches):
+        def some():
+            for (key, lo, hi, band), rows in _blocks(batches, 5):
+                block = _Block(band, lo, hi, rows)
+                yield [(key, lo, hi, band, *rows[i][:3]) for i in sorted(set().union(*block.pairs(least)))]
+
+        yield from _in_groups(some(), [*ORDER, "id", "root", "block"], [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.binary(), pa.int64()])
+
+    rows = rows.join(sets.select("id", "sig", "bands"), "id").select(*ORDER, "id", "root", "block", "sig", "bands")
+    return _dealt(rows).mapInArrow(run, "key long, lo long, hi long, band int, id binary, root binary, block long")
+
+
+def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int) -> DataFrame:
+    """Links between components, verified inside the blocks."""
+
+    def run(batches):
+        def found():
+            for (_, lo, hi, band), rows in _blocks(batches, 6):
+                block = _Block(band, lo, hi, rows)
+                full = [np.frombuffer(r[5], W.U) for r in rows]
+                yield block.forest(block.pairs(least), lambda i, j, full=full: linked(full[i], full[j], percent))
+
+        yield from _in_groups(found(), ["a", "b"], [pa.binary()] * 2)
+
+    rows = rows.join(sets.select("id", "sig", "bands", "set"), "id").select(*ORDER, "id", "root", "block", "sig", "bands", "set")
+    return _dealt(rows).mapInArrow(run, "a binary, b binary")
+
+
+def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, miss: float = 1e-8) -> DataFrame:
     """Components of items (id, bands: array<long>) with 100 * intersection >= percent * union: (id, root) of linked items.
 
     ``items`` may repeat an id; ``sets_of(ids)`` gives (id, set) once for each of some ids.
     """
     least = bounds(percent / 100, miss)
-    keys = items.select("id", F.explode("bands").alias("key"))
-    stars = materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("most")).where("m < most").select("key", "m"))
-    shared = materialize(join_checked(keys, stars, "key").distinct())
-    sets = materialize(_signed(sets_of(shared.select("id").distinct())))
-    first = shared.where("id > m").groupBy("id", "m").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("m", F.struct("n", "m")).alias("b"))
-    edges = materialize(_verified(_pruned(first.select(F.col("id").alias("a"), "b"), sets, least), sets, percent))
+    keys = items.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("most"), F.count("*").alias("n")).where("m < most").select("key", "n"))
+    shared = materialize(join_checked(keys, buckets, "key").distinct())
+    sets = materialize(_signed(sets_of(shared.select("id").distinct()), bands, rows))
+    edges = materialize(_verified(_pruned(_stars(shared), sets, least), sets, percent))
     roots = materialize(components(edges))
-    left = materialize(_across(shared, roots, sets, least))
-    for turn in range(4):
-        n = left.count()
-        if not n:
-            break
-        chosen = left
-        if n > TOGETHER and turn < 3:  # the best of each item first: most of the rest then lies inside components
-            best = left.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
-            chosen = best.unionByName(left.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))).distinct()
-        chosen = materialize(chosen.select("a", "b"))
-        edges = materialize(edges.unionByName(_verified(chosen, sets, percent)))
+    mixed = materialize(_mixed(shared, roots))
+    more = materialize(_verified(materialize(_forest(mixed, sets, least)), sets, percent))
+    if more.limit(1).count():
+        edges = edges.unionByName(more)
         roots = materialize(components(edges))
-        if turn == 3 or n <= TOGETHER:
-            break
-        a, b = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        left = left.join(chosen, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        left = materialize(left.where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b", "same"))
+        mixed = _mixed(shared, roots)
+    more = materialize(_rest(materialize(_open(mixed, sets, least)), sets, least, percent))
+    if more.limit(1).count():
+        roots = materialize(components(edges.unionByName(more)))
     return roots

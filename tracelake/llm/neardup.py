@@ -88,7 +88,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: boo
         wanted = materialize(source.join(ids, "id").select("row", "id"))
         return _sets(docs, wanted, lower, shingle)
 
-    roots = near_components(items, sets_of, percent, miss)
+    roots = near_components(items, sets_of, percent, bands, rows, miss)
     least = found.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = materialize(least)
     named = materialize(least.select("id", "root").join(materialize(least.groupBy("root").agg(F.min("least").alias("component"))), "root").select("id", "component"))
