@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracelake.llm import bpe, decontaminate, exact, neardup, secrets, shards, substring
+from tracelake.llm import bpe, decontaminate, exact, lines, neardup, secrets, shards, substring
 
 MODULES = {
     "op1_decontamination": decontaminate,
+    "op2_line_dedup": lines,
     "op3_minhash_near_dedup": neardup,
     "op4_secret_scan": secrets,
     "op5_substring_dedup": substring,

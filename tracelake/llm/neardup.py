@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import _words as W
-from tracelake.llm._io import materialize
+from tracelake.llm._io import join_checked, materialize
 from tracelake.llm._linkage import band_keys, minhash, near_components
 
 ITEMS = "doc_id long, row long, n_shingles long, id binary, bands array<long>"
@@ -74,7 +74,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool, k: int) -> DataFrame:
                 ok = [hashlib.blake2b(s, digest_size=16).digest() == one for s, one in zip(sets, part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(pa.array(ok))
 
-    return docs.select("text", "row").join(wanted, "row").select("id", "text").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
+    return join_checked(docs.select("text", "row"), wanted, "row").select("id", "text").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 32, rows: int = 4, miss: float = 1e-8) -> DataFrame:
