@@ -37,18 +37,18 @@ CENTERS = 2
 
 
 @lru_cache(4)
-def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
-    x = W._mix(np.arange(1, 2 * n + 1, dtype=W.U) * W.U(0x9E3779B97F4A7C15)) >> W.U(32)
-    return x[::2].astype(np.uint32) | np.uint32(1), x[1::2].astype(np.uint32)
+def factors(n: int) -> np.ndarray:
+    """Odd factors: x -> factor * x permutes the 32-bit hashes."""
+    return (W._mix(np.arange(1, n + 1, dtype=W.U) * W.U(0x9E3779B97F4A7C15)) >> W.U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def minhash(x: np.ndarray, n: int) -> np.ndarray:
     """Signature of n minima over hashes of 32 bits that are drawn from those of 64."""
-    a, b = _factors(n)
+    a = factors(n)[:, None]
     x = (x >> W.U(32)).astype(np.uint32)
     out = np.full(n, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 4096):
-        np.minimum(out, (a[:, None] * x[None, i : i + 4096] + b[:, None]).min(1), out=out)
+    for i in range(0, len(x), 1024):
+        np.minimum(out, (a * x[None, i : i + 1024]).min(1), out=out)
     return out
 
 
@@ -310,7 +310,8 @@ def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     """
     least = bounds(percent / 100, miss)
     keys = items.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("most"), F.count("*").alias("n")).where("m < most").select("key", "n"))
+    hashed = keys.select("key", F.xxhash64("id").alias("h"))
+    buckets = materialize(hashed.groupBy("key").agg(F.min("h").alias("m"), F.max("h").alias("most"), F.count("*").alias("n")).where("m < most").select("key", "n"))
     shared = materialize(join_checked(keys, buckets, "key").distinct())
     sets = materialize(_signed(sets_of(shared.select("id").distinct()), bands, rows))
     edges = materialize(_verified(_pruned(_stars(shared), sets, least), sets, percent))

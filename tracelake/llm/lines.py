@@ -2,7 +2,8 @@
 
 Lines are cut at line feeds; lines without anything but white space always stay and are never compared. A line's
 set is its distinct ``shingle``-character shingles (a shorter line is one shingle). Equal lines are one item;
-``bands`` bands of ``rows`` MinHash values give candidates (12 of 3 miss a pair at 0.8 with probability 2e-4),
+``bands`` bands of ``rows`` MinHash values give candidates (16 of 3 miss a pair at 0.8 with probability 1e-5; for
+corpora beyond some TB take more rows a band, so that unlike lines seldom share one),
 which are verified by exact Jaccard similarity; distributed union-find joins them, and the first line
 of each component stays: the smallest (doc_id, line number).
 
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import _words as W
 from tracelake.llm._io import join_checked, materialize
-from tracelake.llm._linkage import _factors, band_keys, near_components
+from tracelake.llm._linkage import band_keys, factors, near_components
 
 LINES = "doc_id long, row long, n_lines int, line int, id binary, bands array<long>"
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,11 +49,11 @@ def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _minima(x: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     """Signatures of runs of shingles."""
-    a, b = _factors(n)
     x = (x >> W.U(32)).astype(np.uint32)
-    out = np.empty((len(first), n), np.uint32)
-    for j in range(n):
-        out[:, j] = np.minimum.reduceat(x * a[j] + b[j], first)
+    out, h = np.empty((len(first), n), np.uint32), np.empty_like(x)
+    for j, a in enumerate(factors(n)):
+        np.multiply(x, a, out=h)
+        out[:, j] = np.minimum.reduceat(h, first)
     return out
 
 
@@ -125,7 +126,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return join_checked(docs.select("row", "text"), wanted, "row", max_rows=50_000).select("row", "text", "lines").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
 
 
-def line_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 12, rows: int = 3) -> DataFrame:
+def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int = 16, rows: int = 3) -> DataFrame:
     """Per line that is not blank: doc_id, row, line, and whether it stays (one placeholder line for documents without any)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     found = materialize(_items(docs, shingle, bands, rows))
