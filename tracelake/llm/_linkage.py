@@ -105,7 +105,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(20, 0)))")).first())
 
 
-def _signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+def _signed(sets: DataFrame, bands: int, rows: int, decode: Callable) -> DataFrame:
     """Adds ``sig``: the low bytes of a longer signature (equal with at least the similarity's probability), and 32-bit band keys."""
 
     def run(batches):
@@ -113,7 +113,7 @@ def _signed(sets: DataFrame, bands: int, rows: int) -> DataFrame:
             for part in W.slices(batch, 1, 4 * W.SLICE):
                 sigs, keys = [], []
                 for x in part.column(1):
-                    full = minhash(np.frombuffer(x.as_buffer(), W.U), max(SIGNATURE, bands * rows))
+                    full = minhash(decode(x.as_py()), max(SIGNATURE, bands * rows))
                     sigs.append(full[:SIGNATURE].astype(np.uint8).tobytes())
                     keys.append(band_keys(full[: bands * rows], rows).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], ["id", "set", "sig", "bands"])
@@ -134,6 +134,10 @@ def _pruned(pairs: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFr
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def hashes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, W.U)
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, for sorted distinct hashes."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -144,12 +148,12 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, decode: Callable) -> DataFrame:
     """Pairs that are linked by their full sets."""
 
     def run(batches):
         for batch in batches:
-            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if linked(np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U), percent)]
+            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if linked(decode(x.as_py()), decode(y.as_py()), percent)]
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -287,14 +291,14 @@ def _open(rows: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFrame
     return _dealt(rows).mapInArrow(run, "key long, lo long, hi long, band int, id binary, root binary, block long")
 
 
-def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int) -> DataFrame:
+def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int, decode: Callable) -> DataFrame:
     """Links between components, verified inside the blocks."""
 
     def run(batches):
         def found():
             for (_, lo, hi, band), rows in _blocks(batches, 6):
                 block = _Block(band, lo, hi, rows)
-                full = [np.frombuffer(r[5], W.U) for r in rows]
+                full = [decode(r[5]) for r in rows]
                 yield block.forest(block.pairs(least), lambda i, j, full=full: linked(full[i], full[j], percent))
 
         yield from _in_groups(found(), ["a", "b"], [pa.binary()] * 2)
@@ -303,26 +307,27 @@ def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int
     return _dealt(rows).mapInArrow(run, "a binary, b binary")
 
 
-def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, miss: float = 1e-8) -> DataFrame:
+def near_components(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int, rows: int, miss: float = 1e-8, decode: Callable[[bytes], np.ndarray] = hashes) -> DataFrame:
     """Components of items (id, bands: array<long>) with 100 * intersection >= percent * union: (id, root) of linked items.
 
-    ``items`` may repeat an id; ``sets_of(ids)`` gives (id, set) once for each of some ids.
+    ``items`` may repeat an id; ``sets_of(ids)`` gives (id, set) once for each of some ids;
+    ``decode`` turns a set's bytes into sorted distinct hashes.
     """
     least = bounds(percent / 100, miss)
     keys = items.select("id", F.posexplode("bands").alias("band", "key"))
     hashed = keys.select("key", F.xxhash64("id").alias("h"))
     buckets = materialize(hashed.groupBy("key").agg(F.min("h").alias("m"), F.max("h").alias("most"), F.count("*").alias("n")).where("m < most").select("key", "n"))
     shared = materialize(join_checked(keys, buckets, "key").distinct())
-    sets = materialize(_signed(sets_of(shared.select("id").distinct()), bands, rows))
-    edges = materialize(_verified(_pruned(_stars(shared), sets, least), sets, percent))
+    sets = materialize(_signed(sets_of(shared.select("id").distinct()), bands, rows, decode))
+    edges = materialize(_verified(_pruned(_stars(shared), sets, least), sets, percent, decode))
     roots = materialize(components(edges))
     mixed = materialize(_mixed(shared, roots))
-    more = materialize(_verified(materialize(_forest(mixed, sets, least)), sets, percent))
+    more = materialize(_verified(materialize(_forest(mixed, sets, least)), sets, percent, decode))
     if more.limit(1).count():
         edges = edges.unionByName(more)
         roots = materialize(components(edges))
         mixed = _mixed(shared, roots)
-    more = materialize(_rest(materialize(_open(mixed, sets, least)), sets, least, percent))
+    more = materialize(_rest(materialize(_open(mixed, sets, least)), sets, least, percent, decode))
     if more.limit(1).count():
         roots = materialize(components(edges.unionByName(more)))
     return roots

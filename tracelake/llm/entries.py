@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import bpe, decontaminate, exact, lines, neardup, secrets, shards, substring
+from tracelake.llm import bpe, decontaminate, exact, lines, lm, neardup, quality, secrets, shards, substring
 
 MODULES = {
     "op1_decontamination": decontaminate,
@@ -11,6 +11,8 @@ MODULES = {
     "op4_secret_scan": secrets,
     "op5_substring_dedup": substring,
     "op6_exact_dedup": exact,
+    "op7_lm_scoring": lm,
+    "op8_quality_classifier": quality,
     "op9_sharding": shards,
     "op10_bpe": bpe,
 }

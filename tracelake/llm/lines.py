@@ -108,8 +108,8 @@ def _items(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted: row, lines (array of line, id); one document of each id."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: row, lines (array of line, id); the text of each line id."""
 
     def run(batches):
         for batch in batches:
@@ -120,7 +120,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     for x in lines:
                         if x["line"] < len(cut) and _id(cut[x["line"]]) == x["id"]:
                             ids.append(x["id"])
-                            sets.append(np.unique(line_sets([cut[x["line"]]], k)[0]).tobytes())
+                            sets.append(cut[x["line"]].encode())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["id", "set"])
 
     return join_checked(docs.select("row", "text"), wanted, "row", max_rows=50_000).select("row", "text", "lines").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
@@ -134,9 +134,9 @@ def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int
 
     def sets_of(ids: DataFrame) -> DataFrame:
         one = found.where("size(bands) > 0").select("id", "row", "line").join(ids, "id").groupBy("id").agg(F.min(F.struct("row", "line")).alias("x"))
-        return _sets(docs, materialize(one.groupBy("x.row").agg(F.collect_list(F.struct("x.line", "id")).alias("lines"))), shingle)
+        return _texts(docs, materialize(one.groupBy("x.row").agg(F.collect_list(F.struct("x.line", "id")).alias("lines"))))
 
-    roots = near_components(items, sets_of, percent, bands, rows)
+    roots = near_components(items, sets_of, percent, bands, rows, decode=lambda line: np.unique(line_sets([line.decode()], shingle)[0]))
     place = F.struct("doc_id", "row", "line")
     first = found.where("id is not null").groupBy("id").agg(F.min(place).alias("first")).join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     first = materialize(first)
