@@ -183,6 +183,30 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, block_byt
     return df
 
 
+def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, without any occurrence of an item's window."""
+    out, text = docs, docs.columns.index("text")
+    for index in _blocks(bench, window, block_bytes):
+        index.order(_count(docs, index.vocabulary))
+        out = _drop(out, index, text)
+    return out
+
+
+def _drop(df: DataFrame, index: Index, text: int) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            for part in W.slices(batch, text):
+                words = W.scan(part.column(text), W.MARKS, lower=True)
+                keep = np.ones(part.num_rows, bool)
+                keep[np.searchsorted(words.first, index.find(words)[0], "right") - 1] = False
+                yield part.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")

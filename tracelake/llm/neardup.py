@@ -78,7 +78,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool, k: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 32, rows: int = 4, miss: float = 1e-8) -> DataFrame:
-    """Per document: size of its set, component and whether it stays."""
+    """Per document: row key (hash of its text), size of its set, component and whether it stays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     found = materialize(_items(docs, lower, shingle, bands, rows))
     items = found.where("size(bands) > 0").select("id", "bands")
@@ -92,15 +92,15 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: boo
     least = found.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = materialize(least)
     named = materialize(least.select("id", "root").join(materialize(least.groupBy("root").agg(F.min("least").alias("component"))), "root").select("id", "component"))
-    out = found.select("doc_id", "n_shingles", "id").join(named, "id", "left")
+    out = found.select("doc_id", "row", "n_shingles", "id").join(named, "id", "left")
     component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from tracelake.llm._io import table
 
-    return near_groups(table(spark, sf_dir, "documents"), shingle=2)
+    return near_groups(table(spark, sf_dir, "documents"), shingle=2).drop("row")
 
 
 SQL = r"""

@@ -152,6 +152,15 @@ def _runs(data: np.ndarray, cuts: np.ndarray, most: int = 1 << 20):
         a = b
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column and the cuts between rows."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :]
+    body = column.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def _fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
@@ -184,17 +193,27 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
         net = shared.value
         for batch in batches:
             for part in W.slices(batch):
-                column = part.column(1).cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :]
-                body = column.buffers()[2]
-                data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
-                score = net.score(data, offsets - offsets[0])
+                score = net.score(*_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(_fold(5) == 0, F.lit(True))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")).mapInArrow(run, RESULT)
 
 
+def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        net = shared.value
+        for batch in batches:
+            for part in W.slices(batch, text):
+                yield part.filter(pa.array(net.score(*_bytes(part.column(text))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from tracelake.llm._io import table
 
