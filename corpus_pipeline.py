@@ -19,10 +19,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("k_doc"), F.col("text_sha256").alias("k_sha")).distinct()
-    keyed = docs.withColumn("k_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = keyed.join(kept, (keyed["k_sha"] == kept["k_sha"]) & keyed["doc_id"].eqNullSafe(kept["k_doc"]), "left_semi")
-    return rows.dropDuplicates(["k_sha"]).drop("k_sha")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = exact.exact_groups(docs).where("kept").select(key.alias("k_doc"), F.col("text_sha256").alias("k_sha"))
+    keyed = docs.withColumn("k_doc", key).withColumn("k_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    # One exchange serves the join and the repeated rows of a kept document; copies are spread by their ids.
+    return keyed.join(kept, ["k_sha", "k_doc"], "left_semi").dropDuplicates(["k_sha", "k_doc"]).drop("k_sha", "k_doc")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
