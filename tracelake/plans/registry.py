@@ -1,13 +1,289 @@
-"""Registered queries."""
+"""Registered queries over the benchmark tables, and the SQL that checks each of them."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracelake.operators import tables as ops
+from tracelake.sources import drivers as src
 
-def queries():
-    return {}
+SIX = 6
+#: CTEs shared by the check SQL.
+UNITS = "units AS (SELECT user_id AS unit, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, value, event_id FROM events)"
+SERIES = "series AS (SELECT l_returnflag AS unit, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate::DATE) - 1 AS frame, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS value FROM lineitem GROUP BY l_returnflag, l_shipdate::DATE)"
+WINDOWS = "w AS (SELECT i::INTEGER AS event_id, i * 86400.0 AS start_s, i * 86400.0 + 7200.0 AS end_s FROM range(30) r(i))"
+ROBUST = "med AS (SELECT unit, median(value) AS m FROM series GROUP BY unit), mad AS (SELECT s.unit, any_value(m) AS m, median(abs(value - m)) AS d FROM series s JOIN med USING (unit) GROUP BY s.unit), rz AS (SELECT s.unit, frame, (value - m) / (1.4826 * (d + 1e-12)) AS z FROM series s JOIN mad USING (unit))"
+PIXELS = "px AS (SELECT vec_id AS frame, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i))"
 
 
-def oracle_sql():
-    return {}
+def _r(column: str, name: str | None = None):
+    return F.round(column, SIX).alias(name or column)
+
+
+def _pixels(spark, d) -> DataFrame:
+    e = src.read(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
+    return e.select("frame", F.expr("cast(i div 8 as int)").alias("y"), F.expr("i % 8").alias("x"), F.col("v").cast("double").alias("v"))
+
+
+def onset_density(spark, d):
+    u = src.units(spark, d)
+    n = src.read(spark, d, "events").select("user_id").distinct().count()
+    return ops.density(u, n, 3600.0).select("bin", "n", _r("rate"))
+
+
+def density_smooth(spark, d):
+    u = src.units(spark, d)
+    return ops.smooth(ops.density(u, 1, 3600.0), 1.5).select("bin", _r("smooth"))
+
+
+def density_rolling_pct(spark, d):
+    return ops.rolling_rank(ops.density(src.units(spark, d), 1, 3600.0).withColumn("k", F.lit(1)), ["k"], "bin", "rate", 12, 5).select("bin", _r("base"))
+
+
+def density_noise(spark, d):
+    b = ops.density(src.units(spark, d), 1, 3600.0)
+    level = b.agg(F.percentile("rate", F.lit(0.4)).alias("cut"))
+    quiet = b.crossJoin(F.broadcast(level)).where("rate <= cut").withColumn("k", F.lit(1))
+    med = quiet.groupBy("k").agg(F.median("rate").alias("m"))
+    return quiet.join(F.broadcast(med), "k").agg(_r(F.median(F.abs(F.col("rate") - F.col("m"))) * 1.4826, "noise"))
+
+
+def activation_first_time(spark, d):
+    return ops.activation(src.units(spark, d), src.windows(spark)).select("event_id", "unit", _r("first_time_s"))
+
+
+def event_onsets_long(spark, d):
+    j = ops.interval_join(src.units(spark, d).withColumnRenamed("event_id", "onset_id"), src.windows(spark))
+    return j.select("event_id", "unit", "onset_id", _r(F.col("t") - F.col("start_s"), "rel_s"))
+
+
+def activation_rank(spark, d):
+    return ops.activation_rank(ops.activation(src.units(spark, d), src.windows(spark))).select("event_id", "unit", "rank")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Active units of each daily window and the first of them."""
+    a = ops.activation(src.units(spark, d), src.windows(spark))
+    return a.groupBy("event_id").agg(F.count("*").alias("n_active"), F.min_by("unit", F.struct("first_time_s", "unit")).alias("first_unit"))
+
+
+def roi_event_times_wide(spark, d):
+    r = ops.activation_rank(ops.activation(src.units(spark, d), src.windows(spark)))
+    return r.where("rank <= 3").groupBy("event_id").pivot("rank", [1, 2, 3]).agg(F.first("unit")).select("event_id", F.col("1").alias("u1"), F.col("2").alias("u2"), F.col("3").alias("u3"))
+
+
+def zscore_pop(spark, d):
+    return ops.zscore(src.series(spark, d), ["unit"], "value").select("unit", "frame", _r("z"))
+
+
+def robust_z(spark, d):
+    return ops.robust_z(src.series(spark, d), ["unit"], "value").select("unit", "frame", _r("z"))
+
+
+def hysteresis_onsets(spark, d):
+    z = ops.robust_z(src.series(spark, d), ["unit"], "value").select("unit", "frame", "z")
+    return ops.hysteresis(z, ["unit"], "frame", "z", 1.0, 0.0).select("unit", "frame")
+
+
+def min_separation(spark, d):
+    return ops.min_separation(src.units(spark, d), ["unit"], "t", 86400.0).select("unit", _r("t"))
+
+
+def dff_first_n(spark, d):
+    return ops.dff_first_n(src.series(spark, d), ["unit"], "frame", "value", 120).select("unit", "frame", _r("dff"))
+
+
+def dff_rolling(spark, d):
+    b = ops.rolling_rank(src.series(spark, d), ["unit"], "frame", "value", 10, 10)
+    return b.select("unit", "frame", _r((F.col("value") - F.col("base")) / F.greatest("base", F.lit(1e-9)), "dff"))
+
+
+def neuropil_subtract(spark, d):
+    return src.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _r(F.col("l_extendedprice") - 0.7 * F.col("l_tax"), "f"))
+
+
+def sg_derivative_interior(spark, d):
+    return ops.savgol_interior(src.series(spark, d), ["unit"], "frame", "value", 2, 15.0).where("dt is not null").select("unit", "frame", _r("dt"))
+
+
+def nan_interp(spark, d):
+    gap = F.when(F.col("frame") % 7 != 3, F.col("value"))
+    return ops.fill_missing(src.series(spark, d).withColumn("value", gap), ["unit"], "frame", "value").select("unit", "frame", _r("filled"))
+
+
+def block_downsample(spark, d):
+    return ops.downsample(src.series(spark, d), ["unit"], "frame", "value", 8).select("unit", "block", _r("mean"))
+
+
+def minmax_rows(spark, d):
+    e = src.read(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
+    return e.select("vec_id", F.round(F.expr("if(array_max(e) > array_min(e), (e[0] - array_min(e)) / (array_max(e) - array_min(e)), 0D)"), SIX).alias("first_scaled"))
+
+
+def derivative_raster(spark, d):
+    from pyspark.sql.window import Window
+
+    s = src.series(spark, d)
+    diff = s.withColumn("value", F.col("value") - F.lag("value").over(Window.partitionBy("unit").orderBy("frame"))).where("value is not null")
+    return ops.robust_z(diff, ["unit"], "value").where("z >= 2").select("unit", "frame")
+
+
+def xcorr_best_lag(spark, d):
+    n = src.series(spark, d).groupBy("unit").count().agg(F.min("count")).first()[0]
+    z = ops.zscore(src.series(spark, d).where(F.col("frame") < n), ["unit"], "value").select("unit", "frame", "z")
+    out = ops.lag_sweep(z, z, n, 10, 1.0)
+    return out.select("unit_a", "unit_b", _r("best_lag_sec"), _r("max_corr"), _r("zero_lag_corr"), "leader")
+
+
+def pair_enumeration(spark, d):
+    n = src.read(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    a, b = n.select(F.col("n_nationkey").alias("a"), "n_regionkey"), n.select(F.col("n_nationkey").alias("b"), "n_regionkey")
+    return a.join(b, "n_regionkey").where("a <= b").select("n_regionkey", "a", "b", (F.col("a") == F.col("b")).alias("is_self"))
+
+
+def bh_fdr(spark, d):
+    p = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("g"), (F.expr("(o_orderkey * 7919) % 10007") / 10007.0).alias("p"))
+    return ops.bh_fdr(p, "p", ["g"]).select("id", _r("q"))
+
+
+def auroc(spark, d):
+    j = src.read(spark, d, "labels").join(src.read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return ops.auroc(j, "quality", "n_chars").select(_r("auroc"))
+
+
+def splat_weighted(spark, d):
+    li = src.read(spark, d, "lineitem").select((F.col("l_partkey") % 16).alias("y"), (F.col("l_suppkey") % 16).alias("x"), F.col("l_quantity").alias("v"), (F.col("l_discount") + 0.01).alias("w"))
+    return ops.splat(li, "v", "w").select("y", "x", _r("image"))
+
+
+def overlap_filter(spark, d):
+    li = src.read(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").alias("unit"), (F.col("l_partkey") % 50).alias("y"), (F.col("l_partkey") % 41).alias("x")).distinct()
+    return ops.drop_overlapping(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R' and y < 12"), 0.3).select("unit", _r("covered"))
+
+
+def label_mask_to_rois(spark, d):
+    li = src.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("label"), (F.col("l_partkey") % 64).alias("y"), (F.col("l_orderkey") % 64).alias("x"))
+    return li.groupBy("label").agg(F.count("*").alias("npix"), F.median("y").alias("y_med"), F.median("x").alias("x_med")).withColumn("radius", _r(F.sqrt(F.col("npix") / F.lit(3.141592653589793)), "radius"))
+
+
+def neighbour_corr(spark, d):
+    return ops.neighbour_corr(_pixels(spark, d)).select("y", "x", _r("corr"))
+
+
+def mean_image(spark, d):
+    return _pixels(spark, d).groupBy("y", "x").agg(_r(F.avg("v"), "mean"), _r(F.min("v"), "low"))
+
+
+def median_trace(spark, d):
+    return src.series(spark, d).groupBy("frame").agg(_r(F.median("value"), "median"))
+
+
+def best_trace(spark, d):
+    return src.read(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("best"))
+
+
+def keep_mask(spark, d):
+    j = src.read(spark, d, "documents").select("doc_id").join(src.read(spark, d, "labels"), "doc_id", "left")
+    j = j.select("doc_id", F.when(F.col("toxic") == 1, F.lit(False)).alias("persisted"), (F.col("quality") == 1).alias("predicted"), F.lit(None).cast("double").alias("flag"))
+    return ops.keep_mask(j, "persisted", "predicted", "flag").select("doc_id", "keep")
+
+
+def semi_anti(spark, d):
+    docs, labels = src.read(spark, d, "documents").select("doc_id", "source"), src.read(spark, d, "labels").select("doc_id")
+    both = docs.join(labels, "doc_id", "left_semi").withColumn("known", F.lit(1)).unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("known", F.lit(0)))
+    return both.groupBy("source").agg(F.sum("known").alias("n_known"), F.count("*").alias("n"))
+
+
+def dedup_last(spark, d):
+    return ops.last_wins(src.read(spark, d, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn")
+
+
+def roi_runs(spark, d):
+    return ops.runs(src.read(spark, d, "orders").select("o_custkey", F.expr("o_orderkey % 40").alias("id")), "o_custkey", "id")
+
+
+def roi_spec_parse(spark, d):
+    n = src.read(spark, d, "nation").select("n_nationkey", F.expr("concat(n_nationkey + 3, '-', n_nationkey, ', ', n_nationkey * 2)").alias("spec"))
+    return ops.parse_spec(n, "spec").select("n_nationkey", F.array_join("ids", ",").alias("ids"))
+
+
+def euclid_pairs(spark, d):
+    e = src.read(spark, d, "embeddings").select("vec_id", "label", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
+    a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("e").alias("ea")), e.select(F.col("vec_id").alias("b"), "label", F.col("e").alias("eb"))
+    dist = F.sqrt(F.expr("aggregate(zip_with(ea, eb, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"))
+    return a.join(b, "label").where("a < b").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(dist), 4).alias("mean_dist"))
+
+
+def params_merge(spark, d):
+    e = src.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.select("event_id", F.coalesce(F.nullif("k", F.lit(0)), F.lit(-1)).alias("merged"))
+
+
+def report_pivot(spark, d):
+    e = src.read(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).count()
+    return e.select("user_id", *(F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in ("click", "purchase", "view")))
+
+
+def split_by_group(spark, d):
+    return src.read(spark, d, "documents").select("source").distinct().select("source", (F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 4), 16, 10).cast("int") % 5 == 0).alias("validation"))
+
+
+def um_per_px(spark, d):
+    p = src.read(spark, d, "part")
+    zoom = F.nullif(F.col("p_size") % 5, F.lit(0))
+    return p.select("p_partkey", _r(F.coalesce(F.when(F.col("p_size") > 40, F.col("p_size") / 100.0), 3080.90169 / zoom / 512.0, F.lit(1.0)), "um"))
+
+
+ORACLE = {
+    "flagship": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2) SELECT event_id, count(*) AS n_active, arg_min(unit, (f, unit)) AS first_unit FROM a GROUP BY event_id",
+    "onset_density": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), b AS (SELECT unnest(range((SELECT min(bin) FROM c), (SELECT max(bin) FROM c) + 1)) AS bin) SELECT b.bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(DISTINCT unit) FROM units)::DOUBLE, 6) AS rate FROM b LEFT JOIN c ON b.bin = c.bin",
+    "density_smooth": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), e AS (SELECT min(bin) AS a, max(bin) AS z FROM c), b AS (SELECT unnest(range(a, z + 1)) AS bin FROM e), v AS (SELECT b.bin, coalesce(n, 0) AS n FROM b LEFT JOIN c ON b.bin = c.bin), k AS (SELECT j, exp(-0.5 * (j / 1.5) ** 2) AS g FROM range(-6, 7) r(j)) SELECT v.bin, round(sum(u.n * g) / (SELECT sum(g) FROM k), 6) AS smooth FROM v CROSS JOIN k CROSS JOIN e JOIN v u ON u.bin = least(greatest(v.bin + j, a), z) GROUP BY v.bin",
+    "density_rolling_pct": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), b AS (SELECT unnest(range((SELECT min(bin) FROM c), (SELECT max(bin) FROM c) + 1)) AS bin), v AS (SELECT b.bin, coalesce(n, 0)::DOUBLE AS n FROM b LEFT JOIN c ON b.bin = c.bin), s AS (SELECT bin, list_sort(list(n) OVER (ORDER BY bin ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) AS l FROM v) SELECT bin, l[floor(len(l) * 0.05)::INTEGER + 1] AS base FROM s",
+    "density_noise": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), b AS (SELECT unnest(range((SELECT min(bin) FROM c), (SELECT max(bin) FROM c) + 1)) AS bin), v AS (SELECT coalesce(n, 0)::DOUBLE AS n FROM b LEFT JOIN c ON b.bin = c.bin), q AS (SELECT n FROM v WHERE n <= (SELECT quantile_cont(n, 0.4) FROM v)) SELECT round(median(abs(n - (SELECT median(n) FROM q))) * 1.4826, 6) AS noise FROM q",
+    "activation_first_time": f"WITH {UNITS}, {WINDOWS} SELECT w.event_id, unit, round(min(t), 6) AS first_time_s FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2",
+    "event_onsets_long": f"WITH {UNITS}, {WINDOWS} SELECT w.event_id, unit, units.event_id AS onset_id, round(t - start_s, 6) AS rel_s FROM units JOIN w ON t BETWEEN start_s AND end_s",
+    "activation_rank": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2) SELECT event_id, unit, row_number() OVER (PARTITION BY event_id ORDER BY f, unit)::INTEGER AS rank FROM a",
+    "roi_event_times_wide": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2), r AS (SELECT event_id, unit, row_number() OVER (PARTITION BY event_id ORDER BY f, unit) AS k FROM a) SELECT event_id, max(unit) FILTER (k = 1) AS u1, max(unit) FILTER (k = 2) AS u2, max(unit) FILTER (k = 3) AS u3 FROM r GROUP BY event_id",
+    "zscore_pop": f"WITH {SERIES} SELECT unit, frame, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM series WINDOW w AS (PARTITION BY unit)",
+    "robust_z": f"WITH {SERIES}, {ROBUST} SELECT unit, frame, round(z, 6) AS z FROM rz",
+    "hysteresis_onsets": f"WITH {SERIES}, {ROBUST}, s AS (SELECT *, coalesce(last_value(CASE WHEN z >= 1 THEN 1 WHEN z <= 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY unit ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS o FROM rz), l AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY unit ORDER BY frame), 0) AS b FROM s) SELECT unit, frame FROM l WHERE o = 1 AND b = 0",
+    "min_separation": f"WITH RECURSIVE {UNITS}, k AS (SELECT unit, min(t) AS t FROM units GROUP BY unit UNION ALL SELECT k.unit, (SELECT min(u.t) FROM units u WHERE u.unit = k.unit AND u.t - k.t >= 86400) FROM k WHERE k.t IS NOT NULL) SELECT unit, round(t, 6) AS t FROM k WHERE t IS NOT NULL",
+    "dff_first_n": f"WITH {SERIES}, b AS (SELECT *, avg(value) FILTER (frame < 120) OVER (PARTITION BY unit) AS m FROM series) SELECT unit, frame, round((value - m) / greatest(m, 1e-9), 6) AS dff FROM b",
+    "dff_rolling": f"WITH {SERIES}, s AS (SELECT *, list_sort(list(value) OVER (PARTITION BY unit ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS l FROM series), b AS (SELECT *, l[floor(len(l) * 0.1)::INTEGER + 1] AS m FROM s) SELECT unit, frame, round((value - m) / greatest(m, 1e-9), 6) AS dff FROM b",
+    "neuropil_subtract": "SELECT l_orderkey, l_linenumber, round(l_extendedprice - 0.7::DOUBLE * l_tax, 6) AS f FROM lineitem",
+    "sg_derivative_interior": f"WITH {SERIES}, s AS (SELECT unit, frame, ((lead(value, 1) OVER w - lag(value, 1) OVER w) * 1 + (lead(value, 2) OVER w - lag(value, 2) OVER w) * 2) * (15.0 / 10) AS dt FROM series WINDOW w AS (PARTITION BY unit ORDER BY frame)) SELECT unit, frame, round(dt, 6) AS dt FROM s WHERE dt IS NOT NULL",
+    "nan_interp": f"WITH {SERIES}, g AS (SELECT unit, frame, CASE WHEN frame % 7 <> 3 THEN value END AS v FROM series), k AS (SELECT * FROM g WHERE v IS NOT NULL), j AS (SELECT g.unit, g.frame, g.v, a.frame AS f0, a.v AS v0, b.frame AS f1, b.v AS v1 FROM g ASOF LEFT JOIN k a ON a.unit = g.unit AND a.frame <= g.frame ASOF LEFT JOIN k b ON b.unit = g.unit AND b.frame >= g.frame) SELECT unit, frame, round(CASE WHEN f0 IS NULL THEN v1 WHEN f1 IS NULL OR f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, 6) AS filled FROM j",
+    "block_downsample": f"WITH {SERIES} SELECT unit, frame // 8 AS block, round(avg(value), 6) AS mean FROM series GROUP BY 1, 2 HAVING count(*) = 8",
+    "minmax_rows": "SELECT vec_id, round(CASE WHEN list_max(e) > list_min(e) THEN (e[1] - list_min(e)) / (list_max(e) - list_min(e)) ELSE 0 END, 6) AS first_scaled FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+    "derivative_raster": f"WITH {SERIES}, d AS (SELECT unit, frame, value - lag(value) OVER (PARTITION BY unit ORDER BY frame) AS v FROM series), e AS (SELECT * FROM d WHERE v IS NOT NULL), m AS (SELECT unit, median(v) AS m FROM e GROUP BY unit), a AS (SELECT e.unit, any_value(m) AS m, median(abs(v - m)) AS d FROM e JOIN m USING (unit) GROUP BY e.unit) SELECT e.unit, frame FROM e JOIN a USING (unit) WHERE (v - m) / (1.4826 * (d + 1e-12)) >= 2",
+    "xcorr_best_lag": f"WITH {SERIES}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM series GROUP BY unit)), s AS (SELECT * FROM series WHERE frame < (SELECT n FROM n)), z AS (SELECT unit, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY unit)), c AS (SELECT a.unit AS unit_a, b.unit AS unit_b, k, sum(a.z * b.z) / (SELECT n FROM n) AS c FROM z b CROSS JOIN range(-10, 11) r(k) JOIN z a ON a.frame = b.frame + k GROUP BY 1, 2, 3), m AS (SELECT unit_a, unit_b, arg_max(k, (round(c, 9), -k)) AS k, max(c) AS m, max(c) FILTER (k = 0) AS z FROM c GROUP BY 1, 2) SELECT unit_a, unit_b, k::DOUBLE AS best_lag_sec, round(m, 6) AS max_corr, round(z, 6) AS zero_lag_corr, CASE WHEN k < 0 THEN 'A' WHEN k > 0 THEN 'B' ELSE 'none' END AS leader FROM m",
+    "pair_enumeration": "SELECT a.n_regionkey, a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey = b.n_nationkey AS is_self FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <= b.n_nationkey",
+    "bh_fdr": "WITH p AS (SELECT o_orderkey AS id, o_orderstatus AS g, ((o_orderkey * 7919) % 10007) / 10007.0::DOUBLE AS p FROM orders), r AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p, id) AS q FROM p) SELECT id, round(least(1.0, min(q) OVER (PARTITION BY g ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r",
+    "auroc": "WITH j AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS r FROM labels JOIN documents USING (doc_id)), s AS (SELECT sum(r) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS p, count(*) AS n FROM j) SELECT round((r - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p)), 6) AS auroc FROM s",
+    "splat_weighted": "SELECT l_partkey % 16 AS y, l_suppkey % 16 AS x, round(sum(l_quantity * (l_discount + 0.01::DOUBLE)) / sum(l_discount + 0.01::DOUBLE), 6) AS image FROM lineitem GROUP BY 1, 2",
+    "overlap_filter": "WITH l AS (SELECT DISTINCT l_returnflag AS f, l_suppkey AS unit, l_partkey % 50 AS y, l_partkey % 41 AS x FROM lineitem), p AS (SELECT DISTINCT y, x FROM l WHERE f = 'R' AND y < 12) SELECT unit, round(avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered FROM l LEFT JOIN p ON p.y = l.y AND p.x = l.x WHERE f = 'A' GROUP BY unit HAVING avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END) < 0.3",
+    "label_mask_to_rois": "SELECT l_suppkey AS label, count(*) AS npix, median(l_partkey % 64) AS y_med, median(l_orderkey % 64) AS x_med, round(sqrt(count(*) / 3.141592653589793::DOUBLE), 6) AS radius FROM lineitem GROUP BY 1",
+    "neighbour_corr": f"WITH {PIXELS}, w AS (SELECT p.frame, p.y, p.x, any_value(p.v) AS v, avg(q.v) AS w FROM px p JOIN px q ON p.frame = q.frame AND abs(p.y - q.y) + abs(p.x - q.x) = 1 GROUP BY 1, 2, 3) SELECT y, x, round(corr(v, w), 6) AS corr FROM w GROUP BY y, x",
+    "mean_image": f"WITH {PIXELS} SELECT y, x, round(avg(v), 6) AS mean, round(min(v), 6) AS low FROM px GROUP BY y, x",
+    "median_trace": f"WITH {SERIES} SELECT frame, round(median(value), 6) AS median FROM series GROUP BY frame",
+    "best_trace": "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS best FROM customer GROUP BY 1",
+    "keep_mask": "SELECT d.doc_id, coalesce(CASE WHEN toxic = 1 THEN false END, quality = 1, true) AS keep FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "semi_anti": "SELECT source, count(l.doc_id) AS n_known, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source",
+    "dedup_last": "SELECT conv_id, role, max(turn) AS turn FROM conversations GROUP BY 1, 2",
+    "roi_runs": "WITH g AS (SELECT DISTINCT o_custkey, o_orderkey % 40 AS id FROM orders), i AS (SELECT *, id - row_number() OVER (PARTITION BY o_custkey ORDER BY id) AS g FROM g), e AS (SELECT o_custkey, min(id) AS a, max(id) AS b FROM i GROUP BY o_custkey, g) SELECT o_custkey, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS runs FROM e GROUP BY o_custkey",
+    "roi_spec_parse": "SELECT n_nationkey, array_to_string(list_sort(list_distinct(list_concat(range(n_nationkey, n_nationkey + 4), [n_nationkey * 2]))), ',') AS ids FROM nation",
+    "euclid_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.label, count(*) AS n, round(avg(list_distance(a.e, b.e)), 4) AS mean_dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1",
+    "params_merge": "SELECT event_id, coalesce(nullif((props::JSON->>'k')::BIGINT, 0), -1) AS merged FROM events",
+    "report_pivot": "SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'view') AS n_view FROM events GROUP BY 1",
+    "split_by_group": "SELECT DISTINCT source, ('0x' || substr(md5(source), 1, 4))::INTEGER % 5 = 0 AS validation FROM documents",
+    "um_per_px": "SELECT p_partkey, round(coalesce(CASE WHEN p_size > 40 THEN p_size / 100.0::DOUBLE END, 3080.90169::DOUBLE / nullif(p_size % 5, 0) / 512.0::DOUBLE, 1.0), 6) AS um FROM part",
+}
+
+
+def queries() -> dict:
+    return {name: globals()[name] for name in ORACLE}
+
+
+def oracle_sql() -> dict:
+    return dict(ORACLE)
