@@ -108,36 +108,96 @@ def spaced(at: np.ndarray, gap: float, strict: bool = False) -> np.ndarray:
     return np.array(out, dtype=np.asarray(at).dtype)
 
 
-def peaks(x: np.ndarray, prominence: float, width: float = 1, distance: int = 4, span: int = 0) -> np.ndarray:
-    """Local maxima (middle of plateaus), thinned by distance from the highest down, then by prominence and half width."""
-    x = np.asarray(x, float)
+def _summits(x: np.ndarray) -> np.ndarray:
+    """Middles of plateaus that are higher than both sides; the ends are none."""
     edge = np.flatnonzero(np.diff(x) != 0)
     start, end = np.append(0, edge + 1), np.append(edge, len(x) - 1)
-    inner = [(a + b) // 2 for a, b in zip(start, end, strict=True) if a > 0 and b < len(x) - 1 and x[a - 1] < x[a] > x[b + 1]]
-    keep = dict.fromkeys(inner, True)
-    for p in sorted(inner, key=lambda p: (x[p], p), reverse=True):
-        if keep[p]:
-            for q in inner:
-                if q != p and abs(q - p) < distance:
-                    keep[q] = False
+    rises, falls = np.append(False, x[start[1:]] > x[start[1:] - 1]), np.append(x[end[:-1]] > x[end[:-1] + 1], False)
+    return ((start + end) // 2)[rises & falls]
+
+
+def _thinned(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
+    """From the highest down (of ties the later), a summit removes those nearer than ``distance``."""
+    keep = np.ones(len(at), bool)
+    for i in np.lexsort((at, x[at]))[::-1]:
+        if keep[i]:
+            keep[np.searchsorted(at, at[i] - distance, "right") : np.searchsorted(at, at[i] + distance)] = False
+            keep[i] = True
+    return at[keep]
+
+
+def peaks_and_prominences(x: np.ndarray, prominence: float, width: float = 1, distance: int = 4, span: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Summits thinned by distance, then by prominence and width at half prominence.
+
+    Prominence looks ``span // 2`` samples to each side (0: the whole trace), up to the next higher sample.
+    """
+    x = np.asarray(x, float)
+    if len(x) < 3:
+        return np.zeros(0, int), np.zeros(0)
+    found, drops = [], []
+    reach = min(len(x), span // 2) if span else len(x)
+    at = _thinned(x, _summits(x), distance)
+    step = max(1, 2_000_000 // (reach + 1))
+    for some in (at[i : i + step] for i in range(0, len(at), step)):
+        sides = []
+        for sign in (-1, 1):
+            place = some[:, None] + sign * np.arange(reach + 1)
+            v = np.where((place >= 0) & (place < len(x)), x[np.clip(place, 0, len(x) - 1)], np.inf)
+            v[np.logical_or.accumulate(v > x[some][:, None], axis=1)] = np.inf
+            sides.append(v)
+        drop = x[some] - np.maximum(sides[0].min(1), sides[1].min(1))
+        level, wide = x[some] - drop / 2, np.zeros(len(some))
+        for v in sides:
+            # The first sample at or below the level, and where the line from its neighbour crosses it.
+            k = np.maximum((v <= level[:, None]).argmax(1), 1)
+            rows = np.arange(len(some))
+            low, high = v[rows, k], v[rows, k - 1]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                wide += k - np.where(low < level, (level - low) / (high - low), 0)
+        ok = (drop >= prominence) & (wide >= width)
+        found.append(some[ok])
+        drops.append(drop[ok])
+    return (np.concatenate(found), np.concatenate(drops)) if found else (np.zeros(0, int), np.zeros(0))
+
+
+def peaks(x: np.ndarray, prominence: float, width: float = 1, distance: int = 4, span: int = 0) -> np.ndarray:
+    return peaks_and_prominences(x, prominence, width, distance, span)[0]
+
+
+def sections(fps: float, cutoff: float, order: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Butterworth low-pass of an even order as second-order sections."""
+    k = tan(pi * min(max(cutoff / (fps / 2), 1e-4), 0.95) / 2)
     out = []
-    for p in (p for p in inner if keep[p]):
-        lo, hi = (max(0, p - span // 2), min(len(x), p + span // 2 + 1)) if span else (0, len(x))
-        a, b = p, p
-        while a > lo and x[a - 1] <= x[p]:
-            a -= 1
-        while b < hi - 1 and x[b + 1] <= x[p]:
-            b += 1
-        drop = x[p] - max(x[a : p + 1].min(), x[p : b + 1].min())
-        if drop < prominence:
-            continue
-        level, i, j = x[p] - drop / 2, p, p
-        while i > a and x[i] > level:
-            i -= 1
-        while j < b and x[j] > level:
-            j += 1
-        left = i + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level else i
-        right = j - (level - x[j]) / (x[j - 1] - x[j]) if x[j] < level else j
-        if right - left >= width:
-            out.append(p)
-    return np.array(out, int)
+    for i in range(order // 2):
+        q = 2 * np.sin(pi * (2 * i + 1) / (2 * order))
+        n = 1 + q * k + k * k
+        out.append((np.array([k * k, 2 * k * k, k * k]) / n, np.array([1, 2 * (k * k - 1) / n, (1 - q * k + k * k) / n])))
+    return out
+
+
+def run_section(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """One section over a chunk; the returned state continues the next chunk."""
+    (z0, z1), out = state, np.empty(len(x))
+    for i, v in enumerate(x):
+        out[i] = w = b[0] * v + z0
+        z0, z1 = b[1] * v - a[1] * w + z1, b[2] * v - a[2] * w
+    return out, (z0, z1)
+
+
+def zero_phase(x: np.ndarray, fps: float, cutoff: float = 1.0, order: int = 2) -> np.ndarray:
+    """Forward and backward from steady states, with ends extended by odd reflection."""
+    x = np.asarray(x, float)
+    pad = min(len(x) - 1, 3 * (2 * (order // 2) + 1))
+    if pad < 1:
+        return x
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    for _ in range(2):
+        for b, a in sections(fps, cutoff, order):
+            y = run_section(y, b, a, ((1 - b[0]) * y[0], (b[2] - a[2]) * y[0]))[0]
+        y = y[::-1]
+    return y[pad : len(y) - pad]
+
+
+def power(x: np.ndarray, fps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and squared magnitudes of the real transform."""
+    return np.fft.rfftfreq(len(x), 1 / fps), np.abs(np.fft.rfft(x)) ** 2
