@@ -119,16 +119,57 @@ def downsample(df: DataFrame, keys: list[str], frame: str, value: str, block: in
     return out.where(F.col("n") == block).drop("n")
 
 
-def lag_sweep(a: DataFrame, b: DataFrame, frames: int, limit: int, fps: float) -> DataFrame:
-    """Best lag, its correlation and the zero-lag one of z-scored traces (unit, frame, z); ties go to the earliest lag."""
+def lag_curve(a: DataFrame, b: DataFrame, frames: int, limit: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Correlation at each lag of z-scored traces (unit, frame, z) within equal keys: sum / frames, zero outside."""
     lags = F.explode(F.sequence(F.lit(-limit), F.lit(limit)))
-    left = a.select(F.col("unit").alias("unit_a"), F.col("frame").alias("fa"), F.col("z").alias("za"))
-    right = b.select(F.col("unit").alias("unit_b"), "frame", F.col("z").alias("zb")).withColumn("k", lags).withColumn("fa", F.col("frame") + F.col("k"))
-    c = left.join(right, "fa").groupBy("unit_a", "unit_b", "k").agg((F.sum(F.col("za") * F.col("zb")) / frames).alias("c"))
+    left = a.select(*keys, F.col("unit").alias("unit_a"), F.col("frame").alias("fa"), F.col("z").alias("za"))
+    right = b.select(*keys, F.col("unit").alias("unit_b"), "frame", F.col("z").alias("zb")).withColumn("k", lags).withColumn("fa", F.col("frame") + F.col("k"))
+    return left.join(right, [*keys, "fa"]).groupBy(*keys, "unit_a", "unit_b", "k").agg((F.sum(F.col("za") * F.col("zb")) / frames).alias("c"))
+
+
+def lag_sweep(a: DataFrame, b: DataFrame, frames: int, limit: int, fps: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Best lag, its correlation and the zero-lag one; ties go to the earliest lag."""
     best = F.max_by("k", F.struct(F.round("c", 9), -F.col("k")))
-    out = c.groupBy("unit_a", "unit_b").agg(best.alias("k"), F.max("c").alias("max_corr"), F.max(F.when(F.col("k") == 0, F.col("c"))).alias("zero_lag_corr"))
+    out = lag_curve(a, b, frames, limit, keys).groupBy(*keys, "unit_a", "unit_b").agg(best.alias("k"), F.max("c").alias("max_corr"), F.max(F.when(F.col("k") == 0, F.col("c"))).alias("zero_lag_corr"))
     leader = F.when(F.col("k") < 0, "A").when(F.col("k") > 0, "B").otherwise("none")
-    return out.select("unit_a", "unit_b", (F.col("k") / fps).alias("best_lag_sec"), "max_corr", "zero_lag_corr", leader.alias("leader"))
+    return out.select(*keys, "unit_a", "unit_b", (F.col("k") / fps).alias("best_lag_sec"), "max_corr", "zero_lag_corr", leader.alias("leader"))
+
+
+def cut_counts(heights: DataFrame, keys: list[str], height: str, target: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Clusters of a merge tree cut at 0.90, 0.89, ... 0.05 of its greatest height, and whether the cut is the wanted one.
+
+    Wanted is the first with a number in ``target``, or 0.90 if there is none.
+    """
+    top = heights.select(*keys, F.col(height).alias("h")).withColumn("top", F.max("h").over(_by(keys)))
+    at = F.explode(F.transform(F.sequence(F.lit(90), F.lit(5), F.lit(-1)), lambda i: i / 100.0)).alias("fraction")
+    n = top.select(*keys, "h", "top", at).groupBy(*keys, "fraction").agg((F.sum((F.col("h") > F.col("fraction") * F.col("top")).cast("long")) + 1).alias("n"))
+    first = F.coalesce(F.max(F.when(F.col("n").between(*target), F.col("fraction"))).over(_by(keys)), F.lit(0.9))
+    return n.withColumn("chosen", F.col("fraction") == first)
+
+
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Ranks from 1 inside keys, ties at their mean."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    return df.withColumn(name, F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0)
+
+
+def angle_sweep(points: DataFrame, keys: list[str], angles: int = 360) -> DataFrame:
+    """Rank correlation of time with place along each direction: (keys, x, y, t) to (keys, angle in degrees, rho)."""
+    ranked = average_rank(points, keys, "t", "rt")
+    deg = F.explode(F.transform(F.sequence(F.lit(0), F.lit(angles - 1)), lambda i: i * (360.0 / angles))).alias("angle")
+    at = ranked.select(*keys, "x", "y", "rt", deg)
+    along = F.round(F.col("x") * F.cos(F.radians("angle")) + F.col("y") * F.sin(F.radians("angle")), 9)
+    return average_rank(at.withColumn("s", along), [*keys, "angle"], "s", "rs").groupBy(*keys, "angle").agg(F.corr("rs", "rt").alias("rho"))
+
+
+def jumps(df: DataFrame, keys: list[str], frame: str, value: str, k: float = 6.0, gap: int = 5) -> DataFrame:
+    """Frames after absolute differences above median + k * 1.4826 * MAD, more than ``gap`` apart by greedy spacing."""
+    w = Window.partitionBy(*keys).orderBy(frame)
+    d = df.withColumn("d", F.abs(F.col(value) - F.lag(value).over(w))).where("d is not null")
+    both = d.join(d.groupBy(*keys).agg(F.median("d").alias("m")), keys)
+    mad = both.groupBy(*keys).agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("a"))
+    high = both.join(mad, keys).where(F.col("d") > F.col("m") + F.lit(k * 1.4826) * F.col("a"))
+    return min_separation(high, keys, frame, float(gap), strict=True).withColumn(frame, F.col(frame).cast("long"))
 
 
 def bh_fdr(df: DataFrame, p: str, keys: list[str] = (), tie: str = "id") -> DataFrame:

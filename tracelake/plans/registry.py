@@ -6,26 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import tables as ops
+from tracelake.plans import recordings
+from tracelake.plans.common import PIXELS, ROBUST, SERIES, SIX, UNITS, WINDOWS
+from tracelake.plans.common import pixels as _pixels
+from tracelake.plans.common import r6 as _r
 from tracelake.sources import drivers as src
 
-SIX = 6
-#: CTEs shared by the check SQL.
-UNITS = "units AS (SELECT user_id AS unit, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, value, event_id FROM events)"
-SERIES = "series AS (SELECT l_returnflag AS unit, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate::DATE) - 1 AS frame, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS value FROM lineitem GROUP BY l_returnflag, l_shipdate::DATE)"
-WINDOWS = "w AS (SELECT i::INTEGER AS event_id, i * 86400.0 AS start_s, i * 86400.0 + 7200.0 AS end_s FROM range(30) r(i))"
-ROBUST = "med AS (SELECT unit, median(value) AS m FROM series GROUP BY unit), mad AS (SELECT s.unit, any_value(m) AS m, median(abs(value - m)) AS d FROM series s JOIN med USING (unit) GROUP BY s.unit), rz AS (SELECT s.unit, frame, (value - m) / (1.4826 * (d + 1e-12)) AS z FROM series s JOIN mad USING (unit))"
-PIXELS = "px AS (SELECT vec_id AS frame, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i))"
-
-
-def _r(column: str, name: str | None = None):
-    return F.round(column, SIX).alias(name or column)
-
-
-def _pixels(spark, d) -> DataFrame:
-    e = src.read(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
-    return e.select("frame", F.expr("cast(i div 8 as int)").alias("y"), F.expr("i % 8").alias("x"), F.col("v").cast("double").alias("v"))
-
-
 def onset_density(spark, d):
     u = src.units(spark, d)
     n = src.read(spark, d, "events").select("user_id").distinct().count()
@@ -282,8 +268,9 @@ ORACLE = {
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in ORACLE}
+    own = {name: globals()[name] for name in ORACLE}
+    return own | {name: getattr(recordings, name) for name in (*recordings.ORACLE, *recordings.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLE)
+    return ORACLE | recordings.ORACLE
