@@ -99,3 +99,15 @@ def test_partial_and_sign_flip():
     assert abs(stats.partial(x)[1, 2]) < 0.1 < stats.zscore(x)[:, 1] @ stats.zscore(x)[:, 2] / 2000
     assert stats.partial(x[:5]) is None
     assert stats.sign_flip(np.ones(20), 500) < 0.01 and stats.sign_flip(r.standard_normal(50), 500) > 0.001
+
+
+@pytest.mark.parametrize("init", ["first_sample", "steady", "padded"])
+def test_lowpass_of_a_matrix(init):
+    x = np.random.default_rng(6).standard_normal((5, 80))
+    assert np.allclose(signal.lowpass(x, 15.07, init=init), [signal.lowpass(v, 15.07, init=init) for v in x])
+    b, a = signal.butterworth2(15.07, 1.0)
+    y = signal.lowpass(x[0], 15.07)
+    slow = [b[0] * x[0, 0] + x[0, 0]]
+    assert y[0] == pytest.approx(slow[0])
+    for i in range(2, 80):  # the difference equation
+        assert signal.lowpass(x[0], 15.07, init=init)[i] == pytest.approx(b @ x[0, [i, i - 1, i - 2]] - a[1] * signal.lowpass(x[0], 15.07, init=init)[i - 1] - a[2] * signal.lowpass(x[0], 15.07, init=init)[i - 2])

@@ -15,20 +15,23 @@ def butterworth2(fps: float, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lowpass(x: np.ndarray, fps: float, cutoff: float = 1.0, init: str = "first_sample") -> np.ndarray:
-    """Causal filter. ``init``: both state words hold x[0], the steady state, or zero after a pad of 64 samples."""
+    """Causal filter along the last axis, all traces of a matrix at once.
+
+    ``init``: both state words hold x[0], the steady state, or zero after a pad of 64 samples.
+    """
     b, a = butterworth2(fps, cutoff)
     x = np.asarray(x, float)
-    if not len(x):
+    if not x.size:
         return x
     pad = 64 if init == "padded" else 0
-    y = np.concatenate([np.full(pad, x[0]), x])
-    z0, z1 = {"first_sample": (x[0], x[0]), "steady": ((1 - b[0]) * x[0], (b[2] - a[2]) * x[0]), "padded": (0.0, 0.0)}[init]
-    out = np.empty(len(y))
-    for i, v in enumerate(y):
-        w = b[0] * v + z0
+    y = np.concatenate([np.repeat(x[..., :1], pad, -1), x], -1)
+    y = np.ascontiguousarray(np.moveaxis(y, -1, 0))
+    z0, z1 = {"first_sample": (y[0], y[0]), "steady": ((1 - b[0]) * y[0], (b[2] - a[2]) * y[0]), "padded": (y[0] * 0, y[0] * 0)}[init]
+    out = np.empty_like(y)
+    for i, v in enumerate(y if y.ndim > 1 else y.tolist()):
+        out[i] = w = b[0] * v + z0
         z0, z1 = b[1] * v - a[1] * w + z1, b[2] * v - a[2] * w
-        out[i] = w
-    return out[pad:]
+    return np.moveaxis(out[pad:], 0, -1)
 
 
 def savgol_derivative(x: np.ndarray, fps: float, window_ms: float = 333, order: int = 2) -> np.ndarray:
@@ -118,10 +121,14 @@ def _summits(x: np.ndarray) -> np.ndarray:
 
 def _thinned(x: np.ndarray, at: np.ndarray, distance: int) -> np.ndarray:
     """From the highest down (of ties the later), a summit removes those nearer than ``distance``."""
+    first, past = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance)
     keep = np.ones(len(at), bool)
-    for i in np.lexsort((at, x[at]))[::-1]:
+    crowded = past - first > 1
+    order = np.lexsort((at, x[at]))[::-1]
+    first, past = first.tolist(), past.tolist()
+    for i in order[crowded[order]].tolist():
         if keep[i]:
-            keep[np.searchsorted(at, at[i] - distance, "right") : np.searchsorted(at, at[i] + distance)] = False
+            keep[first[i] : past[i]] = False
             keep[i] = True
     return at[keep]
 

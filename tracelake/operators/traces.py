@@ -8,23 +8,28 @@ from pyspark.sql import DataFrame
 
 from tracelake.kernels import signal, stats
 
+BLOCK_SAMPLES = 4_000_000
 TRACES = "rec_id string, roi_id int, dff array<double>, lp array<double>, dt array<double>, low_baseline boolean"
 
 
 def process_traces(traces: DataFrame, fps: float, r: float = 0.7, method: str = "rolling", cutoff: float = 1.0) -> DataFrame:
-    """(rec_id, roi_id, f, fneu) to dF/F, low-pass and derivative: one map, no shuffle."""
+    """(rec_id, roi_id, f, fneu) to dF/F, low-pass and derivative: one map, no shuffle. ``f`` and ``fneu`` are of one length; null traces give no row."""
+    dff_of = signal.dff_rolling if method == "rolling" else signal.dff_first
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for rec, roi, f, neu in zip(pdf["rec_id"], pdf["roi_id"], pdf["f"], pdf["fneu"], strict=True):
-                x = signal.interpolate(np.asarray(f, float) - r * np.asarray(neu, float))
-                dff = signal.dff_rolling(x, fps) if method == "rolling" else signal.dff_first(x, fps)
-                lp = signal.lowpass(dff, fps, cutoff)
-                rows.append((rec, roi, dff, lp, signal.savgol_derivative(lp, fps), bool(len(x) and np.percentile(x, 10) < 1e-6)))
-            yield pd.DataFrame(rows, columns=["rec_id", "roi_id", "dff", "lp", "dt", "low_baseline"])
-
-    return traces.select("rec_id", "roi_id", "f", "fneu").mapInPandas(run, TRACES)
+            size = pdf["f"].map(len)
+            # Traces of equal length are filtered as one matrix; blocks bound its size.
+            for n, same in pdf.groupby(size, sort=False):
+                step = max(1, BLOCK_SAMPLES // max(1, n))
+                for some in (same.iloc[i : i + step] for i in range(0, len(same), step)):
+                    x = [signal.interpolate(np.asarray(f, float) - r * np.asarray(neu, float)) for f, neu in zip(some["f"], some["fneu"], strict=True)]
+                    dff = [dff_of(v, fps) if n else v for v in x]
+                    lp = signal.lowpass(np.stack(dff), fps, cutoff)
+                    low = [bool(n and np.percentile(v, 10) < 1e-6) for v in x]
+                    yield pd.DataFrame({"rec_id": some["rec_id"].to_numpy(), "roi_id": some["roi_id"].to_numpy(), "dff": dff, "lp": list(lp), "dt": [signal.savgol_derivative(v, fps) for v in lp], "low_baseline": low})
+
+    return traces.where("f is not null and fneu is not null").select("rec_id", "roi_id", "f", "fneu").mapInPandas(run, TRACES)
 
 
 def onsets(traces: DataFrame, fps: float, high: float = 3.5, low: float = 1.5, gap_s: float = 0.1) -> DataFrame:
