@@ -14,6 +14,7 @@ from tracelake.kernels import signal, stats
 class EventParams:
     """Seconds unless named otherwise; ``min_prominence`` serves where no floor comes from shuffles."""
 
+    # The defaults.
     bin_s: float = 0.025
     sigma_bins: float = 1.5
     normalise: bool = True

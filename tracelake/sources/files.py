@@ -13,6 +13,16 @@ from pyspark.sql.window import Window
 from tracelake.functions import scalars
 
 
+# Path patterns of the files that mark a finished stage; all of a stage's patterns must be met.
+STAGE_FILES = {
+    "has_preprocess": (r"/qc\.gif$", r"/mean\.npy$"),
+    "has_detection": (r"/plane0/F\.npy$", r"/plane0/stat\.npy$"),
+    "has_lowpass": (r"/plane0/r0p7_filtered_dff_lowpass\.memmap\.float32$", r"/plane0/r0p7_filtered_dff_dt\.memmap\.float32$"),
+    "has_clusters": (r"/plane0/[^/]*cluster_results/(.*/)?linkage\.npy$",),
+    "has_xcorr": (r"/plane0/[^/]*cluster_results/(.*/)?cross_correlation_[^/]*(/.*)?$",),
+}
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*", depth: int | None = None) -> DataFrame:
     """(path, level, length, modified) of files below ``root``, contents unread; order by level and lower(path)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -62,17 +72,11 @@ def npy_matrix(spark: SparkSession, path: str, highest_id: int | None = None) ->
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Which stages each recording's folder holds, from a listing's paths."""
+    """Which stages each recording's folder holds, from a listing's paths; a low-pass needs a detection too."""
     has = lambda pattern: F.coalesce(F.bool_or(F.col("path").rlike(pattern)), F.lit(False))
     by = files.withColumn("rec_id", scalars.recording_of("path")).where("rec_id is not null").groupBy("rec_id")
-    out = by.agg(
-        (has(r"/qc\.gif$") & has(r"/mean\.npy$")).alias("has_preprocess"),
-        (has(r"/plane0/F\.npy$") & has(r"/plane0/stat\.npy$")).alias("has_detection"),
-        (has(r"/plane0/r0p7_filtered_dff_lowpass\.memmap\.float32$") & has(r"/plane0/r0p7_filtered_dff_dt\.memmap\.float32$")).alias("has_filtered"),
-        has(r"/plane0/[^/]*cluster_results/(.*/)?linkage\.npy$").alias("has_clusters"),
-        has(r"/plane0/[^/]*cluster_results/(.*/)?cross_correlation_[^/]*(/.*)?$").alias("has_xcorr"),
-    )
-    return out.withColumn("has_lowpass", F.expr("has_detection and has_filtered")).drop("has_filtered")
+    out = by.agg(*(F.forall(F.array(*map(has, patterns)), lambda x: x).alias(name) for name, patterns in STAGE_FILES.items()))
+    return out.withColumn("has_lowpass", F.expr("has_detection and has_lowpass"))
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
