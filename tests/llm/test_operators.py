@@ -236,3 +236,14 @@ def test_lm(docs, rows, empty):
         assert r.base_score == pytest.approx(sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x))
         assert r.score < 0
     assert lm.score_texts(empty, lm.default_path()).count() == 0
+
+
+def test_lm_score_is_the_same_whatever_is_broadcast(docs, monkeypatch):
+    def scores():
+        return {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score_texts(docs, lm.default_path()).collect()}
+
+    whole = scores()
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    some = scores()
+    for i, x in whole.items():
+        assert some[i] == pytest.approx(x, rel=1e-6), i
