@@ -247,3 +247,18 @@ def test_lm_score_is_the_same_whatever_is_broadcast(docs, monkeypatch):
     some = scores()
     for i, x in whole.items():
         assert some[i] == pytest.approx(x, rel=1e-6), i
+
+
+def test_lm_trains_on_whole_documents(docs, rows):
+    import numpy as np
+
+    path = lm.default_path()
+    found = lm._gather(docs, path).collect()
+    ids = np.frombuffer(b"".join(bytes(r.ids) for r in found if r.kind == 2), np.uint16).reshape(-1, lm.SPAN + 1)[:, 1:]
+    seen = np.bincount(ids[ids != 65535], minlength=lm.END + 1)
+    assert {i: n for i, n in enumerate(seen.tolist()) if n} == {k: sum(r.n for r in found if r.kind == 1 and r.key == k) for k in {r.key for r in found if r.kind == 1}}
+    flat, cuts = np.arange(70, dtype=np.uint16), np.array([0, 1, 70])
+    windows, many = lm.windows_of(flat, cuts)
+    assert many.tolist() == [1, 3]
+    assert windows[:, 0].tolist() == [lm.END, lm.END, 32, 64]
+    assert windows[3, 1:].tolist() == [65, 66, 67, 68, 69] + [65535] * (lm.SPAN - 5)
