@@ -262,3 +262,18 @@ def test_lm_trains_on_whole_documents(docs, rows):
     assert many.tolist() == [1, 3]
     assert windows[:, 0].tolist() == [lm.END, lm.END, 32, 64]
     assert windows[3, 1:].tolist() == [65, 66, 67, 68, 69] + [65535] * (lm.SPAN - 5)
+
+
+def test_lm_score_depends_on_context(spark):
+    import zlib
+
+    r = random.Random(4)
+    train = [" ".join("one two three four".split() * 8) for _ in range(60)] + [" ".join(r.choices(["red", "blue"], k=32)) for _ in range(60)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][: len(train)]
+    more = [i for i in range(1000, 2000) if not zlib.crc32(str(i).encode()) % 10][:2]
+    tests = [" ".join("one two three four".split() * 8), " ".join("four three two one".split() * 8)]
+    df = spark.createDataFrame([*zip(ids, train), *zip(more, tests)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_texts(df, lm.default_path()).collect()}
+    one, two = (got[i] for i in more)
+    assert one.base_score == pytest.approx(two.base_score)
+    assert one.score - two.score > 0.1 * one.n_tokens
