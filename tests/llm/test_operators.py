@@ -277,3 +277,13 @@ def test_lm_score_depends_on_context(spark):
     one, two = (got[i] for i in more)
     assert one.base_score == pytest.approx(two.base_score)
     assert one.score - two.score > 0.1 * one.n_tokens
+
+
+def test_lm_passes_do_not_depend_on_size(spark, docs, monkeypatch):
+    passes = []
+    train = lm.Attention.train
+    monkeypatch.setattr(lm.Attention, "train", lambda self, windows, epochs=1, **k: passes.append(epochs) or train(self, windows, epochs, **k))
+    one = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    for some in (one, docs.select("doc_id", "text")):
+        lm.fit(some, lm.default_path())
+    assert passes == [lm.WARM_PASSES] * 2
