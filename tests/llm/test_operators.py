@@ -287,3 +287,13 @@ def test_lm_passes_do_not_depend_on_size(spark, docs, monkeypatch):
     for some in (one, docs.select("doc_id", "text")):
         lm.fit(some, lm.default_path())
     assert passes == [lm.WARM_PASSES] * 2
+
+
+def test_lines_with_one_changed_character(spark):
+    r = random.Random(6)
+    texts = []
+    for n in (52, 60, 70):
+        line = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n - 1)) + "z"
+        texts += [line, line[: n // 2] + "#" + line[n // 2 + 1 :]]
+    got = lines.document_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {g.doc_id for g in got if g.n_dropped} == {1, 3, 5}

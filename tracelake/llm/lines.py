@@ -2,7 +2,7 @@
 
 Lines are cut at line feeds; lines without anything but white space always stay and are never compared. A line's
 set is its distinct ``shingle``-character shingles (a shorter line is one shingle). Equal lines are one item;
-``bands`` bands of ``rows`` MinHash values give candidates (16 of 3 miss a pair at 0.8 with probability 1e-5; for
+``bands`` bands of ``rows`` MinHash values give candidates (29 of 5 miss a pair at 0.8 with probability 1e-5; for
 corpora beyond some TB take more rows a band, so that unlike lines seldom share one),
 which are verified by exact Jaccard similarity; distributed union-find joins them, and the first line
 of each component stays: the smallest (doc_id, line number).
@@ -126,7 +126,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return join_checked(docs.select("row", "text"), wanted, "row", max_rows=50_000).select("row", "text", "lines").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
 
 
-def line_groups(docs: DataFrame, shingle: int = 8, percent: int = 80, bands: int = 16, rows: int = 3) -> DataFrame:
+def line_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 29, rows: int = 5) -> DataFrame:
     """Per line that is not blank: doc_id, row, line, and whether it stays (one placeholder line for documents without any)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     found = materialize(_items(docs, shingle, bands, rows))
