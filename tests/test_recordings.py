@@ -102,3 +102,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.frame: r.lp for r in spark.table("lp").collect()}
     assert np.allclose([got[i] for i in range(90)], signal.lowpass(x, FPS)) and spark.table("lp").count() == 90
+
+
+def test_registered_queries_keep_the_operators_defaults(spark, monkeypatch):
+    import inspect
+
+    from tracelake.operators import events
+    from tracelake.plans import recordings
+
+    seen = {}
+    for name, query in (("cluster_correlation", recordings.cluster_correlation), ("sign_flip", recordings.sign_flip), ("spread", recordings.spread_direction)):
+        own = inspect.signature(getattr(events, name))
+
+        def noted(*a, own=own, name=name, **k):
+            seen[name] = own.bind(*a, **k).arguments
+            raise InterruptedError
+
+        monkeypatch.setattr(events, name, noted)
+        with pytest.raises(InterruptedError):
+            query(spark, "/root/testdata/sf0.001")
+    assert {*seen} == {"cluster_correlation", "sign_flip", "spread"}
+    assert not {"shuffles", "n", "draws", "permutations", "flips"} & {k for x in seen.values() for k in x}

@@ -137,7 +137,7 @@ def ward_clusters(spark, d):
 
 def cluster_correlation(spark, d):
     t = _processed(spark, d)
-    return events.cluster_correlation(t, traces.clusters(t), FPS, 1.0, shuffles=50)
+    return events.cluster_correlation(t, traces.clusters(t), FPS, 1.0)
 
 
 def partial_correlation(spark, d):
@@ -146,7 +146,7 @@ def partial_correlation(spark, d):
 
 def sign_flip(spark, d):
     p = events.partial_correlation(_processed(spark, d)).where("roi_a < roi_b")
-    return events.marked(events.sign_flip(p, ["rec_id"], "partial_corr", 2000))
+    return events.marked(events.sign_flip(p, ["rec_id"], "partial_corr"))
 
 
 def drift_steps(spark, d):
@@ -155,7 +155,7 @@ def drift_steps(spark, d):
 
 def spread_direction(spark, d):
     p = _place(spark, d).select(F.lit("all").alias("rec_id"), F.col("label").alias("event_id"), F.col("vec_id").cast("int").alias("roi_id"), "x", "y", F.abs("t").alias("first_time_s"))
-    return events.spread(p.drop("x", "y"), p.select("rec_id", "roi_id", "x", "y"), 100.0, shuffles=500)
+    return events.spread(p.drop("x", "y"), p.select("rec_id", "roi_id", "x", "y"), 100.0)
 
 
 def power_peak(spark, d):
