@@ -154,7 +154,7 @@ def test_near_group_of_edited_copies(spark):
 
 def test_lines(docs, rows, empty):
     every = [(i, j, x) for i, t, *_ in rows for j, x in enumerate(t.split("\n") if t is not None else []) if x.strip()]
-    comp = components([{x[j : j + 8] for j in range(max(1, len(x) - 7))} for _, _, x in every])
+    comp = components([{x[j : j + 5] for j in range(max(1, len(x) - 4))} for _, _, x in every])
     drop = {}
     for (i, j, _), (n, c) in zip(every, enumerate(comp)):
         if n != c:

@@ -33,10 +33,35 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", max_rows: int = 500_000) -> DataFrame:
-    """Broadcast a materialized ``right`` of narrow rows if it has at most ``max_rows``, else shuffle."""
-    few = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right) if few else right, on, how)
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for df in tables:
+        path = df.__dict__.pop("_table_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def byte_size(df: DataFrame) -> int:
+    """An upper estimate of a table's bytes in memory: fixed columns as 16, others by their lengths."""
+    width = F.lit(16)
+    for field in df.schema.fields:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind == "array":
+            width = width + F.greatest(F.size(c), F.lit(0)) * 64 + 16
+        else:
+            width = width + 16
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+
+
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = 24 << 20) -> DataFrame:
+    """Broadcast a materialized ``right`` if it has at most ``most`` bytes, else shuffle: the same rows either way."""
+    return left.join(F.broadcast(right) if byte_size(right) <= most else right, on, how)

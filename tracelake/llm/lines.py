@@ -1,31 +1,35 @@
 """Line dedup: fuzzy lines by MinHash over character shingles.
 
-Lines are cut at line feeds; lines without anything but white space always stay and are never compared. A line's
+Lines are cut at line feeds; lines without anything but ASCII white space always stay and are never compared. A line's
 set is its distinct ``shingle``-character shingles (a shorter line is one shingle). Equal lines are one item;
-``bands`` bands of ``rows`` MinHash values give candidates (29 of 5 miss a pair at 0.8 with probability 1e-5; for
-corpora beyond some TB take more rows a band, so that unlike lines seldom share one),
-which are verified by exact Jaccard similarity; distributed union-find joins them, and the first line
+``bands`` bands of ``rows`` MinHash values give candidates (22 of 7 miss a pair at 0.8 with probability 0.006, at 0.85
+with 0.0002; unlike lines of prose have similarities of 0.1 to 0.2, and with fewer rows many share a band), which are verified by exact Jaccard similarity; distributed union-find joins them, and the first line
 of each component stays: the smallest (doc_id, line number).
 
-Defined cases: null texts have no lines and an empty text has one blank line; a null doc_id comes before all others;
-rows that repeat a document's id and text share its lines; extra columns are ignored.
+Texts are read three times: for the hashes of all lines, for the band keys of a task's distinct lines, and for the lines
+that share a band. Neither texts nor band keys are written to tables.
+
+Defined cases: null texts have no lines and an empty text has one blank line; an empty table gives an empty result;
+very long lines are one item each, whatever their length; a null doc_id comes before all others; rows that repeat a
+document's id and text share its lines and are one row of the result; of equal places none is dropped; extra columns
+are ignored; a doc_id that is no integer is an error of the cast.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import _words as W
-from tracelake.llm._io import join_checked, materialize
-from tracelake.llm._linkage import band_keys, factors, near_components
+from tracelake.llm._io import join_checked, materialize, release
+from tracelake.llm._linkage import BLOBS, PART_ROWS, Sets, band_keys, factors, near_components, packed
 
-LINES = "doc_id long, row long, n_lines int, line int, id binary, bands array<long>"
+LINES = "doc_id long, row long, n_lines long, line array<int>, id array<long>"
 CHUNK = 1 << 17
+FEEDS = np.zeros(256, bool)
+FEEDS[10] = True
 
 
 def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +46,9 @@ def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.repeat(first[:-1][long] - at[:-1][long], count[long])
     target = np.flatnonzero(np.repeat(long, count))
     out[target] = every[target + place]
-    for i in np.flatnonzero(~long).tolist():
-        out[at[i]] = W.grams(h[first[i] : first[i + 1]], int(size[i]))[0]
+    for n in np.unique(size[~long]).tolist():
+        some = np.flatnonzero(size == n)
+        out[at[some]] = W.grams(h, n)[first[some]]
     return out, at[:-1]
 
 
@@ -57,101 +62,171 @@ def _minima(x: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _id(line: str) -> bytes:
-    return hashlib.blake2b(line.encode(), digest_size=16).digest()
-
-
 def _chunks(lines: list[str]):
     at, size = 0, 0
     for i, x in enumerate(lines):
         size += len(x)
         if size >= CHUNK:
-            yield lines[at : i + 1]
+            yield at, i + 1
             at, size = i + 1, 0
     if at < len(lines):
-        yield lines[at:]
+        yield at, len(lines)
+
+
+class LineSets(Sets):
+    """Sets kept as the lines themselves."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def decode(self, data: bytes) -> np.ndarray:
+        return np.unique(line_sets([data.decode()], self.k)[0])
+
+    def sign(self, data: list[bytes], n: int) -> np.ndarray:
+        lines = [x.decode() for x in data]
+        return np.concatenate([np.zeros((0, n), np.uint32), *(_minima(*line_sets(lines[a:b], self.k), n) for a, b in _chunks(lines))])
+
+    def linked(self, x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+        one, two = [v.decode() for v in x], [v.decode() for v in y]
+        out = [np.zeros(0, bool)]
+        for a, b in _chunks([v + w for v, w in zip(one, two, strict=True)]):
+            (p, left), (q, right) = (self._marked(v[a:b]) for v in (one, two))
+            at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+            n, m, both = (np.bincount(v, minlength=b - a) for v in (left, right, right[p[at] == q]))
+            out.append(100 * both >= percent * (n + m - both))
+        return np.concatenate(out)
+
+    def _marked(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of all lines, told apart by their line's place, and these places."""
+        h, first = line_sets(lines, self.k)
+        owner = np.repeat(np.arange(len(lines)), np.diff(np.append(first, len(h))))
+        h, at = np.unique(W._mix(h + owner.astype(W.U) * W.U(0x9E3779B97F4A7C15)), return_index=True)
+        return h, owner[at]
+
+
+def _scan(column: pa.Array) -> tuple[W.Words, np.ndarray]:
+    """Byte runs between line feeds, and which of them are not blank."""
+    words = W.scan(column, FEEDS)
+    seen = np.append(0, np.cumsum(~W.SPACES[words.data]))
+    return words, np.flatnonzero(seen[words.end] > seen[words.start])
 
 
-def _items(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+def _found(docs: DataFrame) -> DataFrame:
+    """Per document: number of lines, and numbers and ids of those that are not blank."""
+
     def run(batches):
-        seen: set[bytes] = set()
         for batch in batches:
             for part in W.slices(batch):
-                many, number, owner, ids, new = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    lines = [] if text is None else text.split("\n")
-                    for j, x in enumerate(lines):
-                        if j and not x.strip():
-                            continue
-                        one = _id(x) if x.strip() else None
-                        owner.append(i)
-                        many.append(len(lines))
-                        number.append(j)
-                        ids.append(one)
-                        if one is not None and one not in seen:
-                            seen.add(one)
-                            new.append((len(ids) - 1, x))
-                    if not lines:
-                        owner.append(i)
-                        many.append(0)
-                        number.append(0)
-                        ids.append(None)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                keys = [band_keys(_minima(*line_sets(x, k), bands * rows), rows) for x in _chunks([x for _, x in new])]
-                have = np.zeros(len(ids) + 1, np.int32)
-                have[[i + 1 for i, _ in new]] = bands
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(have, dtype=np.int32)), pa.array(np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int64)))
-                at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), pa.array(many, pa.int32()), pa.array(number, pa.int32()), pa.array(ids, pa.binary()), lists], ["doc_id", "row", "n_lines", "line", "id", "bands"])
+                words, some = _scan(part.column(1))
+                text = part.column(1).cast(pa.large_string())
+                offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1 + text.offset)[text.offset :]
+                feeds = np.append(0, np.cumsum(words.data == 10))
+                before = feeds[offsets - offsets[0]]
+                n = np.where(part.column(1).is_null().to_numpy(zero_copy_only=False), 0, np.diff(before) + 1)
+                cuts = np.searchsorted(some, words.first).astype(np.int32)
+                line = feeds[words.start[some]] - np.repeat(before[:-1], np.diff(cuts))
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (line.astype(np.int32), words.hash[some].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *lists], ["doc_id", "row", "n_lines", "line", "id"])
 
     return docs.mapInArrow(run, LINES)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: row, lines (array of line, id); the text of each line id."""
+def _distinct(batches, wanted: np.ndarray | None = None):
+    """Ids and lines of a task (of the sorted ``wanted`` ids, if given), each once until the memory of ids is full."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in W.slices(batch):
+            words, some = _scan(part.column(1))
+            one = words.hash[some].view(np.int64)
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, one), len(wanted) - 1)
+                ok = wanted[at] == one if len(wanted) else np.zeros(len(one), bool)
+                some, one = some[ok], one[ok]
+            ids, first = np.unique(one, return_index=True)
+            new = [i for i, x in zip(first.tolist(), ids.tolist(), strict=True) if x not in seen]
+            some, one = some[new], one[new]
+            seen.update(one.tolist())
+            body = words.data
+            yield one, [body[a:b].tobytes() for a, b in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)]
+            if len(seen) > 1_000_000:
+                seen.clear()
+
+
+def _blobs(docs: DataFrame, k: int, bands: int, rows: int, parts: int) -> DataFrame:
+    def keys(batches):
+        for ids, lines in _distinct(batches):
+            lines = [x.decode() for x in lines]
+            for a, b in _chunks(lines):
+                yield ids[a:b], band_keys(_minima(*line_sets(lines[a:b], k), bands * rows), rows)
+
+    return docs.mapInArrow(lambda batches: packed(keys(batches), parts), BLOBS)
+
+
+def _texts(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The line of each wanted id; up to ``most`` ids are sent to the tasks, beyond that lines and ids are shuffled."""
+    few = ids.limit(most + 1).count() <= most
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy().astype(np.int64)) if few else None)
 
     def run(batches):
-        for batch in batches:
-            for part in W.slices(batch):
-                ids, sets = [], []
-                for text, lines in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    cut = (text or "").split("\n")
-                    for x in lines:
-                        if x["line"] < len(cut) and _id(cut[x["line"]]) == x["id"]:
-                            ids.append(x["id"])
-                            sets.append(cut[x["line"]].encode())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["id", "set"])
+        for some, lines in _distinct(batches, wanted.value):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lines, pa.binary())], ["id", "set"])
+
+    out = docs.mapInArrow(run, "id long, set binary")
+    return (out if few else out.join(ids, "id")).dropDuplicates(["id"])
+
+
+def _lines(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "row", F.explode(F.arrays_zip("line", "id")).alias("x")).select("doc_id", "row", "x.line", "x.id")
+
 
-    return join_checked(docs.select("row", "text"), wanted, "row", max_rows=50_000).select("row", "text", "lines").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
+def _named(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Lines of documents, and (id, root, first place) of the ids that stand at several places or have a near copy."""
+    found = materialize(_found(docs))
+    most = found.agg(F.coalesce(F.sum(F.size("id")), F.lit(0))).first()[0]
+    blobs = _blobs(docs, shingle, bands, rows, max(1, most * bands // PART_ROWS))
+    roots = near_components(blobs, lambda ids: _texts(docs, ids), percent, bands, rows, how=LineSets(shingle))
+    each = _lines(found).groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("place"), F.count("*").alias("n"))
+    several = each.join(roots, "id", "left").where("n > 1 or root is not null")
+    several = materialize(several.select("id", "place", F.coalesce("root", "id").alias("root")))
+    best = materialize(several.groupBy("root").agg(F.min("place").alias("first")))
+    named = materialize(several.select("id", "root").join(best, "root").select("id", "root", "first"))
+    release(several, best, roots)
+    return found, named
 
 
-def line_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 29, rows: int = 5) -> DataFrame:
-    """Per line that is not blank: doc_id, row, line, and whether it stays (one placeholder line for documents without any)."""
+KEPT = "first is null or struct(doc_id, row, line) <=> first"
+
+
+def line_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 22, rows: int = 7) -> DataFrame:
+    """Per line that is not blank: doc_id, row (hash of the text), line, id, root (the component) and whether it stays."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
-    found = materialize(_items(docs, shingle, bands, rows))
-    items = found.where("size(bands) > 0").select("id", "bands")
+    found, named = _named(docs, shingle, percent, bands, rows)
+    return _lines(found).join(named, "id", "left").select("doc_id", "row", "line", "id", F.coalesce("root", "id").alias("root"), F.expr(KEPT).alias("kept"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        one = found.where("size(bands) > 0").select("id", "row", "line").join(ids, "id").groupBy("id").agg(F.min(F.struct("row", "line")).alias("x"))
-        return _texts(docs, materialize(one.groupBy("x.row").agg(F.collect_list(F.struct("x.line", "id")).alias("lines"))))
 
-    roots = near_components(items, sets_of, percent, bands, rows, decode=lambda line: np.unique(line_sets([line.decode()], shingle)[0]))
-    place = F.struct("doc_id", "row", "line")
-    first = found.where("id is not null").groupBy("id").agg(F.min(place).alias("first")).join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    first = materialize(first)
-    best = materialize(first.groupBy("root").agg(F.min("first").alias("first")))
-    named = materialize(first.select("id", "root").join(best, "root").select("id", "root", "first"))
-    out = found.drop("bands").join(named, "id", "left")
-    return out.select("doc_id", "row", "n_lines", "line", "id", "root", F.expr("id is null or struct(doc_id, row, line) <=> first").alias("kept"))
+def _dropped(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 22, rows: int = 7) -> tuple[DataFrame, DataFrame]:
+    found, named = _named(docs, shingle, percent, bands, rows)
+    gone = join_checked(_lines(found), named, "id").where(f"not ({KEPT})")
+    return found, gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
 def document_lines(docs: DataFrame, **parameters) -> DataFrame:
     """Per document (rows that repeat id and text are one): lines, dropped lines and their numbers from 0."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = line_groups(docs, **parameters)
-    per = lines.groupBy("doc_id", "row").agg(F.max("n_lines").cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("dropped"))
-    return per.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped_lines"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
+    found, gone = _dropped(docs, **parameters)
+    a, b = found.select("doc_id", "row", "n_lines").distinct(), gone.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
+    out = a.join(b, (a["row"] == b["r"]) & a["doc_id"].eqNullSafe(b["d"]), "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped_lines"))
+
+
+def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc_id, text): every document's text without its dropped lines."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
+    _, gone = _dropped(docs, **parameters)
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "dropped")
+    out = docs.join(gone, (docs["row"] == gone["r"]) & docs["doc_id"].eqNullSafe(gone["d"]), "left")
+    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, i)), '\\n')")
+    return out.select("doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

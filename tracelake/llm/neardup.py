@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import _words as W
 from tracelake.llm._io import join_checked, materialize
-from tracelake.llm._linkage import band_keys, minhash, near_components
+from tracelake.llm._linkage import BLOBS, PART_ROWS, band_keys, minhash, near_components, packed
 
-ITEMS = "doc_id long, row long, n_shingles long, id binary, bands array<long>"
+ITEMS = "doc_id long, row long, n_shingles long, id long, bands array<long>"
 
 
 def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
@@ -33,9 +33,13 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(W.grams(h, min(k, len(h))))
 
 
+def set_id(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _items(docs: DataFrame, lower: bool, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
             for part in W.slices(batch):
                 words = _scan(part.column(1), lower)
@@ -43,7 +47,7 @@ def _items(docs: DataFrame, lower: bool, k: int, bands: int, rows: int) -> DataF
                 for i in range(part.num_rows):
                     s = shingle_set(words.hash[words.first[i] : words.first[i + 1]], k)
                     size.append(len(s))
-                    one = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                    one = set_id(s.tobytes()) if len(s) else None
                     ids.append(one)
                     new = one is not None and one not in seen
                     have.append(new)
@@ -54,11 +58,19 @@ def _items(docs: DataFrame, lower: bool, k: int, bands: int, rows: int) -> DataF
                     seen.clear()
                 ends = np.append(0, np.cumsum(np.array(have, np.int32) * bands)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "row", "n_shingles", "id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(ids, pa.int64()), lists], ["doc_id", "row", "n_shingles", "id", "bands"])
 
     return docs.mapInArrow(run, ITEMS)
 
 
+def _blobs(items: DataFrame, bands: int, parts: int) -> DataFrame:
+    def run(batches):
+        rows = ((b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, bands)) for b in batches)
+        yield from packed(rows, parts)
+
+    return items.select("id", "bands").mapInArrow(run, BLOBS)
+
+
 def _scan(column: pa.Array, lower: bool) -> W.Words:
     return W.scan(column, W.SPACES, lower)
 
@@ -71,10 +83,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, lower: bool, k: int) -> DataFrame:
             for part in W.slices(batch):
                 words = _scan(part.column(1), lower)
                 sets = [shingle_set(words.hash[words.first[i] : words.first[i + 1]], k).tobytes() for i in range(part.num_rows)]
-                ok = [hashlib.blake2b(s, digest_size=16).digest() == one for s, one in zip(sets, part.column(0).to_pylist(), strict=True)]
+                ok = [set_id(s) == one for s, one in zip(sets, part.column(0).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(pa.array(ok))
 
-    return join_checked(docs.select("text", "row"), wanted, "row").select("id", "text").mapInArrow(run, "id binary, set binary").dropDuplicates(["id"])
+    return join_checked(docs.select("text", "row"), wanted, "row").select("id", "text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: bool = True, bands: int = 32, rows: int = 4, miss: float = 1e-8) -> DataFrame:
@@ -88,7 +100,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, lower: boo
         wanted = materialize(source.join(ids, "id").select("row", "id"))
         return _sets(docs, wanted, lower, shingle)
 
-    roots = near_components(items, sets_of, percent, bands, rows, miss)
+    parts = max(1, items.count() * bands // PART_ROWS)
+    roots = near_components(_blobs(items, bands, parts), sets_of, percent, bands, rows, miss)
     least = found.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least")).join(roots, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     least = materialize(least)
     named = materialize(least.select("id", "root").join(materialize(least.groupBy("root").agg(F.min("least").alias("component"))), "root").select("id", "component"))
