@@ -83,7 +83,7 @@ def short_keys(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(found: Iterable[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
-    """Band rows of (ids, keys by band) as blobs (part, star, data): one (key, id) a key, and (key, that id, id) of the others."""
+    """Band rows of (ids, keys by band) as blobs (part, star, data): one (key, id) a key, and (key, that id, id, rows of the key) of the others."""
     held, size = [], 0
 
     def blobs(part, rows, star):
@@ -107,7 +107,8 @@ def packed(found: Iterable[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterat
         other = ~head & (ids != rep)
         if other.any():
             part = (W._mix(ids[other].view(W.U)) % W.U(parts)).astype(np.int64)
-            yield blobs(part, np.stack([keys[other], rep[other], ids[other]], 1), True)
+            n = np.diff(np.append(np.flatnonzero(head), len(head)))[np.cumsum(head) - 1]
+            yield blobs(part, np.stack([keys[other], rep[other], ids[other], n[other]], 1), True)
 
     for ids, keys in found:
         if len(ids):
@@ -124,21 +125,25 @@ BLOBS = "part long, star boolean, data binary"
 
 
 def shared_buckets(blobs: DataFrame) -> DataFrame:
-    """Membership (key, id) of the buckets with several ids; the low 5 bits of a key are its band."""
+    """Membership (key, id, n) of the buckets with several ids; n is a count of mates that the task saw, a lower bound.
+
+    The low 5 bits of a key are its band.
+    """
 
     def members(part, heads, stars):
         out = []
         if heads:
             x = np.frombuffer(b"".join(heads), HEAD)
             x = x[np.argsort(x["key"], kind="stable")]
-            same = x["key"][1:] == x["key"][:-1]
-            x = x[np.append(False, same) | np.append(same, False)]
-            out.append(np.stack([x["key"].astype(np.int64) | part << 32, x["id"]], 1))
+            first = np.append(True, x["key"][1:] != x["key"][:-1])
+            n = np.diff(np.append(np.flatnonzero(first), len(x)))[np.cumsum(first) - 1]
+            x, n = x[n > 1], n[n > 1]
+            out.append(np.stack([x["key"].astype(np.int64) | part << 32, x["id"], n], 1))
         if stars:
-            x = np.frombuffer(b"".join(stars), np.int64).reshape(-1, 3)
-            out += [x[:, [0, 1]], x[:, [0, 2]]]
+            x = np.frombuffer(b"".join(stars), np.int64).reshape(-1, 4)
+            out += [x[:, [0, 1, 3]], x[:, [0, 2, 3]]]
         x = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["key", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(x[:, i].copy()) for i in range(3)], ["key", "id", "n"])
 
     def run(batches):
         part, heads, stars, size = None, [], [], 0
@@ -156,7 +161,7 @@ def shared_buckets(blobs: DataFrame) -> DataFrame:
         if part is not None and (heads or stars):
             yield members(part, heads, stars)
 
-    return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, id long").distinct()
+    return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key long, id long, n long").groupBy("key", "id").agg(F.max("n").alias("n"))
 
 
 @lru_cache(8)
@@ -212,6 +217,8 @@ def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
 class Sets:
     """How a set's bytes are read: sorted distinct hashes, signatures of many, and whether pairs are linked."""
 
+    small = False
+
     def decode(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, W.U)
 
@@ -274,14 +281,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, how: Sets) -> Dat
 
 def _stars(shared: DataFrame) -> DataFrame:
     """Pairs (a, b): each item with the CENTERS centers that it shares most buckets with."""
-    size = materialize(shared.groupBy("key").agg(F.count("*").alias("n")))
-    weight = materialize(shared.join(size, "key").groupBy("id").agg(F.sum("n").alias("weight")))
-    centers = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.weight").alias("weight"))
-    centers = materialize(centers)
-    met = shared.join(centers, "key").where("id != b").groupBy("id", "b", "weight").agg(F.count("*").alias("n"))
+    weight = materialize(shared.groupBy("id").agg(F.sum("n").alias("weight")))
+    centers = shared.select("key", "id").join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.weight").alias("weight"))
+    # An item has at most one row a band: one exchange by id serves the count and the ranking.
+    met = shared.select("key", "id").join(centers, "key").where("id != b").repartition("id").groupBy("id", "b", "weight").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("weight"), "b"))
     out = materialize(met.withColumn("place", place).where(F.col("place") <= CENTERS).select(F.col("id").alias("a"), "b"))
-    release(size, weight, centers)
+    release(weight)
     return out
 
 
@@ -322,7 +328,7 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int, how: Sets) -> DataFra
 
 def _mixed(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, how: Sets, many: int) -> DataFrame:
     """Rows (key, band, id, root, block, lo, hi) of buckets with several components, dealt to pairs of blocks."""
-    rows = shared.join(roots, "id", "left").select("key", F.expr("cast(key & 31 as int)").alias("band"), "id", F.coalesce("root", "id").alias("root"))
+    rows = shared.select("key", "id").join(roots, "id", "left").select("key", F.expr("cast(key & 31 as int)").alias("band"), "id", F.coalesce("root", "id").alias("root"))
     rows, main = _several(rows)
     if main.where(F.col("others") > many).limit(1).count():
         large = main.where(F.col("others") > many).select("key")
@@ -344,6 +350,7 @@ class _Block:
     def __init__(self, band: int, lo: int, hi: int, rows: list[tuple]):
         known: dict[int, int] = {}
         self.ids = [r[0] for r in rows]
+        self.names = [r[1] for r in rows]
         self.root = np.array([known.setdefault(r[1], len(known)) for r in rows])
         self.block = np.array([r[2] for r in rows])
         self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SIGNATURE)
@@ -369,7 +376,7 @@ class _Block:
         return a[best].tolist(), b[best].tolist()
 
     def forest(self, pairs, ok=None) -> list[tuple[int, int]]:
-        """Pairs that join components, in order, if ``ok`` holds for them."""
+        """Pairs that join components, in order, if ``ok`` holds for them; the components' roots with ``ok``, else the ids."""
         up = list(range(int(self.root.max()) + 1))
 
         def find(x):
@@ -383,7 +390,7 @@ class _Block:
             a, b = find(self.root[i]), find(self.root[j])
             if a != b and (ok is None or ok(i, j)):
                 up[a] = b
-                out.append((self.ids[i], self.ids[j]))
+                out.append((self.ids[i], self.ids[j]) if ok is None else (self.names[i], self.names[j]))
         return out
 
 
@@ -444,7 +451,7 @@ def _open(rows: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFrame
 
 
 def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int, how: Sets) -> DataFrame:
-    """Links between components, verified inside the blocks."""
+    """Links between components (a, b: their roots), verified inside the blocks."""
 
     def run(batches):
         def found():
@@ -473,21 +480,29 @@ def near_components(blobs: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     ids = materialize(shared.select("id").distinct())
     sets = materialize(_signed(sets_of(ids), bands, rows, how))
     stars = _stars(shared)
-    edges = materialize(_verified(_pruned(stars, sets, least), sets, percent, how))
+    near = stars if how.small else _pruned(stars, sets, least)
+    edges = materialize(_verified(near, sets, percent, how))
     roots = materialize(components(edges))
     mixed = _mixed(shared, roots, sets, percent, how, many)
     release(ids, stars)
-    forest = materialize(_forest(mixed, sets, least))
-    more = materialize(_verified(forest, sets, percent, how))
-    if more.limit(1).count():
-        before = (mixed, roots)
-        edges = materialize(edges.unionByName(more))
-        roots = materialize(components(edges))
-        mixed = _mixed(shared, roots, sets, percent, how, many)
-        release(*before)
-    still = materialize(_open(mixed, sets, least))
+    if how.small:  # sets about as large as signatures: what is left is verified at once
+        still = mixed
+    else:
+        forest = materialize(_forest(mixed, sets, least))
+        more = materialize(_verified(forest, sets, percent, how))
+        if more.limit(1).count():
+            before = (mixed, roots)
+            edges = materialize(edges.unionByName(more))
+            roots = materialize(components(edges))
+            mixed = _mixed(shared, roots, sets, percent, how, many)
+            release(*before)
+        still = materialize(_open(mixed, sets, least))
+        release(forest, mixed)
     last = materialize(_rest(still, sets, least, percent, how))
     if last.limit(1).count():
-        roots = materialize(components(edges.unionByName(last)))
-    release(shared, sets, mixed, forest, still)
+        joined = materialize(components(last))
+        joined = joined.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        lone = joined.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("id"), "top")
+        roots = materialize(roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(lone.select("id", F.col("top").alias("root"))))
+    release(shared, sets, still)
     return roots

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,6 @@ from tracelake.llm._linkage import BLOBS, PART_ROWS, Sets, band_keys, factors, n
 
 LINES = "doc_id long, row long, n_lines long, line array<int>, id array<long>"
 CHUNK = 1 << 17
-FEEDS = np.zeros(256, bool)
-FEEDS[10] = True
 
 
 def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +75,8 @@ def _chunks(lines: list[str]):
 class LineSets(Sets):
     """Sets kept as the lines themselves."""
 
+    small = True
+
     def __init__(self, k: int):
         self.k = k
 
@@ -104,11 +105,14 @@ class LineSets(Sets):
         return h, owner[at]
 
 
-def _scan(column: pa.Array) -> tuple[W.Words, np.ndarray]:
-    """Byte runs between line feeds, and which of them are not blank."""
-    words = W.scan(column, FEEDS)
-    seen = np.append(0, np.cumsum(~W.SPACES[words.data]))
-    return words, np.flatnonzero(seen[words.end] > seen[words.start])
+def _lines_of(column: pa.Array):
+    """Lines of each text; none for a null."""
+    for text in column.cast(pa.large_binary()).to_pylist():
+        yield [] if text is None else text.split(b"\n")
+
+
+def line_id(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -117,37 +121,32 @@ def _found(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in W.slices(batch):
-                words, some = _scan(part.column(1))
-                text = part.column(1).cast(pa.large_string())
-                offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1 + text.offset)[text.offset :]
-                feeds = np.append(0, np.cumsum(words.data == 10))
-                before = feeds[offsets - offsets[0]]
-                n = np.where(part.column(1).is_null().to_numpy(zero_copy_only=False), 0, np.diff(before) + 1)
-                cuts = np.searchsorted(some, words.first).astype(np.int32)
-                line = feeds[words.start[some]] - np.repeat(before[:-1], np.diff(cuts))
-                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (line.astype(np.int32), words.hash[some].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n.astype(np.int64)), *lists], ["doc_id", "row", "n_lines", "line", "id"])
+                n, cuts, number, ids = [], [0], [], []
+                for lines in _lines_of(part.column(1)):
+                    n.append(len(lines))
+                    some = [i for i, x in enumerate(lines) if x.strip()]
+                    number += some
+                    ids += [line_id(lines[i]) for i in some]
+                    cuts.append(len(ids))
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, t)) for x, t in ((number, pa.int32()), (ids, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), *lists], ["doc_id", "row", "n_lines", "line", "id"])
 
     return docs.mapInArrow(run, LINES)
 
 
-def _distinct(batches, wanted: np.ndarray | None = None):
-    """Ids and lines of a task (of the sorted ``wanted`` ids, if given), each once until the memory of ids is full."""
+def _distinct(batches, wanted: frozenset | None = None):
+    """Ids and lines of a task (of the ``wanted`` ids, if given), each once until the memory of ids is full."""
     seen: set[int] = set()
     for batch in batches:
         for part in W.slices(batch):
-            words, some = _scan(part.column(1))
-            one = words.hash[some].view(np.int64)
-            if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, one), len(wanted) - 1)
-                ok = wanted[at] == one if len(wanted) else np.zeros(len(one), bool)
-                some, one = some[ok], one[ok]
-            ids, first = np.unique(one, return_index=True)
-            new = [i for i, x in zip(first.tolist(), ids.tolist(), strict=True) if x not in seen]
-            some, one = some[new], one[new]
-            seen.update(one.tolist())
-            body = words.data
-            yield one, [body[a:b].tobytes() for a, b in zip(words.start[some].tolist(), words.end[some].tolist(), strict=True)]
+            new = {}
+            for lines in _lines_of(part.column(1)):
+                for x in lines:
+                    one = line_id(x)
+                    if one not in seen and (wanted is None or one in wanted) and x.strip():
+                        seen.add(one)
+                        new[one] = x
+            yield np.fromiter(new, np.int64, len(new)), list(new.values())
             if len(seen) > 1_000_000:
                 seen.clear()
 
@@ -165,10 +164,10 @@ def _blobs(docs: DataFrame, k: int, bands: int, rows: int, parts: int) -> DataFr
 def _texts(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     """The line of each wanted id; up to ``most`` ids are sent to the tasks, beyond that lines and ids are shuffled."""
     few = ids.limit(most + 1).count() <= most
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy().astype(np.int64)) if few else None)
+    wanted = docs.sparkSession.sparkContext.broadcast(ids.toArrow().column("id").to_numpy().astype(np.int64) if few else None)
 
     def run(batches):
-        for some, lines in _distinct(batches, wanted.value):
+        for some, lines in _distinct(batches, frozenset(wanted.value.tolist()) if few else None):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lines, pa.binary())], ["id", "set"])
 
     out = docs.mapInArrow(run, "id long, set binary")
