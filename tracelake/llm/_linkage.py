@@ -45,6 +45,7 @@ CENTERS = 2
 MANY = 4 * BLOCK
 PART_ROWS = 1 << 20
 HOLD = 1 << 21
+PAIRS = 1 << 14
 
 
 @lru_cache(4)
@@ -359,18 +360,22 @@ class _Block:
 
     def pairs(self, least: tuple[int, ...]):
         """Pairs between components, in their first shared bucket, that the signatures do not exclude: rows and matches."""
+        n = len(self.ids)
+        if self.lo == self.hi:
+            i, j = np.triu_indices(n, 1)
+        else:
+            i, j = (x.reshape(-1) for x in np.meshgrid(np.flatnonzero(self.block == self.lo), np.flatnonzero(self.block == self.hi), indexing="ij"))
+        ok = self.root[i] != self.root[j]
+        i, j = i[ok], j[ok]
         out = [[], [], []]
-        n = np.arange(len(self.ids))
-        for i in n if self.lo == self.hi else n[self.block == self.lo]:
-            j = n[i + 1 :] if self.lo == self.hi else n[self.block == self.hi]
-            j = j[self.root[j] != self.root[i]]
-            if self.band and len(j):
-                j = j[~(self.bands[j, : self.band] == self.bands[i, : self.band]).any(1)]
-            if len(j):
-                at, same = surviving(np.broadcast_to(self.sig[i], (len(j), SIGNATURE)), self.sig[j], least)
-                out[0].append(np.full(len(at), i))
-                out[1].append(j[at])
-                out[2].append(same)
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            if self.band:
+                ok = ~(self.bands[a, : self.band] == self.bands[b, : self.band]).any(1)
+                a, b = a[ok], b[ok]
+            ok, same = surviving(self.sig[a], self.sig[b], least)
+            for to, x in zip(out, (a[ok], b[ok], same), strict=True):
+                to.append(x)
         a, b, same = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
         best = np.argsort(-same, kind="stable")
         return a[best].tolist(), b[best].tolist()
@@ -457,8 +462,8 @@ def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int
         def found():
             for (_, lo, hi, band), rows in _blocks(batches, 6):
                 block = _Block(band, lo, hi, rows)
-                full = [how.decode(r[5]) for r in rows]
-                yield block.forest(block.pairs(least), lambda i, j, full=full: linked(full[i], full[j], percent))
+                full = lru_cache(None)(lambda i, rows=rows: how.decode(rows[i][5]))
+                yield block.forest(block.pairs(least), lambda i, j, full=full: linked(full(i), full(j), percent))
 
         yield from _in_groups(found(), ["a", "b"], [pa.int64()] * 2)
 
