@@ -279,14 +279,74 @@ def test_lm_score_depends_on_context(spark):
     assert one.score - two.score > 0.1 * one.n_tokens
 
 
-def test_lm_passes_do_not_depend_on_size(spark, docs, monkeypatch):
-    passes = []
-    train = lm.Attention.train
-    monkeypatch.setattr(lm.Attention, "train", lambda self, windows, epochs=1, **k: passes.append(epochs) or train(self, windows, epochs, **k))
-    one = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
-    for some in (one, docs.select("doc_id", "text")):
-        lm.fit(some, lm.default_path())
-    assert passes == [lm.WARM_PASSES] * 2
+@pytest.mark.parametrize("n", [1, 3, 64, 1500, 5000])
+def test_lm_a_pass_takes_every_window_once(n):
+    import numpy as np
+
+    assert np.concatenate(list(lm._steps(np.arange(n)[::-1], 64))).tolist() == list(range(n))[::-1]
+
+
+@pytest.fixture(scope="module")
+def net():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    return lm.Attention(r.integers(0, 50, lm.END + 1).astype(float), lm.word_starts(lm.default_path()))
+
+
+def test_lm_network_against_plain_loops(net):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    ids, target = (r.integers(0, lm.END, (2, lm.SPAN)) for _ in range(2))
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    wide = lm.WIDE
+    got, begin = net.log(ids, target)
+    for i in range(2):
+        x = np.array([p["e"][net.inputs[ids[i, j]]] + p["place"][j] for j in range(lm.SPAN)])
+        q, k, v = (x @ p["qkv"][:, a : a + wide] for a in (0, wide, 2 * wide))
+        for j in range(lm.SPAN):
+            w = np.exp([q[j] @ k[m] / wide**0.5 for m in range(j + 1)])
+            h = x[j] + sum(w[m] / w.sum() * v[m] for m in range(j + 1))
+            z = np.exp(np.maximum(h @ p["w"] + p["b"], 0) @ p["o"] + p["c"])
+            every = z[net.classes] / z.sum() * np.exp(net.share)
+            assert every.sum() == pytest.approx(1, rel=1e-4)
+            assert got[i, j] == pytest.approx(np.log(every[target[i, j]]), abs=2e-3)
+            assert begin[i, j] == pytest.approx(np.log(every[lm.word_starts(lm.default_path())].sum()), abs=2e-3)
+
+
+def test_lm_gradients(net):
+    import copy
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    own = copy.copy(net)
+    own.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    ids, target, real = r.integers(0, lm.END, (3, lm.SPAN)), r.integers(0, lm.END, (3, lm.SPAN)), r.random((3, lm.SPAN)) < 0.8
+    g, _ = own.step(ids, target, real)
+    for name, x in own.p.items():
+        if name == "e":
+            at, d = g["e"][0][3], g["e"][1][3]
+        else:
+            at, d = 0, g[name][0]
+        place = (at,) if x.ndim == 1 else (at, 1)
+        d = d if x.ndim == 1 else d[1]
+        loss = []
+        for e in (1e-4, -1e-4):
+            x[place] += e
+            loss.append(own.step(ids, target, real)[1])
+            x[place] -= e
+        assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(d, abs=2e-4), name
+
+
+def test_lm_words_close():
+    import numpy as np
+
+    logs, begin = np.log([0.5, 0.25, 0.1, 0.2, 0.3]), np.log([0.9, 0.3, 0.8, 0.7, 0.6])
+    # Two rows: a word of two ids and its end; a word of one id and its end.
+    got = lm.word_logs(logs, begin, np.array([2, 1, 1, 1]), np.array([0, 2, 4]))
+    assert np.exp(got).tolist() == pytest.approx([0.5 * 0.25 / 0.9 * 0.8, 0.1 / 0.8, 0.2 / 0.7 * 0.6, 0.3 / 0.6])
 
 
 def test_lines_with_one_changed_character(spark):
