@@ -202,7 +202,12 @@ def test_bpe(docs, rows, empty):
         assert own.digest(t)[2] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     for _ in range(50):
         w = "".join(r.choices("abcdeinorst", k=r.randint(1, 300)))
-        assert list(own.merges.stream(w)) == own.merges.short(w)
+        assert list(own.merges.stream(w)) == theirs.encode(w, add_special_tokens=False).ids
+    ids = theirs.encode(texts[-1], add_special_tokens=False).ids
+    parted, whole = bpe.Decoder(own.merges), bpe.Decoder(own.merges)
+    assert "".join(parted.strings(ids[i : i + 7]) for i in range(0, len(ids), 7)) == theirs.decode(ids, skip_special_tokens=False)
+    ids = own.encode("中文é😀 x")
+    assert "".join("".join(parted.text([i], final=False)) for i in ids) == "".join(whole.text(ids)) == "中文é 😀 x "
     back = bpe.decode_corpus(bpe.encode_corpus(docs.where("doc_id = 6"), bpe.default_path(), digests=False), bpe.default_path()).first().text
     assert back.replace(" ", "") == "éa中文x\x00y"
     assert bpe.encode_corpus(empty, bpe.default_path()).count() == 0

@@ -6,10 +6,17 @@ text exactly if each adjacent pair is the encoding of its own text. So the last
 the one token that ends there and goes with the last token of what stands before it. No token is longer
 than ``lookahead`` symbols (computed from the merge list), so at most that many prefixes are open; a token
 is emitted as soon as all open prefixes share it, and memory stays constant for words of any length.
-Short words take the equal search that tries the longest token first and steps back.
+Every word goes through this transducer; a task keeps what it emitted for the words of its cache.
+
+Ids leave the encoder in runs of about RUN and enter the incremental decoder as such: its state between runs is whether
+anything came before (token strings, joined by one space as the file names no decoder) or the open bytes of a
+character (text). No list of a whole text's ids is held for the digests.
 
 Texts are split as the tokenizer file says: special tokens, NFC, white space, lower case, pre-tokens, byte
-symbols. Defined cases: null and empty texts have no tokens; repeated rows give repeated results.
+symbols. Defined cases: null and empty texts have no tokens; an empty table gives an empty result; very long words and
+texts take constant memory besides the text; repeated rows give repeated results; a null doc_id is carried through; extra
+columns are ignored; a doc_id that is no integer is an error of the cast; a file whose special tokens strip or need single
+words is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +26,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from os.path import commonprefix
 from pathlib import Path
 
 import pyarrow as pa
@@ -29,7 +38,8 @@ from pyspark.sql import functions as F
 from tracelake.llm import _words as W
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-SHORT = 48
+KEPT = 48
+RUN = 4096
 CACHE = 400_000
 #: Fixed values of the format: contractions, letters, single digits, other marks; white space between them.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -50,6 +60,9 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+BYTE = {s: b for b, s in enumerate(byte_symbols())}
+
+
 class Merges:
     """A merge list and its vocabulary; END marks the last symbol of a word."""
 
@@ -57,6 +70,8 @@ class Merges:
 
     def __init__(self, raw: str):
         model = json.loads(raw)
+        if any(x.get(k) for x in model["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("special tokens that strip or need single words are not supported")
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         vocab = model["model"]["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["model"]["merges"])}
@@ -107,89 +122,62 @@ class Merges:
             known = self.pairs[a, b] = self._naive(self.token[a] + self.token[b]) == [self.token[a], self.token[b]]
         return known
 
-    def short(self, word: str) -> list[int]:
-        """Encode a word: the longest token first, stepping back where a pair does not go together."""
-        n, at, out = len(word), 0, []
-        inner, last, pairs, most = self.inner, self.last, self.pairs, self.lookahead
-        dead = set()
-        size = min(n, most)
-        while True:
-            found = None
-            while size:
-                token = last.get(word[at:]) if at + size == n else inner.get(word[at : at + size])
-                if token is not None and at + size not in dead:
-                    if not out:
-                        found = token
-                        break
-                    known = pairs.get((out[-1], token))
-                    if known or known is None and self.goes(out[-1], token):
-                        found = token
-                        break
-                size -= 1
-            if found is None:
-                dead.add(at)
-                token = out.pop()
-                size = self.size[token] - 1
-                at -= size + 1
-                continue
-            out.append(found)
-            at += size
-            if at == n:
-                return out
-            size = min(n - at, most)
-
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
-        """Encode one word of any length in constant memory."""
-        most = self.lookahead
-        text, start = "", 0  # the last symbols, and the place of the first of them
+        """Encode one word of any length in constant memory: tokens leave as soon as all open prefixes share them."""
+        most, inner, pairs = self.lookahead, self.inner, self.pairs
+        text, at, settled, before = "", 0, 0, None  # the last symbols; places from the word's start
         ends: dict[int, tuple[int, int]] = {}  # place -> (last token of that prefix, place before it)
-        settled, at, before = 0, 0, None
         came = iter(symbols)
         symbol = next(came, None)
         while symbol is not None:
             following = next(came, None)
             text += symbol
             at += 1
-            final = following is None
-            for size in range(1, min(most, at) + 1):
-                p = at - size
-                if p != settled and p not in ends:
-                    continue
-                piece = text[len(text) - size :]
-                token = self.last.get(piece) if final else self.inner.get(piece)
+            n = len(text)
+            known = self.last if following is None else inner
+            for size in range(1, min(most, at - settled) + 1):
+                token = known.get(text[n - size :])
                 if token is None:
                     continue
-                left = ends[p][0] if p in ends else before
-                if p == 0 or left is not None and self.goes(left, token):
+                p = at - size
+                if not p:
+                    ends[at] = (token, 0)
+                    break
+                if p == settled:
+                    left = before
+                elif p in ends:
+                    left = ends[p][0]
+                else:
+                    continue
+                goes = pairs.get((left, token))
+                if goes or goes is None and self.goes(left, token):
                     ends[at] = (token, p)
                     break
-            if final:
-                open_ends = [at]
+            if following is None:
+                stable = [self._chain(ends, at, settled)]
             elif at - settled >= 2 * most:
-                open_ends = [p for p in ends if p > at - most]
+                stable = [self._chain(ends, p, settled) for p in ends if p > at - most]
             else:
-                open_ends = []
-            if open_ends:
-                chains = []
-                for p in open_ends:
-                    chain = []
-                    while p > settled:
-                        chain.append((p, ends[p][0]))
-                        p = ends[p][1]
-                    chains.append(chain[::-1])
+                stable = ()
+            if stable:
                 shared = 0
-                while all(len(c) > shared and c[shared] == chains[0][shared] for c in chains):
+                while all(len(c) > shared and c[shared] == stable[0][shared] for c in stable):
                     shared += 1
-                for p, token in chains[0][:shared]:
+                for p, token in stable[0][:shared]:
                     yield token
                     settled, before = p, token
                 ends = {p: x for p, x in ends.items() if p > settled}
-            if len(text) > 4 * most:
-                text = text[-2 * most :]
+                text = text[-2 * most :] if len(text) > 4 * most else text
             symbol = following
 
-    def encode_word(self, word: str) -> list[int]:
-        return self.short(word) if len(word) <= SHORT else list(self.stream(word))
+    @staticmethod
+    def _chain(ends: dict, p: int, settled: int) -> list[tuple[int, int]]:
+        chain = []
+        while p > settled:
+            token, left = ends[p]
+            chain.append((p, token))
+            p = left
+        return chain[::-1]
 
 
 class Decoder:
@@ -197,13 +185,16 @@ class Decoder:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.byte = {s: b for b, s in enumerate(byte_symbols())}
+        self.byte = BYTE
         self.need, self.code = 0, 0
         self.low, self.high = 0x80, 0xBF
+        self.first = True
 
     def strings(self, ids: Iterable[int]) -> str:
-        """Token strings joined by one space: the file names no decoder."""
-        return " ".join(map(self.merges.token.__getitem__, ids))
+        """What a run of ids adds to the token strings, joined by one space: the file names no decoder."""
+        added = " ".join(map(self.merges.token.__getitem__, ids))
+        first, self.first = self.first, self.first and not added
+        return added if first or not added else " " + added
 
     def bytes(self, ids: Iterable[int]) -> Iterator[int]:
         special = set(self.merges.special.values())
@@ -218,8 +209,8 @@ class Decoder:
             if ends:
                 yield 32
 
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Characters as soon as they are complete; broken sequences become U+FFFD."""
+    def text(self, ids: Iterable[int], final: bool = True) -> Iterator[str]:
+        """Characters as soon as they are complete; broken sequences become U+FFFD, an open one only if ``final``."""
         for b in self.bytes(ids):
             if self.need:
                 if self.low <= b <= self.high:
@@ -243,7 +234,7 @@ class Decoder:
                 self.low, self.high = (0x90 if b == 0xF0 else 0x80), (0x8F if b == 0xF4 else 0xBF)
             else:
                 yield "�"
-        if self.need:
+        if self.need and final:
             self.need, self.low, self.high = 0, 0x80, 0xBF
             yield "�"
 
@@ -253,11 +244,13 @@ class Codec:
 
     def __init__(self, raw: str):
         self.merges = Merges(raw)
-        self.decoder = Decoder(self.merges)
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
+        special = sorted(self.merges.special, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.mark = commonprefix(special)
         self.plain = str.maketrans({i: s for i, s in enumerate(byte_symbols()[:128])})
         self.symbols = byte_symbols()
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.number = {i: str(i) for i in self.merges.token}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
@@ -267,51 +260,51 @@ class Codec:
             text = unicodedata.normalize("NFC", text)
         return SPLIT.findall(text.replace("Σ", "σ").lower())
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids and token strings of a pre-token."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a pre-token."""
         mapped = word.translate(self.plain) if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-        ids = self.merges.encode_word(mapped)
-        out = (len(ids), " ".join(map(str, ids)), self.decoder.strings(ids))
-        if len(word) <= SHORT:
+        ids = tuple(self.merges.stream(mapped))
+        if len(word) <= KEPT:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            self.known[word] = out
-        return out
+            self.known[word] = ids
+        return ids
 
     def parts(self, text: str) -> Iterator[str | int]:
         """Runs of ordinary text, and ids of special tokens."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or self.mark not in text:
             yield text
             return
         for i, part in enumerate(self.special.split(text)):
             yield self.merges.special[part] if i % 2 else part
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def runs(self, text: str | None) -> Iterator[list[int]]:
+        """Ids of a text in runs of about RUN."""
+        known, out = self.known, []
         for part in self.parts(text or ""):
             if isinstance(part, int):
                 out.append(part)
-            else:
-                for w in self.words(part):
-                    out += map(int, (self.known.get(w) or self.word(w))[1].split(" "))
-        return out
-
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, and SHA-256 of ids and of the decoded text."""
-        n, ids, strings = 0, [], []
-        known = self.known
-        for part in self.parts(text or ""):
-            if isinstance(part, int):
-                n += 1
-                ids.append(str(part))
-                strings.append(self.merges.token[part])
                 continue
             for w in self.words(part):
-                k = known.get(w) or self.word(w)
-                n += k[0]
-                ids.append(k[1])
-                strings.append(k[2])
-        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(strings).encode()).hexdigest()
+                out += known.get(w) or self.word(w)
+                if len(out) >= RUN:
+                    yield out
+                    out = []
+        if out:
+            yield out
+
+    def encode(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(self.runs(text)))
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of ids and of what the incremental decoder makes of them."""
+        n, ids, back, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.merges)
+        number = self.number.__getitem__
+        for run in self.runs(text):
+            ids.update(((" " if n else "") + " ".join(map(number, run))).encode())
+            back.update(decoder.strings(run).encode())
+            n += len(run)
+        return n, ids.hexdigest(), back.hexdigest()
 
 
 _CODECS: dict[str, Codec] = {}
