@@ -106,8 +106,30 @@ def test_trie():
         node = t.insert(k)
         node.value = (node.value or 0) + 1
     assert t.insert(b"abc").value == 2 and t.insert(b"").value == 1
-    assert sum(n.value for n in t.spill(b"abd")) == 2  # only "abc" lies left of the path
-    assert sum(n.value for n in t.spill(None)) == 3
+    assert list(t.spill(b"abd")) == [(b"abc", 2)]  # only "abc" lies left of the path
+    assert sorted(t.rest()) == [(b"", 1), (b"ab", 1), (b"abd", 1), (b"b", 1)]
+
+
+def test_trie_with_many_keys():
+    r = random.Random(8)
+    keys = [bytes(r.choices(b"ab\x00\xff", k=r.randint(0, 12))) for _ in range(3000)]
+    t, counts = exact.Trie(), {}
+    for k in keys:
+        counts[k] = counts.get(k, 0) + 1
+        node = t.insert(k)
+        node.value = (node.value or 0) + 1
+    spilled, size = {}, t.size
+    for _ in range(3):
+        some = dict(t.heaviest())
+        assert len(some) > 1 and t.size < size
+        spilled, size = spilled | some, t.size
+    assert spilled | dict(t.rest()) == counts
+    t, spilled = exact.Trie(), []
+    for k in sorted(counts):
+        spilled += t.spill(k)  # in order, each subtree left of the path is closed
+        t.insert(k).value = counts[k]
+        assert sum(1 for _ in exact._terminals(t.root, b"")) <= len(k) + 1
+    assert dict([*spilled, *t.rest()]) == counts
 
 
 def components(sets):

@@ -1,15 +1,16 @@
 """Exact dedup with Patricia tries.
 
-Texts are keyed by (length, content hash). Each task first inserts its rows into compressed radix tries,
-so that of many copies one text with its member ids leaves the task. These are shuffled by key, sorted,
-and inserted as full byte strings into one trie per key; terminal nodes carry the id that stays and the
-group's size. Sorted insertion closes every subtree left of the current path for good; it is spilled
-downstream at once, so that a task holds one root-to-leaf path however many texts share a key.
-In the map-side tries, memory is bounded by ``budget`` bytes: beyond it all subtrees are emitted and
-started anew, which costs a repeated text in the shuffle and changes no result.
+Partitions are ranges of length (powers of two) and of content hash. Full byte strings are inserted into compressed
+radix tries, one a partition, whose labels hold the texts; terminal nodes carry members. Each task first inserts its rows
+into tries of its own, so that of many copies one text with its member ids leaves the task: beyond ``budget`` bytes the
+heaviest subtree of the largest trie is spilled downstream, which costs a repeated text in the shuffle and changes no
+result. The texts are then shuffled by partition and inserted in order; sorted insertion closes every subtree left of the
+current path for good, and it is spilled at once, so that a task holds one root-to-leaf path. Terminals carry
+the id that stays and the group's size. There are as many hash ranges as it takes for ``target`` bytes of text each.
 
 Defined cases: null counts as empty; copies keep their largest (or smallest) doc_id; null doc_ids are members
-but never stay unless all are null; rows that repeat the kept id all count as kept; extra columns are ignored.
+but never stay unless all are null; rows that repeat the kept id all count as kept; an empty table gives an empty result;
+a very long text is one key of its trie; extra columns are ignored; a doc_id that is no integer is an error of the cast.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from tracelake.llm import _words as W
 from tracelake.llm._io import materialize
 
-LOCAL = "rep long, length long, sha string, text string, members array<long>"
+LOCAL = "rep long, length long, sha string, text binary, members array<long>"
+COST = 400
 OWNED = "rep long, keep_id long, group_size long"
 
 
@@ -37,7 +39,7 @@ class Node:
 
 
 class Trie:
-    """Compressed radix trie over byte strings; ``insert`` returns the terminal node."""
+    """Compressed radix trie over byte strings; ``insert`` returns the terminal node. ``size``: bytes of labels and nodes."""
 
     def __init__(self):
         self.root = Node(b"")
@@ -45,36 +47,58 @@ class Trie:
 
     def insert(self, key: bytes) -> Node:
         node, at = self.root, 0
-        while True:
-            if at == len(key):
-                return node
+        while at < len(key):
             child = node.below.get(key[at])
             if child is None:
                 child = node.below[key[at]] = Node(key[at:])
-                self.size += len(child.label)
+                self.size += len(child.label) + COST
                 return child
             label = child.label
-            if key.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            n = _common(label, key, at)
-            upper = node.below[label[0]] = Node(label[:n])
-            child.label = label[n:]
-            upper.below[child.label[0]] = child
-            node, at = upper, at + n
-
-    def spill(self, key: bytes | None) -> Iterator[Node]:
-        """Remove and return terminals of subtrees that lie left of ``key`` (all, if it is None)."""
+            if not key.startswith(label, at):
+                n = _common(label, key, at)
+                upper = node.below[label[0]] = Node(label[:n])
+                child.label = label[n:]
+                upper.below[child.label[0]] = child
+                self.size += COST
+                child = upper
+            node, at = child, at + len(child.label)
+        return node
+
+    def spill(self, key: bytes | None) -> Iterator[tuple[bytes, object]]:
+        """Remove subtrees that lie left of ``key`` (all, if it is None): their texts and values."""
         node, at = self.root, 0
         while True:
             step = key[at] if key is not None and at < len(key) else None
             for c in sorted(node.below):
                 if key is None or step is None or c < step:
-                    yield from _terminals(node.below.pop(c))
+                    yield from _terminals(node.below.pop(c), key[:at] if at else b"")
             if step not in node.below or not key.startswith(node.below[step].label, at):
                 return
             node, at = node.below[step], at + len(node.below[step].label)
 
+    def heaviest(self) -> Iterator[tuple[bytes, object]]:
+        """Remove the heaviest subtree below the first branching: its texts and values."""
+        node, prefix = self.root, b""
+        while len(node.below) == 1 and node.value is None:
+            (child,) = node.below.values()
+            if not child.below:
+                break
+            node, prefix = child, prefix + child.label
+        if not node.below:
+            return
+        c = max(node.below, key=lambda c: _weight(node.below[c]))
+        cut = node.below.pop(c)
+        self.size -= _weight(cut)
+        yield from _terminals(cut, prefix)
+
+    def rest(self) -> Iterator[tuple[bytes, object]]:
+        """Everything, the empty text included."""
+        if self.root.value is not None:
+            yield b"", self.root.value
+            self.root.value = None
+        yield from self.spill(None)
+        self.size = 0
+
 
 def _common(label: bytes, key: bytes, at: int) -> int:
     lo, hi = 0, min(len(label), len(key) - at)
@@ -87,78 +111,93 @@ def _common(label: bytes, key: bytes, at: int) -> int:
     return lo
 
 
-def _terminals(node: Node) -> Iterator[Node]:
-    stack = [node]
+def _terminals(node: Node, prefix: bytes) -> Iterator[tuple[bytes, object]]:
+    stack = [(node, prefix)]
     while stack:
-        node = stack.pop()
+        node, prefix = stack.pop()
+        text = prefix + node.label
         if node.value is not None:
-            yield node
+            yield text, node.value
+        stack.extend((x, text) for x in node.below.values())
+
+
+def _weight(node: Node) -> int:
+    total, stack = 0, [node]
+    while stack:
+        node = stack.pop()
+        total += len(node.label) + COST
         stack.extend(node.below.values())
+    return total
 
 
 def _local(docs: DataFrame, budget: int) -> DataFrame:
     """Distinct texts of each task with their member ids."""
 
     def run(batches):
-        seq, held = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, 0
+        seq, members = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, 0
         tries: dict[tuple[int, str], Trie] = {}
 
-        def flush():
+        def rows(found):
             nonlocal seq
             out: list[list] = [[] for _ in range(5)]
             size = 0
-            for (n, sha), trie in tries.items():
-                for node in _terminals(trie.root):
-                    text, members = node.value
-                    for to, x in zip(out, (seq, n, sha, text, members), strict=True):
-                        to.append(x)
-                    seq += 1
-                    size += n
-                    if size >= W.SLICE:
-                        yield _batch(out)
-                        out, size = [[] for _ in range(5)], 0
+            for text, (sha, ids) in found:
+                for to, x in zip(out, (seq, len(text), sha, text, ids), strict=True):
+                    to.append(x)
+                seq += 1
+                size += len(text)
+                if size >= W.SLICE:
+                    yield _batch(out)
+                    out, size = [[] for _ in range(5)], 0
             yield _batch(out)
-            tries.clear()
+
+        def spill():
+            # Down to half the budget, so that weighing subtrees is rare.
+            while sum(t.size for t in tries.values()) > budget // 2:
+                heavy = max(tries.values(), key=lambda t: t.size)
+                before = heavy.size
+                yield from heavy.heaviest()
+                if heavy.size == before:
+                    yield from heavy.rest()
 
         for batch in batches:
             for part in W.slices(batch):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                     text = text or b""
                     sha = hashlib.sha256(text).hexdigest()
-                    trie = tries.get((len(text), sha))
-                    if trie is None:
-                        trie = tries[len(text), sha] = Trie()
-                        held += 400
-                    before = trie.size
+                    trie = tries.setdefault((len(text).bit_length(), sha[0]), Trie())
                     node = trie.insert(text)
                     if node.value is None:
-                        node.value = (text, [])
+                        node.value = (sha, [])
                     node.value[1].append(doc)
-                    held += 2 * (trie.size - before) + 40
-                    if held > budget:
-                        yield from flush()
-                        held = 0
-        yield from flush()
+                    members += 1
+                if 40 * members > budget:
+                    for trie in tries.values():
+                        yield from rows(trie.rest())
+                    members = 0
+                elif sum(t.size for t in tries.values()) > budget:
+                    yield from rows(spill())
+        for trie in tries.values():
+            yield from rows(trie.rest())
 
     return docs.mapInArrow(run, LOCAL)
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["rep", "length", "sha", "text", "members"])
 
 
 def _owners(reps: DataFrame, largest: bool) -> DataFrame:
-    """reps: rep, length, sha, text, id, n; sorted by length, sha and text in each partition."""
+    """reps: rep, span, range, text, id, n; sorted by span, range and text in each partition."""
     best = max if largest else min
 
     def run(batches):
         key, trie = None, Trie()
         out: list[list] = [[], [], []]
 
-        def close(nodes):
-            for node in nodes:
-                members, keep, n = node.value
+        def close(found):
+            for _, (members, keep, n) in found:
                 out[0].extend(members)
                 out[1].extend([keep] * len(members))
                 out[2].extend([n] * len(members))
@@ -171,35 +210,36 @@ def _owners(reps: DataFrame, largest: bool) -> DataFrame:
 
         for batch in batches:
             for part in W.slices(batch, 3):
-                for rep, n, sha, text, doc, many in zip(*(part.column(i).to_pylist() for i in (0, 1, 2)), part.column(3).cast(pa.large_binary()).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                    if key != (n, sha):
-                        close(trie.spill(None))
-                        close([trie.root] if trie.root.value else [])
-                        key, trie = (n, sha), Trie()
+                for rep, span, at, text, doc, many in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                    if key != (span, at):
+                        close(trie.rest())
+                        key, trie = (span, at), Trie()
                     close(trie.spill(text))
                     node = trie.insert(text)
                     if node.value is None:
                         node.value = ([rep], doc, many)
                     else:
-                        reps, keep, size = node.value
-                        reps.append(rep)
-                        node.value = (reps, doc if keep is None else keep if doc is None else best(doc, keep), size + many)
+                        members, keep, size = node.value
+                        members.append(rep)
+                        node.value = (members, doc if keep is None else keep if doc is None else best(doc, keep), size + many)
                 yield ready()
-        close(trie.spill(None))
-        close([trie.root] if trie.root.value else [])
+        close(trie.rest())
         yield ready()
 
     return reps.mapInArrow(run, OWNED)
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = 48 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = 48 << 20, target: int = 32 << 20) -> DataFrame:
     """Per document: the id that stays, the group's size, whether the row stays, and the text's SHA-256."""
     if keep not in ("largest", "smallest"):
         raise ValueError(keep)
     local = materialize(_local(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), budget))
+    ranges = 1 + (local.agg(F.sum("length")).first()[0] or 0) // target
+    span = F.when(F.col("length") > 0, F.floor(F.log2("length")) + 1).otherwise(0).cast("int")
+    at = F.shiftright(F.conv(F.substring("sha", 1, 7), 16, 10).cast("long") * F.lit(ranges), 28)
     pick = F.array_max if keep == "largest" else F.array_min
-    reps = local.select("rep", "length", "sha", "text", pick("members").alias("id"), F.size("members").cast("long").alias("n"))
-    owned = _owners(reps.repartition("length", "sha").sortWithinPartitions("length", "sha", "text"), keep == "largest")
+    reps = local.select("rep", span.alias("span"), at.alias("range"), "text", pick("members").alias("id"), F.size("members").cast("long").alias("n"))
+    owned = _owners(reps.repartition("span", "range").sortWithinPartitions("span", "range", "text"), keep == "largest")
     rows = local.select("rep", "sha", "members").join(owned, "rep")
     return rows.select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256")).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
