@@ -72,7 +72,12 @@ class Trie:
             for c in sorted(node.below):
                 if key is None or step is None or c < step:
                     yield from _terminals(node.below.pop(c), key[:at] if at else b"")
-            if step not in node.below or not key.startswith(node.below[step].label, at):
+            if step not in node.below:
+                return
+            label = node.below[step].label
+            if not key.startswith(label, at):
+                if label < key[at : at + len(label)]:
+                    yield from _terminals(node.below.pop(step), key[:at])
                 return
             node, at = node.below[step], at + len(node.below[step].label)
 
