@@ -64,6 +64,13 @@ def scratch_verdict(free: Column | str, needed: Column | str, pending: Column |
     return F.when(room, "ok").when(_col(pending) > 0, "wait").otherwise("fail")
 
 
+#: Parts of messages that tell of memory running out.
+MEMORY = ("memoryerror", "unable to allocate", "out of memory", "outofmemoryerror", "cannot allocate memory", "bad_alloc", "bad alloc", "cuda_error_out_of_memory", "cudaerrormemoryallocation", "cublas_status_alloc_failed")
+
+
 def out_of_memory(message: Column | str) -> Column:
     text = F.lower(F.coalesce(_col(message), F.lit("")))
-    return text.contains("out of memory") | text.contains("unable to allocate") | text.contains("memoryerror")
+    found = F.lit(False)
+    for part in MEMORY:
+        found = found | text.contains(part)
+    return found

@@ -27,12 +27,15 @@ def mean_image(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return pixels.groupBy(*keys, "y", "x").agg(F.avg("v").alias("mean"))
 
 
-def preview(pixels: DataFrame, every: int = 4, low: float = 0.01, high: float = 0.995) -> DataFrame:
-    """Every n-th frame in 8 bits between two percentiles of the chosen frames; a flat window is 0."""
+def preview(pixels: DataFrame, every: int = 4, low: float = 0.01, high: float = 0.995, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every n-th frame in 8 bits between two percentiles of the chosen frames of each recording (``keys``); a flat window is 0."""
     some = pixels.where(F.col("frame") % every == 0)
-    ends = some.agg(F.percentile("v", F.lit(low)).alias("a"), F.percentile("v", F.lit(high)).alias("b"))
+    # Percentiles from counts of values: shifted pixels are 16-bit, so that few rows are left of a recording.
+    counts = some.groupBy(*keys, "v").agg(F.count("*").alias("_n"))
+    ends = counts.groupBy(*keys).agg(F.percentile("v", F.lit(low), F.col("_n")).alias("a"), F.percentile("v", F.lit(high), F.col("_n")).alias("b"))
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))))
-    return some.crossJoin(F.broadcast(ends)).select("frame", "y", "x", F.coalesce(F.floor(scaled * 255 + 0.5), F.lit(0)).cast("int").alias("grey"))
+    both = some.join(ends, list(keys)) if keys else some.crossJoin(F.broadcast(ends))
+    return both.select(*keys, "frame", "y", "x", F.coalesce(F.floor(scaled * 255 + 0.5), F.lit(0)).cast("int").alias("grey"))
 
 
 def heat_rows(rows: DataFrame, keys: list[str], value: str, low: float = 0.01, high: float = 0.995) -> DataFrame:

@@ -97,11 +97,11 @@ def rolling_rank(df: DataFrame, keys: list[str], frame: str, value: str, half: i
 
 
 def fill_missing(df: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
-    """Linear interpolation over NULLs, ends held."""
-    w = Window.partitionBy(*keys).orderBy(frame)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """Linear interpolation over NULLs, ends held. Both windows run, the second one backwards: linear in a unit's rows."""
+    back = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(frame)).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.col(frame))
-    out = df.select("*", F.last(value, True).over(back).alias("_v0"), F.last(known, True).over(back).alias("_f0"), F.first(value, True).over(ahead).alias("_v1"), F.first(known, True).over(ahead).alias("_f1"))
+    out = df.select("*", F.last(value, True).over(back).alias("_v0"), F.last(known, True).over(back).alias("_f0"), F.last(value, True).over(ahead).alias("_v1"), F.last(known, True).over(ahead).alias("_f1"))
     line = F.expr(f"case when _f0 is null then _v1 when _f1 is null then _v0 when _f1 = _f0 then _v0 else _v0 + (_v1 - _v0) * ({frame} - _f0) / (_f1 - _f0) end")
     return out.withColumn("filled", line).drop("_v0", "_f0", "_v1", "_f1")
 
@@ -173,17 +173,24 @@ def jumps(df: DataFrame, keys: list[str], frame: str, value: str, k: float = 6.0
 
 
 def bh_fdr(df: DataFrame, p: str, keys: list[str] = (), tie: str = "id") -> DataFrame:
-    """Benjamini-Hochberg q values inside keys."""
-    w = Window.partitionBy(*keys).orderBy(p, tie)
-    raw = F.col(p) * F.count("*").over(_by(list(keys))) / F.row_number().over(w)
-    out = df.withColumn("_q", raw)
-    return out.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(w.rowsBetween(0, Window.unboundedFollowing)))).drop("_q")
+    """Benjamini-Hochberg q values inside keys. The minimum runs from the largest p down, which is linear in a group's rows."""
+    up, down = Window.partitionBy(*keys).orderBy(p, tie), Window.partitionBy(*keys).orderBy(F.desc(p), F.desc(tie))
+    out = df.withColumn("_q", F.col(p) * F.count("*").over(_by(list(keys))) / F.row_number().over(up))
+    least = F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("q", F.least(F.lit(1.0), least)).drop("_q")
+
 
+def auroc(df: DataFrame, label: str, score: str, grain: float = 4096.0) -> DataFrame:
+    """Rank-sum area with average ranks on ties, from counts of each score.
 
-def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Rank-sum area with average ranks on ties, from counts of each score: no window over all rows."""
-    per = df.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    below = F.sum("n").over(Window.orderBy(score)) - F.col("n")
+    Scores are dealt to cells of width 1 / ``grain``: windows run inside cells, and one over the cells' counts alone.
+    """
+    cell = F.floor(F.col(score) * grain)
+    per = df.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n")).withColumn("_cell", cell)
+    cells = per.groupBy("_cell").agg(F.sum("n").alias("_n"))
+    cells = cells.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    per = per.join(cells, "_cell")
+    below = F.col("_before") + F.sum("n").over(Window.partitionBy("_cell").orderBy(score)) - F.col("n")
     total = per.withColumn("rank", below + (F.col("n") + 1) / 2).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return total.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auroc"))
 

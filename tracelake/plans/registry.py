@@ -135,7 +135,7 @@ def bh_fdr(spark, d):
 
 def auroc(spark, d):
     j = src.read(spark, d, "labels").join(src.read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return ops.auroc(j, "quality", "n_chars").select(_r("auroc"))
+    return ops.auroc(j, "quality", "n_chars", grain=0.25).select(_r("auroc"))
 
 
 def splat_weighted(spark, d):
