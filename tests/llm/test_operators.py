@@ -86,9 +86,32 @@ def test_substring(docs, rows, empty):
                 gone |= set(range(j, j + 50))
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), kept), i
+        for x in got[i].spans:  # every factor holds in its reference, from end to end
+            assert x.doc < i and words(rows[x.doc][1])[x.place : x.place + x.words] == w[x.start : x.start + x.words]
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_factors_hold_in_their_references(spark):
+    r = random.Random(5)
+    w = [f"w{i}" for i in range(200)]
+    other = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    texts = {1: w[:50] + other(30), 2: other(30) + w[1:51], 3: w[:51], 4: w[20:120], 5: other(9) + w[10:110], 6: w[:130], 7: ["a"] * 300, 8: ["b"] + ["a"] * 200, 9: ["a"] * 120 + ["c"]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {x.doc_id: x for x in substring.remove_repeats(df).collect()}
+    assert [(x.start, x.words, x.doc, x.place) for x in got[3].spans] == [(0, 50, 1, 0), (1, 50, 2, 30)]
+    assert [(x.start, x.words, x.doc) for x in got[5].spans] == [(19, 90, 4)]
+    assert [(x.start, x.words, x.doc) for x in got[8].spans] == [(1, 200, 7)]
+    first = {}
+    for i, t in texts.items():
+        gone = set()
+        for j in range(len(t) - 49):
+            if first.setdefault(tuple(t[j : j + 50]), i) < i:
+                gone |= set(range(j, j + 50))
+        assert got[i].n_removed == len(gone), i
+        for x in got[i].spans:
+            assert x.doc < i and texts[x.doc][x.place : x.place + x.words] == t[x.start : x.start + x.words]
+
+
 @pytest.mark.parametrize("budget", [48 << 20, 2000])
 def test_exact(docs, rows, empty, budget):
     groups = {}
