@@ -7,11 +7,13 @@ only possible start (positional bound), the document's end the length bound, and
 verified word by word and then byte by byte.
 
 The benchmark is the stated query set: it is dealt into blocks of about ``block_bytes``, each of which
-is indexed on the driver and broadcast; documents stream past the blocks without a shuffle of texts.
+is indexed on the driver and broadcast; documents stream past a block without a shuffle of texts. One block is held at a
+time: with several, what the documents met so far is written between them and the block before is destroyed.
 
 Defined cases: null or empty texts have no words and no hits; items without words are ignored; items
 with a null id are ignored; repeated rows give repeated results; null doc_ids are carried through;
-extra columns are ignored; an empty benchmark contaminates nothing.
+extra columns are ignored; an empty benchmark contaminates nothing; no documents give an empty result; very long texts are
+read whole, by slices of rows; a doc_id that is no integer is an error of the cast.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import _words as W
+from tracelake.llm._io import materialize, release
 
 COUNTS = "word long, n long"
 STATE = "doc_id long, text string, spans array<long>, items array<string>, n_words long"
@@ -104,19 +107,20 @@ class Index:
         return s[exact], w[exact]
 
 
-def _blocks(bench: DataFrame, window: int, block_bytes: int) -> list[Index]:
+def _blocks(bench: DataFrame, window: int, block_bytes: int):
+    """Indexes of the blocks, one after the other, and whether it is the last."""
     rows = bench.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    out = []
     for b in range(n):
         block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        out.append(Index(sorted(map(tuple, block.collect())), window))
-    return out
+        yield Index(sorted(map(tuple, block.collect())), window), b == n - 1
 
 
 def _count(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     """How often each word of the benchmark stands in all documents."""
+    if not len(vocabulary):
+        return {}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -135,9 +139,7 @@ def _count(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(np.int64(w).view(W.U)): n for w, n in rows}
 
 
-def _probe(df: DataFrame, index: Index, first: bool, last: bool) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
-
+def _probe(df: DataFrame, shared, first: bool, last: bool) -> DataFrame:
     def run(batches):
         index = shared.value
         for batch in batches:
@@ -173,28 +175,36 @@ def _merge(flat: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """Per document: words, hit words, the items with occurring windows, the hit word spans."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _blocks(bench, window, block_bytes)
-    for i, index in enumerate(blocks):
+def _past(docs: DataFrame, df: DataFrame, bench: DataFrame, window: int, block_bytes: int, step) -> DataFrame:
+    """``df`` after each block; all but the last are written, so that no two blocks are held at once."""
+    first, before = True, None
+    for index, last in _blocks(bench, window, block_bytes):
         index.order(_count(docs, index.vocabulary))
-        df = _probe(df, index, i == 0, i == len(blocks) - 1)
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        df = step(df, shared, first, last)
+        if not last:
+            df = materialize(df)
+            shared.destroy()
+            if before is not None:
+                release(before)
+            before = df
+        first = False
     return df
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs``, all columns, without any occurrence of an item's window."""
-    out, text = docs, docs.columns.index("text")
-    for index in _blocks(bench, window, block_bytes):
-        index.order(_count(docs, index.vocabulary))
-        out = _drop(out, index, text)
-    return out
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """Per document: words, hit words, the items with occurring windows, the hit word spans."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _past(docs, df, bench, window, block_bytes, _probe)
 
 
-def _drop(df: DataFrame, index: Index, text: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
+def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, without any occurrence of an item's window."""
+    text = docs.columns.index("text")
+    return _past(docs, docs, bench, window, block_bytes, lambda df, shared, first, last: _drop(df, shared, text))
+
 
+def _drop(df: DataFrame, shared, text: int) -> DataFrame:
     def run(batches):
         index = shared.value
         for batch in batches:

@@ -7,7 +7,8 @@ full sets. At the threshold of 0.8, 32 bands of 4 rows miss a pair with probabil
 
 Defined cases: a text without words is an item of its own, linked with nothing; a text with fewer words than a
 shingle has its whole sequence as one; rows with a null doc_id take part, and the smallest doc_id that is not null
-names the component (null if there is none); repeated rows share a set; extra columns are ignored.
+names the component (null if there is none); repeated rows share a set; an empty table gives an empty result; very long
+texts are one set each; extra columns are ignored; a doc_id that is no integer is an error of the cast.
 """
 
 from __future__ import annotations

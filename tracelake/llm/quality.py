@@ -10,7 +10,9 @@ their doc_id: the documented bound. Scoring covers whole texts of all rows, batc
 
 Inputs are bytes only. Labels come from rows whose crc32(doc_id as text) mod 5 is not 0. Defined cases: null counts as
 empty, an empty text is one chunk of padding; null doc_ids are held out; without labelled rows of both kinds
-every score is the share of label 1 (0.5 without any); repeated rows repeat; extra columns are ignored.
+every score is the share of label 1 (0.5 without any); an empty table gives an empty result; very long texts are scored
+whole, chunk by chunk; repeated rows repeat; extra columns are ignored; a doc_id that is no integer is an error of the cast.
+The bound on bytes holds before any text reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm import _words as W
 
@@ -173,13 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int
     # The bound comes before the texts are fetched: hashes and ids are sorted, the first ones keep their texts.
     chosen = known.select("doc_id", "label", F.xxhash64("doc_id", F.lit(11)).alias("h")).orderBy("h", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    texts, given, size = [], [], 0
-    for r in sorted(rows.collect()):
-        size += len(r.text)
-        if size > sample_bytes and texts:
-            break
-        texts.append(r.text.encode())
-        given.append(r.label)
+    # The bound on bytes comes before any text reaches the driver; a first text beyond it comes alone.
+    order = Window.orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (F.sum(F.octet_length("text")).over(order).alias("bytes"), F.count("*").over(order).alias("n"))
+    rows = rows.orderBy("h", "doc_id", "text").limit(sample).select("*", *sums).where((F.col("bytes") <= sample_bytes) | (F.col("n") == 1))
+    some = sorted(rows.select("h", "doc_id", "text", "label").collect())
+    texts, given = [r.text.encode() for r in some], [r.label for r in some]
     y = np.array(given, np.float32)
     net = Network(base=float(y.mean()) if len(y) else 0.5)
     return net.train(texts, y) if len(y) and 0 < y.mean() < 1 else net

@@ -6,7 +6,9 @@ in lower case. Postings are intersected by row, the queries give each rule's can
 expressions run on candidates only. A rule without mandatory trigrams scans all texts.
 
 A row is known by its doc_id and the hash of its text. Defined cases: null counts as empty; repeated rows have
-equal results; null doc_ids are scanned like others; extra columns are ignored.
+equal results; null doc_ids are scanned like others; an empty table gives an empty result; very long texts are scanned
+whole; any number of trigrams is folded into masks of BITS bits; extra columns are ignored; a doc_id that is no integer
+is an error of the cast.
 """
 
 from __future__ import annotations
@@ -45,6 +47,7 @@ BASE = 3
 Query = tuple  # ("all",), ("gram", g), ("and", ...) or ("or", ...)
 ALL: Query = ("all",)
 MOST = 64
+BITS = 62
 
 
 def _and(parts: list[Query]) -> Query:
@@ -122,13 +125,11 @@ def grams_of(query: Query) -> set[str]:
     return {query[1]} if query[0] == "gram" else set().union(*(grams_of(q) for q in query[1:])) if query != ALL else set()
 
 
-def _holds(query: Query, mask: Column, bit: dict[str, int]) -> Column:
+def _holds(query: Query, masks: list[Column], bit: dict[str, int]) -> Column:
     if query[0] == "gram":
-        return mask.bitwiseAND(F.lit(1 << bit[query[1]])) != 0
-    if query[0] == "and" and all(q[0] == "gram" for q in query[1:]):
-        bits = sum(1 << bit[q[1]] for q in query[1:])
-        return mask.bitwiseAND(F.lit(bits)) == F.lit(bits)
-    each = [_holds(q, mask, bit) for q in query[1:]]
+        word, at = divmod(bit[query[1]], BITS)
+        return masks[word].bitwiseAND(F.lit(1 << at)) != 0
+    each = [_holds(q, masks, bit) for q in query[1:]]
     return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), each)
 
 
@@ -159,11 +160,12 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(grams_of, queries)))
-    if len(grams) > 62:
-        raise ValueError("more trigrams than bits: give the rules in several calls")
     bit = {g: i for i, g in enumerate(grams)}
-    rows = postings(docs, grams).groupBy("doc_id", "row").agg(F.expr("bit_or(shiftleft(1L, gram))").alias("mask"))
-    rows = rows.select(F.col("doc_id").alias("c_doc"), F.col("row").alias("c_row"), *(_holds(q, F.col("mask"), bit).alias(f"may_{r.kind}") for r, q in zip(rules, queries, strict=True) if q != ALL))
+    words = range(-(-max(1, len(grams)) // BITS))
+    folded = (F.expr(f"bit_or(if(gram div {BITS} = {w}, shiftleft(1L, gram % {BITS}), 0L))").alias(f"mask_{w}") for w in words)
+    rows = postings(docs, grams).groupBy("doc_id", "row").agg(*folded)
+    masks = [F.col(f"mask_{w}") for w in words]
+    rows = rows.select(F.col("doc_id").alias("c_doc"), F.col("row").alias("c_row"), *(_holds(q, masks, bit).alias(f"may_{r.kind}") for r, q in zip(rules, queries, strict=True) if q != ALL))
     some = [F.col(f"may_{r.kind}") for r, q in zip(rules, queries, strict=True) if q != ALL]
     rows = rows.where(reduce(lambda a, b: a | b, some))
     both = docs.join(rows, (docs["row"] == rows["c_row"]) & docs["doc_id"].eqNullSafe(rows["c_doc"]), "left")

@@ -9,7 +9,8 @@ dealt into buckets of about ``bucket_rows`` by a prefix of the hash (then of the
 counted, and a row's rank is the sum of the buckets before plus its place in its bucket.
 
 Law: ``rows``. Defined cases: a null text has size 1 and checksum 0; a null source counts as ''; null doc_ids
-hash as ''; repeated rows are separate rows next to each other in their source's order; an empty table gives no
+hash as their texts' checksums, so that they do not meet in one bucket; very long texts are read for size and checksum
+alone; a doc_id that is no integer is an error of the cast; repeated rows are separate rows next to each other in their source's order; an empty table gives no
 rows; extra columns are ignored.
 """
 
@@ -41,7 +42,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_rows: in
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    ).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("text_crc32").cast("string")))).cast("binary")))
     rows = materialize(rows)
     n = rows.count()
     buckets = max(1, min(1 << 20, -(-n // bucket_rows)))
@@ -75,9 +76,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
-d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-e AS (SELECT doc_id, source, strlen(text) + 1 AS size, h, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(text)::BIGINT, 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) AS crc FROM d, crc),
-f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc, size) - 1 + ('0x' || substr(md5('42:' || source), 1, 8))::BIGINT / 4294967296) / count(*) OVER (PARTITION BY source) AS fraction FROM e),
+d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+e AS (SELECT doc_id, source, strlen(text) + 1 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(text)::BIGINT, 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) AS crc FROM d, crc),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, crc, size) - 1 + ('0x' || substr(md5('42:' || source), 1, 8))::BIGINT / 4294967296) / count(*) OVER (PARTITION BY source) AS fraction FROM (SELECT *, md5('42:' || coalesce(doc_id::VARCHAR, 't' || crc)) AS h FROM e)),
 g AS (SELECT *, row_number() OVER (ORDER BY fraction, source, h, doc_id, crc, size) - 1 AS pos, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (pos * 8 // n)::INTEGER AS shard, pos - ((pos * 8 // n) * n + 7) // 8 AS slot, NULL::INTEGER AS grown_shard, source FROM g
 """
