@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
 of documents. Decisions: documents that the classifier rejects go; of equal texts the largest doc_id stays; of near
 copies (five-word shingles, similarity 0.8) the smallest; documents with a benchmark passage go.
+
+Defined cases, at every stage: a null text counts as empty (it stays if the classifier keeps empty texts; equal to other
+empty ones, near to none, free of passages, without tokens); a null doc_id takes part, and of equal texts stays only where
+no row has an id; repeated rows of a kept document become one in the exact stage; very long texts are read whole; an empty
+table stays empty, with the same columns; extra columns go through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +24,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = exact.exact_groups(docs).where("kept").select(key.alias("k_doc"), F.col("text_sha256").alias("k_sha"))
-    keyed = docs.withColumn("k_doc", key).withColumn("k_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    # One exchange serves the join and the repeated rows of a kept document; copies are spread by their ids.
-    return keyed.join(kept, ["k_sha", "k_doc"], "left_semi").dropDuplicates(["k_sha", "k_doc"]).drop("k_sha", "k_doc")
+    key, sha = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256)
+    kept = exact.exact_groups(docs).where("kept").select(F.col("text_sha256").alias("sha"), key.alias("key"))
+    # One exchange serves the join and the repeated rows of a kept document; copies are spread by their ids. Rows travel
+    # as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), sha.alias("sha"), key.alias("key"))
+    return rows.join(kept, ["sha", "key"], "left_semi").dropDuplicates(["sha", "key"]).select("row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_groups(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("k_doc"), F.col("row").alias("k_row")).distinct()
-    row = F.xxhash64("text")
-    return docs.join(kept, (row == kept["k_row"]) & docs["doc_id"].eqNullSafe(kept["k_doc"]), "left_semi")
+    kept = found.where("kept").select(F.col("row").alias("hash"), F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(kept, (rows["hash"] == kept["hash"]) & rows["id"].eqNullSafe(kept["id"]), "left_semi").select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
