@@ -399,6 +399,22 @@ def test_lm_words_close():
     assert np.exp(got).tolist() == pytest.approx([0.5 * 0.25 / 0.9 * 0.8, 0.1 / 0.8, 0.2 / 0.7 * 0.6, 0.3 / 0.6])
 
 
+@pytest.mark.parametrize("k", [1, 3, 5, 9])
+def test_line_hashes_are_those_of_the_shingles(k):
+    r = random.Random(k)
+    many = ["".join(r.choices("abé中😀 ", k=r.randint(1, 14))) for _ in range(400)]
+    of = {}
+    for some in (many, many[:1], many[5:6]):
+        x, first = lines.line_hashes(some, k)
+        cuts = [*first.tolist(), len(x)]
+        for i, line in enumerate(some):
+            shingles = [line[j : j + k] for j in range(max(1, len(line) - k + 1))]
+            assert len(shingles) == cuts[i + 1] - cuts[i]
+            for s, h in zip(shingles, x[cuts[i] : cuts[i + 1]].tolist()):
+                assert of.setdefault(s, h) == h
+    assert len(set(of.values())) == len(of)
+
+
 def test_lines_with_one_changed_character(spark):
     r = random.Random(6)
     texts = []

@@ -219,6 +219,7 @@ class Sets:
     """How a set's bytes are read: sorted distinct hashes, signatures of many, and whether pairs are linked."""
 
     small = False
+    length = SIGNATURE
 
     def decode(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, W.U)
@@ -236,8 +237,8 @@ def _signed(sets: DataFrame, bands: int, rows: int, how: Sets) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in W.slices(batch, 1, 4 * W.SLICE):
-                full = how.sign(part.column(1).to_pylist(), max(SIGNATURE, bands * rows))
-                sigs = [x.tobytes() for x in full[:, :SIGNATURE].astype(np.uint8)]
+                full = how.sign(part.column(1).to_pylist(), max(how.length, bands * rows))
+                sigs = [x.tobytes() for x in full[:, : how.length].astype(np.uint8)]
                 keys = [x.tobytes() for x in band_keys(full[:, : bands * rows], rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], ["id", "set", "sig", "bands"])
 
@@ -249,7 +250,7 @@ def _pruned(pairs: DataFrame, sets: DataFrame, least: tuple[int, ...]) -> DataFr
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(least) * STEP), np.uint8) for i in (2, 3))
             at = pa.array(surviving(a, b, least)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
@@ -294,7 +295,10 @@ def _stars(shared: DataFrame) -> DataFrame:
 
 def _several(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (key, band, id, root) of keys with several components, and per key its largest one and the numbers of rows."""
-    mixed = materialize(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key"))
+    # Of buckets with the same members, the one of the lowest band is enough: any pair in it shares no earlier band.
+    members = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    keys = rows.groupBy("key", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *members).where("lo < hi")
+    mixed = materialize(keys.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("k")).select("k.key"))
     rows = materialize(join_checked(rows, mixed, "key"))
     main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
     main = materialize(main.select("key", F.col("main.root").alias("main"), F.col("main.n").alias("n_main"), (F.col("all") - F.col("main.n")).alias("others")))
@@ -354,7 +358,7 @@ class _Block:
         self.names = [r[1] for r in rows]
         self.root = np.array([known.setdefault(r[1], len(known)) for r in rows])
         self.block = np.array([r[2] for r in rows])
-        self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SIGNATURE)
+        self.sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
         self.bands = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), -1)
         self.band, self.lo, self.hi = band, lo, hi
 
@@ -480,7 +484,7 @@ def near_components(blobs: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     how = how or Sets()
     if bands > 32:
         raise ValueError("at most 32 bands")
-    least = bounds(percent / 100, miss)
+    least = bounds(percent / 100, miss, how.length)
     shared = materialize(shared_buckets(blobs))
     ids = materialize(shared.select("id").distinct())
     sets = materialize(_signed(sets_of(ids), bands, rows, how))

@@ -29,6 +29,7 @@ from tracelake.llm._linkage import BLOBS, PART_ROWS, Sets, band_keys, factors, n
 
 LINES = "doc_id long, row long, n_lines long, line array<int>, id array<long>"
 CHUNK = 1 << 17
+FACTORS = factors(72)[64:]
 
 
 def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +52,41 @@ def line_sets(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, at[:-1]
 
 
+def line_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same shingles by hashes of 32 bits, for signatures only."""
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(x) for x in lines], np.int64)
+    first = np.append(0, np.cumsum(size))
+    # A shingle at every place, the last k - 1 of a line left out; places behind the end count as nothing.
+    x = np.zeros(len(text), np.uint32)
+    for j in range(min(k, len(text))):
+        x[: len(text) - j] += (text[j:] + np.uint32(1)) * FACTORS[j % len(FACTORS)]
+    for n in np.unique(size[size < k]).tolist():
+        some = first[:-1][size == n]
+        x[some] = 0
+        for j in range(n):
+            x[some] += (text[some + j] + np.uint32(1)) * FACTORS[j % len(FACTORS)]
+    if len(lines) > 1:
+        count = np.maximum(size - k + 1, 1)
+        inside = np.ones(len(text), bool)
+        for j in range(1, k):
+            at = first[1:] - j
+            inside[at[at > first[:-1]]] = False
+        x = x[inside]
+        first = np.append(0, np.cumsum(count))
+    else:
+        x = x[: max(1, len(x) - k + 1)]
+        first = np.array([0, len(x)])
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x, first[:-1]
+
+
 def _minima(x: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     """Signatures of runs of shingles."""
-    x = (x >> W.U(32)).astype(np.uint32)
     out, h = np.empty((len(first), n), np.uint32), np.empty_like(x)
     for j, a in enumerate(factors(n)):
         np.multiply(x, a, out=h)
@@ -76,6 +109,7 @@ class LineSets(Sets):
     """Sets kept as the lines themselves."""
 
     small = True
+    length = 128
 
     def __init__(self, k: int):
         self.k = k
@@ -85,7 +119,7 @@ class LineSets(Sets):
 
     def sign(self, data: list[bytes], n: int) -> np.ndarray:
         lines = [x.decode() for x in data]
-        return np.concatenate([np.zeros((0, n), np.uint32), *(_minima(*line_sets(lines[a:b], self.k), n) for a, b in _chunks(lines))])
+        return np.concatenate([np.zeros((0, n), np.uint32), *(_minima(*line_hashes(lines[a:b], self.k), n) for a, b in _chunks(lines))])
 
     def linked(self, x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
         one, two = [v.decode() for v in x], [v.decode() for v in y]
@@ -156,7 +190,7 @@ def _blobs(docs: DataFrame, k: int, bands: int, rows: int, parts: int) -> DataFr
         for ids, lines in _distinct(batches):
             lines = [x.decode() for x in lines]
             for a, b in _chunks(lines):
-                yield ids[a:b], band_keys(_minima(*line_sets(lines[a:b], k), bands * rows), rows)
+                yield ids[a:b], band_keys(_minima(*line_hashes(lines[a:b], k), bands * rows), rows)
 
     return docs.mapInArrow(lambda batches: packed(keys(batches), parts), BLOBS)
 
