@@ -234,7 +234,7 @@ def _owners(reps: DataFrame, largest: bool) -> DataFrame:
     return reps.mapInArrow(run, OWNED)
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = 48 << 20, target: int = 32 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = 48 << 20, target: int = 4 << 20) -> DataFrame:
     """Per document: the id that stays, the group's size, whether the row stays, and the text's SHA-256."""
     if keep not in ("largest", "smallest"):
         raise ValueError(keep)
