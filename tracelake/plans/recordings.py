@@ -27,7 +27,7 @@ def xcorr_zero_lag(spark, d):
 
 def xcorr_pair_curve(spark, d):
     z, n = _z(spark, d)
-    return tables.lag_curve(z.where("unit = 'A'"), z.where("unit = 'R'"), n, 30).select("k", r6("c", "corr"))
+    return tables.lag_curve(z, z, n, 30).where("unit_a < unit_b").select("unit_a", "unit_b", "k", r6("c", "corr"))
 
 
 def xcorr_per_event(spark, d):
@@ -59,7 +59,7 @@ def cluster_cut_counts(spark, d):
 
 
 def spearman_angle(spark, d):
-    return tables.angle_sweep(_place(spark, d), ["label"], 36).select("label", r6("angle"), r6("rho"))
+    return tables.angle_sweep(_place(spark, d), ["label"]).select("label", r6("angle"), (F.round("rho", 6) + 0.0).alias("rho"))
 
 
 def pc_steps(spark, d):
@@ -169,12 +169,12 @@ ACTIVE = "a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETW
 
 ORACLE = {
     "xcorr_zero_lag": f"WITH {SERIES}, {Z}, z AS (SELECT unit, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY unit)) SELECT a.unit AS unit_a, b.unit AS unit_b, round(sum(a.z * b.z) / (SELECT n FROM n), 6) AS corr FROM z a JOIN z b ON a.frame = b.frame AND a.unit < b.unit GROUP BY 1, 2",
-    "xcorr_pair_curve": f"WITH {SERIES}, {Z}, z AS (SELECT unit, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY unit)) SELECT k::INTEGER AS k, round(sum(a.z * b.z) / (SELECT n FROM n), 6) AS corr FROM z b CROSS JOIN range(-30, 31) r(k) JOIN z a ON a.frame = b.frame + k WHERE a.unit = 'A' AND b.unit = 'R' GROUP BY k",
+    "xcorr_pair_curve": f"WITH {SERIES}, {Z}, z AS (SELECT unit, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY unit)) SELECT a.unit AS unit_a, b.unit AS unit_b, k::INTEGER AS k, round(sum(a.z * b.z) / (SELECT n FROM n), 6) AS corr FROM z b CROSS JOIN range(-30, 31) r(k) JOIN z a ON a.frame = b.frame + k WHERE a.unit < b.unit GROUP BY 1, 2, 3",
     "xcorr_per_event": f"WITH {SERIES}, {Z}, z AS (SELECT unit, event_id, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WHERE event_id < (SELECT n // 100 FROM n) WINDOW w AS (PARTITION BY unit, event_id)), c AS (SELECT a.event_id, a.unit AS unit_a, b.unit AS unit_b, k, sum(a.z * b.z) / 100 AS c FROM z b CROSS JOIN range(-10, 11) r(k) JOIN z a ON a.frame = b.frame + k AND a.event_id = b.event_id AND a.unit < b.unit GROUP BY 1, 2, 3, 4) SELECT event_id, unit_a, unit_b, arg_max(k, (round(c, 9), -k))::DOUBLE AS best_lag_sec, round(max(c), 6) AS max_corr FROM c GROUP BY 1, 2, 3",
     "group_centroids": f"WITH {PLACE}, g AS (SELECT (vec_id % 20)::INTEGER AS event_id, label AS frame, count(*) AS n, avg(x) AS cx, avg(y) AS cy, sqrt(var_pop(x) + var_pop(y)) AS rms FROM pl GROUP BY 1, 2) SELECT event_id, frame, n, dense_rank() OVER (PARTITION BY event_id ORDER BY frame)::INTEGER AS rank, round(cx, 6) AS cx, round(cy, 6) AS cy, round(rms, 6) AS rms FROM g",
     "zscore_flat": f"WITH {PLACE}, v AS (SELECT vec_id, label, CASE WHEN label % 2 = 0 THEN 3.0::DOUBLE ELSE x END AS x FROM pl) SELECT vec_id, round(CASE WHEN stddev_pop(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_pop(x) OVER w ELSE 0 END, 6) AS z FROM v WINDOW w AS (PARTITION BY label)",
     "cluster_cut_counts": f"WITH {PLACE}, m AS (SELECT label, abs(x) AS h, max(abs(x)) OVER (PARTITION BY label) AS top FROM pl), c AS (SELECT label, i / 100.0::DOUBLE AS fraction, count(*) FILTER (h > i / 100.0::DOUBLE * top) + 1 AS n FROM m CROSS JOIN range(5, 91) r(i) GROUP BY label, i) SELECT label, fraction, n, fraction = coalesce(max(fraction) FILTER (n IN (4, 5)) OVER (PARTITION BY label), 0.9) AS chosen FROM c",
-    "spearman_angle": f"WITH {PLACE}, s AS (SELECT label, a * 10.0::DOUBLE AS angle, t, round(x * cos(radians(a * 10.0::DOUBLE)) + y * sin(radians(a * 10.0::DOUBLE)), 9) AS s FROM pl CROSS JOIN range(36) r(a)), k AS (SELECT label, angle, rank() OVER (PARTITION BY label, angle ORDER BY s) + (count(*) OVER (PARTITION BY label, angle, s) - 1) / 2.0::DOUBLE AS rs, rank() OVER (PARTITION BY label, angle ORDER BY t) + (count(*) OVER (PARTITION BY label, angle, t) - 1) / 2.0::DOUBLE AS rt FROM s) SELECT label, angle, round(corr(rs, rt), 6) AS rho FROM k GROUP BY 1, 2",
+    "spearman_angle": f"WITH {PLACE}, s AS (SELECT label, a * 1.0::DOUBLE AS angle, t, round(x * cos(radians(a * 1.0::DOUBLE)) + y * sin(radians(a * 1.0::DOUBLE)), 9) AS s FROM pl CROSS JOIN range(360) r(a)), k AS (SELECT label, angle, rank() OVER (PARTITION BY label, angle ORDER BY s) + (count(*) OVER (PARTITION BY label, angle, s) - 1) / 2.0::DOUBLE AS rs, rank() OVER (PARTITION BY label, angle ORDER BY t) + (count(*) OVER (PARTITION BY label, angle, t) - 1) / 2.0::DOUBLE AS rt FROM s) SELECT label, angle, round(corr(rs, rt), 6) + 0.0 AS rho FROM k GROUP BY 1, 2",
     "pc_steps": f"WITH RECURSIVE {SERIES}, d AS (SELECT unit, frame, abs(value - lag(value) OVER (PARTITION BY unit ORDER BY frame)) AS d FROM series), m AS (SELECT unit, median(d) AS m FROM d GROUP BY unit), q AS (SELECT d.unit, any_value(m) AS m, median(abs(d - m)) AS a FROM d JOIN m USING (unit) GROUP BY d.unit), h AS (SELECT d.unit, frame FROM d JOIN q USING (unit) WHERE d > m + 2 * 1.4826 * a), k AS (SELECT unit, min(frame) AS frame FROM h GROUP BY unit UNION ALL SELECT k.unit, (SELECT min(h.frame) FROM h WHERE h.unit = k.unit AND h.frame - k.frame > 5) FROM k WHERE k.frame IS NOT NULL) SELECT unit, frame FROM k WHERE frame IS NOT NULL",
     "heatmap_scale": f"WITH {PIXELS}, e AS (SELECT frame, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.995) AS b FROM px GROUP BY frame), h AS (SELECT frame, CASE WHEN b > a THEN floor(greatest(0, least(1, (v - a) / (b - a))) * 255 + 0.5) ELSE 0 END AS heat FROM px JOIN e USING (frame)) SELECT frame, count(*) FILTER (heat = 255) AS n_high, count(*) FILTER (heat = 0) AS n_low FROM h GROUP BY frame",
     "qc_frame_stride": f"WITH {PIXELS}, s AS (SELECT * FROM px WHERE frame % 4 = 0), e AS (SELECT quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.995) AS b FROM s) SELECT frame, count(*) AS n, count(*) FILTER (floor(greatest(0, least(1, (v - a) / (b - a))) * 255 + 0.5) = 255) AS n_high FROM s CROSS JOIN e GROUP BY frame",

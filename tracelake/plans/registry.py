@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import scalars
+from tracelake.operators import events, images
+from tracelake.operators import records as rec
 from tracelake.operators import tables as ops
-from tracelake.plans import recordings
+from tracelake.plans import recordings, records
 from tracelake.plans.common import PIXELS, ROBUST, SERIES, SIX, UNITS, WINDOWS
 from tracelake.plans.common import pixels as _pixels
 from tracelake.plans.common import r6 as _r
 from tracelake.sources import drivers as src
+from tracelake.sources import files
 
 def onset_density(spark, d):
     u = src.units(spark, d)
@@ -56,7 +60,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 def roi_event_times_wide(spark, d):
     r = ops.activation_rank(ops.activation(src.units(spark, d), src.windows(spark)))
-    return r.where("rank <= 3").groupBy("event_id").pivot("rank", [1, 2, 3]).agg(F.first("unit")).select("event_id", F.col("1").alias("u1"), F.col("2").alias("u2"), F.col("3").alias("u3"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit"))), lambda x: x["unit"].cast("string"))
+    return r.groupBy("event_id").agg(F.count("*").alias("n"), F.array_join(ordered, ",").alias("units"))
 
 
 def zscore_pop(spark, d):
@@ -104,7 +109,7 @@ def block_downsample(spark, d):
 
 def minmax_rows(spark, d):
     e = src.read(spark, d, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("e"))
-    return e.select("vec_id", F.round(F.expr("if(array_max(e) > array_min(e), (e[0] - array_min(e)) / (array_max(e) - array_min(e)), 0D)"), SIX).alias("first_scaled"))
+    return rec.scale_rows(e, "e").select("vec_id", F.posexplode("e").alias("i", "s")).select("vec_id", "i", _r("s", "scaled"))
 
 
 def derivative_raster(spark, d):
@@ -123,9 +128,8 @@ def xcorr_best_lag(spark, d):
 
 
 def pair_enumeration(spark, d):
-    n = src.read(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    a, b = n.select(F.col("n_nationkey").alias("a"), "n_regionkey"), n.select(F.col("n_nationkey").alias("b"), "n_regionkey")
-    return a.join(b, "n_regionkey").where("a <= b").select("n_regionkey", "a", "b", (F.col("a") == F.col("b")).alias("is_self"))
+    n = src.read(spark, d, "nation").select(F.col("n_regionkey").alias("rec_id"), F.col("n_nationkey").alias("cluster_id"))
+    return events.cluster_pairs(n).select(F.col("rec_id").alias("n_regionkey"), F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b"), "is_self")
 
 
 def bh_fdr(spark, d):
@@ -149,8 +153,8 @@ def overlap_filter(spark, d):
 
 
 def label_mask_to_rois(spark, d):
-    li = src.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("label"), (F.col("l_partkey") % 64).alias("y"), (F.col("l_orderkey") % 64).alias("x"))
-    return li.groupBy("label").agg(F.count("*").alias("npix"), F.median("y").alias("y_med"), F.median("x").alias("x_med")).withColumn("radius", _r(F.sqrt(F.col("npix") / F.lit(3.141592653589793)), "radius"))
+    li = src.read(spark, d, "lineitem").select(F.lit(0).alias("rec_id"), F.col("l_suppkey").alias("roi_id"), (F.col("l_partkey") % 64).alias("y"), (F.col("l_orderkey") % 64).alias("x"))
+    return images.unit_rows(li).select(F.col("roi_id").alias("label"), "npix", F.col("y").alias("y_med"), F.col("x").alias("x_med"), _r("radius"))
 
 
 def neighbour_corr(spark, d):
@@ -158,15 +162,19 @@ def neighbour_corr(spark, d):
 
 
 def mean_image(spark, d):
-    return _pixels(spark, d).groupBy("y", "x").agg(_r(F.avg("v"), "mean"), _r(F.min("v"), "low"))
+    return images.mean_image(_pixels(spark, d)).select("y", "x", _r("mean"))
 
 
 def median_trace(spark, d):
-    return src.series(spark, d).groupBy("frame").agg(_r(F.median("value"), "median"))
+    return rec.group_trace(src.series(spark, d), "median").select("frame", _r("median"))
+
+
+def mean_trace(spark, d):
+    return rec.group_trace(src.series(spark, d), "mean").select("frame", _r("mean"))
 
 
 def best_trace(spark, d):
-    return src.read(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("best"))
+    return rec.best_unit(src.read(spark, d, "customer"), ["c_nationkey"], "c_acctbal", "c_custkey")
 
 
 def keep_mask(spark, d):
@@ -176,9 +184,8 @@ def keep_mask(spark, d):
 
 
 def semi_anti(spark, d):
-    docs, labels = src.read(spark, d, "documents").select("doc_id", "source"), src.read(spark, d, "labels").select("doc_id")
-    both = docs.join(labels, "doc_id", "left_semi").withColumn("known", F.lit(1)).unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("known", F.lit(0)))
-    return both.groupBy("source").agg(F.sum("known").alias("n_known"), F.count("*").alias("n"))
+    both = rec.against_mask(src.read(spark, d, "documents").select("doc_id", "source"), src.read(spark, d, "labels"), "doc_id")
+    return both.groupBy("source").agg(F.count_if("known").alias("n_known"), F.count("*").alias("n"))
 
 
 def dedup_last(spark, d):
@@ -202,13 +209,14 @@ def euclid_pairs(spark, d):
 
 
 def params_merge(spark, d):
-    e = src.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return e.select("event_id", F.coalesce(F.nullif("k", F.lit(0)), F.lit(-1)).alias("merged"))
+    e = src.read(spark, d, "events").select(F.col("event_id").alias("rec_id"), F.get_json_object("props", "$.k").cast("double").alias("tau"))
+    side = lambda tau: e.select("rec_id", F.expr("cast(map() as map<string,string>)").alias("params"), tau.alias("tau"), F.lit(1.0).alias("fs"))
+    merged = files.merge_manifests(side(F.lit(-1.0)), side(F.col("tau")))
+    return merged.select(F.col("rec_id").alias("event_id"), F.col("tau").cast("long").alias("merged"))
 
 
 def report_pivot(spark, d):
-    e = src.read(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "purchase", "view"]).count()
-    return e.select("user_id", *(F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in ("click", "purchase", "view")))
+    return rec.status_report(src.read(spark, d, "events"), "user_id", "event_type", ["click", "purchase", "view"])
 
 
 def split_by_group(spark, d):
@@ -216,9 +224,8 @@ def split_by_group(spark, d):
 
 
 def um_per_px(spark, d):
-    p = src.read(spark, d, "part")
-    zoom = F.nullif(F.col("p_size") % 5, F.lit(0))
-    return p.select("p_partkey", _r(F.coalesce(F.when(F.col("p_size") > 40, F.col("p_size") / 100.0), 3080.90169 / zoom / 512.0, F.lit(1.0)), "um"))
+    p = src.read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 40, F.col("p_size") / 100.0).alias("direct"), (F.col("p_size") % 5).alias("zoom"))
+    return p.select("p_partkey", _r(scalars.um_per_px("direct", "zoom", F.lit(512), F.lit(1.0)), "um"))
 
 
 ORACLE = {
@@ -230,7 +237,7 @@ ORACLE = {
     "activation_first_time": f"WITH {UNITS}, {WINDOWS} SELECT w.event_id, unit, round(min(t), 6) AS first_time_s FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2",
     "event_onsets_long": f"WITH {UNITS}, {WINDOWS} SELECT w.event_id, unit, units.event_id AS onset_id, round(t - start_s, 6) AS rel_s FROM units JOIN w ON t BETWEEN start_s AND end_s",
     "activation_rank": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2) SELECT event_id, unit, row_number() OVER (PARTITION BY event_id ORDER BY f, unit)::INTEGER AS rank FROM a",
-    "roi_event_times_wide": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2), r AS (SELECT event_id, unit, row_number() OVER (PARTITION BY event_id ORDER BY f, unit) AS k FROM a) SELECT event_id, max(unit) FILTER (k = 1) AS u1, max(unit) FILTER (k = 2) AS u2, max(unit) FILTER (k = 3) AS u3 FROM r GROUP BY event_id",
+    "roi_event_times_wide": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2) SELECT event_id, count(*) AS n, string_agg(unit::VARCHAR, ',' ORDER BY f, unit) AS units FROM a GROUP BY event_id",
     "zscore_pop": f"WITH {SERIES} SELECT unit, frame, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM series WINDOW w AS (PARTITION BY unit)",
     "robust_z": f"WITH {SERIES}, {ROBUST} SELECT unit, frame, round(z, 6) AS z FROM rz",
     "hysteresis_onsets": f"WITH {SERIES}, {ROBUST}, s AS (SELECT *, coalesce(last_value(CASE WHEN z >= 1 THEN 1 WHEN z <= 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY unit ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS o FROM rz), l AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY unit ORDER BY frame), 0) AS b FROM s) SELECT unit, frame FROM l WHERE o = 1 AND b = 0",
@@ -241,7 +248,7 @@ ORACLE = {
     "sg_derivative_interior": f"WITH {SERIES}, s AS (SELECT unit, frame, ((lead(value, 1) OVER w - lag(value, 1) OVER w) * 1 + (lead(value, 2) OVER w - lag(value, 2) OVER w) * 2) * (15.0 / 10) AS dt FROM series WINDOW w AS (PARTITION BY unit ORDER BY frame)) SELECT unit, frame, round(dt, 6) AS dt FROM s WHERE dt IS NOT NULL",
     "nan_interp": f"WITH {SERIES}, g AS (SELECT unit, frame, CASE WHEN frame % 7 <> 3 THEN value END AS v FROM series), k AS (SELECT * FROM g WHERE v IS NOT NULL), j AS (SELECT g.unit, g.frame, g.v, a.frame AS f0, a.v AS v0, b.frame AS f1, b.v AS v1 FROM g ASOF LEFT JOIN k a ON a.unit = g.unit AND a.frame <= g.frame ASOF LEFT JOIN k b ON b.unit = g.unit AND b.frame >= g.frame) SELECT unit, frame, round(CASE WHEN f0 IS NULL THEN v1 WHEN f1 IS NULL OR f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, 6) AS filled FROM j",
     "block_downsample": f"WITH {SERIES} SELECT unit, frame // 8 AS block, round(avg(value), 6) AS mean FROM series GROUP BY 1, 2 HAVING count(*) = 8",
-    "minmax_rows": "SELECT vec_id, round(CASE WHEN list_max(e) > list_min(e) THEN (e[1] - list_min(e)) / (list_max(e) - list_min(e)) ELSE 0 END, 6) AS first_scaled FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+    "minmax_rows": "SELECT vec_id, i, round(CASE WHEN list_max(e) > list_min(e) THEN (e[i + 1] - list_min(e)) / (list_max(e) - list_min(e)) ELSE 0 END, 6) AS scaled FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(64) r(i)",
     "derivative_raster": f"WITH {SERIES}, d AS (SELECT unit, frame, value - lag(value) OVER (PARTITION BY unit ORDER BY frame) AS v FROM series), e AS (SELECT * FROM d WHERE v IS NOT NULL), m AS (SELECT unit, median(v) AS m FROM e GROUP BY unit), a AS (SELECT e.unit, any_value(m) AS m, median(abs(v - m)) AS d FROM e JOIN m USING (unit) GROUP BY e.unit) SELECT e.unit, frame FROM e JOIN a USING (unit) WHERE (v - m) / (1.4826 * (d + 1e-12)) >= 2",
     "xcorr_best_lag": f"WITH {SERIES}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM series GROUP BY unit)), s AS (SELECT * FROM series WHERE frame < (SELECT n FROM n)), z AS (SELECT unit, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY unit)), c AS (SELECT a.unit AS unit_a, b.unit AS unit_b, k, sum(a.z * b.z) / (SELECT n FROM n) AS c FROM z b CROSS JOIN range(-10, 11) r(k) JOIN z a ON a.frame = b.frame + k GROUP BY 1, 2, 3), m AS (SELECT unit_a, unit_b, arg_max(k, (round(c, 9), -k)) AS k, max(c) AS m, max(c) FILTER (k = 0) AS z FROM c GROUP BY 1, 2) SELECT unit_a, unit_b, k::DOUBLE AS best_lag_sec, round(m, 6) AS max_corr, round(z, 6) AS zero_lag_corr, CASE WHEN k < 0 THEN 'A' WHEN k > 0 THEN 'B' ELSE 'none' END AS leader FROM m",
     "pair_enumeration": "SELECT a.n_regionkey, a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey = b.n_nationkey AS is_self FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <= b.n_nationkey",
@@ -251,8 +258,9 @@ ORACLE = {
     "overlap_filter": "WITH l AS (SELECT DISTINCT l_returnflag AS f, l_suppkey AS unit, l_partkey % 50 AS y, l_partkey % 41 AS x FROM lineitem), p AS (SELECT DISTINCT y, x FROM l WHERE f = 'R' AND y < 12) SELECT unit, round(avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered FROM l LEFT JOIN p ON p.y = l.y AND p.x = l.x WHERE f = 'A' GROUP BY unit HAVING avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END) < 0.3",
     "label_mask_to_rois": "SELECT l_suppkey AS label, count(*) AS npix, median(l_partkey % 64) AS y_med, median(l_orderkey % 64) AS x_med, round(sqrt(count(*) / 3.141592653589793::DOUBLE), 6) AS radius FROM lineitem GROUP BY 1",
     "neighbour_corr": f"WITH {PIXELS}, w AS (SELECT p.frame, p.y, p.x, any_value(p.v) AS v, avg(q.v) AS w FROM px p JOIN px q ON p.frame = q.frame AND abs(p.y - q.y) + abs(p.x - q.x) = 1 GROUP BY 1, 2, 3) SELECT y, x, round(corr(v, w), 6) AS corr FROM w GROUP BY y, x",
-    "mean_image": f"WITH {PIXELS} SELECT y, x, round(avg(v), 6) AS mean, round(min(v), 6) AS low FROM px GROUP BY y, x",
+    "mean_image": f"WITH {PIXELS} SELECT y, x, round(avg(v), 6) AS mean FROM px GROUP BY y, x",
     "median_trace": f"WITH {SERIES} SELECT frame, round(median(value), 6) AS median FROM series GROUP BY frame",
+    "mean_trace": f"WITH {SERIES} SELECT frame, round(avg(value), 6) AS mean FROM series GROUP BY frame",
     "best_trace": "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS best FROM customer GROUP BY 1",
     "keep_mask": "SELECT d.doc_id, coalesce(CASE WHEN toxic = 1 THEN false END, quality = 1, true) AS keep FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "semi_anti": "SELECT source, count(l.doc_id) AS n_known, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY source",
@@ -269,8 +277,9 @@ ORACLE = {
 
 def queries() -> dict:
     own = {name: globals()[name] for name in ORACLE}
+    own |= {name: getattr(records, name) for name in records.ORACLE}
     return own | {name: getattr(recordings, name) for name in (*recordings.ORACLE, *recordings.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict:
-    return ORACLE | recordings.ORACLE
+    return ORACLE | recordings.ORACLE | records.ORACLE
