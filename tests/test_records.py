@@ -29,8 +29,8 @@ def test_merge_replaces_objects_and_leaves(spark):
 
 def test_changed_leaves_coerce(spark):
     base = leaves(spark, [(1, "n", "5"), (1, "f", "0.5"), (1, "b", "true"), (1, "s", "x")])
-    edited = leaves(spark, [(1, "n", "6.7"), (1, "f", "half"), (1, "b", "false"), (1, "s", "x"), (1, "new", " none ")])
-    assert sorted((r.path, r.value) for r in ops.changed_leaves(edited, base, ["rec"]).collect()) == [("b", "false"), ("n", "6"), ("new", None)]
+    edited = leaves(spark, [(1, "n", "6.7"), (1, "f", "half"), (1, "b", "false"), (1, "s", "x"), (1, "new", "abc"), (1, "none", " none ")])
+    assert sorted((r.path, r.value) for r in ops.changed_leaves(edited, base, ["rec"]).collect()) == [("b", "false"), ("n", "6"), ("new", "abc")]
 
 
 def test_cached_table_is_made_once(spark, tmp_path):

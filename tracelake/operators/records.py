@@ -45,7 +45,7 @@ def changed_leaves(edited: DataFrame, base: DataFrame, keys: list[str]) -> DataF
     """Edited leaves coerced to the kind of the base's value, only where they differ from it.
 
     Kinds by the base's text: true/false, whole number, number, text. What cannot be coerced keeps the base's value and
-    so goes; paths unknown to the base stay as they are, a blank or 'none' of them is NULL.
+    so goes; paths unknown to the base stay as they are, but for a blank or 'none' of them, which equals their absence.
     """
     j = edited.select(*keys, "path", F.col("value").alias("raw")).join(base.select(*keys, "path", F.col("value").alias("base")), [*keys, "path"], "left")
     whole = F.expr("cast(cast(try_cast(raw as double) as bigint) as string)")
