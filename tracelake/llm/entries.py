@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import bpe, decontaminate, exact, lines, lm, neardup, quality, secrets, shards, substring
+from tracelake.llm import bpe, clusters, decontaminate, exact, lines, lm, neardup, quality, repair, rules, secrets, shards, substring
 
 MODULES = {
     "op1_decontamination": decontaminate,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_quality_classifier": quality,
     "op9_sharding": shards,
     "op10_bpe": bpe,
+    "op11_centroid_clustering": clusters,
+    "op12_conversation_repair": repair,
+    "op13_quality_rules": rules,
 }
 
 
