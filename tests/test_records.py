@@ -1,36 +1,36 @@
 """Records around a recording: cases that the check SQL does not reach."""
 
-import json
-
 import pytest
 
 from tracelake.operators import records as ops
 
 
-def leaves(spark, rows):
-    return spark.createDataFrame(rows, "rec int, path string, value string")
+def test_keys_of_recordings_without_settings(spark):
+    leaves = spark.createDataFrame([(1, "a", "x"), (2, "other", "y")], "rec int, path string, value string")
+    got = {r.rec: r.cache_key for r in ops.settings_key(leaves, ["a"], ["rec"], spark.createDataFrame([(i,) for i in (1, 2, 3)], "rec int")).collect()}
+    assert len(got) == 3 and got[2] == got[3] != got[1]
 
 
-def test_nested_settings_round_trip(spark):
-    text = json.dumps({"a": {"b": "x", "c": 'q"uote'}, "d": "1"})
-    df = spark.createDataFrame([(1, text), (2, None), (3, "no object"), (4, "{}")], "rec int, settings string")
-    flat = ops.flatten_settings(df, ["rec"], "settings")
-    assert sorted((r.rec, r.path, r["group"]) for r in flat.collect()) == [(1, "a.b", "a"), (1, "a.c", "a"), (1, "d", "Top-level")]
-    back = ops.nest_leaves(flat, ["rec"]).collect()
-    assert [json.loads(r.settings) for r in back] == [json.loads(text)]
+def test_numbers_beyond_their_types(spark):
+    from tracelake.functions import scalars
 
+    df = spark.createDataFrame([("C12345678901xC2", "rec_12345678901234567890.tif"), ("C1xC2", "rec_7.tif"), ("x", "none")], "pair string, path string")
+    got = df.select(ops.pair_clusters("pair").alias("p"), scalars.trailing_index("path").alias("i")).collect()
+    assert [(g.p.a, g.p.b, g.i) for g in got] == [(0, 2, None), (1, 2, 7), (0, 0, -1)]
 
-def test_merge_replaces_objects_and_leaves(spark):
-    base = leaves(spark, [(1, "a.b", "1"), (1, "a.c", "2"), (1, "d", "3"), (1, "ab", "4")])
-    got = ops.merge_leaves(base, leaves(spark, [(1, "a", "x"), (1, "d.e", "5")]), ["rec"])
-    assert sorted((r.path, r.value) for r in got.collect()) == [("a", "x"), ("ab", "4"), ("d.e", "5")]
-    assert ops.merge_leaves(base, leaves(spark, []), ["rec"]).count() == 4
 
+def test_recordings_do_not_mix(spark):
+    from tracelake.operators import images, tables
 
-def test_changed_leaves_coerce(spark):
-    base = leaves(spark, [(1, "n", "5"), (1, "f", "0.5"), (1, "b", "true"), (1, "s", "x")])
-    edited = leaves(spark, [(1, "n", "6.7"), (1, "f", "half"), (1, "b", "false"), (1, "s", "x"), (1, "new", "abc"), (1, "none", " none ")])
-    assert sorted((r.path, r.value) for r in ops.changed_leaves(edited, base, ["rec"]).collect()) == [("b", "false"), ("n", "6"), ("new", "abc")]
+    px = spark.createDataFrame([("a", 1, 0, 0, 1.0), ("b", 1, 0, 0, 1.0), ("b", 2, 0, 0, 3.0)], "rec_id string, roi_id int, y int, x int, w double")
+    colours = spark.createDataFrame([("a", 1, 1.0, 0.0, 0.0), ("b", 1, 0.0, 1.0, 0.0), ("b", 2, 0.0, 0.0, 1.0)], "rec_id string, roi_id int, r double, g double, b double")
+    assert {r.rec_id: (r.r, r.g, r.b) for r in ops.splat_rgb(px, colours).collect()} == {"a": (1, 0, 0), "b": (0, 0.25, 0.75)}
+    assert {r.rec_id: r.image for r in tables.splat(px, "roi_id", "w").collect()} == {"a": 1, "b": 1.75}
+    extra = px.select("rec_id", px["roi_id"].alias("unit"), "y", "x")
+    assert [r.rec_id for r in tables.drop_overlapping(extra, extra.where("rec_id = 'b'")).collect()] == ["a"]
+    movie = spark.createDataFrame([(rec, t, 0, x, float(v)) for rec, vs in (("a", [(1, 1), (2, 2), (3, 3)]), ("b", [(1, 3), (2, 2), (3, 1)])) for t, v2 in enumerate(vs) for x, v in enumerate(v2)], "rec_id string, frame int, y int, x int, v double")
+    assert {(r.rec_id, r.x): round(r["corr"], 9) for r in tables.neighbour_corr(movie).collect()} == {("a", 0): 1, ("a", 1): 1, ("b", 0): -1, ("b", 1): -1}
+    assert images.mean_image(movie).count() == 4
 
 
 def test_cached_table_is_made_once(spark, tmp_path):

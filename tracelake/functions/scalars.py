@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 TAU_S = {"6f": 0.7, "6m": 1.0, "6s": 1.5, "7f": 0.7, "8f": 0.15, "8m": 0.25, "8s": 0.5}
 RECORDING = r"\d{4}-\d{2}-\d{2}_\d+(?:\+\d{4}-\d{2}-\d{2}_\d+)*"
 FIELD_UM = 3080.90169
+# The indicator's variant in a label, and the steps of a scale bar: up to 1.5, 3.5 and 7.5 of a power of ten
+# it is 1, 2 and 5 of it, else 10.
+VARIANT = r"(?i)gcamp\s*([678][fms])(?![A-Za-z0-9])"
+BAR_STEPS = ((1.5, 1), (3.5, 2), (7.5, 5))
 
 
 def _col(c: Column | str) -> Column:
@@ -22,10 +26,10 @@ def recording_of(path: Column | str) -> Column:
 
 
 def trailing_index(path: Column | str) -> Column:
-    """The last run of digits of a file's stem; -1 without one."""
+    """The last run of digits of a file's stem; -1 without one. Over 18 digits it is null, and such files sort by name."""
     stem = F.regexp_replace(F.regexp_extract(_col(path), r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
     digits = F.regexp_extract(stem, r"(\d+)\D*$", 1)
-    return F.when(digits == "", F.lit(-1)).otherwise(digits.cast("long"))
+    return F.when(digits == "", F.lit(-1)).otherwise(digits.try_cast("long"))
 
 
 def is_filtered(prefix: Column | str) -> Column:
@@ -34,7 +38,7 @@ def is_filtered(prefix: Column | str) -> Column:
 
 def tau(label: Column | str, fallback: str = "8m") -> Column:
     """Decay time of an indicator's label by the variant after its family name; the fallback's otherwise."""
-    code = F.lower(F.regexp_extract(F.coalesce(_col(label), F.lit("")), r"(?i)gcamp\s*([678][fms])(?![A-Za-z0-9])", 1))
+    code = F.lower(F.regexp_extract(F.coalesce(_col(label), F.lit("")), VARIANT, 1))
     known = F.create_map(*(F.lit(x) for kv in TAU_S.items() for x in kv))
     return F.coalesce(F.try_element_at(known, code), F.lit(TAU_S[fallback]))
 
@@ -49,8 +53,10 @@ def bar_length(span: Column | str, share: float = 0.2) -> Column:
     """A scale bar of 1, 2, 5 or 10 times a power of ten, near a share of the span; NULL for no positive span."""
     raw = F.when(_col(span) > 0, _col(span) * F.lit(share))
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
-    mantissa = raw / power
-    return F.when(mantissa < 1.5, power).when(mantissa < 3.5, power * 2).when(mantissa < 7.5, power * 5).when(mantissa.isNotNull(), power * 10)
+    length = F.when(raw.isNotNull(), power * 10)
+    for below, times in reversed(BAR_STEPS):
+        length = F.when(raw / power < below, power * times).otherwise(length)
+    return length
 
 
 def event_label(start: Column | str, end: Column | str) -> Column:

@@ -1,7 +1,6 @@
-"""Records around a recording: nested settings, sheets, picks and edits by a user. Built-in functions only.
+"""Records around a recording: chosen settings, sheets, picks and edits by a user. Built-in functions only.
 
-Settings are long rows of leaves (keys, path, value): a leaf's path is its keys joined by dots. Nested settings merge by a
-full join of leaves, which no driver loop and no schema stands in the way of.
+Settings are long rows of leaves (keys, path, value as text), as ``settings.as_text`` gives them.
 """
 
 from __future__ import annotations
@@ -14,65 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def flatten_settings(df: DataFrame, keys: list[str], settings: str, depth: int = 4) -> DataFrame:
-    """A JSON object as leaves (keys, path, value, group); objects deeper than ``depth`` stay JSON text in their value.
-
-    A leaf's group is its outermost object, 'Top-level' for leaves of the root. NULL and text that is no object have no leaf.
-    """
-    as_map = lambda c: F.from_json(F.when(F.trim(c).startswith("{"), c), "map<string,string>")
-    level = df.select(*keys, F.explode(as_map(F.col(settings))).alias("path", "value"))
-    for _ in range(depth - 1):
-        inner = as_map(F.col("value"))
-        parts = F.when(F.size(inner) > 0, F.transform(F.map_entries(inner), lambda e: F.struct(F.concat_ws(".", "path", e["key"]).alias("path"), e["value"].alias("value"))))
-        level = level.select(*keys, F.explode(F.coalesce(parts, F.array(F.struct("path", "value")))).alias("_e")).select(*keys, "_e.path", "_e.value")
-    return level.withColumn("group", F.when(F.contains("path", F.lit(".")), F.substring_index("path", ".", 1)).otherwise("Top-level"))
-
-
-def merge_leaves(base: DataFrame, overlay: DataFrame, keys: list[str]) -> DataFrame:
-    """Deep merge: the overlay's leaf replaces the base's; what stands below or above a replaced path goes with it."""
-    old, new = base.select(*keys, "path", "value"), overlay.select(*keys, "path", "value")
-    steps = F.split("path", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "."))
-    # A base leaf goes where the overlay has a leaf at or above it, or an object in its place.
-    leaf = new.select(*keys, F.col("path").alias("_p")).distinct()
-    inner = new.select(*keys, F.explode(above).alias("_p"), F.col("path").alias("_own")).where("_p != _own").select(*keys, F.col("_p").alias("path")).distinct()
-    covered = old.select(*keys, "path", F.explode(above).alias("_p")).join(leaf, [*keys, "_p"], "left_semi").select(*keys, "path").distinct()
-    kept = old.join(covered, [*keys, "path"], "left_anti").join(inner, [*keys, "path"], "left_anti")
-    return kept.unionByName(new)
-
-
-def changed_leaves(edited: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """Edited leaves coerced to the kind of the base's value, only where they differ from it.
-
-    Kinds by the base's text: true/false, whole number, number, text. What cannot be coerced keeps the base's value and
-    so goes; paths unknown to the base stay as they are, but for a blank or 'none' of them, which equals their absence.
-    """
-    j = edited.select(*keys, "path", F.col("value").alias("raw")).join(base.select(*keys, "path", F.col("value").alias("base")), [*keys, "path"], "left")
-    whole = F.expr("cast(cast(try_cast(raw as double) as bigint) as string)")
-    number = F.expr("cast(try_cast(raw as double) as string)")
-    blank = (F.trim("raw") == "") | (F.lower(F.trim("raw")) == "none")
-    value = (
-        F.when(F.col("base").isNull(), F.when(~blank, F.col("raw")))
-        .when(F.col("base").isin("true", "false"), F.coalesce(F.expr("cast(try_cast(raw as boolean) as string)"), F.col("base")))
-        .when(F.col("base").rlike(r"^-?\d+$"), F.coalesce(whole, F.col("base")))
-        .when(F.expr("try_cast(base as double)").isNotNull(), F.coalesce(number, F.col("base")))
-        .otherwise(F.col("raw"))
-    )
-    typed = j.withColumn("value", value)
-    same = F.col("value").eqNullSafe(F.col("base")) | F.coalesce(F.expr("try_cast(value as double) = try_cast(base as double)"), F.lit(False))
-    return typed.where(~same).select(*keys, "path", "value")
-
-
-def nest_leaves(leaves: DataFrame, keys: list[str]) -> DataFrame:
-    """Leaves of one or two steps as JSON text (keys, settings); deeper paths keep their dots below the first step."""
-    head = F.when(F.contains("path", F.lit(".")), F.substring_index("path", ".", 1))
-    rest = F.when(head.isNotNull(), F.expr("substring(path, length(substring_index(path, '.', 1)) + 2)")).otherwise(F.col("path"))
-    entry = F.concat(F.to_json(F.array(rest)).substr(F.lit(2), F.length(F.to_json(F.array(rest))) - 2), F.lit(":"), F.coalesce(F.to_json(F.array("value")).substr(F.lit(2), F.length(F.to_json(F.array("value"))) - 2), F.lit("null")))
-    one = leaves.groupBy(*keys, head.alias("_h")).agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("_s"))
-    part = F.when(F.col("_h").isNull(), F.col("_s")).otherwise(F.concat(F.lit('"'), "_h", F.lit('":{'), "_s", F.lit("}")))
-    return one.groupBy(*keys).agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(part)), ","), F.lit("}")).alias("settings"))
-
-
 def plane_view(parts: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
     """Leaves (rec_id, part, path, value) of db, settings, reg and detect as one view (rec_id, name, value).
 
@@ -89,11 +29,17 @@ def plane_view(parts: DataFrame, calibration: DataFrame | None = None) -> DataFr
     return used.groupBy("rec_id", "name").agg(F.max_by("value", F.struct("_o", "value")).alias("value"))
 
 
-def settings_key(settings: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """A cache key of each recording: SHA-256 of its chosen settings (keys, path, value), a missing one as null."""
-    chosen = settings.where(F.col("path").isin(names)).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "value")))).alias("_m"))
+def settings_key(settings: DataFrame, names: list[str], keys: list[str], recordings: DataFrame | None = None) -> DataFrame:
+    """A cache key of each recording: SHA-256 of its chosen settings (keys, path, value), a missing one as null.
+
+    Recordings with other settings alone have a key too, and so have those of ``recordings`` (keys) with none at all.
+    """
+    chosen = F.collect_list(F.when(F.col("path").isin(names), F.struct("path", "value")))
+    found = settings.groupBy(*keys).agg(F.map_from_entries(F.array_sort(chosen)).alias("_m"))
+    if recordings is not None:
+        found = recordings.select(*keys).distinct().join(found, keys, "left")
     text = F.concat_ws(",", *(F.concat(F.lit(f"{n}="), F.coalesce(F.try_element_at("_m", F.lit(n)), F.lit("null"))) for n in sorted(names)))
-    return chosen.select(*keys, F.sha2(text, 256).alias("cache_key"))
+    return found.select(*keys, F.sha2(text, 256).alias("cache_key"))
 
 
 def cached(spark, path: str, settings: dict, make) -> DataFrame:
@@ -113,9 +59,9 @@ def calibrate(recordings: DataFrame, stamps: DataFrame) -> DataFrame:
 
 
 def pair_clusters(pair: Column | str) -> Column:
-    """The two cluster numbers of a pair's name such as 'C2xC10': its first two runs of digits, 0 for one that is missing."""
+    """The two cluster numbers of a pair's name such as 'C2xC10': its first two runs of digits, 0 for one that is missing or no integer."""
     found = F.regexp_extract_all(F.col(pair) if isinstance(pair, str) else pair, F.lit(r"(\d+)"), F.lit(1))
-    number = lambda i: F.coalesce(F.try_element_at(found, F.lit(i)).cast("int"), F.lit(0))
+    number = lambda i: F.coalesce(F.try_element_at(found, F.lit(i)).try_cast("int"), F.lit(0))
     return F.struct(number(1).alias("a"), number(2).alias("b"))
 
 
@@ -164,11 +110,11 @@ def score_image(pixels: DataFrame, units: DataFrame) -> DataFrame:
     return pixels.join(kept, ["rec_id", "roi_id"]).groupBy("rec_id", "y", "x").agg(F.max_by("p_cell", "roi_id").alias("score"))
 
 
-def splat_rgb(pixels: DataFrame, colours: DataFrame) -> DataFrame:
-    """Weighted mean colour on each pixel: pixels (roi_id, y, x, w), colours (roi_id, r, g, b); uncovered pixels have no row."""
-    j = pixels.join(colours, "roi_id")
+def splat_rgb(pixels: DataFrame, colours: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Weighted mean colour on each pixel of a recording: pixels (rec_id, roi_id, y, x, w), colours (rec_id, roi_id, r, g, b); uncovered pixels have no row."""
+    j = pixels.join(colours, [*keys, "roi_id"])
     mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
-    return j.groupBy("y", "x").agg(mean("r"), mean("g"), mean("b"), F.sum("w").alias("weight")).where("weight > 0").drop("weight")
+    return j.groupBy(*keys, "y", "x").agg(mean("r"), mean("g"), mean("b"), F.sum("w").alias("weight")).where("weight > 0").drop("weight")
 
 
 def clicked(clicks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,7 +202,7 @@ def recording_sheets(recordings: DataFrame, units: DataFrame, windows: DataFrame
     place = F.row_number().over(Window.partitionBy("rec_id").orderBy("roi_id")) - 1
     kept = units.where("keep").withColumn("kept_pos", place)
     n = units.groupBy("rec_id").agg(F.count("*").alias("n_units"), F.count_if("keep").alias("n_kept"))
-    hits = _in_windows(onsets, windows).join(kept.select("rec_id", "roi_id", "kept_pos"), ["rec_id", "roi_id"])
+    hits = in_windows(onsets, windows).join(kept.select("rec_id", "roi_id", "kept_pos"), ["rec_id", "roi_id"])
     active = hits.groupBy("rec_id", "event_id").agg(F.count_distinct("roi_id").alias("n_active"), F.min("t").alias("first_s"))
     times = hits.groupBy("rec_id", "event_id", "roi_id", "kept_pos").agg(F.array_sort(F.collect_list("t")).alias("times_s"))
     return {
@@ -269,7 +215,7 @@ def recording_sheets(recordings: DataFrame, units: DataFrame, windows: DataFrame
     }
 
 
-def _in_windows(onsets: DataFrame, windows: DataFrame, cell: float = 300.0) -> DataFrame:
+def in_windows(onsets: DataFrame, windows: DataFrame, cell: float = 300.0) -> DataFrame:
     cells = windows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start_s") / cell), F.floor(F.col("end_s") / cell))))
     at = onsets.withColumn("_cell", F.floor(F.col("t") / cell))
     return at.join(cells, ["rec_id", "_cell"]).where("t between start_s and end_s").drop("_cell")

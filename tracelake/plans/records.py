@@ -8,37 +8,44 @@ from pyspark.sql.window import Window
 from tracelake.functions import scalars
 from tracelake.operators import cells, images
 from tracelake.operators import records as ops
+from tracelake.operators import settings as st
 from tracelake.plans.common import PIXELS, SERIES, pixels, r6
 from tracelake.sources import drivers as src
 from tracelake.sources import files
 
 
-def _settings(spark, d, low=0):
-    """Nested settings of each part as JSON text."""
-    text = F.format_string('{"detection":{"threshold":%d,"deep":{"level":%d}},"fs":"%s"}', F.col("p_size") + low, F.col("p_size") % 7 + low, F.col("p_brand"))
+def _settings(spark, d):
+    """Settings of each part as JSON text: four levels, with every kind of value, and some parts without any."""
+    text = F.format_string('{"detection":{"threshold":%d,"deep":{"level":%d,"inner":{"on":%s,"list":[%d,"x",{"y":null}],"none":null,"gain":%d.5}}},"fs":"%s","empty":{}}', "p_size", F.col("p_size") % 7, (F.col("p_size") % 2 == 0).cast("string"), "p_size", F.col("p_size") - 25, "p_brand")
+    text = F.when(F.col("p_size") % 11 == 0, F.when(F.col("p_size") % 2 == 0, "no {json").otherwise(F.lit(None))).otherwise(text)
     return src.read(spark, d, "part").select(F.col("p_partkey").alias("rec"), text.alias("settings"), "p_size")
 
 
 def settings_flatten(spark, d):
-    return ops.flatten_settings(_settings(spark, d), ["rec"], "settings").select("rec", "path", "value", F.col("group").alias("grp"))
+    return st.as_text(st.flatten(_settings(spark, d), ["rec"], "settings")).select("rec", "path", "value", F.col("group").alias("grp"))
+
+
+OVERLAY = {0: '{"detection":{"deep":5},"extra":[1,{"a":2}]}', 1: '{"fs":{"unit":{"name":"Hz"}},"empty":{"now":true}}', 2: '{"detection":{"deep":{"inner":{"gain":7,"list":{"first":1}},"level":{}}},"empty":{}}'}
 
 
 def settings_merge(spark, d):
-    base = ops.flatten_settings(_settings(spark, d), ["rec"], "settings")
-    text = F.when(F.col("rec") % 3 == 0, '{"detection":{"deep":5},"extra":"x"}').otherwise('{"fs":{"unit":"Hz"}}')
-    over = ops.flatten_settings(_settings(spark, d).withColumn("settings", text), ["rec"], "settings")
-    return ops.merge_leaves(base, over, ["rec"]).select("rec", "path", "value")
+    base = _settings(spark, d)
+    over = base.where("settings like '{%'").withColumn("settings", F.element_at(F.array(*map(F.lit, OVERLAY.values())), (F.col("rec") % 3 + 1).cast("int")))
+    merged = st.merge(st.flatten(base, ["rec"], "settings"), st.flatten(over, ["rec"], "settings"), ["rec"])
+    return st.as_text(merged).select("rec", "path", "value")
 
 
 def settings_changed(spark, d):
-    base = ops.flatten_settings(_settings(spark, d), ["rec"], "settings")
-    edited = base.withColumn("value", F.when((F.col("path") == "detection.threshold") & (F.col("rec") % 2 == 0), "7.9").when(F.col("path") == "detection.deep.level", "?").otherwise(F.col("value")))
-    return ops.changed_leaves(edited, base, ["rec"])
+    base = st.flatten(_settings(spark, d), ["rec"], "settings")
+    rows = _settings(spark, d).where("settings like '{%'")
+    pick = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("rec") % len(texts) + 1).cast("int"))
+    edit = F.concat(F.lit('{"detection":{"threshold":'), pick('"7.9"', '"nan"', "1e30", '"-2.5"', "null"), F.lit(',"deep":{"inner":{"gain":'), pick('"x"', '"3"', "2.5"), F.lit(',"none":'), pick('"none"', '"[1, 2]"', "4"), F.lit('}}},"fs":"new"}'))
+    edited = st.flatten(rows.withColumn("settings", edit), ["rec"], "settings")
+    return st.as_text(st.changed(edited, base, ["rec"])).select("rec", "path", "value")
 
 
 def settings_nest(spark, d):
-    flat = ops.flatten_settings(_settings(spark, d), ["rec"], "settings", 2).where("path != 'detection.deep'")
-    return ops.nest_leaves(flat, ["rec"]).select("rec", "settings")
+    return st.nest(st.flatten(_settings(spark, d), ["rec"], "settings"), ["rec"])
 
 
 def plane_view(spark, d):
@@ -52,8 +59,9 @@ def plane_view(spark, d):
 
 
 def pass_cache_key(spark, d):
-    flat = ops.flatten_settings(_settings(spark, d), ["rec"], "settings")
-    return ops.settings_key(flat, ["detection.threshold", "fs", "absent"], ["rec"])
+    rows = _settings(spark, d)
+    flat = st.as_text(st.flatten(rows, ["rec"], "settings"))
+    return ops.settings_key(flat, ["detection.threshold", "fs", "absent"], ["rec"], rows)
 
 
 def calibration(spark, d):
@@ -102,8 +110,9 @@ def score_image(spark, d):
 
 
 def splat_rgb(spark, d):
-    colours = src.read(spark, d, "supplier").select(F.col("s_suppkey").alias("roi_id"), (F.col("s_suppkey") % 3 / 2.0).alias("r"), (F.col("s_suppkey") % 5 / 4.0).alias("g"), (F.col("s_nationkey") / 25.0).alias("b"))
-    return ops.splat_rgb(_footprints(spark, d), colours).select("y", "x", r6("r"), r6("g"), r6("b"))
+    rec = F.explode(F.array(*map(F.lit, "ANR"))).alias("rec_id")
+    colours = src.read(spark, d, "supplier").select(rec, F.col("s_suppkey").alias("roi_id"), (F.col("s_suppkey") % 3 / 2.0).alias("r"), (F.col("s_suppkey") % 5 / 4.0).alias("g"), (F.col("s_nationkey") / 25.0).alias("b"))
+    return ops.splat_rgb(_footprints(spark, d), colours).select("rec_id", "y", "x", r6("r"), r6("g"), r6("b"))
 
 
 def click_to_roi(spark, d):
@@ -259,16 +268,23 @@ def wide_frames(spark, d):
 
 
 FEET = "fp AS (SELECT l_returnflag AS rec_id, l_suppkey AS roi_id, l_partkey % 16 AS y, l_orderkey % 16 AS x, l_quantity + 1 AS w FROM lineitem)"
-LEAVES = "leaves AS (SELECT p_partkey AS rec, unnest(['detection.threshold', 'detection.deep.level', 'fs']) AS path, unnest([p_size::VARCHAR, (p_size % 7)::VARCHAR, p_brand]) AS value FROM part)"
+SETTINGS = """se AS (SELECT p_partkey AS rec, p_size, p_brand, printf('{"detection":{"threshold":%d,"deep":{"level":%d,"inner":{"on":%s,"list":[%d,"x",{"y":null}],"none":null,"gain":%d.5}}},"fs":"%s","empty":{}}', p_size, p_size % 7, (p_size % 2 = 0)::VARCHAR, p_size, p_size - 25, p_brand) AS s FROM part WHERE p_size % 11 <> 0)"""
+
+
+def _leaves(table: str) -> str:
+    """Leaves by the engine's own walk over JSON: what is no object, or an empty one, and lies in no list."""
+    return f"SELECT rec, replace(substr(fullkey, 3), '\"', '') AS path, CASE WHEN t.type = 'VARCHAR' THEN t.value->>'$' ELSE t.value::VARCHAR END AS value FROM {table}, json_tree({table}.s) t WHERE fullkey <> '$' AND NOT contains(fullkey, '[') AND (t.type <> 'OBJECT' OR t.value::VARCHAR = '{{}}')"
+
+
 SHEETS = "e AS (SELECT user_id % 5 AS rec_id, user_id AS roi_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t FROM events), un AS (SELECT DISTINCT rec_id, roi_id, roi_id % 3 <> 0 AS keep FROM e), kept AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY roi_id) - 1 AS kept_pos FROM un WHERE keep), w AS (SELECT i::INTEGER AS event_id, i * 86400.0 AS start_s, r AS rec_id FROM range(30) a(i), range(5) b(r)), h AS (SELECT e.*, event_id, start_s, kept_pos FROM e JOIN w ON e.rec_id = w.rec_id AND t BETWEEN start_s AND start_s + 7200 JOIN kept k ON k.rec_id = e.rec_id AND k.roi_id = e.roi_id)"
 
 ORACLE = {
-    "settings_flatten": f"WITH {LEAVES} SELECT rec, path, value, CASE WHEN path = 'fs' THEN 'Top-level' ELSE 'detection' END AS grp FROM leaves",
-    "settings_merge": f"WITH {LEAVES} SELECT rec, path, value FROM leaves WHERE CASE WHEN rec % 3 = 0 THEN path <> 'detection.deep.level' ELSE path <> 'fs' END UNION ALL SELECT p_partkey, unnest(['detection.deep', 'extra']), unnest(['5', 'x']) FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'fs.unit', 'Hz' FROM part WHERE p_partkey % 3 <> 0",
-    "settings_changed": "SELECT p_partkey AS rec, 'detection.threshold' AS path, '7' AS value FROM part WHERE p_partkey % 2 = 0 AND p_size <> 7",
-    "settings_nest": """SELECT p_partkey AS rec, '{"detection":{"threshold":"' || p_size || '"},"fs":"' || p_brand || '"}' AS settings FROM part""",
+    "settings_flatten": f"WITH {SETTINGS}, l AS ({_leaves('se')}) SELECT *, CASE WHEN contains(path, '.') THEN split_part(path, '.', 1) ELSE 'Top-level' END AS grp FROM l",
+    "settings_merge": f"WITH {SETTINGS}, mp AS (SELECT rec, json_merge_patch(s, CASE rec % 3 WHEN 0 THEN '{OVERLAY[0]}' WHEN 1 THEN '{OVERLAY[1]}' ELSE '{OVERLAY[2]}' END) AS s FROM se) {_leaves('mp')}",
+    "settings_changed": f"WITH {SETTINGS}, c AS (SELECT rec, unnest(['detection.threshold', 'detection.deep.inner.gain', 'detection.deep.inner.none', 'fs']) AS path, unnest([p_size::VARCHAR, (p_size - 25) || '.5', 'null', p_brand]) AS base, unnest([['7', p_size::VARCHAR, '1000000000000000000000000000000', '-2', p_size::VARCHAR][rec % 5 + 1], [(p_size - 25) || '.5', '3.0', '2.5'][rec % 3 + 1], ['null', '[1,2]', '4'][rec % 3 + 1], 'new']) AS value FROM se) SELECT rec, path, value FROM c WHERE value <> base",
+    "settings_nest": f"""WITH {SETTINGS} SELECT rec, printf('{{"detection":{{"deep":{{"inner":{{"gain":%d.5,"list":[%d,"x",{{"y":null}}],"none":null,"on":%s}},"level":%d}},"threshold":%d}},"empty":{{}},"fs":"%s"}}', p_size - 25, p_size, (p_size % 2 = 0)::VARCHAR, p_size % 7, p_size, p_brand) AS settings FROM se""",
     "plane_view": "SELECT p_partkey AS rec_id, 'fs' AS name, p_size::VARCHAR AS value FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'old', '9' FROM part WHERE p_size % 2 = 1 UNION ALL SELECT p_partkey, 'pix_to_um', (p_size - 25)::VARCHAR || '.0' FROM part WHERE p_size > 25",
-    "pass_cache_key": "SELECT p_partkey AS rec, sha256('absent=null,detection.threshold=' || p_size || ',fs=' || p_brand) AS cache_key FROM part",
+    "pass_cache_key": "SELECT p_partkey AS rec, sha256(CASE WHEN p_size % 11 = 0 THEN 'absent=null,detection.threshold=null,fs=null' ELSE 'absent=null,detection.threshold=' || p_size || ',fs=' || p_brand END) AS cache_key FROM part",
     "calibration": "SELECT s_suppkey AS rec_id, coalesce(arg_max(l_discount, (l_shipdate, l_discount)) FILTER (l_discount > 0), 1.0) AS pix_to_um FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1",
     "pair_filter": "SELECT 'C' || n_regionkey || 'xC' || n_nationkey AS pair, n_regionkey AS pair_a, n_nationkey AS pair_b FROM nation WHERE n_regionkey IN (0, 1, 2, 10, 11, 17) AND n_nationkey IN (0, 1, 2, 10, 11, 17)",
     "representative_event": "WITH p AS (SELECT l_returnflag AS rec_id, l_linenumber AS event_id, count(DISTINCT l_suppkey) AS n_pairs, count(*) AS n_rows FROM lineitem GROUP BY 1, 2) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY n_pairs DESC, n_rows DESC, event_id) = 1",
@@ -276,7 +292,7 @@ ORACLE = {
     "onset_raster": "SELECT DISTINCT c_nationkey AS rec_id, c_custkey AS roi_id, least(140, o_orderkey % 1000 // 7)::INTEGER AS bin FROM orders JOIN customer ON o_custkey = c_custkey",
     "onset_source_rates": f"WITH {SERIES}, l AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY unit ORDER BY frame), 30000) AS b FROM series) SELECT unit AS roi_id, frame FROM l WHERE value > 30000 AND b <= 30000",
     "score_image": f"WITH {FEET} SELECT rec_id, y, x, round((max(roi_id) * 37 % 101) / 101.0::DOUBLE, 6) AS score FROM fp WHERE roi_id % 2 = 0 GROUP BY 1, 2, 3",
-    "splat_rgb": f"WITH {FEET} SELECT y, x, round(sum(w * (s_suppkey % 3) / 2) / sum(w), 6) AS r, round(sum(w * (s_suppkey % 5) / 4) / sum(w), 6) AS g, round(sum(w * s_nationkey / 25) / sum(w), 6) AS b FROM fp JOIN supplier ON s_suppkey = roi_id GROUP BY 1, 2",
+    "splat_rgb": f"WITH {FEET} SELECT rec_id, y, x, round(sum(w * (s_suppkey % 3) / 2) / sum(w), 6) AS r, round(sum(w * (s_suppkey % 5) / 4) / sum(w), 6) AS g, round(sum(w * s_nationkey / 25) / sum(w), 6) AS b FROM fp JOIN supplier ON s_suppkey = roi_id GROUP BY 1, 2, 3",
     "click_to_roi": f"WITH {FEET}, l AS (SELECT y, x, max(roi_id) AS roi_id FROM fp WHERE rec_id = 'A' GROUP BY 1, 2) SELECT event_id, roi_id FROM events LEFT JOIN l ON y = round_even((event_id % 37) / 2.0, 0) AND x = round_even((user_id % 41) / 2.0, 0)",
     "promote_curation": "WITH f AS (SELECT l_partkey AS k, arg_max(l_quantity > 25, l_orderkey) AS keep FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) SELECT p_partkey AS roi_id, coalesce(keep, CASE p_size % 3 WHEN 1 THEN true WHEN 2 THEN false END, p_size % 2 = 1) AS keep FROM part LEFT JOIN f ON k = p_partkey",
     "prominence_range": "SELECT l_returnflag, round(least(min(l_extendedprice), 0.0), 6) AS low, round(greatest(max(l_extendedprice), 20000.0) * 1.05::DOUBLE, 6) AS high FROM lineitem GROUP BY 1",
