@@ -111,3 +111,41 @@ def test_lowpass_of_a_matrix(init):
     assert y[0] == pytest.approx(slow[0])
     for i in range(2, 80):  # the difference equation
         assert signal.lowpass(x[0], 15.07, init=init)[i] == pytest.approx(b @ x[0, [i, i - 1, i - 2]] - a[1] * signal.lowpass(x[0], 15.07, init=init)[i - 1] - a[2] * signal.lowpass(x[0], 15.07, init=init)[i - 2])
+
+
+def test_sliding_order_statistics():
+    r = np.random.default_rng(0)
+    x = r.standard_normal((6, 900)).round(1)
+    for window, edge in ((677, "edge"), (5, "symmetric"), (200, "symmetric"), (1, "edge")):
+        left = window // 2
+        wide = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (left, window - 1 - left)), mode=edge), window, axis=1)
+        want = np.sort(wide, axis=2)[:, :, min(window - 1, int(window * 10 / 100))]
+        for small in (0, 10**9):
+            signal.SMALL, before = small, signal.SMALL
+            got = signal.rolling_ranks(x, window, 10, edge)
+            signal.SMALL = before
+            assert (got == want).all()
+
+
+def test_shift_null_equals_a_sweep_for_each_draw():
+    r = np.random.default_rng(1)
+    a, b = r.standard_normal((400, 5)).cumsum(0), r.standard_normal((400, 3)).cumsum(0)
+    a[:, 2] = 3
+    for fps, most in ((15, 1), (10, 2), (1, 0)):
+        limit, draws, hits = int(fps * most), np.random.default_rng(3), 0
+        real = stats.lagged(a, b, fps, most)[1]
+        for _ in range(40):
+            hits = hits + (stats.lagged(np.roll(a, int(draws.integers(limit + 1, 400 - limit - 1)), 0), b, fps, most)[1] >= real)
+        for cells in (1, 8_000_000):
+            assert np.allclose(stats.shift_null(a, b, fps, most, 40, 3, cells), (1 + hits) / 41)
+
+
+def test_sign_flip_and_leading_vector():
+    r = np.random.default_rng(2)
+    x = r.standard_normal(9) + 0.5
+    signs = 1 - 2 * ((np.arange(512)[:, None] >> np.arange(9)) & 1)
+    exact = (np.abs(signs @ x) >= abs(x.sum()) - 1e-12).mean()
+    assert abs(stats.sign_flip(x, 40_000) - exact) < 0.01 and stats.sign_flip(np.zeros(4)) == 1
+    g = r.standard_normal((50, 20))
+    v, w = stats.leading_vector(g.T @ g), np.linalg.eigh(g.T @ g)[1][:, -1]
+    assert min(np.abs(v - w).max(), np.abs(v + w).max()) < 1e-9

@@ -61,19 +61,62 @@ def interpolate(x: np.ndarray) -> np.ndarray:
 
 def rolling_rank(x: np.ndarray, window: int, percent: float, edge: str = "edge") -> np.ndarray:
     """Order statistic of a sliding window; ``edge``: 'edge' repeats the end sample, 'symmetric' mirrors."""
+    return rolling_ranks(np.asarray(x, float)[None], window, percent, edge)[0]
+
+
+#: Numbers in all windows of a call up to which these are sorted one by one.
+SMALL = 4_000_000
+
+
+def rolling_ranks(x: np.ndarray, window: int, percent: float, edge: str = "edge") -> np.ndarray:
+    """The same for all rows of a matrix at once, in memory linear in it.
+
+    Samples are known by their places in the row's order. A row has a mark for each place inside the window and a count for
+    each block of places; a step sets one mark, clears one, and finds the wanted place by its block's count. One step serves
+    all rows.
+    """
     window = max(1, window)
     left = window // 2
-    y = np.pad(np.asarray(x, float), (left, window - 1 - left), mode=edge)
+    y = np.pad(np.asarray(x, float), ((0, 0), (left, window - 1 - left)), mode=edge)
+    rows, n = y.shape
     rank = min(window - 1, int(window * percent / 100))
-    return np.partition(np.lib.stride_tricks.sliding_window_view(y, window), rank, axis=1)[:, rank]
+    if rows * n * window <= SMALL:
+        return np.partition(np.lib.stride_tricks.sliding_window_view(y, window, axis=1), rank, axis=2)[:, :, rank]
+    order = np.argsort(y, axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(n), (rows, n)), axis=1)
+    ordered = np.take_along_axis(y, order, axis=1)
+    block = max(8, int(np.sqrt(n)))
+    blocks = -(-n // block)
+    marks, counts = np.zeros((rows, blocks, block), np.int8), np.zeros((rows, blocks), np.int32)
+    which, at = np.divmod(place, block)
+    row = np.arange(rows)
+    for i in range(window - 1):
+        marks[row, which[:, i], at[:, i]] = 1
+        counts[row, which[:, i]] += 1
+    out = np.empty((rows, n - window + 1))
+    for i in range(window - 1, n):
+        marks[row, which[:, i], at[:, i]] = 1
+        counts[row, which[:, i]] += 1
+        below = np.cumsum(counts, axis=1)
+        b = (below > rank).argmax(1)
+        rest = rank - (below[row, b] - counts[row, b])
+        k = (np.cumsum(marks[row, b], axis=1, dtype=np.int32) > rest[:, None]).argmax(1)
+        first = i - window + 1
+        out[:, first] = ordered[row, b * block + k]
+        marks[row, which[:, first], at[:, first]] = 0
+        counts[row, which[:, first]] -= 1
+    return out
 
 
 def dff_rolling(f: np.ndarray, fps: float, window_s: float = 45, percent: float = 10) -> np.ndarray:
-    f = interpolate(f)
-    base = rolling_rank(f, max(3, int(window_s * fps) | 1), percent)
-    floor = np.percentile(base, 1)
-    floor = floor if floor > 0 else 1e-9
-    return (f - base) / np.maximum(base, floor)
+    """dF/F of a trace, or of the rows of a matrix, against a rolling percentile that is held above its own first percentile."""
+    f = np.asarray(f, float)
+    rows = np.stack([interpolate(v) for v in np.atleast_2d(f)])
+    base = rolling_ranks(rows, max(3, int(window_s * fps) | 1), percent)
+    floor = np.percentile(base, 1, axis=1, keepdims=True)
+    out = (rows - base) / np.maximum(base, np.where(floor > 0, floor, 1e-9))
+    return out if f.ndim > 1 else out[0]
 
 
 def dff_first(f: np.ndarray, fps: float, minutes: float = 2.0) -> np.ndarray:
