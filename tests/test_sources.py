@@ -86,7 +86,7 @@ def test_images(spark):
         images.shift_to_uint16(px.withColumn("v", F.col("v") * 10000), ["rec_id"]).collect()
     assert {r.grey for r in images.preview(px, 5).collect()} <= set(range(256))
     assert images.heat_rows(px, ["rec_id"], "v").where("heat = 255").count() >= 1
-    assert images.mean_image(px).orderBy("x").first().mean == 20
+    assert images.mean_image(px, ()).orderBy("x").first().mean == 20
     f = spark.createDataFrame([("a", "r_10.tif", 3), ("a", "r_2.tif", 4)], "rec_id string, path string, n_frames int")
     assert {r.path: r.first_frame for r in images.global_frames(f).collect()} == {"r_2.tif": 0, "r_10.tif": 4}
     rois = spark.createDataFrame([("a", 0, [0, 1, 9], [0, 1, 0], [1.0, 1.0, 1.0])], "rec_id string, roi_id int, ypix array<int>, xpix array<int>, lam array<double>")

@@ -22,14 +22,44 @@ def test_chain(spark, tmp_path):
     recs = spark.createDataFrame([("two", 15.0), ("one", 10.0), ("none", 15.0), ("uneven", 15.0), ("bad", 0.0)], "rec_id string, fps double")
     from dataclasses import replace
 
-    got = {x.rec_id: x.status for x in stages.run(recs, rois, str(tmp_path), replace(DEFAULT, shuffles=0, bin_s=0.1, min_prominence=0.1), shuffles=5).collect()}
-    assert got == {"two": "done", "one": "done", "none": "no_rois", "uneven": "failed", "bad": "no_rois"}
+    params = replace(DEFAULT, shuffles=0, bin_s=0.1, min_prominence=0.1)
+    found = stages.run(recs, rois, str(tmp_path), params, shuffles=5)
+    assert {x.rec_id: x.status for x in found.collect()} == {"two": "done", "one": "done", "none": "no_rois", "uneven": "failed", "bad": "no_rois"}
     read = lambda n: spark.read.parquet(str(tmp_path / n))
     assert read("traces").count() == 5 and {x.rec_id for x in read("clusters").collect()} == {"two"} == {x.rec_id for x in read("xcorr").collect()}
     e = read("events").where("rec_id = 'two'").collect()
     assert any(abs(x.peak_s - 10) < 1 for x in e) and any(abs(x.peak_s - 400 / 15) < 1 for x in e)
     a = read("activation")
-    assert a.where("rec_id = 'two'").select("roi_id").distinct().count() == 4 and read("errors").count() == 0
+    assert a.where("rec_id = 'two'").select("roi_id").distinct().count() == 4 and read("stages").where("status = 'failed'").count() == 0
+    state = {(x.rec_id, x.stage): x.status for x in read("stages").collect()}
+    assert state["two", "xcorr"] == "ok" and state["one", "clusters"] == "skipped" and state["one", "events"] == "ok" and state["none", "traces"] == "skipped" and len(state) == 30
+
+
+def test_a_recording_that_fails_leaves_the_others(spark, tmp_path):
+    from dataclasses import replace
+
+    r = np.random.default_rng(0)
+    trace = lambda: (100 + r.standard_normal(200) + 50 * (np.arange(200) % 90 == 5)).tolist()
+    rows = [(rec, i, trace(), [0.0] * 200, [float(t % 50 == 3) for t in range(200)], True) for rec in ("a", "b", "slow", "lost") for i in range(3)]
+    rois = spark.createDataFrame(rows, "rec_id string, roi_id int, f array<double>, fneu array<double>, spks array<double>, keep boolean")
+    # A recording of years has too many bins for its events; one of a rate beyond all bounds has no window for its baseline.
+    recs = spark.createDataFrame([("a", 10.0), ("b", 12.5), ("slow", 1e-9), ("lost", 1e300)], "rec_id string, fps double")
+    params = replace(DEFAULT, shuffles=0, bin_s=0.1)
+    for source in ("derivative", "rates"):
+        out = str(tmp_path / source)
+        got = {x.rec_id: x for x in stages.run(recs, rois, out, params, shuffles=3, source=source).collect()}
+        state = {(x.rec_id, x.stage): x for x in spark.read.parquet(f"{out}/stages").collect()}
+        assert {k: x.status for k, x in got.items()} == {"a": "done", "b": "done", "slow": "partial", "lost": "partial"}
+        assert state["slow", "events"].status == "failed" and state["slow", "events"].message and state["slow", "activation"].status == "skipped" and state["slow", "clusters"].status == "ok"
+        assert state["lost", "traces"].status == "failed" and {state["lost", s].status for s in list(stages.NEEDS)[1:]} == {"skipped"}
+        assert "events: " in got["slow"].messages and got["slow"].n_failed == 1
+        assert {x.rec_id for x in spark.read.parquet(f"{out}/xcorr").collect()} == {"a", "b", "slow"}
+    on = spark.read.parquet(f"{out}/onsets").where("rec_id = 'b'").collect()
+    assert {x.onset_frame for x in on} == {3, 53, 103, 153} and all(abs(x.onset_s - x.onset_frame / 12.5) < 1e-9 for x in on)
+    import pytest
+
+    with pytest.raises(ValueError, match="no onset source"):
+        stages.run(recs, rois, out, source="other")
 
 
 def test_patches(spark):

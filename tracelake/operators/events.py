@@ -15,12 +15,13 @@ from pyspark.sql.window import Window
 from tracelake.kernels import events as kernel
 from tracelake.kernels import signal, stats
 from tracelake.operators import tables
+from tracelake.operators.guard import guarded, names, with_error
 
 EVENTS = "rec_id string, event_id int, start_s double, peak_s double, end_s double, height double, prominence double, mu_s double, sigma_s double, source_left string, source_right string, floor double, noise double"
 PAIRS = "rec_id string, event_id int, cluster_a int, cluster_b int, roi_a int, roi_b int, best_lag_sec double, max_corr double, zero_lag_corr double, p_value double, p_value_fdr double"
 
 
-def detect_events(onsets: DataFrame, recordings: DataFrame, params: kernel.EventParams = kernel.DEFAULT) -> DataFrame:
+def detect_events(onsets: DataFrame, recordings: DataFrame, params: kernel.EventParams = kernel.DEFAULT, guard: bool = False) -> DataFrame:
     """Event windows of each recording.
 
     ``onsets``: (rec_id, roi_id, onset_s); ``recordings``: (rec_id, duration_s, n_rois), silent units counted. A recording
@@ -34,30 +35,40 @@ def detect_events(onsets: DataFrame, recordings: DataFrame, params: kernel.Event
         found = [np.asarray(t, float) for t in pdf["train"]]
         found += [np.zeros(0)] * (int(pdf["n_rois"].iloc[0]) - len(found))
         rows = kernel.detect(found, float(pdf["duration_s"].iloc[0]), params)
-        return pd.DataFrame([{"rec_id": pdf["rec_id"].iloc[0], **r} for r in rows], columns=[c.split()[0] for c in EVENTS.split(", ")])
+        return pd.DataFrame([{"rec_id": pdf["rec_id"].iloc[0], **r} for r in rows], columns=names(EVENTS))
 
-    return both.groupBy("rec_id").applyInPandas(run, EVENTS)
+    return both.groupBy("rec_id").applyInPandas(guarded(run, EVENTS, ["rec_id"], guard), with_error(EVENTS, guard))
 
 
-def onset_frames(traces: DataFrame, fps: float, high: float = 3.5, low: float = 1.5, gap_s: float = 0.1, tau_s: float | None = None, min_rise: float = 0.0) -> DataFrame:
-    """(rec_id, roi_id, dt, lp) to onsets at the feet of their rises; one map, no shuffle."""
-    window = kernel.backtrack_window(fps, tau_s)
+ONSETS = "rec_id string, roi_id int, onset_frame int, onset_s double"
+
+
+def onset_frames(traces: DataFrame, fps: float | str, high: float = 3.5, low: float = 1.5, gap_s: float = 0.1, tau_s: float | None = None, min_rise: float = 0.0, guard: bool = False) -> DataFrame:
+    """(rec_id, roi_id, dt, lp) to onsets at the feet of their rises; one map, no shuffle. ``fps``: a number or a column."""
+    own = isinstance(fps, str)
+
+    def of(pdf):
+        rows = []
+        for rec, roi, dt, lp, rate in zip(pdf["rec_id"], pdf["roi_id"], pdf["dt"], pdf["lp"], pdf[fps] if own else [fps] * len(pdf), strict=True):
+            if dt is not None and lp is not None and len(dt):
+                at = signal.hysteresis(signal.robust_z(dt), high, low, int(gap_s * rate))
+                rows += [(rec, roi, int(k), k / rate) for k in kernel.backtrack(at, lp, kernel.backtrack_window(rate, tau_s), min_rise)]
+        return pd.DataFrame(rows, columns=names(ONSETS))
 
     def run(batches):
+        one = guarded(of, ONSETS, ["rec_id", "roi_id"], guard)
         for pdf in batches:
-            rows = []
-            for rec, roi, dt, lp in zip(pdf["rec_id"], pdf["roi_id"], pdf["dt"], pdf["lp"], strict=True):
-                if dt is not None and lp is not None and len(dt):
-                    at = signal.hysteresis(signal.robust_z(dt), high, low, int(gap_s * fps))
-                    rows += [(rec, roi, int(k), k / fps) for k in kernel.backtrack(at, lp, window, min_rise)]
-            yield pd.DataFrame(rows, columns=["rec_id", "roi_id", "onset_frame", "onset_s"])
+            if not guard:
+                yield of(pdf)
+            else:
+                yield from (one(pdf.iloc[i : i + 1]) for i in range(len(pdf)))
 
-    return traces.select("rec_id", "roi_id", "dt", "lp").mapInPandas(run, "rec_id string, roi_id int, onset_frame int, onset_s double")
+    return traces.select("rec_id", "roi_id", "dt", "lp", *([fps] if own else [])).mapInPandas(run, with_error(ONSETS, guard))
 
 
-def _members(traces: DataFrame, clusters: DataFrame, column: str) -> DataFrame:
+def _members(traces: DataFrame, clusters: DataFrame, column: str, *more: str) -> DataFrame:
     ids = clusters.select("rec_id", "roi_id", "cluster_id").distinct()
-    return traces.select("rec_id", "roi_id", F.col(column).alias("x")).join(ids, ["rec_id", "roi_id"])
+    return traces.select("rec_id", "roi_id", F.col(column).alias("x"), *more).join(ids, ["rec_id", "roi_id"])
 
 
 def cluster_pairs(clusters: DataFrame) -> DataFrame:
@@ -67,29 +78,32 @@ def cluster_pairs(clusters: DataFrame) -> DataFrame:
     return a.join(b, "rec_id").where("cluster_a <= cluster_b").withColumn("is_self", F.expr("cluster_a = cluster_b"))
 
 
-def cluster_correlation(traces: DataFrame, clusters: DataFrame, fps: float, max_lag: float = 2.0, shuffles: int = 500, seed: int = 0, column: str = "lp", windows: DataFrame | None = None, min_frames: int = 8) -> DataFrame:
+def cluster_correlation(traces: DataFrame, clusters: DataFrame, fps: float | str, max_lag: float = 2.0, shuffles: int = 500, seed: int = 0, column: str = "lp", windows: DataFrame | None = None, min_frames: int = 8, guard: bool = False) -> DataFrame:
     """All unit pairs of every cluster pair, one task a cluster pair (and event); q values inside each of them.
 
     With ``windows`` (rec_id, event_id, start_s, end_s), traces are cropped to [rint(start * fps), rint(end * fps)), shorter
     crops than ``min_frames`` are left out, lags reach one frame less than the crop, and there is no null.
-    Pair number within a recording is added to the seed.
+    Pair number within a recording is added to the seed. ``fps``: a number or a column of the traces.
     """
+    rate = F.col(fps) if isinstance(fps, str) else F.lit(float(fps))
     pairs = cluster_pairs(clusters)
     pairs = pairs.withColumn("number", F.row_number().over(Window.partitionBy("rec_id").orderBy("cluster_a", "cluster_b")) - 1)
-    member = _members(traces, clusters, column)
+    member = _members(traces.withColumn("_fps", rate), clusters, column, "_fps")
     left = pairs.join(member.withColumnRenamed("cluster_id", "cluster_a"), ["rec_id", "cluster_a"]).withColumn("side", F.lit(0))
     right = pairs.join(member.withColumnRenamed("cluster_id", "cluster_b"), ["rec_id", "cluster_b"]).withColumn("side", F.lit(1))
     both = left.unionByName(right).withColumn("event_id", F.lit(None).cast("int"))
     if windows is not None:
-        crop = windows.select("rec_id", F.col("event_id").cast("int").alias("event_id"), F.greatest(F.rint(F.col("start_s") * fps).cast("int"), F.lit(0)).alias("i"), F.rint(F.col("end_s") * fps).cast("int").alias("j"))
-        both = both.drop("event_id").join(crop, "rec_id").withColumn("x", F.expr("slice(x, i + 1, greatest(j - i, 0))")).where(F.size("x") >= min_frames).drop("i", "j")
+        crop = windows.select("rec_id", F.col("event_id").cast("int").alias("event_id"), "start_s", "end_s")
+        both = both.drop("event_id").join(crop, "rec_id").withColumns({"i": F.greatest(F.rint(F.col("start_s") * F.col("_fps")).cast("int"), F.lit(0)), "j": F.rint(F.col("end_s") * F.col("_fps")).cast("int")})
+        both = both.withColumn("x", F.expr("slice(x, i + 1, greatest(j - i, 0))")).where(F.size("x") >= min_frames).drop("i", "j", "start_s", "end_s")
     per_event = windows is not None
 
     def run(pdf):
         pdf = pdf.sort_values(["side", "roi_id"])
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if a.empty or b.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in PAIRS.split(", ")])
+            return pd.DataFrame(columns=names(PAIRS))
+        fps = float(pdf["_fps"].iloc[0])
         xa, xb = (np.stack([np.asarray(v, float) for v in s["x"]], 1) for s in (a, b))
         lag, best, zero = stats.lagged(xa, xb, fps, max_lag)
         p = np.full(lag.shape, np.nan) if per_event else stats.shift_null(xa, xb, fps, max_lag, shuffles, seed + int(pdf["number"].iloc[0]))
@@ -99,7 +113,7 @@ def cluster_correlation(traces: DataFrame, clusters: DataFrame, fps: float, max_
         out |= {"best_lag_sec": lag.ravel(), "max_corr": best.ravel(), "zero_lag_corr": zero.ravel(), "p_value": p.ravel(), "p_value_fdr": p.ravel() if per_event else stats.fdr(p.ravel())}
         return pd.DataFrame(out)
 
-    found = both.groupBy("rec_id", "event_id", "cluster_a", "cluster_b").applyInPandas(run, PAIRS)
+    found = both.groupBy("rec_id", "event_id", "cluster_a", "cluster_b").applyInPandas(guarded(run, PAIRS, ["rec_id"], guard), with_error(PAIRS, guard))
     leader = F.expr("case when best_lag_sec < 0 then 'A' when best_lag_sec > 0 then 'B' else 'none' end")
     found = found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("p_value", "p_value_fdr")})
     return found.withColumns({"leader": leader, "is_diagonal": F.col("roi_a") == F.col("roi_b")})

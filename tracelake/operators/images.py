@@ -23,7 +23,7 @@ def global_frames(files: DataFrame, group: str = "rec_id") -> DataFrame:
     return files.withColumn("first_frame", F.coalesce(F.sum("n_frames").over(w), F.lit(0)))
 
 
-def mean_image(pixels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def mean_image(pixels: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
     return pixels.groupBy(*keys, "y", "x").agg(F.avg("v").alias("mean"))
 
 

@@ -195,15 +195,15 @@ def auroc(df: DataFrame, label: str, score: str, grain: float = 4096.0) -> DataF
     return total.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auroc"))
 
 
-def splat(pixels: DataFrame, value: str, weight: str) -> DataFrame:
-    """Weighted mean of unit values on (y, x); uncovered pixels have no row."""
-    return pixels.groupBy("y", "x").agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("image"))
+def splat(pixels: DataFrame, value: str, weight: str, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Weighted mean of unit values on each (y, x) of a recording; uncovered pixels have no row."""
+    return pixels.groupBy(*keys, "y", "x").agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("image"))
 
 
-def drop_overlapping(extra: DataFrame, primary: DataFrame, limit: float = 0.3) -> DataFrame:
-    """Units of ``extra`` (unit, y, x) whose share of pixels covered by ``primary`` is below ``limit``."""
-    seen = primary.select("y", "x").distinct().withColumn("hit", F.lit(1.0))
-    share = extra.join(seen, ["y", "x"], "left").groupBy("unit").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("covered"))
+def drop_overlapping(extra: DataFrame, primary: DataFrame, limit: float = 0.3, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Units of ``extra`` (rec_id, unit, y, x) whose share of pixels covered by ``primary`` in the same recording is below ``limit``."""
+    seen = primary.select(*keys, "y", "x").distinct().withColumn("hit", F.lit(1.0))
+    share = extra.join(seen, [*keys, "y", "x"], "left").groupBy(*keys, "unit").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("covered"))
     return share.where(F.col("covered") < limit)
 
 
@@ -230,11 +230,25 @@ def runs(df: DataFrame, key: str, value: str) -> DataFrame:
     return ends.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", text.alias("s")))), lambda x: x["s"]), ",").alias("runs"))
 
 
-def neighbour_corr(pixels: DataFrame) -> DataFrame:
-    """Pearson of a pixel with the mean of its four neighbours over frames, from five sums: (frame, y, x, v)."""
+def neighbour_sums(pixels: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Sums over frames of a pixel v and the mean w of its four neighbours: (keys, y, x, t, sx, sy, sxy, sxx, syy).
+
+    Pixels (keys, frame, y, x, v). Sums of parts of a recording add up to those of the whole.
+    """
     moves = F.explode(F.expr("array(struct(1 as dy, 0 as dx), struct(-1 as dy, 0 as dx), struct(0 as dy, 1 as dx), struct(0 as dy, -1 as dx))"))
-    near = pixels.select("frame", "y", "x", "v", moves.alias("m")).select("frame", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), F.col("v").alias("w"))
-    mean = near.groupBy("frame", "y", "x").agg(F.avg("w").alias("w"))
-    s = pixels.join(mean, ["frame", "y", "x"]).groupBy("y", "x").agg(F.count("*").alias("t"), F.sum("v").alias("sx"), F.sum("w").alias("sy"), F.sum(F.col("v") * F.col("w")).alias("sxy"), F.sum(F.col("v") * F.col("v")).alias("sxx"), F.sum(F.col("w") * F.col("w")).alias("syy"))
+    near = pixels.select(*keys, "frame", "y", "x", "v", moves.alias("m")).select(*keys, "frame", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), F.col("v").alias("w"))
+    mean = near.groupBy(*keys, "frame", "y", "x").agg(F.avg("w").alias("w"))
+    both = pixels.join(mean, [*keys, "frame", "y", "x"])
+    return both.groupBy(*keys, "y", "x").agg(F.count("*").alias("t"), F.sum("v").alias("sx"), F.sum("w").alias("sy"), F.sum(F.col("v") * F.col("w")).alias("sxy"), F.sum(F.col("v") * F.col("v")).alias("sxx"), F.sum(F.col("w") * F.col("w")).alias("syy"))
+
+
+def corr_of_sums(sums: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Pearson of each pixel from sums, added up over all rows of the pixel; flat pixels are 0."""
+    s = sums.groupBy(*keys, "y", "x").agg(*(F.sum(c).alias(c) for c in ("t", "sx", "sy", "sxy", "sxx", "syy")))
     d = F.expr("(t * sxx - sx * sx) * (t * syy - sy * sy)")
-    return s.select("y", "x", F.when(d > 1e-9, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("t * sxy - sx * sy") / F.sqrt(d)))).otherwise(F.lit(0.0)).alias("corr"))
+    return s.select(*keys, "y", "x", F.when(d > 1e-9, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("t * sxy - sx * sy") / F.sqrt(d)))).otherwise(F.lit(0.0)).alias("corr"))
+
+
+def neighbour_corr(pixels: DataFrame, keys: tuple[str, ...] = ("rec_id",)) -> DataFrame:
+    """Pearson of a pixel with the mean of its four neighbours over frames, in each recording."""
+    return corr_of_sums(neighbour_sums(pixels, keys), keys)

@@ -5,42 +5,50 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.kernels import signal, stats
+from tracelake.operators.guard import guarded, with_error
 
 BLOCK_SAMPLES = 4_000_000
 TRACES = "rec_id string, roi_id int, dff array<double>, lp array<double>, dt array<double>, low_baseline boolean"
 
 
-def process_traces(traces: DataFrame, fps: float, r: float = 0.7, method: str = "rolling", cutoff: float = 1.0) -> DataFrame:
-    """(rec_id, roi_id, f, fneu) to dF/F, low-pass and derivative: one map, no shuffle. ``f`` and ``fneu`` are of one length; null traces give no row."""
-    dff_of = signal.dff_rolling if method == "rolling" else signal.dff_first
+def process_traces(traces: DataFrame, fps: float | str, r: float = 0.7, method: str = "rolling", cutoff: float = 1.0, guard: bool = False) -> DataFrame:
+    """(rec_id, roi_id, f, fneu) to dF/F, low-pass and derivative: one map, no shuffle. ``f`` and ``fneu`` are of one length; null traces give no row.
 
-    def run(batches):
-        for pdf in batches:
-            size = pdf["f"].map(len)
-            # Traces of equal length are filtered as one matrix; blocks bound its size.
-            for n, same in pdf.groupby(size, sort=False):
-                step = max(1, BLOCK_SAMPLES // max(1, n))
-                for some in (same.iloc[i : i + step] for i in range(0, len(same), step)):
-                    x = [signal.interpolate(np.asarray(f, float) - r * np.asarray(neu, float)) for f, neu in zip(some["f"], some["fneu"], strict=True)]
-                    dff = [dff_of(v, fps) if n else v for v in x]
-                    lp = signal.lowpass(np.stack(dff), fps, cutoff)
-                    low = [bool(n and np.percentile(v, 10) < 1e-6) for v in x]
-                    yield pd.DataFrame({"rec_id": some["rec_id"].to_numpy(), "roi_id": some["roi_id"].to_numpy(), "dff": dff, "lp": list(lp), "dt": [signal.savgol_derivative(v, fps) for v in lp], "low_baseline": low})
-
-    return traces.where("f is not null and fneu is not null").select("rec_id", "roi_id", "f", "fneu").mapInPandas(run, TRACES)
+    ``fps`` is a number or the column that holds each recording's. With ``guard``, units that fail leave a row with a message.
+    """
+    own = isinstance(fps, str)
 
-
-def onsets(traces: DataFrame, fps: float, high: float = 3.5, low: float = 1.5, gap_s: float = 0.1) -> DataFrame:
-    """(rec_id, roi_id, dt) to onset frames and seconds."""
+    def block(some: pd.DataFrame, n: int, rate: float) -> pd.DataFrame:
+        x = np.stack([signal.interpolate(np.asarray(f, float) - r * np.asarray(neu, float)) for f, neu in zip(some["f"], some["fneu"], strict=True)])
+        dff = x if not n else signal.dff_rolling(x, rate) if method == "rolling" else np.stack([signal.dff_first(v, rate) for v in x])
+        lp = signal.lowpass(dff, rate, cutoff)
+        low = [bool(n and np.percentile(v, 10) < 1e-6) for v in x]
+        return pd.DataFrame({"rec_id": some["rec_id"].to_numpy(), "roi_id": some["roi_id"].to_numpy(), "dff": list(dff), "lp": list(lp), "dt": [signal.savgol_derivative(v, rate) for v in lp], "low_baseline": low})
 
     def run(batches):
         for pdf in batches:
-            found = [(a, b, int(k), k / fps) for a, b, x in zip(pdf["rec_id"], pdf["roi_id"], pdf["dt"], strict=True) for k in signal.hysteresis(signal.robust_z(x), high, low, int(gap_s * fps))]
-            yield pd.DataFrame(found, columns=["rec_id", "roi_id", "onset_frame", "onset_s"])
-
-    return traces.select("rec_id", "roi_id", "dt").mapInPandas(run, "rec_id string, roi_id int, onset_frame int, onset_s double")
+            # Traces of equal length and rate are filtered as one matrix; blocks bound its size.
+            pdf = pdf.assign(n=pdf["f"].map(len), rate=pdf[fps] if own else fps)
+            for (n, rate), same in pdf.groupby(["n", "rate"], sort=False):
+                step = max(1, BLOCK_SAMPLES // max(1, n))
+                for i in range(0, len(same), step):
+                    some = same.iloc[i : i + step]
+                    if not guard:
+                        yield block(some, n, rate)
+                        continue
+                    try:
+                        yield block(some, n, rate).assign(error=None)
+                    except Exception:  # noqa: BLE001 - units of a failed block are tried one by one
+                        one = guarded(lambda x, n=n, rate=rate: block(x, n, rate), TRACES, ["rec_id", "roi_id"], True)
+                        for j in range(len(some)):
+                            yield one(some.iloc[j : j + 1])
+
+    rows = traces.where("f is not null and fneu is not null").select("rec_id", "roi_id", "f", "fneu", *([fps] if own else []))
+    return rows.mapInPandas(run, with_error(TRACES, guard))
 
 
 def _matrix(pdf: pd.DataFrame, column: str) -> tuple[list, np.ndarray]:
@@ -48,42 +56,108 @@ def _matrix(pdf: pd.DataFrame, column: str) -> tuple[list, np.ndarray]:
     return pdf["roi_id"].tolist(), np.stack([np.asarray(x, float) for x in pdf[column]], 1)
 
 
-def clusters(traces: DataFrame, column: str = "lp", target: tuple[int, int] = (4, 5)) -> DataFrame:
+CLUSTERS = "rec_id string, roi_id int, cluster_id int, threshold double"
+
+
+def clusters(traces: DataFrame, column: str = "lp", target: tuple[int, int] = (4, 5), guard: bool = False) -> DataFrame:
     """Ward clusters of each recording's traces; recordings with fewer than two units give none."""
 
     def run(pdf):
         ids, x = _matrix(pdf, column)
         if len(ids) < 2:
             return pd.DataFrame(columns=["rec_id", "roi_id", "cluster_id", "threshold"])
-        z = stats.ward(((x - x.mean(0)) / (x.std(0) + 1e-8)).T)
+        z = stats.ward(_standard(x).T)
         t = stats.auto_threshold(z[:, 2], target) * z[-1, 2]
         return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "roi_id": ids, "cluster_id": stats.cut(z, t), "threshold": t})
 
-    return traces.groupBy("rec_id").applyInPandas(run, "rec_id string, roi_id int, cluster_id int, threshold double")
+    return traces.groupBy("rec_id").applyInPandas(guarded(run, CLUSTERS, ["rec_id"], guard), with_error(CLUSTERS, guard))
 
 
-def cross_correlation(traces: DataFrame, fps: float, max_lag: float = 2.0, shuffles: int = 500, seed: int = 0, column: str = "lp") -> DataFrame:
-    """All pairs of a recording's units: best lag, correlations, shuffle p and its q."""
+def _standard(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(0)) / (x.std(0) + 1e-8)
 
-    def run(pdf):
-        ids, x = _matrix(pdf, column)
-        lag, best, zero = stats.lagged(x, x, fps, max_lag)
-        p = stats.shift_null(x, x, fps, max_lag, shuffles, seed)
-        a, b = (i.ravel() for i in np.indices(lag.shape))
-        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "roi_a": np.array(ids)[a], "roi_b": np.array(ids)[b], "best_lag_sec": lag.ravel(), "max_corr": best.ravel(), "zero_lag_corr": zero.ravel(), "p_value": p.ravel(), "p_value_fdr": stats.fdr(p.ravel())})
 
-    return traces.groupBy("rec_id").applyInPandas(run, "rec_id string, roi_a int, roi_b int, best_lag_sec double, max_corr double, zero_lag_corr double, p_value double, p_value_fdr double")
+LINKAGE = "rec_id string, step int, a int, b int, height double, size int"
+
 
+def linkage(traces: DataFrame, column: str = "lp", guard: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The Ward merge trees of recordings as tables that are kept and cut without a refit.
 
-def drift(traces: DataFrame, column: str = "f") -> DataFrame:
-    """Frames of common steps in the first principal component."""
+    merges (rec_id, step, a, b, height, size): steps from 0 by rising height; nodes below the number of units are leaves, the
+    step's own node is units + step. leaves (rec_id, leaf, roi_id): units numbered by roi_id. One task a recording.
+    """
 
     def run(pdf):
         ids, x = _matrix(pdf, column)
-        at = stats.steps(stats.first_component(x)) if len(x) >= 10 and len(ids) >= 2 else []
+        if len(ids) < 2:
+            return pd.DataFrame(columns=[c.split()[0] for c in LINKAGE.split(", ")])
+        z = stats.ward(_standard(x).T)
+        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "step": np.arange(len(z)), "a": z[:, 0].astype(int), "b": z[:, 1].astype(int), "height": z[:, 2], "size": z[:, 3].astype(int)})
+
+    merges = traces.groupBy("rec_id").applyInPandas(guarded(run, LINKAGE, ["rec_id"], guard), with_error(LINKAGE, guard))
+    place = F.row_number().over(Window.partitionBy("rec_id").orderBy("roi_id")) - 1
+    return merges, traces.select("rec_id", "roi_id").distinct().select("rec_id", place.alias("leaf"), "roi_id")
+
+
+UNITS_OF_STEPS = 2048
+
+
+def drift(traces: DataFrame, column: str = "f", most: int = UNITS_OF_STEPS, block: int = 256) -> DataFrame:
+    """Frames of common steps in the first principal component of z-scored traces.
+
+    The component's loadings come from the Gram matrix of units, by blocks: units are dealt to blocks of ``block``, pairs of
+    blocks give their products in tasks of their own, and what meets in one task is the matrix of at most ``most`` units, the
+    first by a checksum of their ids (fewer units take part as they are). Recordings with fewer than two units or ten frames
+    have no steps.
+    """
+    keyed = traces.select("rec_id", "roi_id", F.col(column).alias("x")).where("x is not null")
+    pick = F.row_number().over(Window.partitionBy("rec_id").orderBy(F.crc32(F.col("roi_id").cast("string").cast("binary")), "roi_id"))
+    chosen = keyed.select("rec_id", "roi_id").withColumn("_k", pick).where(F.col("_k") <= most)
+    chosen = chosen.withColumn("b", ((F.col("_k") - 1) / block).cast("int")).drop("_k")
+    units = keyed.join(chosen, ["rec_id", "roi_id"])
+    ends = units.groupBy("rec_id").agg(F.max("b").alias("last"), F.count("*").alias("n"), F.min(F.size("x")).alias("t")).where("n >= 2 and t >= 10")
+    units = units.join(ends, "rec_id")
+    # Each block meets every other one once: a unit goes to all pairs (p, q), p <= q, of its block.
+    both = F.expr("transform(sequence(0, last), o -> struct(least(b, o) as p, greatest(b, o) as q))")
+    pairs = units.withColumn("_p", F.explode(both)).select("rec_id", "roi_id", "b", "t", F.slice("x", F.lit(1), F.col("t")).alias("x"), "_p.p", "_p.q")
+
+    def product(pdf):
+        pdf = pdf.sort_values(["b", "roi_id"])
+        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+        z = stats.zscore(np.stack([signal.interpolate(x) for x in pdf["x"]], 1))
+        left, right = (pdf["b"].to_numpy() == c for c in (p, q))
+        part = z[:, left].T @ z[:, right]
+        return pd.DataFrame({"rec_id": [pdf["rec_id"].iloc[0]], "p": [p], "q": [q], "rows": [part.shape[0]], "g": [part.ravel()]})
+
+    parts = pairs.groupBy("rec_id", "p", "q").applyInPandas(product, "rec_id string, p int, q int, rows int, g array<double>")
+
+    def loadings(pdf):
+        k = int(pdf["q"].max()) + 1
+        cell = {(r.p, r.q): np.asarray(r.g).reshape(r.rows, -1) for r in pdf.itertuples()}
+        gram = np.block([[cell[i, j] if i <= j else cell[j, i].T for j in range(k)] for i in range(k)])
+        v = stats.leading_vector(gram)
+        v = v if v[np.abs(v).argmax()] > 0 else -v
+        at = np.repeat(np.arange(k), [cell[i, i].shape[0] for i in range(k)])
+        return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "b": at, "i": np.concatenate([np.arange((at == i).sum()) for i in range(k)]), "w": v})
+
+    weights = parts.groupBy("rec_id").applyInPandas(loadings, "rec_id string, b int, i int, w double")
+    placed = units.withColumn("i", F.row_number().over(Window.partitionBy("rec_id", "b").orderBy("roi_id")) - 1)
+    scored = placed.join(weights, ["rec_id", "b", "i"])
+
+    def partial(batches):
+        # Weighted sums of z-scored traces: one row for each recording of a batch.
+        for pdf in batches:
+            for rec, same in pdf.groupby("rec_id", sort=False):
+                z = stats.zscore(np.stack([signal.interpolate(x[:t]) for x, t in zip(same["x"], same["t"], strict=True)], 1))
+                yield pd.DataFrame({"rec_id": [rec], "s": [z @ same["w"].to_numpy()]})
+
+    sums = scored.select("rec_id", "x", "t", "w").mapInPandas(partial, "rec_id string, s array<double>")
+
+    def steps(pdf):
+        at = stats.steps(np.sum([np.asarray(s) for s in pdf["s"]], axis=0))
         return pd.DataFrame({"rec_id": pdf["rec_id"].iloc[0], "frame": np.asarray(at, int)})
 
-    return traces.groupBy("rec_id").applyInPandas(run, "rec_id string, frame int")
+    return sums.groupBy("rec_id").applyInPandas(steps, "rec_id string, frame int")
 
 
 def monotonicity(active: DataFrame, shuffles: int = 10_000, seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
 from tracelake.operators import events, images, tables, traces
+from tracelake.plans.chain import processed
 from tracelake.plans.common import PIXELS, SERIES, UNITS, WINDOWS, pixels, r6
 from tracelake.sources import drivers as src
 from tracelake.sources import files
@@ -117,52 +118,21 @@ def detect_events(spark, d):
     return events.detect_events(u, recs, events.kernel.GUI)
 
 
-def _processed(spark, d) -> DataFrame:
-    # Days without sales are many: a pedestal keeps the baselines positive.
-    t = src.traces(spark, d).select("rec_id", "roi_id", F.transform("x", lambda v: v + 100_000.0).alias("f"), F.transform("x", lambda v: v * 0.0).alias("fneu"))
-    return traces.process_traces(t, FPS)
-
-
-def trace_processing(spark, d):
-    return _processed(spark, d).select("rec_id", "roi_id", F.size("lp").alias("n_frames"), "low_baseline", r6(F.array_max("lp"), "peak"))
-
-
-def onset_frames(spark, d):
-    return events.onset_frames(_processed(spark, d), FPS)
-
-
-def ward_clusters(spark, d):
-    return traces.clusters(_processed(spark, d))
-
-
 def cluster_correlation(spark, d):
-    t = _processed(spark, d)
+    t = processed(spark, d)
     return events.cluster_correlation(t, traces.clusters(t), FPS, 1.0)
 
 
-def partial_correlation(spark, d):
-    return events.partial_correlation(_processed(spark, d)).select("rec_id", "roi_a", "roi_b", r6("partial_corr"))
-
-
 def sign_flip(spark, d):
-    p = events.partial_correlation(_processed(spark, d)).where("roi_a < roi_b")
+    p = events.partial_correlation(processed(spark, d)).where("roi_a < roi_b")
     return events.marked(events.sign_flip(p, ["rec_id"], "partial_corr"))
 
 
-def drift_steps(spark, d):
-    return traces.drift(src.traces(spark, d), "x")
-
-
 def spread_direction(spark, d):
     p = _place(spark, d).select(F.lit("all").alias("rec_id"), F.col("label").alias("event_id"), F.col("vec_id").cast("int").alias("roi_id"), "x", "y", F.abs("t").alias("first_time_s"))
     return events.spread(p.drop("x", "y"), p.select("rec_id", "roi_id", "x", "y"), 100.0)
 
 
-def power_peak(spark, d):
-    got = events.power_spectrum(_processed(spark, d), FPS)
-    return got.select("rec_id", "roi_id", r6(F.expr("freq[array_position(power, array_max(power)) - 1]"), "freq"))
-
-
 Z = "n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM series GROUP BY unit)), s AS (SELECT *, frame // 100 AS event_id FROM series WHERE frame < (SELECT n FROM n))"
 PLACE = "pl AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS t FROM embeddings)"
 ACTIVE = "a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2), rk AS (SELECT event_id, unit, row_number() OVER (PARTITION BY event_id ORDER BY f, unit) AS rank FROM a)"
@@ -186,4 +156,4 @@ ORACLE = {
     "order_map": f"WITH {UNITS}, {WINDOWS}, {ACTIVE}, s AS (SELECT event_id, unit, CASE WHEN max(rank) OVER (PARTITION BY event_id) > 1 THEN (rank - 1) / (max(rank) OVER (PARTITION BY event_id) - 1)::DOUBLE ELSE 0 END AS v FROM rk), p AS (SELECT DISTINCT unit, event_id % 8 AS y, event_id % 4 AS x FROM units) SELECT s.event_id, y, x, round(sum(v * (y + 1.0::DOUBLE)) / sum(y + 1.0::DOUBLE), 6) AS image FROM s JOIN p USING (unit) GROUP BY 1, 2, 3",
 }
 
-ROWS_ONLY = ("detect_events", "trace_processing", "onset_frames", "ward_clusters", "cluster_correlation", "partial_correlation", "sign_flip", "drift_steps", "spread_direction", "power_peak")
+ROWS_ONLY = ("detect_events", "cluster_correlation", "sign_flip", "spread_direction")

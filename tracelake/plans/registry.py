@@ -9,7 +9,7 @@ from tracelake.functions import scalars
 from tracelake.operators import events, images
 from tracelake.operators import records as rec
 from tracelake.operators import tables as ops
-from tracelake.plans import recordings, records
+from tracelake.plans import chain, recordings, records
 from tracelake.plans.common import PIXELS, ROBUST, SERIES, SIX, UNITS, WINDOWS
 from tracelake.plans.common import pixels as _pixels
 from tracelake.plans.common import r6 as _r
@@ -143,13 +143,13 @@ def auroc(spark, d):
 
 
 def splat_weighted(spark, d):
-    li = src.read(spark, d, "lineitem").select((F.col("l_partkey") % 16).alias("y"), (F.col("l_suppkey") % 16).alias("x"), F.col("l_quantity").alias("v"), (F.col("l_discount") + 0.01).alias("w"))
-    return ops.splat(li, "v", "w").select("y", "x", _r("image"))
+    li = src.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("rec_id"), (F.col("l_partkey") % 16).alias("y"), (F.col("l_suppkey") % 16).alias("x"), F.col("l_quantity").alias("v"), (F.col("l_discount") + 0.01).alias("w"))
+    return ops.splat(li, "v", "w").select("rec_id", "y", "x", _r("image"))
 
 
 def overlap_filter(spark, d):
-    li = src.read(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").alias("unit"), (F.col("l_partkey") % 50).alias("y"), (F.col("l_partkey") % 41).alias("x")).distinct()
-    return ops.drop_overlapping(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R' and y < 12"), 0.3).select("unit", _r("covered"))
+    li = src.read(spark, d, "lineitem").select("l_returnflag", F.col("l_linenumber").alias("rec_id"), F.col("l_suppkey").alias("unit"), (F.col("l_partkey") % 50).alias("y"), (F.col("l_partkey") % 41).alias("x")).distinct()
+    return ops.drop_overlapping(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R' and y < 12"), 0.3).select("rec_id", "unit", _r("covered"))
 
 
 def label_mask_to_rois(spark, d):
@@ -158,11 +158,11 @@ def label_mask_to_rois(spark, d):
 
 
 def neighbour_corr(spark, d):
-    return ops.neighbour_corr(_pixels(spark, d)).select("y", "x", _r("corr"))
+    return ops.neighbour_corr(_pixels(spark, d)).select("rec_id", "y", "x", _r("corr"))
 
 
 def mean_image(spark, d):
-    return images.mean_image(_pixels(spark, d)).select("y", "x", _r("mean"))
+    return images.mean_image(_pixels(spark, d)).select("rec_id", "y", "x", _r("mean"))
 
 
 def median_trace(spark, d):
@@ -254,11 +254,11 @@ ORACLE = {
     "pair_enumeration": "SELECT a.n_regionkey, a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey = b.n_nationkey AS is_self FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <= b.n_nationkey",
     "bh_fdr": "WITH p AS (SELECT o_orderkey AS id, o_orderstatus AS g, ((o_orderkey * 7919) % 10007) / 10007.0::DOUBLE AS p FROM orders), r AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p, id) AS q FROM p) SELECT id, round(least(1.0, min(q) OVER (PARTITION BY g ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r",
     "auroc": "WITH j AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS r FROM labels JOIN documents USING (doc_id)), s AS (SELECT sum(r) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS p, count(*) AS n FROM j) SELECT round((r - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p)), 6) AS auroc FROM s",
-    "splat_weighted": "SELECT l_partkey % 16 AS y, l_suppkey % 16 AS x, round(sum(l_quantity * (l_discount + 0.01::DOUBLE)) / sum(l_discount + 0.01::DOUBLE), 6) AS image FROM lineitem GROUP BY 1, 2",
-    "overlap_filter": "WITH l AS (SELECT DISTINCT l_returnflag AS f, l_suppkey AS unit, l_partkey % 50 AS y, l_partkey % 41 AS x FROM lineitem), p AS (SELECT DISTINCT y, x FROM l WHERE f = 'R' AND y < 12) SELECT unit, round(avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered FROM l LEFT JOIN p ON p.y = l.y AND p.x = l.x WHERE f = 'A' GROUP BY unit HAVING avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END) < 0.3",
+    "splat_weighted": "SELECT l_returnflag AS rec_id, l_partkey % 16 AS y, l_suppkey % 16 AS x, round(sum(l_quantity * (l_discount + 0.01::DOUBLE)) / sum(l_discount + 0.01::DOUBLE), 6) AS image FROM lineitem GROUP BY 1, 2, 3",
+    "overlap_filter": "WITH l AS (SELECT DISTINCT l_returnflag AS f, l_linenumber AS rec_id, l_suppkey AS unit, l_partkey % 50 AS y, l_partkey % 41 AS x FROM lineitem), p AS (SELECT DISTINCT rec_id, y, x FROM l WHERE f = 'R' AND y < 12) SELECT l.rec_id, unit, round(avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END), 6) AS covered FROM l LEFT JOIN p ON p.rec_id = l.rec_id AND p.y = l.y AND p.x = l.x WHERE f = 'A' GROUP BY 1, 2 HAVING avg(CASE WHEN p.y IS NULL THEN 0.0 ELSE 1.0 END) < 0.3",
     "label_mask_to_rois": "SELECT l_suppkey AS label, count(*) AS npix, median(l_partkey % 64) AS y_med, median(l_orderkey % 64) AS x_med, round(sqrt(count(*) / 3.141592653589793::DOUBLE), 6) AS radius FROM lineitem GROUP BY 1",
-    "neighbour_corr": f"WITH {PIXELS}, w AS (SELECT p.frame, p.y, p.x, any_value(p.v) AS v, avg(q.v) AS w FROM px p JOIN px q ON p.frame = q.frame AND abs(p.y - q.y) + abs(p.x - q.x) = 1 GROUP BY 1, 2, 3) SELECT y, x, round(corr(v, w), 6) AS corr FROM w GROUP BY y, x",
-    "mean_image": f"WITH {PIXELS} SELECT y, x, round(avg(v), 6) AS mean FROM px GROUP BY y, x",
+    "neighbour_corr": f"WITH {PIXELS}, w AS (SELECT p.frame, p.y, p.x, any_value(p.v) AS v, avg(q.v) AS w, any_value(p.rec_id) AS rec_id FROM px p JOIN px q ON p.frame = q.frame AND abs(p.y - q.y) + abs(p.x - q.x) = 1 GROUP BY 1, 2, 3) SELECT rec_id, y, x, round(corr(v, w), 6) AS corr FROM w GROUP BY rec_id, y, x",
+    "mean_image": f"WITH {PIXELS} SELECT rec_id, y, x, round(avg(v), 6) AS mean FROM px GROUP BY rec_id, y, x",
     "median_trace": f"WITH {SERIES} SELECT frame, round(median(value), 6) AS median FROM series GROUP BY frame",
     "mean_trace": f"WITH {SERIES} SELECT frame, round(avg(value), 6) AS mean FROM series GROUP BY frame",
     "best_trace": "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS best FROM customer GROUP BY 1",
@@ -277,9 +277,9 @@ ORACLE = {
 
 def queries() -> dict:
     own = {name: globals()[name] for name in ORACLE}
-    own |= {name: getattr(records, name) for name in records.ORACLE}
+    own |= {name: getattr(module, name) for module in (chain, records) for name in module.ORACLE}
     return own | {name: getattr(recordings, name) for name in (*recordings.ORACLE, *recordings.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict:
-    return ORACLE | recordings.ORACLE | records.ORACLE
+    return ORACLE | recordings.ORACLE | records.ORACLE | chain.ORACLE
