@@ -1,6 +1,7 @@
-"""Cell scores of units: patches, a pluggable scorer with a trained baseline, labels and splits.
+"""Cell scores of units: patches, a pluggable scorer, a network and a baseline to train, labels and splits.
 
-No trained network ships with the engine: ``score`` takes any batch function, ``fit_baseline`` trains a logistic model.
+No trained network ships with the engine: ``score`` takes any batch function, ``fit_network`` trains one of two branches
+(patch and trace), ``fit_baseline`` a logistic model.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.kernels import network
+from tracelake.operators import tables
+from tracelake.sources import shared
+
 
 def zscore_pixels(image: DataFrame, value: str, eps: float = 1e-6) -> DataFrame:
     """Whole images (rec_id, y, x, value) to mean 0 and deviation 1, the deviation held above ``eps``."""
@@ -91,3 +96,78 @@ def split_stratified(df: DataFrame, label: str, keys: list[str], share: float =
     n = F.count("*").over(Window.partitionBy(label))
     many = F.when(n > 1, F.greatest(F.lit(1), F.rint(n * share))).otherwise(0)
     return df.withColumn("validation", F.row_number().over(w) <= many)
+
+
+class Network:
+    """A trained two-branch network: a batch function for ``score``, and the history of its epochs."""
+
+    def __init__(self, shape: network.Shape, weights: dict, history: list[tuple[int, float, float]]):
+        self.shape, self.weights, self.history = shape, weights, history
+
+    def __call__(self, pdf: pd.DataFrame) -> np.ndarray:
+        patches, traces = _arrays(pdf, self.shape)
+        logit, _ = network.forward(self.weights, patches, traces)
+        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+
+
+def _arrays(pdf: pd.DataFrame, shape: network.Shape) -> tuple[np.ndarray, np.ndarray]:
+    patches = np.stack([np.asarray(x, float) for x in pdf["patch"]]).reshape(len(pdf), shape.channels, shape.size, shape.size)
+    return patches, np.stack([np.asarray(x, float) for x in pdf["trace"]])
+
+
+PIECE = 4096
+
+
+def fit_network(rows: DataFrame, shape: network.Shape = network.Shape(), epochs: int = 60, patience: int = 8, batch: int = 32, rate: float = 1e-3, trainers: int = 4, seed: int = 0) -> Network:
+    """Trains on rows (rec_id, roi_id, patch, trace, label, validation); traces are of one length, patches channels * size * size.
+
+    An epoch is one job: rows are dealt to ``trainers`` tasks by a checksum of their ids, each runs over its stream of rows in
+    batches from the epoch's weights, and the weights that come back are averaged by rows, in pieces of ``PIECE`` numbers, by
+    Spark. Positives weigh negatives / positives, at least 1. Training ends ``patience`` epochs after the best area under
+    the curve on validation rows, and the best epoch's weights are what is returned. Without validation rows, or with
+    one label alone there, all epochs run and the last one counts.
+    """
+    part = F.pmod(F.crc32(F.concat_ws(":", "rec_id", "roi_id").cast("binary")), F.lit(trainers)).cast("int")
+    kept = shared.kept(rows.select("rec_id", "roi_id", "patch", "trace", F.col("label").cast("int").alias("label"), "validation", part.alias("_part")))
+    train, held = kept.where("not validation").repartition(trainers, "_part").sortWithinPartitions("rec_id", "roi_id"), kept.where("validation")
+    train = shared.kept(train)
+    n = train.agg(F.count_if(F.col("label") == 1).alias("p"), F.count("*").alias("n")).first()
+    weight = max(1.0, (n.n - n.p) / max(1, n.p))
+    weights, best, history = network.start(shape, seed), None, []
+    for epoch in range(epochs):
+        loss, weights = _epoch(train, shape, weights, weight, batch, rate)
+        scored = score(held.select("rec_id", "roi_id", "patch", "trace"), Network(shape, weights, []))
+        got = tables.auroc(scored.join(held.select("rec_id", "roi_id", "label"), ["rec_id", "roi_id"]), "label", "p_cell").first().auroc
+        area = float("nan") if got is None else float(got)
+        history.append((epoch, loss, area))
+        if best is None or not area <= best[0]:
+            best = (area, epoch, weights)
+        elif epoch - best[1] >= patience:
+            break
+    shared.drop(train)
+    shared.drop(kept)
+    return Network(shape, best[2], history)
+
+
+def _epoch(train: DataFrame, shape: network.Shape, weights: dict, weight: float, batch: int, rate: float) -> tuple[float, dict]:
+    """Loss of an epoch and the averaged weights of its tasks."""
+
+    def run(batches):
+        p, adam, n, total = dict(weights), network.Adam(rate), 0, 0.0
+        for pdf in batches:
+            for i in range(0, len(pdf), batch):
+                some = pdf.iloc[i : i + batch]
+                loss, grads = network.gradients(p, *_arrays(some, shape), some["label"].to_numpy(float), weight)
+                adam.step(p, grads)
+                n, total = n + len(some), total + loss * len(some)
+        if n:
+            x = network.flat(p) * n
+            pieces = [x[i : i + PIECE] for i in range(0, len(x), PIECE)]
+            yield pd.DataFrame({"i": range(len(pieces)), "n": n, "loss": total, "x": pieces})
+
+    parts = train.mapInPandas(run, "i int, n long, loss double, x array<double>").select("i", "n", "loss", F.posexplode("x").alias("j", "x"))
+    sums = parts.groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    found = sums.orderBy("i", "j").toPandas()  # one row a weight
+    if found.empty:
+        raise ValueError("no rows to train on")
+    return float(found["loss"][0] / found["n"][0]), network.shaped((found["x"] / found["n"]).to_numpy(), weights)

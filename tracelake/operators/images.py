@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,3 +77,64 @@ def merge_passes(primary: DataFrame, extras: list[tuple[str, DataFrame]], limit:
     units = out.select("rec_id", "pass", "roi_id").distinct().withColumn("unit", F.row_number().over(Window.partitionBy("rec_id").orderBy("pass", "roi_id")) - 1)
     units = units.withColumn("unit", F.when(F.col("unit") >= cap, F.raise_error(F.lit("more units than the cap"))).otherwise(F.col("unit")))
     return out.join(units, ["rec_id", "pass", "roi_id"]).select("rec_id", F.col("unit").alias("roi_id"), "source", "y", "x")
+
+
+def resampling(n: int, m: int) -> list[tuple[int, int, float]]:
+    """(target, source, weight) of n samples drawn to m by area: the share of a target cell that a source cell covers."""
+    out = []
+    for t in range(m):
+        a, b = t * n / m, (t + 1) * n / m
+        out += [(t, s, (min(b, s + 1) - max(a, s)) * m / n) for s in range(int(a), min(n, int(-(-b // 1)))) if min(b, s + 1) - max(a, s) > 1e-12]
+    return out
+
+
+def resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], keys: tuple[str, ...] = ("rec_id", "frame")) -> DataFrame:
+    """Frames (keys, y, x, v) of ``size`` drawn to ``to`` (height, width), each new pixel the area-weighted mean of what it covers.
+
+    Rows first, then columns: two joins with weight tables, whose rows are at most the sum of both lengths, and two sums.
+    """
+    spark = pixels.sparkSession
+    for axis, other, n, m in (("y", "x", size[0], to[0]), ("x", "y", size[1], to[1])):
+        weights = spark.createDataFrame(resampling(n, m), f"_t int, {axis} int, _w double")
+        drawn = pixels.join(F.broadcast(weights), axis).groupBy(*keys, other, "_t").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+        pixels = drawn.withColumnRenamed("_t", axis)
+    return pixels.select(*keys, "y", "x", "v")
+
+
+SUMS = ("t", "sx", "sy", "sxy", "sxx", "syy")
+
+
+def add_to_sums(state: str, files: DataFrame, read: Callable[[DataFrame], DataFrame]) -> list[str]:
+    """Adds the files that a state table of neighbour sums lacks, and returns their paths; known ones are not read.
+
+    ``files``: (rec_id, path, sha256); ``read`` gives (rec_id, path, frame, y, x, v) for a table of files. A file is known by
+    its recording, its content and which of equal files it is. Sums are appended in one job, which either adds all or nothing.
+    """
+    from tracelake.operators.tables import neighbour_sums
+
+    spark = files.sparkSession
+    nth = F.row_number().over(Window.partitionBy("rec_id", "sha256").orderBy("path"))
+    wanted = files.select("rec_id", "path", "sha256").withColumn("nth", nth)
+    known = known_sums(spark, state)
+    if known is not None:
+        wanted = wanted.join(known.select("rec_id", "sha256", "nth").distinct(), ["rec_id", "sha256", "nth"], "left_anti")
+    new = [(r.rec_id, r.path, r.sha256, r.nth) for r in wanted.collect()]  # one row a new file
+    if new:
+        fresh = spark.createDataFrame(new, wanted.select("rec_id", "path", "sha256", "nth").schema)
+        sums = neighbour_sums(read(fresh), ("rec_id", "path"))
+        sums.join(F.broadcast(fresh), ["rec_id", "path"]).select("rec_id", "sha256", "nth", "y", "x", *SUMS).write.mode("append").parquet(state)
+    return sorted(r[1] for r in new)
+
+
+def known_sums(spark, state: str) -> DataFrame | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/_SUCCESS")
+    return spark.read.parquet(state) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def corr_of_state(spark, state: str, files: DataFrame) -> DataFrame:
+    """The correlation image of each recording from the state table, over the files that are there now."""
+    from tracelake.operators.tables import corr_of_sums
+
+    nth = F.row_number().over(Window.partitionBy("rec_id", "sha256").orderBy("path"))
+    now = files.select("rec_id", "path", "sha256").withColumn("nth", nth).drop("path")
+    return corr_of_sums(known_sums(spark, state).join(now, ["rec_id", "sha256", "nth"], "left_semi"))
