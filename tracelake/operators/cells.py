@@ -84,7 +84,7 @@ def split_recordings(df: DataFrame, group: str, share: float = 0.2, seed: int =
 
     Groups are recordings, far fewer than rows; only their names meet in one task.
     """
-    named = df.select(group).distinct().withColumn("_h", F.xxhash64(F.lit(seed), group))
+    named = df.select(group).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")))
     n = named.agg(F.greatest(F.lit(1), F.rint(F.count("*") * share)).alias("_n"))
     ranked = named.withColumn("_r", F.row_number().over(Window.orderBy("_h", group))).crossJoin(F.broadcast(n))
     return df.join(ranked.select(group, (F.col("_r") <= F.col("_n")).alias("validation")), group)

@@ -119,6 +119,47 @@ def cluster_correlation(traces: DataFrame, clusters: DataFrame, fps: float | str
     return found.withColumns({"leader": leader, "is_diagonal": F.col("roi_a") == F.col("roi_b")})
 
 
+def crop(traces: DataFrame, windows: DataFrame, fps: float, column: str = "x", least: int = 1) -> DataFrame:
+    """(rec_id, unit, x) to (rec_id, event_id, unit, x) cut to [rint(start * fps), rint(end * fps)); shorter ones than ``least`` go."""
+    w = windows.select("rec_id", "event_id", F.greatest(F.rint(F.col("start_s") * fps).cast("int"), F.lit(0)).alias("_i"), F.rint(F.col("end_s") * fps).cast("int").alias("_j"))
+    cut = F.slice(F.col(column), F.col("_i") + 1, F.greatest(F.col("_j") - F.col("_i"), F.lit(0)))
+    return traces.join(w, "rec_id").select("rec_id", "event_id", "unit", cut.alias("x")).where(F.size("x") >= least)
+
+
+def pair_curves(traces: DataFrame, limit: int, keys: tuple[str, ...] = (), block: int = 64) -> DataFrame:
+    """Correlation of all pairs of units at lags from -limit to limit: (keys, unit, x) to (keys, unit_a, unit_b, k, c).
+
+    Traces of a group are of one length and z-scored here; c is the sum over the frames where both lie, over all frames.
+    Units are dealt to blocks of ``block``, and each pair of blocks is one task, so that a group spreads over the
+    cluster and a trace is sent once a block. Pairs come in both directions.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in traces.schema.fields}
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("unit")) - 1
+    rows = traces.select(*keys, "unit").withColumn("_b", (place / block).cast("int"))
+    last = rows.groupBy(*keys).agg(F.max("_b").alias("_last")) if keys else rows.agg(F.max("_b").alias("_last"))
+    rows = rows.join(last, list(keys)) if keys else rows.crossJoin(F.broadcast(last))
+    both = F.explode(F.expr("transform(sequence(0, _last), o -> struct(least(_b, o) as p, greatest(_b, o) as q))"))
+    at = traces.select(*keys, "unit", "x").join(rows.select(*keys, "unit", "_b", both.alias("_p")), [*keys, "unit"]).select(*keys, "unit", "x", "_b", "_p.p", "_p.q")
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keys), f"unit_a {kind['unit']}", f"unit_b {kind['unit']}", "k int", "c double"])
+
+    def run(pdf):
+        pdf = pdf.sort_values("unit")
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        a, b = pdf[pdf["_b"] == p], pdf[pdf["_b"] == q]
+        c = stats.curves(*(np.stack([np.asarray(x, float) for x in s["x"]], 1) for s in (a, b)), limit)
+        lags = np.arange(c.shape[0]) - (c.shape[0] - 1) // 2
+        k, i, j = (v.ravel() for v in np.indices(c.shape))
+        out = [pd.DataFrame({"unit_a": a["unit"].to_numpy()[i], "unit_b": b["unit"].to_numpy()[j], "k": lags[k], "c": c.ravel()})]
+        if p != q:  # the other direction: lags change their sign
+            out.append(pd.DataFrame({"unit_a": b["unit"].to_numpy()[j], "unit_b": a["unit"].to_numpy()[i], "k": -lags[k], "c": c.ravel()}))
+        found = pd.concat(out)
+        for n, c in enumerate(keys):
+            found.insert(n, c, pdf[c].iloc[0])
+        return found
+
+    return at.groupBy(*keys, "p", "q").applyInPandas(run, schema)
+
+
 def partial_correlation(traces: DataFrame, column: str = "lp", ridge: float = 1e-6) -> DataFrame:
     """Partial correlations of all units of a recording; no rows where units reach half the frames."""
     schema = "rec_id string, roi_a int, roi_b int, partial_corr double"
@@ -135,14 +176,18 @@ def partial_correlation(traces: DataFrame, column: str = "lp", ridge: float = 1e
     return traces.select("rec_id", "roi_id", column).groupBy("rec_id").applyInPandas(run, schema)
 
 
-def sign_flip(pairs: DataFrame, keys: list[str], value: str, permutations: int = 10_000, seed: int = 0) -> DataFrame:
-    """Mean and two-sided sign-flip p of each group's non-null values."""
+def sign_flip(pairs: DataFrame, keys: list[str], value: str, permutations: int | None = 10_000, seed: int = 0) -> DataFrame:
+    """Mean and two-sided sign-flip p of each group's non-null values.
+
+    Without ``permutations``, groups of up to 20 values are held against all their sign patterns, and larger ones are an error.
+    """
     kind = pairs.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.schema.fields[:-1]), "n long, mean double, p_value double"])
 
     def run(pdf):
         x = np.sort(pdf["v"].to_numpy())
-        return pdf.head(1)[keys].assign(n=len(x), mean=x.mean(), p_value=stats.sign_flip(x, permutations, seed))
+        p = stats.sign_flip_exact(x) if permutations is None else stats.sign_flip(x, permutations, seed)
+        return pdf.head(1)[keys].assign(n=len(x), mean=x.mean(), p_value=p)
 
     return kind.groupBy(*keys).applyInPandas(run, schema)
 
@@ -188,6 +233,18 @@ def rate_activation(rates: DataFrame, windows: DataFrame, fps: float, threshold:
     return out.select("rec_id", "event_id", "roi_id", ((F.col("i") + F.col("k") - 1) / fps).alias("first_time_s"))
 
 
+#: Traces that a user may look at, and the columns that hold them.
+SOURCES = {"raw": "f", "dff": "dff", "lowpass": "lp", "derivative": "dt", "rates": "spks"}
+
+
+def trace_source(traces: DataFrame, source: str) -> DataFrame:
+    """(rec_id, roi_id, x) of the chosen kind of trace; an error for an unknown kind or one that the table lacks."""
+    column = SOURCES.get(source)
+    if column is None or column not in traces.columns:
+        raise ValueError(f"no trace {source!r}")
+    return traces.select("rec_id", "roi_id", F.col(column).cast("array<double>").alias("x"))
+
+
 def power_spectrum(traces: DataFrame, fps: float, column: str = "dff") -> DataFrame:
     def run(batches):
         for pdf in batches:

@@ -63,20 +63,51 @@ def label_image(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("rec_id", "y", "x").agg(F.max("roi_id").alias("roi_id"))
 
 
-def merge_passes(primary: DataFrame, extras: list[tuple[str, DataFrame]], limit: float = 0.3, cap: int = 60_000) -> DataFrame:
+def merge_passes(primary: DataFrame, extras: list[tuple[str, DataFrame]], limit: float = 0.3, cap: int = 60_000, first: str = "primary", keep: bool = False) -> DataFrame:
     """Units of detectors in order, numbered through per recording; extra passes are held against the primary alone.
 
     Pixel rows (rec_id, roi_id, y, x). An extra unit stays if less than ``limit`` of its pixels are covered. An error
     where a recording ends with more than ``cap`` units.
     """
     seen = primary.select("rec_id", "y", "x").distinct().withColumn("hit", F.lit(1.0))
-    out = primary.withColumns({"pass": F.lit(0), "source": F.lit("primary")})
+    out = primary.withColumns({"pass": F.lit(0), "source": F.lit(first)})
     for i, (name, extra) in enumerate(extras, 1):
         share = extra.join(seen, ["rec_id", "y", "x"], "left").groupBy("rec_id", "roi_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("covered"))
         out = out.unionByName(extra.join(share.where(F.col("covered") < limit), ["rec_id", "roi_id"], "left_semi").withColumns({"pass": F.lit(i), "source": F.lit(name)}))
     units = out.select("rec_id", "pass", "roi_id").distinct().withColumn("unit", F.row_number().over(Window.partitionBy("rec_id").orderBy("pass", "roi_id")) - 1)
     units = units.withColumn("unit", F.when(F.col("unit") >= cap, F.raise_error(F.lit("more units than the cap"))).otherwise(F.col("unit")))
-    return out.join(units, ["rec_id", "pass", "roi_id"]).select("rec_id", F.col("unit").alias("roi_id"), "source", "y", "x")
+    old = [F.col("roi_id").alias("_old")] if keep else []
+    return out.join(units, ["rec_id", "pass", "roi_id"]).select("rec_id", F.col("unit").alias("roi_id"), "source", "y", "x", *old)
+
+
+def ingest(recordings: DataFrame, passes: list[tuple[str, DataFrame]], limit: float = 0.3, cap: int = 60_000) -> dict[str, DataFrame]:
+    """Results of detectors as one set of units: what a detection leaves for all later steps.
+
+    ``recordings``: (rec_id, height, width); ``passes``: the primary detector's units first, then the others in order, each
+    (rec_id, roi_id, ypix, xpix, lam). Pixels outside their recording's image go, units without pixels with them; extra
+    passes are held against the primary; units are numbered through. pixels (rec_id, roi_id, source, y, x, w), units
+    (rec_id, roi_id, source, y, x, npix, radius), labels (rec_id, y, x, roi_id), counts (rec_id, source, n_found, n_kept).
+    """
+
+    def inside(rois: DataFrame) -> DataFrame:
+        p = F.explode(F.arrays_zip("ypix", "xpix", "lam")).alias("p")
+        flat = rois.select("rec_id", "roi_id", p).select("rec_id", "roi_id", F.col("p.ypix").alias("y"), F.col("p.xpix").alias("x"), F.col("p.lam").alias("w"))
+        return flat.join(recordings, "rec_id").where("y >= 0 and y < height and x >= 0 and x < width").drop("height", "width")
+
+    flat = [(name, inside(rois)) for name, rois in passes]
+    merged = merge_passes(flat[0][1].select("rec_id", "roi_id", "y", "x"), [(n, df.select("rec_id", "roi_id", "y", "x")) for n, df in flat[1:]], limit, cap, first=flat[0][0], keep=True)
+    weights = None
+    for name, df in flat:
+        part = df.select("rec_id", F.col("roi_id").alias("_old"), F.lit(name).alias("source"), "y", "x", "w")
+        weights = part if weights is None else weights.unionByName(part)
+    pixels = merged.join(weights, ["rec_id", "_old", "source", "y", "x"]).drop("_old")
+    units = unit_rows(pixels).join(pixels.select("rec_id", "roi_id", "source").distinct(), ["rec_id", "roi_id"])
+    found = None
+    for name, rois in passes:
+        part = rois.groupBy("rec_id").agg(F.count("*").alias("n_found")).withColumn("source", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    kept = units.groupBy("rec_id", "source").agg(F.count("*").alias("n_kept"))
+    return {"pixels": pixels, "units": units, "labels": label_image(pixels), "counts": found.join(kept, ["rec_id", "source"], "left").fillna(0, ["n_kept"])}
 
 
 def resampling(n: int, m: int) -> list[tuple[int, int, float]]:

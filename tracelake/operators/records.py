@@ -168,6 +168,19 @@ def palette(colours: list[str], n: int) -> list[str]:
     return [colours[round(i * (len(colours) - 1) / (n - 1))] for i in range(n)]
 
 
+def gradient(anchors: list[tuple[float, str]], n: int) -> list[str]:
+    """``n`` colours '#rrggbb' evenly along a continuous map, given by colours at rising places from 0 to 1; one colour is the middle's."""
+    parts = [(at, tuple(int(c[i : i + 2], 16) for i in (1, 3, 5))) for at, c in anchors]
+    out = []
+    for i in range(n):
+        t = i / (n - 1) if n > 1 else 0.5
+        high = next((k for k, (at, _) in enumerate(parts) if at >= t), len(parts) - 1)
+        (a, low), (b, up) = parts[max(0, high - 1)], parts[high]
+        share = (t - a) / (b - a) if b > a else 0.0
+        out.append("#" + "".join(f"{int(x + (y - x) * share + 0.5):02x}" for x, y in zip(low, up, strict=True)))
+    return out
+
+
 def cluster_summary(clusters: DataFrame, colours: list[str]) -> DataFrame:
     """Each cluster's size, share of its recording's units and colour; colours start anew after the last."""
     n = clusters.groupBy("rec_id", "cluster_id").agg(F.count("*").alias("n_units"))
@@ -193,11 +206,13 @@ def ragged(columns: DataFrame, names: list[str], name: str = "name", ordinal: st
     return columns.groupBy(ordinal).pivot(name, names).agg(F.first(value))
 
 
-def recording_sheets(recordings: DataFrame, units: DataFrame, windows: DataFrame, onsets: DataFrame, clusters: DataFrame) -> dict[str, DataFrame]:
+def recording_sheets(recordings: DataFrame, units: DataFrame, windows: DataFrame, onsets: DataFrame, clusters: DataFrame, spread: DataFrame | None = None) -> dict[str, DataFrame]:
     """The result sheets by name; every unit is named by roi_id and its place among the kept ones (kept_pos).
 
     recordings (rec_id, fps, …), units (rec_id, roi_id, keep, …), windows (rec_id, event_id, start_s, end_s), onsets
     (rec_id, roi_id, t), clusters (rec_id, roi_id, cluster_id). ``RoiEventTimes`` holds all onsets of a unit in an event.
+    With ``spread`` (rec_id, event_id, theta, rho, p_value, q), ``EventMonotonicity`` has a row for each window: the angle
+    in degrees from 0 to 360, and nulls where an event has no direction.
     """
     place = F.row_number().over(Window.partitionBy("rec_id").orderBy("roi_id")) - 1
     kept = units.where("keep").withColumn("kept_pos", place)
@@ -205,7 +220,12 @@ def recording_sheets(recordings: DataFrame, units: DataFrame, windows: DataFrame
     hits = in_windows(onsets, windows).join(kept.select("rec_id", "roi_id", "kept_pos"), ["rec_id", "roi_id"])
     active = hits.groupBy("rec_id", "event_id").agg(F.count_distinct("roi_id").alias("n_active"), F.min("t").alias("first_s"))
     times = hits.groupBy("rec_id", "event_id", "roi_id", "kept_pos").agg(F.array_sort(F.collect_list("t")).alias("times_s"))
-    return {
+    sheets = {}
+    if spread is not None:
+        degrees = F.pmod(F.degrees("theta"), F.lit(360.0)).alias("theta_deg")
+        found = spread.select("rec_id", "event_id", degrees, "rho", "p_value", "q")
+        sheets["EventMonotonicity"] = windows.join(active.select("rec_id", "event_id", "n_active"), ["rec_id", "event_id"], "left").fillna(0, ["n_active"]).join(found, ["rec_id", "event_id"], "left")
+    return sheets | {
         "Recording": recordings.join(n, "rec_id", "left").fillna(0, ["n_units", "n_kept"]),
         "ROIs": units.join(kept.select("rec_id", "roi_id", "kept_pos"), ["rec_id", "roi_id"], "left"),
         "Events": windows.join(active, ["rec_id", "event_id"], "left").fillna(0, ["n_active"]),
@@ -221,9 +241,11 @@ def in_windows(onsets: DataFrame, windows: DataFrame, cell: float = 300.0) -> Da
     return at.join(cells, ["rec_id", "_cell"]).where("t between start_s and end_s").drop("_cell")
 
 
-def group_trace(traces: DataFrame, how: str, keys: tuple[str, ...] = (), frame: str = "frame", value: str = "value") -> DataFrame:
-    """Mean or median over the units of each frame."""
+def group_trace(traces: DataFrame, how: str, keys: tuple[str, ...] = (), frame: str = "frame", value: str = "value", units: DataFrame | None = None, unit: str = "roi_id") -> DataFrame:
+    """Mean or median over the units of each frame; with ``units`` (keys, unit), a set named by hand, over these alone."""
     of = {"mean": F.avg, "median": F.median}[how]
+    if units is not None:
+        traces = traces.join(units.select(*keys, unit).distinct(), [*keys, unit], "left_semi")
     return traces.groupBy(*keys, frame).agg(of(value).alias(how))
 
 

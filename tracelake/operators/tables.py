@@ -24,6 +24,55 @@ def density(onsets: DataFrame, units: int, bin_s: float, time: str = "t") -> Dat
     return bins.join(counts, "bin", "left").select("bin", n.alias("n"), (n / F.lit(float(units))).alias("rate"))
 
 
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bin, n) of equal bins from ``low`` to ``high``, empty ones too; the last one is closed, values outside and NaN are left out."""
+    inside = df.where((F.col(value) >= low) & (F.col(value) <= high) & ~F.isnan(F.col(value).cast("double")))
+    at = F.least(F.floor((F.col(value) - low) / F.lit((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    counts = inside.groupBy(*keys, at.alias("bin")).agg(F.count("*").alias("n"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    groups = df.select(*keys).distinct().select(*keys, every) if keys else df.sparkSession.range(1).select(every)
+    return groups.join(counts, [*keys, "bin"], "left").fillna(0, ["n"])
+
+
+def quiet_noise(df: DataFrame, value: str, keys: tuple[str, ...] = ("rec_id",), percent: float = 40, factor: float = 1.4826, least: int = 32) -> DataFrame:
+    """(keys, noise): scaled MAD of the values up to a percentile; of all of them if that leaves fewer than ``least``.
+
+    Medians come from counts of values, of which rounded densities have few.
+    """
+    if not keys:
+        return quiet_noise(df.withColumn("_g", F.lit(0)), value, ("_g",), percent, factor, least).drop("_g")
+    per = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cut = per.groupBy(*keys).agg(F.percentile("_v", F.lit(percent / 100), F.col("_n")).alias("_c"))
+    marked = per.join(cut, list(keys)).withColumn("_q", F.col("_v") <= F.col("_c"))
+    enough = marked.groupBy(*keys).agg((F.sum(F.when(F.col("_q"), F.col("_n")).otherwise(0)) >= least).alias("_e"))
+    used = marked.join(enough, list(keys)).where("_q or not _e").select(*keys, "_v", "_n")
+    middle = used.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5), F.col("_n")).alias("_m"))
+    away = used.join(middle, list(keys)).select(*keys, F.abs(F.col("_v") - F.col("_m")).alias("_d"), "_n")
+    return away.groupBy(*keys).agg((factor * (F.percentile("_d", F.lit(0.5), F.col("_n")) + F.lit(1e-12))).alias("noise"))
+
+
+def subtract_neuropil(df: DataFrame, trace: str, neuropil: str, r: float = 0.7) -> DataFrame:
+    """``trace`` less ``r`` times its neuropil; where the latter is missing the trace stays."""
+    return df.withColumn("f", F.col(trace) - F.lit(r) * F.coalesce(F.col(neuropil), F.lit(0.0)))
+
+
+def spike_raster(df: DataFrame, keys: list[str], frame: str, value: str, z: float = 4.0) -> DataFrame:
+    """(keys, frame) where a trace's step from the frame before has a robust z of at least ``z``."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(frame))
+    steps = df.withColumn("_d", step).where("_d is not null")
+    return robust_z(steps, keys, "_d").where(F.col("z") >= z).select(*keys, frame)
+
+
+def difference(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other table lacks; null keys are equal to null keys."""
+    known = other.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(keys))).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return df.join(known, on, "left_anti")
+
+
 def smooth(bins: DataFrame, sigma: float, order: str = "bin", value: str = "rate", keys: tuple[str, ...] = ()) -> DataFrame:
     """Gaussian FIR with held ends; the kernel's radius is int(4 sigma + 0.5)."""
     from math import exp
@@ -119,18 +168,10 @@ def downsample(df: DataFrame, keys: list[str], frame: str, value: str, block: in
     return out.where(F.col("n") == block).drop("n")
 
 
-def lag_curve(a: DataFrame, b: DataFrame, frames: int, limit: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Correlation at each lag of z-scored traces (unit, frame, z) within equal keys: sum / frames, zero outside."""
-    lags = F.explode(F.sequence(F.lit(-limit), F.lit(limit)))
-    left = a.select(*keys, F.col("unit").alias("unit_a"), F.col("frame").alias("fa"), F.col("z").alias("za"))
-    right = b.select(*keys, F.col("unit").alias("unit_b"), "frame", F.col("z").alias("zb")).withColumn("k", lags).withColumn("fa", F.col("frame") + F.col("k"))
-    return left.join(right, [*keys, "fa"]).groupBy(*keys, "unit_a", "unit_b", "k").agg((F.sum(F.col("za") * F.col("zb")) / frames).alias("c"))
-
-
-def lag_sweep(a: DataFrame, b: DataFrame, frames: int, limit: int, fps: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Best lag, its correlation and the zero-lag one; ties go to the earliest lag."""
+def best_lags(curves: DataFrame, fps: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Best lag of each curve (keys, unit_a, unit_b, k, c), its correlation and the zero-lag one; ties go to the earliest lag."""
     best = F.max_by("k", F.struct(F.round("c", 9), -F.col("k")))
-    out = lag_curve(a, b, frames, limit, keys).groupBy(*keys, "unit_a", "unit_b").agg(best.alias("k"), F.max("c").alias("max_corr"), F.max(F.when(F.col("k") == 0, F.col("c"))).alias("zero_lag_corr"))
+    out = curves.groupBy(*keys, "unit_a", "unit_b").agg(best.alias("k"), F.max("c").alias("max_corr"), F.max(F.when(F.col("k") == 0, F.col("c"))).alias("zero_lag_corr"))
     leader = F.when(F.col("k") < 0, "A").when(F.col("k") > 0, "B").otherwise("none")
     return out.select(*keys, "unit_a", "unit_b", (F.col("k") / fps).alias("best_lag_sec"), "max_corr", "zero_lag_corr", leader.alias("leader"))
 
@@ -216,10 +257,15 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def parse_spec(df: DataFrame, spec: str) -> DataFrame:
-    """'1-3,7' to sorted distinct ids; reversed ranges count."""
-    part = f"transform(filter(split({spec}, ','), x -> trim(x) != ''), x -> transform(split(trim(x), '-'), y -> cast(trim(y) as int)))"
-    return df.withColumn("ids", F.expr(f"array_sort(array_distinct(flatten(transform({part}, r -> sequence(least(r[0], element_at(r, -1)), greatest(r[0], element_at(r, -1)))))))"))
+def parse_spec(df: DataFrame, spec: str, count: str | None = None) -> DataFrame:
+    """'1-3,7' to sorted distinct ids; reversed ranges count. With a column ``count``, ids not below it, or no numbers, are an error."""
+    part = f"transform(filter(split({spec}, ','), x -> trim(x) != ''), x -> transform(split(trim(x), '-'), y -> try_cast(trim(y) as int)))"
+    out = df.withColumn("ids", F.expr(f"array_sort(array_distinct(flatten(transform({part}, r -> if(r[0] is null or element_at(r, -1) is null, array(cast(null as int)), sequence(least(r[0], element_at(r, -1)), greatest(r[0], element_at(r, -1))))))))"))
+    if count is None:
+        return out
+    bad = F.exists("ids", lambda i: i.isNull() | (i < 0) | (i >= F.col(count)))
+    told = F.raise_error(F.format_string("'%s' names units outside 0 to %d", F.col(spec), F.col(count) - 1)).cast("array<int>")
+    return out.withColumn("ids", F.when(bad, told).otherwise(F.col("ids")))
 
 
 def runs(df: DataFrame, key: str, value: str) -> DataFrame:

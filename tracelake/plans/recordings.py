@@ -15,26 +15,26 @@ from tracelake.sources import files
 FPS = 15.07
 
 
-def _z(spark, d, keys=("unit",)) -> tuple[DataFrame, int]:
+def equal_traces(spark, d) -> tuple[DataFrame, int]:
+    """Daily sums of each flag as arrays (unit, x), cut to the shortest one, and its length."""
     n = src.series(spark, d).groupBy("unit").count().agg(F.min("count")).first()[0]
-    s = src.series(spark, d).where(F.col("frame") < n).withColumn("event_id", F.expr("frame div 100"))
-    return tables.zscore(s, list(keys), "value"), n
+    rows = src.series(spark, d).where(F.col("frame") < n)
+    x = F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda p: p["value"])
+    return rows.groupBy("unit").agg(x.alias("x")), n
 
 
 def xcorr_zero_lag(spark, d):
-    z, n = _z(spark, d)
-    return tables.lag_curve(z, z, n, 0).where("unit_a < unit_b").select("unit_a", "unit_b", r6("c", "corr"))
+    return events.pair_curves(equal_traces(spark, d)[0], 0).where("unit_a < unit_b").select("unit_a", "unit_b", r6("c", "corr"))
 
 
 def xcorr_pair_curve(spark, d):
-    z, n = _z(spark, d)
-    return tables.lag_curve(z, z, n, 30).where("unit_a < unit_b").select("unit_a", "unit_b", "k", r6("c", "corr"))
+    return events.pair_curves(equal_traces(spark, d)[0], 30).where("unit_a < unit_b").select("unit_a", "unit_b", "k", r6("c", "corr"))
 
 
 def xcorr_per_event(spark, d):
-    z, n = _z(spark, d, ("unit", "event_id"))
-    z = z.where(F.col("event_id") < n // 100)
-    out = tables.lag_sweep(z, z, 100, 10, 1.0, ("event_id",))
+    x, n = equal_traces(spark, d)
+    x = x.select("unit", F.explode(F.sequence(F.lit(0), F.lit(n // 100 - 1))).alias("event_id"), "x").withColumn("x", F.expr("slice(x, event_id * 100 + 1, 100)"))
+    out = tables.best_lags(events.pair_curves(x, 10, ("event_id",)), 1.0, ("event_id",))
     return out.where("unit_a < unit_b").select("event_id", "unit_a", "unit_b", r6("best_lag_sec"), r6("max_corr"))
 
 
@@ -113,8 +113,9 @@ def order_map(spark, d):
 
 
 def detect_events(spark, d):
-    u = src.units(spark, d).select(F.lit("all").alias("rec_id"), F.col("unit").alias("roi_id"), (F.col("t") / 3600.0).alias("onset_s"))
-    recs = spark.createDataFrame([("all", 720.0, 0)], "rec_id string, duration_s double, n_rois int")
+    """Events of ten recordings of users, hours as seconds; the duration is that of the data."""
+    u = src.units(spark, d).select((F.col("unit") % 10).cast("string").alias("rec_id"), F.col("unit").cast("int").alias("roi_id"), (F.col("t") / 3600.0).alias("onset_s"))
+    recs = u.groupBy("rec_id").agg(F.ceil(F.max("onset_s")).cast("double").alias("duration_s"), F.count_distinct("roi_id").cast("int").alias("n_rois"))
     return events.detect_events(u, recs, events.kernel.GUI)
 
 
@@ -129,8 +130,9 @@ def sign_flip(spark, d):
 
 
 def spread_direction(spark, d):
-    p = _place(spark, d).select(F.lit("all").alias("rec_id"), F.col("label").alias("event_id"), F.col("vec_id").cast("int").alias("roi_id"), "x", "y", F.abs("t").alias("first_time_s"))
-    return events.spread(p.drop("x", "y"), p.select("rec_id", "roi_id", "x", "y"), 100.0)
+    from tracelake.plans.units import _spread
+
+    return events.spread(*_spread(spark, d), 100.0)
 
 
 Z = "n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM series GROUP BY unit)), s AS (SELECT *, frame // 100 AS event_id FROM series WHERE frame < (SELECT n FROM n))"

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
-from tracelake.operators import events, images
+from tracelake.operators import cells, events, images
 from tracelake.operators import records as rec
 from tracelake.operators import tables as ops
-from tracelake.plans import chain, recordings, records
+from tracelake.plans import chain, recordings, records, units
 from tracelake.plans.common import PIXELS, ROBUST, SERIES, SIX, UNITS, WINDOWS
 from tracelake.plans.common import pixels as _pixels
 from tracelake.plans.common import r6 as _r
@@ -32,11 +32,7 @@ def density_rolling_pct(spark, d):
 
 
 def density_noise(spark, d):
-    b = ops.density(src.units(spark, d), 1, 3600.0)
-    level = b.agg(F.percentile("rate", F.lit(0.4)).alias("cut"))
-    quiet = b.crossJoin(F.broadcast(level)).where("rate <= cut").withColumn("k", F.lit(1))
-    med = quiet.groupBy("k").agg(F.median("rate").alias("m"))
-    return quiet.join(F.broadcast(med), "k").agg(_r(F.median(F.abs(F.col("rate") - F.col("m"))) * 1.4826, "noise"))
+    return ops.quiet_noise(ops.density(src.units(spark, d), 1, 3600.0), "rate", ()).select(_r("noise"))
 
 
 def activation_first_time(spark, d):
@@ -91,7 +87,7 @@ def dff_rolling(spark, d):
 
 
 def neuropil_subtract(spark, d):
-    return src.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _r(F.col("l_extendedprice") - 0.7 * F.col("l_tax"), "f"))
+    return ops.subtract_neuropil(src.read(spark, d, "lineitem"), "l_extendedprice", "l_tax").select("l_orderkey", "l_linenumber", _r("f"))
 
 
 def sg_derivative_interior(spark, d):
@@ -113,17 +109,14 @@ def minmax_rows(spark, d):
 
 
 def derivative_raster(spark, d):
-    from pyspark.sql.window import Window
-
-    s = src.series(spark, d)
-    diff = s.withColumn("value", F.col("value") - F.lag("value").over(Window.partitionBy("unit").orderBy("frame"))).where("value is not null")
-    return ops.robust_z(diff, ["unit"], "value").where("z >= 2").select("unit", "frame")
+    """Steps of daily traces by line number that reach the default of 4."""
+    t = src.traces(spark, d).select("rec_id", "roi_id", F.posexplode("x").alias("frame", "value"))
+    return ops.spike_raster(t, ["rec_id", "roi_id"], "frame", "value")
 
 
 def xcorr_best_lag(spark, d):
-    n = src.series(spark, d).groupBy("unit").count().agg(F.min("count")).first()[0]
-    z = ops.zscore(src.series(spark, d).where(F.col("frame") < n), ["unit"], "value").select("unit", "frame", "z")
-    out = ops.lag_sweep(z, z, n, 10, 1.0)
+    x, n = recordings.equal_traces(spark, d)
+    out = ops.best_lags(events.pair_curves(x, 10), 1.0)
     return out.select("unit_a", "unit_b", _r("best_lag_sec"), _r("max_corr"), _r("zero_lag_corr"), "leader")
 
 
@@ -220,7 +213,8 @@ def report_pivot(spark, d):
 
 
 def split_by_group(spark, d):
-    return src.read(spark, d, "documents").select("source").distinct().select("source", (F.conv(F.substring(F.md5(F.col("source").cast("binary")), 1, 4), 16, 10).cast("int") % 5 == 0).alias("validation"))
+    docs = src.read(spark, d, "documents").select("source", "doc_id")
+    return cells.split_recordings(docs, "source").select("source", "doc_id", "validation")
 
 
 def um_per_px(spark, d):
@@ -249,7 +243,7 @@ ORACLE = {
     "nan_interp": f"WITH {SERIES}, g AS (SELECT unit, frame, CASE WHEN frame % 7 <> 3 THEN value END AS v FROM series), k AS (SELECT * FROM g WHERE v IS NOT NULL), j AS (SELECT g.unit, g.frame, g.v, a.frame AS f0, a.v AS v0, b.frame AS f1, b.v AS v1 FROM g ASOF LEFT JOIN k a ON a.unit = g.unit AND a.frame <= g.frame ASOF LEFT JOIN k b ON b.unit = g.unit AND b.frame >= g.frame) SELECT unit, frame, round(CASE WHEN f0 IS NULL THEN v1 WHEN f1 IS NULL OR f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, 6) AS filled FROM j",
     "block_downsample": f"WITH {SERIES} SELECT unit, frame // 8 AS block, round(avg(value), 6) AS mean FROM series GROUP BY 1, 2 HAVING count(*) = 8",
     "minmax_rows": "SELECT vec_id, i, round(CASE WHEN list_max(e) > list_min(e) THEN (e[i + 1] - list_min(e)) / (list_max(e) - list_min(e)) ELSE 0 END, 6) AS scaled FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(64) r(i)",
-    "derivative_raster": f"WITH {SERIES}, d AS (SELECT unit, frame, value - lag(value) OVER (PARTITION BY unit ORDER BY frame) AS v FROM series), e AS (SELECT * FROM d WHERE v IS NOT NULL), m AS (SELECT unit, median(v) AS m FROM e GROUP BY unit), a AS (SELECT e.unit, any_value(m) AS m, median(abs(v - m)) AS d FROM e JOIN m USING (unit) GROUP BY e.unit) SELECT e.unit, frame FROM e JOIN a USING (unit) WHERE (v - m) / (1.4826 * (d + 1e-12)) >= 2",
+    "derivative_raster": f"WITH {chain.TRACES}, d AS (SELECT rec_id, roi_id, frame, x - lag(x) OVER (PARTITION BY rec_id, roi_id ORDER BY frame) AS v FROM tr), e AS (SELECT * FROM d WHERE v IS NOT NULL), m AS (SELECT rec_id, roi_id, median(v) AS m FROM e GROUP BY 1, 2), a AS (SELECT e.rec_id, e.roi_id, any_value(m) AS m, median(abs(v - m)) AS d FROM e JOIN m USING (rec_id, roi_id) GROUP BY 1, 2) SELECT e.rec_id, e.roi_id, frame::INTEGER AS frame FROM e JOIN a USING (rec_id, roi_id) WHERE (v - m) / (1.4826 * (d + 1e-12)) >= 4",
     "xcorr_best_lag": f"WITH {SERIES}, n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM series GROUP BY unit)), s AS (SELECT * FROM series WHERE frame < (SELECT n FROM n)), z AS (SELECT unit, frame, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z FROM s WINDOW w AS (PARTITION BY unit)), c AS (SELECT a.unit AS unit_a, b.unit AS unit_b, k, sum(a.z * b.z) / (SELECT n FROM n) AS c FROM z b CROSS JOIN range(-10, 11) r(k) JOIN z a ON a.frame = b.frame + k GROUP BY 1, 2, 3), m AS (SELECT unit_a, unit_b, arg_max(k, (round(c, 9), -k)) AS k, max(c) AS m, max(c) FILTER (k = 0) AS z FROM c GROUP BY 1, 2) SELECT unit_a, unit_b, k::DOUBLE AS best_lag_sec, round(m, 6) AS max_corr, round(z, 6) AS zero_lag_corr, CASE WHEN k < 0 THEN 'A' WHEN k > 0 THEN 'B' ELSE 'none' END AS leader FROM m",
     "pair_enumeration": "SELECT a.n_regionkey, a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey = b.n_nationkey AS is_self FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <= b.n_nationkey",
     "bh_fdr": "WITH p AS (SELECT o_orderkey AS id, o_orderstatus AS g, ((o_orderkey * 7919) % 10007) / 10007.0::DOUBLE AS p FROM orders), r AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p, id) AS q FROM p) SELECT id, round(least(1.0, min(q) OVER (PARTITION BY g ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r",
@@ -270,16 +264,16 @@ ORACLE = {
     "euclid_pairs": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.label, count(*) AS n, round(avg(list_distance(a.e, b.e)), 4) AS mean_dist FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1",
     "params_merge": "SELECT event_id, coalesce(nullif((props::JSON->>'k')::BIGINT, 0), -1) AS merged FROM events",
     "report_pivot": "SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'view') AS n_view FROM events GROUP BY 1",
-    "split_by_group": "SELECT DISTINCT source, ('0x' || substr(md5(source), 1, 4))::INTEGER % 5 = 0 AS validation FROM documents",
+    "split_by_group": "WITH g AS (SELECT source, row_number() OVER (ORDER BY md5('0:' || source), source) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) SELECT source, doc_id, r <= greatest(1, round_even(n * 0.2, 0)) AS validation FROM documents JOIN g USING (source)",
     "um_per_px": "SELECT p_partkey, round(coalesce(CASE WHEN p_size > 40 THEN p_size / 100.0::DOUBLE END, 3080.90169::DOUBLE / nullif(p_size % 5, 0) / 512.0::DOUBLE, 1.0), 6) AS um FROM part",
 }
 
 
 def queries() -> dict:
     own = {name: globals()[name] for name in ORACLE}
-    own |= {name: getattr(module, name) for module in (chain, records) for name in module.ORACLE}
+    own |= {name: getattr(module, name) for module in (chain, records, units) for name in (*module.ORACLE, *getattr(module, "ROWS_ONLY", ()))}
     return own | {name: getattr(recordings, name) for name in (*recordings.ORACLE, *recordings.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict:
-    return ORACLE | recordings.ORACLE | records.ORACLE | chain.ORACLE
+    return ORACLE | recordings.ORACLE | records.ORACLE | chain.ORACLE | units.ORACLE

@@ -115,6 +115,65 @@ def frame_rates(recordings: DataFrame, notes: DataFrame, default: float = 15.07)
     return r.withColumn("fps", F.coalesce(fps, F.lit(default))).drop("serial", "target", "n_exact", "r_exact", "r_loose")
 
 
+def json_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(rec_id, path, text) of JSON files below ``root``; a recording is its innermost named folder, else the file's folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    folder = F.element_at(F.split("path", "/"), -2)
+    return found.select(F.coalesce(scalars.recording_of("path"), folder).alias("rec_id"), "path", F.decode("content", "UTF-8").alias("text"))
+
+
+def read_manifests(spark: SparkSession, root: str, pattern: str = "manifest.json") -> DataFrame:
+    """(rec_id, path, params, tau, fs, bad) of recordings' manifests: params as text by name, numbers null where they are none.
+
+    A manifest that is no JSON object is marked ``bad`` and has no params; params that are no object are empty.
+    """
+    rows = json_files(spark, root, pattern).withColumn("_v", F.try_parse_json("text"))
+    top = F.expr("try_variant_get(_v, '$', 'map<string,variant>')")
+    rows = rows.withColumns({"_m": top}).withColumns({"_p": F.expr("try_variant_get(_v, '$.params', 'map<string,variant>')")})
+    bare = lambda k, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    params = F.coalesce(F.transform_values("_p", bare), F.expr("cast(map() as map<string,string>)"))
+    number = lambda n: F.expr(f"try_variant_get(_v, '$.{n}', 'double')").alias(n)
+    return rows.select("rec_id", "path", params.alias("params"), number("tau"), number("fs"), F.col("_m").isNull().alias("bad"))
+
+
+def write_sidecar(spark: SparkSession, folder: str, raw_paths: list[str], name: str = "raw_paths.json") -> None:
+    """Names the raw files that a recording's folder was made from, in a file that appears whole."""
+    import json
+
+    from tracelake.sources.commits import swap
+
+    swap(spark, f"{folder}/{name}", json.dumps({"raw_paths": raw_paths}, indent=2).encode(), overwrite=True)
+
+
+def read_sidecars(spark: SparkSession, root: str, pattern: str = "*raw_paths.json") -> DataFrame:
+    """(rec_id, raw_paths): empty where the file is no JSON or names none."""
+    rows = json_files(spark, root, pattern)
+    paths = F.expr("try_variant_get(try_parse_json(text), '$.raw_paths', 'array<string>')")
+    return rows.select("rec_id", F.coalesce(paths, F.array().cast("array<string>")).alias("raw_paths"))
+
+
+def finished_preprocess(files: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
+    """What each recording's folder holds of a finished preprocess, from a listing's paths.
+
+    (rec_id, shifted, mean, animation, raw, state): shifted stacks by trailing number; ``state`` is 'complete' with a
+    stack, a mean image and an animation, 'archived' where the stacks are gone and raw files are named, else 'partial'.
+    Recordings with none of the files have no row.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select(scalars.recording_of("path").alias("rec_id"), "path", name.alias("_n")).where("rec_id is not null")
+    stack = F.col("_n").contains("shifted_") & F.lower("_n").rlike(r"\.tiff?$")
+    by = rows.groupBy("rec_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(stack, F.struct(scalars.trailing_index("path").alias("i"), "path")))), lambda x: x["path"]).alias("shifted"),
+        F.min(F.when(F.col("_n") == "mean.npy", F.col("path"))).alias("mean"), F.min(F.when(F.col("_n") == "qc.gif", F.col("path"))).alias("animation"),
+    )
+    by = by.where("size(shifted) > 0 or mean is not null or animation is not null")
+    none = F.array().cast("array<string>")
+    by = by.join(sidecars, "rec_id", "left").withColumn("raw", F.coalesce("raw_paths", none)).drop("raw_paths") if sidecars is not None else by.withColumn("raw", none)
+    viewed = F.col("mean").isNotNull() & F.col("animation").isNotNull()
+    state = F.when(viewed & (F.size("shifted") > 0), "complete").when(viewed & (F.size("raw") > 0), "archived").otherwise("partial")
+    return by.withColumn("state", state)
+
+
 def merge_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
     """(rec_id, params map, tau, fs): params of both, the newer winning; zero or missing tau and fs never replace a value."""
     o = old.select("rec_id", F.col("params").alias("p0"), F.col("tau").alias("t0"), F.col("fs").alias("f0"))
