@@ -81,6 +81,20 @@ def test_steps_go_down_the_gradient(seed):
     assert checked > 12
 
 
+def test_long_words_and_texts_leave_in_runs(monkeypatch):
+    from tracelake.llm import bpe
+
+    own = bpe.codec(open(bpe.default_path()).read())
+    for text in ("x" * 30_000, "né" * 9_000, "a few words 12 " * 6_000, "Σ中 " * 30_000):
+        runs = list(own.runs(text))
+        assert max(map(len, runs)) < bpe.RUN + bpe.KEPT * 4
+        whole = [i for r in runs for i in r]
+        monkeypatch.setattr(bpe, "LISTED", 0)
+        monkeypatch.setattr(bpe, "RUN", 7)
+        assert own.encode(text) == whole
+        monkeypatch.undo()
+
+
 def test_copies_are_neighbours_in_shards(spark):
     rows = [(i % 400 if i % 3 else None, "same text" if i % 2 else f"text {i % 150}", f"s{i % 2}") for i in range(2000)] + [(7, "twice", "s0")] * 300
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)

@@ -13,8 +13,8 @@ anything came before (token strings, joined by one space as the file names no de
 character (text). No list of a whole text's ids is held for the digests.
 
 Texts are split as the tokenizer file says: special tokens, NFC, white space, lower case, pre-tokens, byte
-symbols. Defined cases: null and empty texts have no tokens; an empty table gives an empty result; very long words and
-texts take constant memory besides the text; repeated rows give repeated results; a null doc_id is carried through; extra
+symbols. Defined cases: null and empty texts have no tokens; an empty table gives an empty result; for the digests, very
+long texts take the memory of the text and of its lower-cased form, and very long words that of the word besides; repeated rows give repeated results; a null doc_id is carried through; extra
 columns are ignored; a doc_id that is no integer is an error of the cast; a file whose special tokens strip or need single
 words is refused.
 """
@@ -40,6 +40,7 @@ from tracelake.llm import _words as W
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 KEPT = 48
 RUN = 4096
+LISTED = 1 << 16
 CACHE = 400_000
 #: Fixed values of the format: contractions, letters, single digits, other marks; white space between them.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -252,24 +253,30 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.number = {i: str(i) for i in self.merges.token}
 
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special tokens."""
+    def words(self, text: str) -> Iterable[str]:
+        """Pre-tokens of a text without special tokens; one by one where the text is long."""
         if text.isascii():
-            return SPLIT_ASCII.findall(text.lower())
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return SPLIT.findall(text.replace("Σ", "σ").lower())
+            split, text = SPLIT_ASCII, text.lower()
+        else:
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            split, text = SPLIT, text.replace("Σ", "σ").lower()
+        return split.findall(text) if len(text) <= LISTED else (m.group() for m in split.finditer(text))
 
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a pre-token."""
-        mapped = word.translate(self.plain) if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-        ids = tuple(self.merges.stream(mapped))
-        if len(word) <= KEPT:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = ids
+        """Ids of a pre-token of at most KEPT characters, kept for the next time."""
+        ids = tuple(self.stream(word))
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        self.known[word] = ids
         return ids
 
+    def stream(self, word: str) -> Iterator[int]:
+        """Ids of a pre-token as the transducer emits them; its bytes are mapped in pieces."""
+        if word.isascii():
+            return self.merges.stream(word.translate(self.plain) if len(word) <= KEPT else (c.translate(self.plain) for c in word))
+        return self.merges.stream(self.symbols[b] for i in range(0, len(word), RUN) for b in word[i : i + RUN].encode())
+
     def parts(self, text: str) -> Iterator[str | int]:
         """Runs of ordinary text, and ids of special tokens."""
         if self.special is None or self.mark not in text:
@@ -286,6 +293,13 @@ class Codec:
                 out.append(part)
                 continue
             for w in self.words(part):
+                if len(w) > KEPT:
+                    for i in self.stream(w):
+                        out.append(i)
+                        if len(out) >= RUN:
+                            yield out
+                            out = []
+                    continue
                 out += known.get(w) or self.word(w)
                 if len(out) >= RUN:
                     yield out
