@@ -207,7 +207,7 @@ def spread(active: DataFrame, footprints: DataFrame, fps: float, um_per_px: floa
 
     at = active.join(footprints.select("rec_id", "roi_id", (F.col("x") * um_per_px).alias("x"), (F.col("y") * um_per_px).alias("y")), ["rec_id", "roi_id"])
     got = monotonicity(at.select("rec_id", "event_id", "x", "y", F.rint(F.col("first_time_s") * fps).alias("first_time_s")), shuffles, seed)
-    return tables.bh_fdr(got, "p_value", ["rec_id"], tie="event_id")
+    return tables.bh_fdr(got.withColumn("p_value", F.nanvl("p_value", F.lit(None).cast("double"))), "p_value", ["rec_id"])
 
 
 def activation_groups(active: DataFrame, footprints: DataFrame, fps: float) -> DataFrame:

@@ -213,12 +213,32 @@ def jumps(df: DataFrame, keys: list[str], frame: str, value: str, k: float = 6.0
     return min_separation(high, keys, frame, float(gap), strict=True).withColumn(frame, F.col(frame).cast("long"))
 
 
-def bh_fdr(df: DataFrame, p: str, keys: list[str] = (), tie: str = "id") -> DataFrame:
-    """Benjamini-Hochberg q values inside keys. The minimum runs from the largest p down, which is linear in a group's rows."""
-    up, down = Window.partitionBy(*keys).orderBy(p, tie), Window.partitionBy(*keys).orderBy(F.desc(p), F.desc(tie))
-    out = df.withColumn("_q", F.col(p) * F.count("*").over(_by(list(keys))) / F.row_number().over(up))
-    least = F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("q", F.least(F.lit(1.0), least)).drop("_q")
+def bh_fdr(df: DataFrame, p: str, keys: list[str] = (), cells: int = 1024) -> DataFrame:
+    """Benjamini-Hochberg q values inside keys; a null p has none and does not count.
+
+    Equal p values have one q, so that ranks are those of the values with their counts. Values are dealt to ``cells`` cells of
+    the range from 0 to 1: windows run inside a cell, and over the cells of a key alone.
+    """
+    keys = list(keys)
+    if not keys:
+        return bh_fdr(df.withColumn("_g", F.lit(0)), p, ["_g"], cells).drop("_g")
+    per = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    per = per.withColumn("_cell", F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(F.col("_p") * cells))))
+    sums = per.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_c"))
+    up = Window.partitionBy(*keys).orderBy("_cell")
+    sums = sums.select(*keys, "_cell", (F.sum("_c").over(up) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_all"))
+    inside = Window.partitionBy(*keys, "_cell")
+    ranked = per.join(sums, [*keys, "_cell"]).withColumn("_rank", F.col("_before") + F.sum("_n").over(inside.orderBy("_p")))
+    ranked = ranked.withColumn("_q", F.col("_p") * F.col("_all") / F.col("_rank"))
+    least = ranked.groupBy(*keys, "_cell").agg(F.min("_q").alias("_m"))
+    later = F.min("_m").over(Window.partitionBy(*keys).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1))
+    own = F.min("_q").over(inside.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    q = ranked.withColumn("_own", own).join(least.select(*keys, "_cell", later.alias("_later")), [*keys, "_cell"])
+    q = q.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_p", F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias("q"))
+    on = F.col(p) == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(q, on, "left").drop("_p", *(f"_k{i}" for i in range(len(keys))))
 
 
 def auroc(df: DataFrame, label: str, score: str, grain: float = 4096.0) -> DataFrame:

@@ -189,7 +189,7 @@ def sheet_event_onsets(spark, d):
 
 def sheet_event_times(spark, d):
     s = _sheets(spark, d)["RoiEventTimes"]
-    return s.select("rec_id", "event_id", "roi_id", "kept_pos", F.size("times_s").alias("n"), r6(F.element_at("times_s", 1), "first_s"), r6(F.element_at("times_s", -1), "last_s"))
+    return s.select("rec_id", "event_id", "roi_id", "kept_pos", F.posexplode("times_s").alias("i", "t")).select("rec_id", "event_id", "roi_id", "kept_pos", "i", r6("t"))
 
 
 def sheet_clusters(spark, d):
@@ -306,7 +306,7 @@ ORACLE = {
     "sheet_rois": f"WITH {SHEETS} SELECT un.rec_id, un.roi_id, un.keep, kept_pos FROM un LEFT JOIN kept k ON k.roi_id = un.roi_id",
     "sheet_events": f"WITH {SHEETS} SELECT w.rec_id, w.event_id, count(DISTINCT roi_id) AS n_active, round(min(t), 6) AS first_s FROM w LEFT JOIN h ON h.rec_id = w.rec_id AND h.event_id = w.event_id GROUP BY 1, 2",
     "sheet_event_onsets": f"WITH {SHEETS} SELECT rec_id, event_id, roi_id, kept_pos, round(t - start_s, 6) AS rel_s FROM h",
-    "sheet_event_times": f"WITH {SHEETS} SELECT rec_id, event_id, roi_id, kept_pos, count(*) AS n, round(min(t), 6) AS first_s, round(max(t), 6) AS last_s FROM h GROUP BY 1, 2, 3, 4",
+    "sheet_event_times": f"WITH {SHEETS} SELECT rec_id, event_id, roi_id, kept_pos, (row_number() OVER (PARTITION BY rec_id, event_id, roi_id ORDER BY t) - 1)::INTEGER AS i, round(t, 6) AS t FROM h",
     "sheet_clusters": f"WITH {SHEETS} SELECT rec_id, roi_id, kept_pos, roi_id % 4 AS cluster_id FROM kept",
     "merge_passes": f"WITH {FEET}, px AS (SELECT DISTINCT rec_id, roi_id, y, x FROM fp), p AS (SELECT *, 0 AS pass FROM px WHERE roi_id % 2 = 0 AND y < 5), x AS (SELECT *, 1 AS pass FROM px WHERE roi_id % 2 = 1 AND x < 9), s AS (SELECT x.rec_id, x.roi_id FROM x LEFT JOIN (SELECT DISTINCT rec_id, y, x, 1 AS hit FROM p) c ON c.rec_id = x.rec_id AND c.y = x.y AND c.x = x.x GROUP BY 1, 2 HAVING avg(coalesce(hit, 0)) < 0.35), u AS (SELECT * FROM p UNION ALL SELECT x.* FROM x JOIN s ON s.rec_id = x.rec_id AND s.roi_id = x.roi_id) SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY pass, roi_id) - 1 AS roi_id, CASE pass WHEN 0 THEN 'primary' ELSE 'soma' END AS source, count(*) AS npix FROM u GROUP BY rec_id, pass, u.roi_id",
     "label_image": f"WITH {FEET} SELECT rec_id, y, x, max(roi_id) AS roi_id FROM fp GROUP BY 1, 2, 3",
