@@ -110,11 +110,19 @@ def rolling_ranks(x: np.ndarray, window: int, percent: float, edge: str = "edge"
 
 
 def dff_rolling(f: np.ndarray, fps: float, window_s: float = 45, percent: float = 10) -> np.ndarray:
-    """dF/F of a trace, or of the rows of a matrix, against a rolling percentile that is held above its own first percentile."""
+    """dF/F of a trace, or of the rows of a matrix, against a rolling percentile that is held above its own first percentile.
+
+    The window is odd and no longer than the trace; one below three frames is replaced by the percentile of the whole trace.
+    """
     f = np.asarray(f, float)
     rows = np.stack([interpolate(v) for v in np.atleast_2d(f)])
-    base = rolling_ranks(rows, max(3, int(window_s * fps) | 1), percent)
-    floor = np.percentile(base, 1, axis=1, keepdims=True)
+    n = rows.shape[1]
+    window = min(max(3, int(window_s * fps) | 1), n if n % 2 else n - 1)
+    if window < 3:
+        base = np.broadcast_to(np.percentile(rows, percent, axis=1, keepdims=True), rows.shape) if n else rows
+    else:
+        base = rolling_ranks(rows, window, percent)
+    floor = np.percentile(base, 1, axis=1, keepdims=True) if n else np.ones((len(rows), 1))
     out = (rows - base) / np.maximum(base, np.where(floor > 0, floor, 1e-9))
     return out if f.ndim > 1 else out[0]
 

@@ -138,13 +138,6 @@ def dff_first_n(df: DataFrame, keys: list[str], frame: str, value: str, n: int)
     return df.withColumn("dff", (F.col(value) - base) / F.greatest(base, F.lit(1e-9)))
 
 
-def rolling_rank(df: DataFrame, keys: list[str], frame: str, value: str, half: int, percent: float) -> DataFrame:
-    """Order statistic of the rows within ``half`` frames, shortened at the ends."""
-    w = Window.partitionBy(*keys).orderBy(frame).rowsBetween(-half, half)
-    some = F.array_sort(F.collect_list(value).over(w))
-    return df.withColumn("base", F.element_at(some, (F.floor(F.size(some) * F.lit(percent / 100)) + 1).cast("int")))
-
-
 def fill_missing(df: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
     """Linear interpolation over NULLs, ends held. Both windows run, the second one backwards: linear in a unit's rows."""
     back = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)

@@ -51,6 +51,40 @@ def process_traces(traces: DataFrame, fps: float | str, r: float = 0.7, method:
     return rows.mapInPandas(run, with_error(TRACES, guard))
 
 
+def _by_length(traces: DataFrame, column: str, out: str, kernel) -> DataFrame:
+    """``out``: what a kernel makes of a trace column, for all equally long traces of a batch as one matrix."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.schema.fields), f"{out} array<double>"])
+
+    def run(batches):
+        for pdf in batches:
+            for n, same in pdf.groupby(pdf[column].map(len), sort=False):
+                step = max(1, BLOCK_SAMPLES // max(1, n))
+                for i in range(0, len(same), step):
+                    some = same.iloc[i : i + step]
+                    x = np.stack([np.asarray(v, float) for v in some[column]])
+                    yield some.assign(**{out: list(kernel(x) if n else x)})
+
+    return traces.where(F.col(column).isNotNull()).mapInPandas(run, schema)
+
+
+def rolling_percentile(traces: DataFrame, window: int, percent: float, edge: str = "symmetric", column: str = "x") -> DataFrame:
+    """``base``: the order statistic of a window of odd length around each sample, no longer than the trace.
+
+    ``edge``: 'symmetric' mirrors the trace at its ends, 'edge' repeats the end samples.
+    """
+
+    def kernel(x):
+        n = x.shape[1]
+        return signal.rolling_ranks(x, max(1, min(window | 1, n if n % 2 else n - 1)), percent, edge)
+
+    return _by_length(traces, column, "base", kernel)
+
+
+def rolling_dff(traces: DataFrame, fps: float, window_s: float = 45, percent: float = 10, column: str = "x") -> DataFrame:
+    """``dff``: dF/F against a rolling percentile."""
+    return _by_length(traces, column, "dff", lambda x: signal.dff_rolling(x, fps, window_s, percent))
+
+
 def _matrix(pdf: pd.DataFrame, column: str) -> tuple[list, np.ndarray]:
     pdf = pdf.sort_values("roi_id")
     return pdf["roi_id"].tolist(), np.stack([np.asarray(x, float) for x in pdf[column]], 1)

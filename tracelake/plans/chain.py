@@ -26,7 +26,7 @@ def processed(spark, d) -> DataFrame:
 
 
 def trace_processing(spark, d):
-    """Every sample of dF/F with its default window of 677 frames, of the causal low-pass and of the derivative."""
+    """Every sample of dF/F with its default window of 679 frames, of the causal low-pass and of the derivative."""
     t = processed(spark, d).select("rec_id", "roi_id", F.posexplode(F.arrays_zip("dff", "lp", "dt")).alias("frame", "_v"))
     return t.select("rec_id", "roi_id", "frame", r6("_v.dff", "dff"), r6("_v.lp", "lp"), F.round("_v.dt", 5).alias("dt"))
 
@@ -114,8 +114,8 @@ def stage_chain(spark, d):
 _B, _A = (c.tolist() for c in signal.butterworth2(FPS, 1.0))
 TRACES = "sd AS (SELECT l_returnflag AS rec_id, l_linenumber AS roi_id, l_shipdate::DATE - DATE '1995-01-01' AS day, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS v FROM lineitem GROUP BY 1, 2, 3), se AS (SELECT rec_id, min(day) AS a, max(day) AS b FROM sd GROUP BY 1), su AS (SELECT DISTINCT rec_id, roi_id FROM sd), tr AS MATERIALIZED (SELECT su.rec_id, su.roi_id, t - a AS frame, b - a + 1 AS n, coalesce(v, 0) AS x FROM su JOIN se USING (rec_id) CROSS JOIN LATERAL (SELECT unnest(range(a, b + 1)) AS t) LEFT JOIN sd ON sd.rec_id = su.rec_id AND sd.roi_id = su.roi_id AND sd.day = t)"
 PROCESSED = f"""{TRACES},
-pd AS (SELECT rec_id, roi_id, frame, x + {PEDESTAL} AS f FROM tr UNION ALL SELECT rec_id, roi_id, -i, x + {PEDESTAL} FROM tr, range(1, 339) r(i) WHERE frame = 0 UNION ALL SELECT rec_id, roi_id, frame + i, x + {PEDESTAL} FROM tr, range(1, 339) r(i) WHERE frame = n - 1),
-bs AS (SELECT rec_id, roi_id, frame, f, quantile_disc(f, 0.1) OVER (PARTITION BY rec_id, roi_id ORDER BY frame ROWS BETWEEN 338 PRECEDING AND 338 FOLLOWING) AS base FROM pd),
+pd AS (SELECT rec_id, roi_id, frame, x + {PEDESTAL} AS f FROM tr UNION ALL SELECT rec_id, roi_id, -i, x + {PEDESTAL} FROM tr, range(1, 340) r(i) WHERE frame = 0 UNION ALL SELECT rec_id, roi_id, frame + i, x + {PEDESTAL} FROM tr, range(1, 340) r(i) WHERE frame = n - 1),
+bs AS (SELECT rec_id, roi_id, frame, f, quantile_disc(f, 0.1) OVER (PARTITION BY rec_id, roi_id ORDER BY frame ROWS BETWEEN 339 PRECEDING AND 339 FOLLOWING) AS base FROM pd),
 fl AS (SELECT tr.rec_id, tr.roi_id, tr.frame, tr.n, f, base FROM bs JOIN tr ON tr.rec_id = bs.rec_id AND tr.roi_id = bs.roi_id AND tr.frame = bs.frame),
 fq AS (SELECT rec_id, roi_id, quantile_cont(base, 0.01) AS q FROM fl GROUP BY 1, 2),
 df AS MATERIALIZED (SELECT rec_id, roi_id, frame, n, (f - base) / greatest(base, CASE WHEN q > 0 THEN q ELSE 1e-9 END) AS dff FROM fl JOIN fq USING (rec_id, roi_id)),

@@ -9,6 +9,7 @@ from tracelake.functions import scalars
 from tracelake.operators import cells, events, images
 from tracelake.operators import records as rec
 from tracelake.operators import tables as ops
+from tracelake.operators import traces
 from tracelake.plans import chain, recordings, records, units
 from tracelake.plans.common import PIXELS, ROBUST, SERIES, SIX, UNITS, WINDOWS
 from tracelake.plans.common import pixels as _pixels
@@ -16,6 +17,7 @@ from tracelake.plans.common import r6 as _r
 from tracelake.sources import drivers as src
 from tracelake.sources import files
 
+
 def onset_density(spark, d):
     u = src.units(spark, d)
     n = src.read(spark, d, "events").select("user_id").distinct().count()
@@ -27,8 +29,15 @@ def density_smooth(spark, d):
     return ops.smooth(ops.density(u, 1, 3600.0), 1.5).select("bin", _r("smooth"))
 
 
+def _array(rows, order, value):
+    return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda p: p[value]).alias("x")
+
+
 def density_rolling_pct(spark, d):
-    return ops.rolling_rank(ops.density(src.units(spark, d), 1, 3600.0).withColumn("k", F.lit(1)), ["k"], "bin", "rate", 12, 5).select("bin", _r("base"))
+    """Rolling percentile of an hourly density with the defaults of event detection: 5 %, 201 bins, mirrored at the ends."""
+    bins = ops.density(src.units(spark, d), 1, 3600.0)
+    got = traces.rolling_percentile(bins.agg(F.min("bin").alias("first"), _array(bins, "bin", "rate")), 201, 5)
+    return got.select("first", F.posexplode("base").alias("i", "base")).select((F.col("first") + F.col("i")).alias("bin"), _r("base"))
 
 
 def density_noise(spark, d):
@@ -82,8 +91,10 @@ def dff_first_n(spark, d):
 
 
 def dff_rolling(spark, d):
-    b = ops.rolling_rank(src.series(spark, d), ["unit"], "frame", "value", 10, 10)
-    return b.select("unit", "frame", _r((F.col("value") - F.col("base")) / F.greatest("base", F.lit(1e-9)), "dff"))
+    """dF/F of daily sums with the defaults: tenth percentile of 45 s at 15.07 frames a second, 679 frames."""
+    rows = src.series(spark, d)
+    got = traces.rolling_dff(rows.groupBy("unit").agg(_array(rows, "frame", "value")), 15.07)
+    return got.select("unit", F.posexplode("dff").alias("frame", "dff")).select("unit", "frame", _r("dff"))
 
 
 def neuropil_subtract(spark, d):
@@ -226,7 +237,7 @@ ORACLE = {
     "flagship": f"WITH {UNITS}, {WINDOWS}, a AS (SELECT w.event_id, unit, min(t) AS f FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2) SELECT event_id, count(*) AS n_active, arg_min(unit, (f, unit)) AS first_unit FROM a GROUP BY event_id",
     "onset_density": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), b AS (SELECT unnest(range((SELECT min(bin) FROM c), (SELECT max(bin) FROM c) + 1)) AS bin) SELECT b.bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(DISTINCT unit) FROM units)::DOUBLE, 6) AS rate FROM b LEFT JOIN c ON b.bin = c.bin",
     "density_smooth": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), e AS (SELECT min(bin) AS a, max(bin) AS z FROM c), b AS (SELECT unnest(range(a, z + 1)) AS bin FROM e), v AS (SELECT b.bin, coalesce(n, 0) AS n FROM b LEFT JOIN c ON b.bin = c.bin), k AS (SELECT j, exp(-0.5 * (j / 1.5) ** 2) AS g FROM range(-6, 7) r(j)) SELECT v.bin, round(sum(u.n * g) / (SELECT sum(g) FROM k), 6) AS smooth FROM v CROSS JOIN k CROSS JOIN e JOIN v u ON u.bin = least(greatest(v.bin + j, a), z) GROUP BY v.bin",
-    "density_rolling_pct": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), b AS (SELECT unnest(range((SELECT min(bin) FROM c), (SELECT max(bin) FROM c) + 1)) AS bin), v AS (SELECT b.bin, coalesce(n, 0)::DOUBLE AS n FROM b LEFT JOIN c ON b.bin = c.bin), s AS (SELECT bin, list_sort(list(n) OVER (ORDER BY bin ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) AS l FROM v) SELECT bin, l[floor(len(l) * 0.05)::INTEGER + 1] AS base FROM s",
+    "density_rolling_pct": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), e AS (SELECT min(bin) AS a, max(bin) AS z FROM c), b AS (SELECT unnest(range(a, z + 1)) AS bin FROM e), v AS (SELECT b.bin, coalesce(n, 0)::DOUBLE AS n FROM b LEFT JOIN c ON b.bin = c.bin), p AS (SELECT bin, n FROM v UNION ALL SELECT 2 * a - 1 - bin, n FROM v, e WHERE bin < a + 100 UNION ALL SELECT 2 * z + 1 - bin, n FROM v, e WHERE bin > z - 100), s AS (SELECT bin, list_sort(list(n) OVER (ORDER BY bin ROWS BETWEEN 100 PRECEDING AND 100 FOLLOWING))[11] AS base FROM p) SELECT bin, base FROM s, e WHERE bin BETWEEN a AND z",
     "density_noise": f"WITH {UNITS}, c AS (SELECT floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM units GROUP BY 1), b AS (SELECT unnest(range((SELECT min(bin) FROM c), (SELECT max(bin) FROM c) + 1)) AS bin), v AS (SELECT coalesce(n, 0)::DOUBLE AS n FROM b LEFT JOIN c ON b.bin = c.bin), q AS (SELECT n FROM v WHERE n <= (SELECT quantile_cont(n, 0.4) FROM v)) SELECT round(median(abs(n - (SELECT median(n) FROM q))) * 1.4826, 6) AS noise FROM q",
     "activation_first_time": f"WITH {UNITS}, {WINDOWS} SELECT w.event_id, unit, round(min(t), 6) AS first_time_s FROM units JOIN w ON t BETWEEN start_s AND end_s GROUP BY 1, 2",
     "event_onsets_long": f"WITH {UNITS}, {WINDOWS} SELECT w.event_id, unit, units.event_id AS onset_id, round(t - start_s, 6) AS rel_s FROM units JOIN w ON t BETWEEN start_s AND end_s",
@@ -237,7 +248,7 @@ ORACLE = {
     "hysteresis_onsets": f"WITH {SERIES}, {ROBUST}, s AS (SELECT *, coalesce(last_value(CASE WHEN z >= 1 THEN 1 WHEN z <= 0 THEN 0 END IGNORE NULLS) OVER (PARTITION BY unit ORDER BY frame ROWS UNBOUNDED PRECEDING), 0) AS o FROM rz), l AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY unit ORDER BY frame), 0) AS b FROM s) SELECT unit, frame FROM l WHERE o = 1 AND b = 0",
     "min_separation": f"WITH RECURSIVE {UNITS}, k AS (SELECT unit, min(t) AS t FROM units GROUP BY unit UNION ALL SELECT k.unit, (SELECT min(u.t) FROM units u WHERE u.unit = k.unit AND u.t - k.t >= 86400) FROM k WHERE k.t IS NOT NULL) SELECT unit, round(t, 6) AS t FROM k WHERE t IS NOT NULL",
     "dff_first_n": f"WITH {SERIES}, b AS (SELECT *, avg(value) FILTER (frame < 120) OVER (PARTITION BY unit) AS m FROM series) SELECT unit, frame, round((value - m) / greatest(m, 1e-9), 6) AS dff FROM b",
-    "dff_rolling": f"WITH {SERIES}, s AS (SELECT *, list_sort(list(value) OVER (PARTITION BY unit ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)) AS l FROM series), b AS (SELECT *, l[floor(len(l) * 0.1)::INTEGER + 1] AS m FROM s) SELECT unit, frame, round((value - m) / greatest(m, 1e-9), 6) AS dff FROM b",
+    "dff_rolling": f"WITH {SERIES}, n AS (SELECT unit, max(frame) AS z FROM series GROUP BY unit), p AS (SELECT unit, frame, value FROM series UNION ALL SELECT unit, -i, value FROM series, range(1, 340) r(i) WHERE frame = 0 UNION ALL SELECT s.unit, z + i, value FROM series s JOIN n ON n.unit = s.unit AND s.frame = z, range(1, 340) r(i)), b AS (SELECT unit, frame, value, list_sort(list(value) OVER (PARTITION BY unit ORDER BY frame ROWS BETWEEN 339 PRECEDING AND 339 FOLLOWING))[68] AS base FROM p), k AS (SELECT b.* FROM b JOIN n ON n.unit = b.unit AND frame BETWEEN 0 AND z), q AS (SELECT unit, quantile_cont(base, 0.01) AS q FROM k GROUP BY unit) SELECT unit, frame::INTEGER AS frame, round((value - base) / greatest(base, CASE WHEN q > 0 THEN q ELSE 1e-9 END), 6) AS dff FROM k JOIN q USING (unit)",
     "neuropil_subtract": "SELECT l_orderkey, l_linenumber, round(l_extendedprice - 0.7::DOUBLE * l_tax, 6) AS f FROM lineitem",
     "sg_derivative_interior": f"WITH {SERIES}, s AS (SELECT unit, frame, ((lead(value, 1) OVER w - lag(value, 1) OVER w) * 1 + (lead(value, 2) OVER w - lag(value, 2) OVER w) * 2) * (15.0 / 10) AS dt FROM series WINDOW w AS (PARTITION BY unit ORDER BY frame)) SELECT unit, frame, round(dt, 6) AS dt FROM s WHERE dt IS NOT NULL",
     "nan_interp": f"WITH {SERIES}, g AS (SELECT unit, frame, CASE WHEN frame % 7 <> 3 THEN value END AS v FROM series), k AS (SELECT * FROM g WHERE v IS NOT NULL), j AS (SELECT g.unit, g.frame, g.v, a.frame AS f0, a.v AS v0, b.frame AS f1, b.v AS v1 FROM g ASOF LEFT JOIN k a ON a.unit = g.unit AND a.frame <= g.frame ASOF LEFT JOIN k b ON b.unit = g.unit AND b.frame >= g.frame) SELECT unit, frame, round(CASE WHEN f0 IS NULL THEN v1 WHEN f1 IS NULL OR f0 = f1 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, 6) AS filled FROM j",
