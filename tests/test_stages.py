@@ -42,8 +42,8 @@ def test_a_recording_that_fails_leaves_the_others(spark, tmp_path):
     trace = lambda: (100 + r.standard_normal(200) + 50 * (np.arange(200) % 90 == 5)).tolist()
     rows = [(rec, i, trace(), [0.0] * 200, [float(t % 50 == 3) for t in range(200)], True) for rec in ("a", "b", "slow", "lost") for i in range(3)]
     rois = spark.createDataFrame(rows, "rec_id string, roi_id int, f array<double>, fneu array<double>, spks array<double>, keep boolean")
-    # A recording of years has too many bins for its events; one of a rate beyond all bounds has no window for its baseline.
-    recs = spark.createDataFrame([("a", 10.0), ("b", 12.5), ("slow", 1e-9), ("lost", 1e300)], "rec_id string, fps double")
+    # A recording of years has too many bins for its events; one of an endless rate has no window for its baseline.
+    recs = spark.createDataFrame([("a", 10.0), ("b", 12.5), ("slow", 1e-9), ("lost", float("inf"))], "rec_id string, fps double")
     params = replace(DEFAULT, shuffles=0, bin_s=0.1)
     for source in ("derivative", "rates"):
         out = str(tmp_path / source)

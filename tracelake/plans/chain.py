@@ -11,7 +11,7 @@ from tracelake.kernels import signal
 from tracelake.kernels.events import DEFAULT
 from tracelake.operators import events, traces, trees
 from tracelake.plans import stages
-from tracelake.plans.common import r6
+from tracelake.plans.common import r6, z6
 from tracelake.sources import drivers as src
 from tracelake.sources import shared
 
@@ -28,7 +28,7 @@ def processed(spark, d) -> DataFrame:
 def trace_processing(spark, d):
     """Every sample of dF/F with its default window of 679 frames, of the causal low-pass and of the derivative."""
     t = processed(spark, d).select("rec_id", "roi_id", F.posexplode(F.arrays_zip("dff", "lp", "dt")).alias("frame", "_v"))
-    return t.select("rec_id", "roi_id", "frame", r6("_v.dff", "dff"), r6("_v.lp", "lp"), F.round("_v.dt", 5).alias("dt"))
+    return t.select("rec_id", "roi_id", "frame", z6("_v.dff", "dff"), z6("_v.lp", "lp"), z6("_v.dt", "dt", 5))
 
 
 def onset_frames(spark, d):
@@ -42,7 +42,7 @@ def power_spectrum(spark, d):
 
 
 def partial_correlation(spark, d):
-    return events.partial_correlation(processed(spark, d)).select("rec_id", "roi_a", "roi_b", r6("partial_corr"))
+    return events.partial_correlation(processed(spark, d)).select("rec_id", "roi_a", "roi_b", z6("partial_corr"))
 
 
 def ward_clusters(spark, d):
@@ -54,7 +54,7 @@ def cluster_lags(spark, d):
     """All unit pairs of all cluster pairs: best lag, its correlation and the zero-lag one, without a null."""
     t = processed(spark, d)
     got = events.cluster_correlation(t, traces.clusters(t), FPS, 1.0, shuffles=0)
-    return got.select("rec_id", "cluster_a", "cluster_b", "roi_a", "roi_b", r6("best_lag_sec"), r6("max_corr"), r6("zero_lag_corr"), "leader", "is_diagonal")
+    return got.select("rec_id", "cluster_a", "cluster_b", "roi_a", "roi_b", z6("best_lag_sec"), z6("max_corr"), z6("zero_lag_corr"), "leader", "is_diagonal")
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -90,8 +90,8 @@ STEPS = (700, 1500)
 
 
 def drift_steps(spark, d):
-    """Steps common to a recording's units, laid on their daily traces at two known frames."""
-    step = "transform(x, (v, i) -> v + if(i >= {0}, 4e6D, 0D) + if(i >= {1}, 4e6D, 0D))".format(*STEPS)
+    """Two steps common to a recording's units, at known frames, over noise of every unit's own and a share of its daily sums."""
+    step = "transform(x, (v, i) -> pmod(xxhash64(roi_id, i), 1000) / 1000D + v % 100 / 1000D + if(i >= {0}, 9D, 0D) + if(i >= {1}, 9D, 0D))".format(*STEPS)
     return traces.drift(src.traces(spark, d).withColumn("x", F.expr(step)), "x")
 
 
@@ -160,7 +160,7 @@ _N = 7  # units of a recording: line numbers
 _STATUS = "CASE WHEN kind IN ('', '-one') THEN 'done' WHEN kind = '-slow' THEN 'partial' WHEN kind = '-none' THEN 'no_rois' ELSE 'failed' END"
 
 ORACLE = {
-    "trace_processing": f"WITH RECURSIVE {DERIVED} SELECT rec_id, roi_id, frame::INTEGER AS frame, round(dff, 6) AS dff, round(lp, 6) AS lp, round(dt, 5) AS dt FROM dt",
+    "trace_processing": f"WITH RECURSIVE {DERIVED} SELECT rec_id, roi_id, frame::INTEGER AS frame, round(dff, 6) + 0.0 AS dff, round(lp, 6) + 0.0 AS lp, round(dt, 5) + 0.0 AS dt FROM dt",
     "onset_frames": f"""WITH RECURSIVE {DERIVED},
 md AS (SELECT rec_id, roi_id, median(dt) AS m FROM dt GROUP BY 1, 2), ma AS (SELECT dt.rec_id, dt.roi_id, any_value(m) AS m, median(abs(dt - m)) AS a FROM dt JOIN md USING (rec_id, roi_id) GROUP BY 1, 2),
 st AS (SELECT dt.*, (dt - m) / (1.4826 * (a + 1e-12)) AS z FROM dt JOIN ma USING (rec_id, roi_id)),
@@ -174,12 +174,12 @@ cr AS (SELECT a.rec_id, a.roi_id AS i, b.roi_id AS j, sum(a.z * b.z) / any_value
 mx AS (SELECT rec_id, list(r ORDER BY i) AS m FROM (SELECT rec_id, i, list_concat(list(c ORDER BY j), list_transform(range(1, {_N + 1}), lambda t: CASE WHEN t = i THEN 1.0::DOUBLE ELSE 0 END)) AS r FROM cr GROUP BY 1, 2) GROUP BY 1),
 gj AS (SELECT rec_id, 1 AS k, m FROM mx UNION ALL SELECT rec_id, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END) FROM gj WHERE k <= {_N}),
 iv AS (SELECT rec_id, m FROM gj WHERE k = {_N + 1})
-SELECT rec_id, i::INTEGER AS roi_a, j::INTEGER AS roi_b, round(CASE WHEN i = j THEN 1 ELSE -m[i][{_N} + j] / sqrt(m[i][{_N} + i] * m[j][{_N} + j]) END, 6) AS partial_corr FROM iv, range(1, {_N + 1}) a(i), range(1, {_N + 1}) b(j)""",
+SELECT rec_id, i::INTEGER AS roi_a, j::INTEGER AS roi_b, round(CASE WHEN i = j THEN 1 ELSE -m[i][{_N} + j] / sqrt(m[i][{_N} + i] * m[j][{_N} + j]) END, 6) + 0.0 AS partial_corr FROM iv, range(1, {_N + 1}) a(i), range(1, {_N + 1}) b(j)""",
     "ward_clusters": f"{_CLUSTERS} SELECT rec_id, roi_id, cluster_id, round(height, 6) AS threshold FROM ct",
     "cluster_lags": f"""{_CLUSTERS}, zz AS (SELECT rec_id, roi_id, any_value(n) AS n, list(z ORDER BY frame) AS z FROM (SELECT *, (lp - avg(lp) OVER w) / stddev_pop(lp) OVER w AS z FROM lw WINDOW w AS (PARTITION BY rec_id, roi_id)) GROUP BY 1, 2),
 cc AS (SELECT a.rec_id, a.roi_id AS roi_a, b.roi_id AS roi_b, k, list_inner_product(a.z[1 + greatest(k, 0) : a.n + least(k, 0)], b.z[1 + greatest(-k, 0) : a.n - greatest(k, 0)]) / a.n AS c FROM zz a JOIN zz b ON a.rec_id = b.rec_id CROSS JOIN range(-15, 16) r(k)),
 cb AS (SELECT rec_id, roi_a, roi_b, arg_max(k, (round(c, 12), -k)) AS k, max(c) AS m, max(c) FILTER (k = 0) AS z FROM cc GROUP BY 1, 2, 3)
-SELECT cb.rec_id, p.cluster_id AS cluster_a, q.cluster_id AS cluster_b, roi_a, roi_b, round(k / {FPS}, 6) AS best_lag_sec, round(m, 6) AS max_corr, round(z, 6) AS zero_lag_corr, CASE WHEN k < 0 THEN 'A' WHEN k > 0 THEN 'B' ELSE 'none' END AS leader, roi_a = roi_b AS is_diagonal FROM cb JOIN ct p ON p.rec_id = cb.rec_id AND p.roi_id = roi_a JOIN ct q ON q.rec_id = cb.rec_id AND q.roi_id = roi_b WHERE p.cluster_id <= q.cluster_id""",
+SELECT cb.rec_id, p.cluster_id AS cluster_a, q.cluster_id AS cluster_b, roi_a, roi_b, round(k / {FPS}, 6) + 0.0 AS best_lag_sec, round(m, 6) + 0.0 AS max_corr, round(z, 6) + 0.0 AS zero_lag_corr, CASE WHEN k < 0 THEN 'A' WHEN k > 0 THEN 'B' ELSE 'none' END AS leader, roi_a = roi_b AS is_diagonal FROM cb JOIN ct p ON p.rec_id = cb.rec_id AND p.roi_id = roi_a JOIN ct q ON q.rec_id = cb.rec_id AND q.roi_id = roi_b WHERE p.cluster_id <= q.cluster_id""",
     "ward_linkage": f"WITH RECURSIVE {_VALUES}, {_ward('ul')} SELECT rec_id, step::INTEGER AS step, a::INTEGER AS a, b::INTEGER AS b, round(height, 6) AS height, size::INTEGER AS size FROM mg",
     "merge_tree_order": f"{_TREE} SELECT rec_id, roi_id, place::INTEGER AS place, round(gap, 6) AS gap FROM od",
     "merge_tree_cut": f"{_TREE}, {_cut('od', 'ct')} SELECT rec_id, roi_id, cluster_id FROM ct",

@@ -20,6 +20,11 @@ def r6(column: Column | str, name: str | None = None) -> Column:
     return F.round(column, SIX).alias(name or column)
 
 
+def z6(column: Column | str, name: str | None = None, digits: int = SIX) -> Column:
+    """Rounded, and never a negative zero."""
+    return (F.round(column, digits) + F.lit(0.0)).alias(name or column)
+
+
 def pixels(spark, d) -> DataFrame:
     e = src.read(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
     return e.select("frame", F.expr("cast(i div 8 as int)").alias("y"), F.expr("i % 8").alias("x"), F.col("v").cast("double").alias("v"), (F.col("frame") % 3).alias("rec_id"))

@@ -138,7 +138,7 @@ def queue_merge(spark, d):
 
 
 def pad_projection(spark, d):
-    px = pixels(spark, d).withColumnRenamed("frame", "rec_id")
+    px = pixels(spark, d).drop("rec_id").withColumnRenamed("frame", "rec_id")
     frame = src.read(spark, d, "embeddings").select(F.col("vec_id").alias("rec_id"), F.lit(2).alias("y0"), F.lit(3).alias("x0"), F.lit(12).alias("height"), F.lit(13).alias("width"))
     return ops.pad_projection(px, frame).select("rec_id", "y", "x", r6("v"))
 
@@ -213,7 +213,7 @@ def inbounds_pixels(spark, d):
 
 
 def zscore_pixels(spark, d):
-    px = pixels(spark, d).withColumnRenamed("frame", "rec_id")
+    px = pixels(spark, d).drop("rec_id").withColumnRenamed("frame", "rec_id")
     return cells.zscore_pixels(px, "v").select("rec_id", "y", "x", r6("v", "z"))
 
 

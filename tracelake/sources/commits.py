@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,24 @@ def _at(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _claimed(spark: SparkSession, fs, at) -> bool:
+    """Creates an empty file, unless it is there: one caller alone gets True."""
+    if fs.getUri().getScheme() == "file":  # Hadoop's local create looks first and writes then
+        return spark._jvm.java.io.File(at.toUri().getPath()).createNewFile()
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as gone:
+        if fs.exists(at):
+            return False
+        raise gone
+    return True
+
+
 def swap(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> None:
     """A file that appears whole: written beside its place, renamed into it. Without ``overwrite`` an existing one is a Conflict."""
     fs, at = _at(spark, path)
     temp = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex}")
+    fs.mkdirs(at.getParent())
     out = fs.create(temp, False)
     out.write(bytearray(content))
     out.close()
@@ -40,7 +55,7 @@ def swap(spark: SparkSession, path: str, content: bytes, overwrite: bool = False
     how[0] = kind.OVERWRITE if overwrite else kind.NONE
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
     claim = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.claim")
-    if not overwrite and not fs.createNewFile(claim):
+    if not overwrite and not _claimed(spark, fs, claim):
         fs.delete(temp, False)
         if not fs.exists(at) and fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_S:
             fs.delete(claim, False)  # its writer died before the rename
