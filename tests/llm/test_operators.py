@@ -288,6 +288,86 @@ def test_lm(docs, rows, empty):
     assert lm.score_texts(empty, lm.default_path()).count() == 0
 
 
+def test_lm_scores_one_id_at_a_time(docs, rows):
+    """Scores and the weight from the definition: every id from its own context, own occurrences deleted for the weight."""
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+
+    path = lm.default_path()
+    encode, begins = lm.load(path)._core_bpe.encode_single_piece, lm.word_starts(path)
+    net, *_ = lm.fit(docs.selectExpr("doc_id", "coalesce(text, '') as text").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 10) <> 0"), path)
+    token = {i: [(t or "").translate(LOWER), [*words((t or "").translate(LOWER)), None]] for i, t, *_ in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i in token}
+    c = Counter(w for i, (_, x) in token.items() if fold[i] for w in x)
+    total = sum(c.values())
+
+    def network(x):
+        pieces = [[lm.END] if w is None else encode(b" " + w.encode()) for w in x]
+        ids = [lm.END, *(k for p in pieces for k in p)]
+        log, begin = [], []
+        for i in range(len(ids) - 1):
+            start = 0 if i < lm.SPAN else (1 + (i - lm.SPAN) // lm.HOP) * lm.HOP
+            found = net.log(np.array([ids[start : i + 1]]), np.array([ids[start + 1 : i + 2]]))
+            log.append(float(found[0][0, -1]))
+            begin.append(float(found[1][0, -1]))
+        at, out = 0, []
+        for p in pieces:
+            to = at + len(p)
+            assert begins[p[0]]
+            out.append(sum(log[at:to]) - begin[at] + (begin[to] if to < len(begin) else 0.0))
+            at = to
+        return np.exp(out)
+
+    own = {i: network(x) for i, (_, x) in token.items() if len(x) < 200}
+    got = {r.doc_id: r for r in lm.score_texts(docs, path).collect()}
+    (weight,) = {r.share_weight for r in got.values()}
+    assert sum(len(x) > 60 for x in own.values()) > 2
+    for i, net_p in own.items():
+        share = np.array([c[w] / total for w in token[i][1]])
+        assert got[i].score == pytest.approx(np.log10(weight * share + (1 - weight) * net_p).sum(), rel=1e-4), i
+    some = [i for i in token if fold[i] == lm.SLICE_OF]
+    left = np.concatenate([[(c[w] - 1) / (total - 1) for w in token[i][1]] for i in some])
+    p = np.concatenate([own[i] if i in own else network(token[i][1]) for i in some])
+    steps = np.linspace(0.001, 0.999, 999)
+    like = [np.log(w * left + (1 - w) * p).sum() + np.log(w * (1 - w)) for w in steps]
+    assert weight == pytest.approx(steps[int(np.argmax(like))], abs=0.01)
+
+
+def test_numbers_of_hashes():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    h = np.unique(np.concatenate([r.integers(0, 1 << 63, 3000).astype(np.uint64), np.arange(500, dtype=np.uint64)]))  # many for one slot
+    r.shuffle(h)
+    table = lm.Numbers(len(h))
+    assert (table.find(h) == -1).all()
+    table.put(h[:1200])
+    table.put(h[1200:3000])
+    assert table.find(h).tolist() == [*range(3000), *[-1] * (len(h) - 3000)]
+    assert lm.Numbers(0).find(h[:5]).tolist() == [-1] * 5
+
+
+def test_pieces_are_the_same_when_the_cache_is_full(monkeypatch):
+    import pyarrow as pa
+
+    from tracelake.llm import _words as W
+
+    text = pa.array([" ".join(f"w{i * 7919 % 977}x" for i in range(1500)), "", "one two one"])
+
+    def ids():
+        pieces = lm.Pieces(lm.default_path())
+        return [[x.tolist() for x in pieces.sequence(W.scan(text, W.SPACES, True))] for _ in range(2)]
+
+    whole = ids()
+    monkeypatch.setattr(lm, "MOST_WORDS", 300)
+    monkeypatch.setattr(lm, "PART_WORDS", 250)
+    assert ids() == whole
+    encode = lm.load(lm.default_path())._core_bpe.encode_single_piece
+    assert whole[0][0] == [k for t in text.to_pylist() for w in t.split() for k in encode(b" " + w.encode())]
+
+
 def test_lm_score_is_the_same_whatever_is_broadcast(docs, monkeypatch):
     def scores():
         return {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.score_texts(docs, lm.default_path()).collect()}
