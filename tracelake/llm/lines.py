@@ -168,18 +168,22 @@ def _found(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, LINES)
 
 
-def _distinct(batches, wanted: frozenset | None = None):
-    """Ids and lines of a task (of the ``wanted`` ids, if given), each once until the memory of ids is full."""
+def _distinct(batches, wanted: np.ndarray | None = None):
+    """Ids and lines of a task (of the ``wanted`` ids, which ascend, if given), each once until the memory of ids is full."""
     seen: set[int] = set()
     for batch in batches:
         for part in W.slices(batch):
+            lines = [x for some in _lines_of(part.column(1)) for x in some]
+            ids = np.fromiter(map(line_id, lines), np.int64, len(lines))
+            if wanted is not None:
+                at = np.searchsorted(wanted, ids)
+                some = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == ids) if len(wanted) else np.zeros(0, np.int64)
+                lines, ids = [lines[i] for i in some], ids[some]
             new = {}
-            for lines in _lines_of(part.column(1)):
-                for x in lines:
-                    one = line_id(x)
-                    if one not in seen and (wanted is None or one in wanted) and x.strip():
-                        seen.add(one)
-                        new[one] = x
+            for one, x in zip(ids.tolist(), lines, strict=True):
+                if one not in seen and x.strip():
+                    seen.add(one)
+                    new[one] = x
             yield np.fromiter(new, np.int64, len(new)), list(new.values())
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -198,10 +202,10 @@ def _blobs(docs: DataFrame, k: int, bands: int, rows: int, parts: int) -> DataFr
 def _texts(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
     """The line of each wanted id; up to ``most`` ids are sent to the tasks, beyond that lines and ids are shuffled."""
     few = ids.limit(most + 1).count() <= most
-    wanted = docs.sparkSession.sparkContext.broadcast(ids.toArrow().column("id").to_numpy().astype(np.int64) if few else None)
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy().astype(np.int64)) if few else None)
 
     def run(batches):
-        for some, lines in _distinct(batches, frozenset(wanted.value.tolist()) if few else None):
+        for some, lines in _distinct(batches, wanted.value if few else None):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lines, pa.binary())], ["id", "set"])
 
     out = docs.mapInArrow(run, "id long, set binary")
