@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from tracelake.operators import events, records, tables
+from tracelake.operators import events, records, tables, traces
 from tracelake.sources import files
 
 
@@ -79,3 +79,19 @@ def test_files_beside_recordings(spark, tmp_path):
     listing = spark.createDataFrame([(f"/d/{rec}/{n}",) for rec, all_ in names.items() for n in all_], "path string")
     state = {r.rec_id: (r.state, [p[-4:] for p in r.shifted], r.raw) for r in files.finished_preprocess(listing, side).collect()}
     assert state == {"2024-01-01_1": ("archived", [], ["/raw/a.tif"]), "2024-01-01_2": ("complete", ["TIFF", ".tif"], []), "2024-01-01_3": ("partial", [], [])}
+
+
+def test_mean_distances_of_blocks_are_those_of_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    rows = [(g, i, v.tolist()) for g, n in (("a", 40), ("b", 7), ("one", 1)) for i, v in enumerate(r.standard_normal((n, 5)) + 1e4)]
+    rows += [("a", 40 + i, rows[3][2]) for i in range(9)] + [("a", 3, rows[5][2]), ("b", 20, None), ("b", 21, [1.0, None, 2.0, 3.0, 4.0]), ("b", 22, [1.0, 2.0]), ("b", 23, [0.0] * 5), (None, 1, [1.0] * 5), ("b", None, [1.0] * 5), ("inf", 1, [float("inf")]), ("inf", 2, [0.0]), ("none", 1, None), ("none", 2, [1.0])]
+    t = spark.createDataFrame(rows, "g string, id int, e array<double>")
+    a, b = (t.select("g", F.col("id").alias(f"id_{k}"), F.col("e").alias(f"e_{k}")) for k in "ab")
+    dist = F.sqrt(F.expr("aggregate(zip_with(e_a, e_b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"))
+    want = {r.g: (r.n, r.m) for r in a.join(b, "g").where("id_a < id_b").groupBy("g").agg(F.count("*").alias("n"), F.avg(dist).alias("m")).collect()}
+    assert want["none"] == (1, None) and "one" not in want
+    for block in (8192, 16, 3):
+        got = {r.g: (r.n, r.mean_dist) for r in traces.mean_distances(t, "g", "id", "e", block).collect()}
+        assert got == {k: (n, m if m is None else pytest.approx(m, rel=1e-12)) for k, (n, m) in want.items()}

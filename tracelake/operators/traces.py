@@ -133,6 +133,40 @@ def linkage(traces: DataFrame, column: str = "lp", guard: bool = False) -> tuple
     return merges, traces.select("rec_id", "roi_id").distinct().select("rec_id", place.alias("leaf"), "roi_id")
 
 
+BLOCK_ROWS = 8192
+
+
+def mean_distances(vectors: DataFrame, group: str, unit: str, vector: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """(group, n, mean_dist): pairs of a group's vectors whose units differ, and their mean Euclidean distance.
+
+    Units are dealt to blocks of about ``block`` rows by a hash, and each pair of blocks is a task's work, in tiles; what a
+    task holds does not grow with the group. Pairs with a missing vector or component, or of unequal lengths, count in n, but have no distance.
+    Rows without a group or unit are in no pair, groups without a pair have no row.
+    """
+    rows = vectors.where(F.col(group).isNotNull() & F.col(unit).isNotNull()).select(group, F.col(unit).alias("_u"), F.when(~F.exists(vector, lambda v: v.isNull()), F.col(vector)).alias("x"))
+    blocks = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
+    dealt = rows.join(blocks, group).withColumn("b", F.pmod(F.xxhash64("_u"), "_k").cast("int"))
+    both = F.expr("transform(sequence(0, _k - 1), o -> struct(least(b, o) as p, greatest(b, o) as q))")
+    pairs = dealt.withColumn("_p", F.explode(both)).select(F.col(group).alias("g"), "_u", "b", "x", "_p.p", "_p.q")
+
+    def run(pdf):
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        sides = [pdf[pdf["b"] == c] for c in ((p,) if p == q else (p, q))]
+        sums, same = [], pdf["_u"].value_counts().to_numpy()
+        n = (len(pdf) ** 2 - int((same**2).sum())) // 2 if p == q else len(sides[0]) * len(sides[1])
+        by = [side.groupby(side["x"].map(lambda v: -1 if v is None else len(v))) for side in sides]
+        for size, own in by[0]:
+            if size >= 0 and (p == q or size in by[1].groups):
+                x = np.stack(own["x"].to_list()).astype(float)
+                sums.append(stats.distance_sum(x, ids=own["_u"].to_numpy()) if p == q else stats.distance_sum(x, np.stack(by[1].get_group(size)["x"].to_list()).astype(float)))
+        return pd.DataFrame({"g": pdf["g"].iloc[:1].to_numpy(), "n": [n], "m": [sum(m for m, _ in sums)], "s": [sum((s for _, s in sums), 0.0)]})
+
+    kind = vectors.schema[group].dataType.simpleString()
+    sums = pairs.groupBy("g", "p", "q").applyInPandas(run, f"g {kind}, n long, m long, s double")
+    mean = F.when(F.sum("m") > 0, F.sum("s") / F.sum("m"))
+    return sums.groupBy(F.col("g").alias(group)).agg(F.sum("n").alias("n"), mean.alias("mean_dist")).where("n > 0")
+
+
 UNITS_OF_STEPS = 2048
 
 
