@@ -74,3 +74,19 @@ def test_coercion(spark):
 def test_unknown_paths(spark):
     base, edit = (ops.flatten(frame(spark, [x]), ["rec"], "settings") for x in ({"a": 1}, {"b": "none", "c": "3", "d": {"e": "[1]"}}))
     assert read(ops.nest(ops.changed(edit, base, ["rec"]), ["rec"])) == {0: {"c": 3, "d": {"e": [1]}}}
+
+
+def test_merge_needs_no_join(spark, capsys):
+    r = random.Random(6)
+    pairs = [(made(r), made(r)) for _ in range(30)]
+    pairs += [*pairs[:5], ({"a": {"b": 1, "b.c": 2}, "a.b": 3}, {"a": {"b": {"c": 5}}}), ({"a": {"b": {}}, "ab": 1}, {"a": {"b": {}}, "ab": {}})]
+    rows = lambda side: [(i % 32 if i < 35 else None if i == 36 else i, json.dumps(p[side])) for i, p in enumerate(pairs)]
+    pairs[32:35] = pairs[0:3]  # copies of a key's row
+    base, over = (ops.flatten(spark.createDataFrame(rows(side), "rec int, settings string"), ["rec"], "settings") for side in (0, 1))
+    merged = ops.merge(base, over, ["rec"])
+    merged.explain()
+    assert "Join" not in capsys.readouterr().out
+    got = sorted((r.rec or -1, r.path, r.value) for r in ops.as_text(merged).collect())
+    keys = [k for k, _ in rows(0)]
+    whole = spark.createDataFrame([(n, k, json.dumps(plain_merge(deepcopy(a), b))) for n, (k, (a, b)) in enumerate(zip(keys, pairs))], "n int, rec int, settings string")
+    assert got == sorted((r.rec or -1, r.path, r.value) for r in ops.as_text(ops.flatten(whole, ["n", "rec"], "settings")).collect())

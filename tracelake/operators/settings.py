@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TOP = "Top-level"
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
@@ -58,21 +59,22 @@ def merge(base: DataFrame, overlay: DataFrame, keys: list[str]) -> DataFrame:
     """Deep merge of leaves: objects merge, anything else of the overlay replaces what the base has in its place.
 
     So base leaves at or below an overlay leaf go, and a base leaf goes where the overlay has an object. An empty object
-    of the overlay adds nothing to an object of the base.
+    of the overlay adds nothing to an object of the base. Sorted by steps, what lies below a leaf follows it directly, so
+    that a leaf's nearest neighbours of the other side tell: one shuffle by keys, whose sorts spill, and no join. No leaf of
+    the overlay stands above another of its key, as in one object or copies of it.
     """
     empty = F.coalesce(F.size(_inner("value")) == 0, F.lit(False))
-    old, new = (x.select(*keys, "steps", "value", empty.alias("_empty")) for x in (base, overlay))
-    heads = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.slice("steps", F.lit(1), i))
-    above = F.when(F.size("steps") > 1, heads(F.size("steps") - 1)).otherwise(F.expr("cast(array() as array<array<string>>)"))
-    join = [*keys, "steps"]
-    old_at = old.select(*keys, "steps").distinct()
-    old_above = old.select(*keys, F.explode(above).alias("steps")).distinct()
-    new = new.join(old_above.withColumn("_o", F.lit(True)), join, "left").where("not (_empty and _o is not null)").drop("_o")
-    leaf = new.select(*keys, "steps").distinct()
-    under = old.select(*keys, F.col("steps").alias("_own"), F.explode(heads(F.size("steps"))).alias("steps")).join(leaf, join, "left_semi").select(*keys, F.col("_own").alias("steps"))
-    inner = new.select(*keys, F.explode(above).alias("steps")).join(old_at, join, "left_semi")
-    gone = under.unionByName(inner).distinct()
-    return _named(old.join(gone, join, "left_anti").unionByName(new), keys)
+    both = [x.select(*keys, "steps", "value", F.lit(new).alias("_new"), (empty if new else F.lit(False)).alias("_empty")) for x, new in ((base, False), (overlay, True))]
+    up = Window.partitionBy(*keys).orderBy("steps", "_new").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc("steps"), F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)
+    starts = lambda long, short: F.coalesce(F.slice(long, F.lit(1), F.size(short)) == F.col(short), F.lit(False))
+    rows = both[0].unionByName(both[1])
+    rows = rows.withColumn("_below", F.last(F.when(~F.col("_new"), F.col("steps")), ignorenulls=True).over(down))
+    rows = rows.withColumn("_set", F.when(F.col("_new") & ~(F.col("_empty") & starts("_below", "steps")), F.col("steps")))
+    rows = rows.withColumn("_after", F.last("_set", ignorenulls=True).over(down))
+    rows = rows.withColumn("_before", F.last("_set", ignorenulls=True).over(up))
+    gone = starts("_after", "steps") | starts("steps", "_before")
+    return _named(rows.where(F.when(F.col("_new"), F.col("_set").isNotNull()).otherwise(~gone)), keys)
 
 
 def _literal(raw: Column) -> Column:
