@@ -335,6 +335,27 @@ def test_lm_scores_one_id_at_a_time(docs, rows):
     assert weight == pytest.approx(steps[int(np.argmax(like))], abs=0.01)
 
 
+def test_lm_query_learns_its_weight_from_all_training_documents(spark):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    d, path = "/root/testdata/sf0.001", lm.default_path()
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    train = docs.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 10) <> 0")
+    net, *_ = lm.fit(train, path)
+    rows = train.collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in rows]), pa.array([r.text for r in rows])], ["doc_id", "text"])
+    read = list(lm.Reader(net, np.zeros(0, np.uint64), np.zeros(0, np.int64)).parts([batch], path))
+    token, inner = (np.concatenate([x[k] for x in read]) for k in (1, 2))
+    _, at, n = np.unique(token, return_inverse=True, return_counts=True)
+    left, p = (n[at] - 1) / (len(token) - 1), np.exp(inner)
+    steps = np.linspace(0.001, 0.999, 999)
+    like = [np.log(w * left + (1 - w) * p).sum() + np.log(w * (1 - w)) for w in steps]
+    (weight,) = {r.share_weight for r in lm.query(spark, d).collect()}
+    assert weight == pytest.approx(steps[int(np.argmax(like))], abs=0.002)
+
+
 def test_numbers_of_hashes():
     import numpy as np
 

@@ -9,9 +9,9 @@ The network's probability of a word is that of its first subword among all that
 subwords, times that of the word closing there: the next subword begins a word too. So its probabilities of words and
 the end sum to 1, as the shares of training tokens do, and so does a word's probability here, at every size:
 weight * share + (1 - weight) * network. A text's score is the sum of log10 over its words and its end.
-The weight is learned by deleted interpolation: it makes the words of a slice of the training documents (those whose
-crc32(doc_id as text) mod 10 is ``SLICE_OF``) likeliest, where each word's own occurrence is taken from its count, so
-that words that stand once are left to the network. Held-out documents have no part in it.
+The weight is learned by deleted interpolation: it makes the words of training documents likeliest, where each word's own
+occurrence is taken from its count, so that words that stand once are left to the network. In the query all training
+documents teach it; ``slice_of`` can name those of one remainder. Held-out documents have no part in it.
 
 What is learned covers all training documents whole: word counts, subword counts, and the gradient steps, on
 consecutive windows in which every id of every training document is predicted. Windows are dealt to ROUNDS rounds by a
@@ -22,7 +22,7 @@ Word counts are joined exactly, for both scores and for the weight: the most fre
 broadcast, and every occurrence of another word is shuffled with its network probability.
 
 Defined cases: null counts as empty, an empty text is its end alone; a null doc_id is held out; without training rows
-counts are 0 and the score is the network's start; without rows in the slice the weight is 1/2; an empty table gives an empty result; very long texts are cut into
+counts are 0 and the score is the network's start; without rows that teach it the weight is 1/2; an empty table gives an empty result; very long texts are cut into
 windows like all others; repeated rows repeat; extra columns are ignored; a doc_id that is no integer is an error of the cast.
 """
 
@@ -431,6 +431,7 @@ def fit(docs: DataFrame, path: str) -> tuple[Attention, DataFrame, int, int]:
     for i in range(ROUNDS):
         if sizes.get(i):
             _round(net, windows.where(F.col("round") == i).select("key", "ids"), -(-sizes[i] // PER_TRAINER), i)
+    release(found)
     return net, counts, total, distinct
 
 
@@ -519,63 +520,78 @@ def best_weight(over: np.ndarray, n: np.ndarray, alone: int) -> float:
     return (lo + hi) / 2
 
 
-def _weight(docs: DataFrame, reader, path: str, counts: DataFrame, least: int, total: int) -> float:
-    """The weight for the words of these training documents, each word's own occurrence deleted from the counts."""
+READ = "uid long, doc_id long, held_out boolean, teaches boolean, n_tokens long, sure long, base double, words array<long>, logs array<float>, counts array<long>, inner array<float>"
+SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double"
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values and where its rows' values begin and end."""
+    cuts = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+def _weight(read: DataFrame, tail: DataFrame, total: int) -> float:
+    """The weight for the words of documents that teach it, each word's own occurrence deleted from the counts."""
 
     def run(batches):
-        for _, token, inner, c, _ in reader.value.parts(batches, path):
-            step = np.round(np.maximum(inner, -1000.0) * BINS_A_UNIT).astype(np.int64)
-            # Frequent words are added up by count and step, the others go to the join.
-            sure = c > 0
-            both, n = np.unique((c[sure] << LOW) - step[sure], return_counts=True)
-            yield rows(None, both >> LOW, -(both & ((1 << LOW) - 1)), n)
-            yield rows(token[~sure].view(np.int64), None, step[~sure], np.ones(int((~sure).sum()), np.int64))
-
-    def rows(key, c, step, n):
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x in (key, c, step, n)], ["key", "c", "step", "n"])
-
-    found = materialize(docs.select("doc_id", "text").mapInArrow(run, "key long, c long, step long, n long"))
-    rare = found.where("c is null").drop("c").join(counts.where(F.col("n") < least).select("key", F.col("n").alias("c")), "key")
-    each = found.where("c is not null").select("c", "step", "n").unionByName(rare.select("c", "step", "n"))
+        for batch in batches:
+            (c, _), (inner, _) = (_flat(x) for x in batch.columns)
+            step = np.round(np.maximum(inner.astype(float), -1000.0) * BINS_A_UNIT).astype(np.int64)
+            both, n = np.unique((c << LOW) - step, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (both >> LOW, -(both & ((1 << LOW) - 1)), n)], ["c", "step", "n"])
+
+    # Frequent words are added up by count and step in their tasks.
+    each = read.where("teaches").select("counts", "inner").mapInArrow(run, "c long, step long, n long")
+    rare = tail.where("teaches and n is not null").select(F.col("n").alias("c"), F.rint(F.greatest("log", F.lit(-1000.0)) * BINS_A_UNIT).cast("long").alias("step"), F.lit(1).cast("long").alias("n"))
     # Network over deleted share, in steps of logarithms: at most some thousand rows, whatever the corpus.
     over = F.when(F.col("c") > 1, F.round(F.col("step") - F.log((F.col("c") - 1) / max(1, total - 1)) * BINS_A_UNIT))
-    rows = each.groupBy(F.greatest(F.lit(-960.0), F.least(F.lit(960.0), over)).alias("over")).agg(F.sum("n").alias("n")).collect()
-    release(found)
+    rows = each.unionByName(rare).groupBy(F.greatest(F.lit(-960.0), F.least(F.lit(960.0), over)).alias("over")).agg(F.sum("n").alias("n")).collect()
     some = sorted((r.over, r.n) for r in rows if r.over is not None)
     return best_weight(np.exp(np.array([x for x, _ in some]) / BINS_A_UNIT), np.array([n for _, n in some], float), sum(r.n for r in rows if r.over is None))
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double, words array<long>, logs array<double>"
-
+def score_texts(docs: DataFrame, path: str, slice_of: int | None = SLICE_OF) -> DataFrame:
+    """Per document: fold, tokens, base score, model score, and the weight of word shares in it.
 
-def score_texts(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: fold, tokens, base score, model score, and the weight of word shares in it."""
+    ``slice_of``: the remainder of the training documents that teach the weight; None: all of them do, as in the query.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold, F.lit(0)).alias("fold"))
     net, counts, total, distinct = fit(docs.where("fold <> 0"), path)
     least, keys, ns = _frequent(counts)
     reader = docs.sparkSession.sparkContext.broadcast(Reader(net, keys, ns))
-    mix = _weight(docs.where(F.col("fold") == SLICE_OF), reader, path, counts, least, total) if total else 0.0
+    teaches = F.col("fold") != 0 if slice_of is None else F.col("fold") == slice_of
 
     def run(batches):
         uid = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for part, token, inner, c, first in reader.value.parts(batches, path):
             cut, sure = first[:-1], c > 0
-            p = mix * (c / max(1, total)) + (1 - mix) * np.exp(inner)
-            log = np.where(sure, np.log10(np.maximum(p, 1e-300)), 0.0)
+            inner = inner.astype(np.float32)
             base = np.where(sure, np.log10(c + 0.1), 0.0)
-            # Every other occurrence goes on with its network probability; its count comes from the join.
-            ends = pa.array(np.append(0, np.cumsum(~sure))[first].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[~sure])) for x in (token.view(np.int64), inner)]
-            sums = [pa.array(np.add.reduceat(x, cut)) for x in (sure.astype(np.int64), base, log)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(cut))), part.column(0), part.column(2), pa.array(np.diff(first)), *sums, *lists], ["uid", "doc_id", "held_out", "n_tokens", "sure", "base", "score", "words", "logs"])
+            # Frequent words go on with their counts, every other occurrence with its hash: its count comes from the join.
+            at = [pa.array(np.append(0, np.cumsum(x))[first].astype(np.int32)) for x in (~sure, sure)]
+            lists = [pa.ListArray.from_arrays(at[k], pa.array(x)) for k, x in ((0, token.view(np.int64)[~sure]), (0, inner[~sure]), (1, c[sure]), (1, inner[sure]))]
+            sums = [pa.array(np.add.reduceat(x, cut)) for x in (sure.astype(np.int64), base)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(cut))), part.column(0), part.column(2), part.column(3), pa.array(np.diff(first)), *sums, *lists], [x.split()[0] for x in READ.split(", ")])
             uid += len(cut)
 
-    scored = materialize(docs.select("doc_id", "text", (F.col("fold") == 0).alias("held_out")).mapInArrow(run, SCORED))
-    tail = scored.select("uid", F.explode(F.arrays_zip("words", "logs")).alias("w")).select("uid", F.col("w.words").alias("key"), F.col("w.logs").alias("log"))
+    # The network reads each text once: its word probabilities are kept, since the weight depends on all training text.
+    read = materialize(docs.select("doc_id", "text", (F.col("fold") == 0).alias("held_out"), teaches.alias("teaches")).mapInArrow(run, READ))
+    tail = read.select("uid", "teaches", F.explode(F.arrays_zip("words", "logs")).alias("w")).select("uid", "teaches", F.col("w.words").alias("key"), F.col("w.logs").cast("double").alias("log"))
+    tail = materialize(tail.join(counts.where(F.col("n") < least), "key", "left").drop("key"))
+    mix = _weight(read, tail, total) if total else 0.0
+
+    def mixed(batches):
+        for batch in batches:
+            (c, cuts), (inner, _) = (_flat(batch.column(k)) for k in ("counts", "inner"))
+            log = np.append(np.log10(np.maximum(mix * (c / max(1, total)) + (1 - mix) * np.exp(inner.astype(float)), 1e-300)), 0.0)
+            sums = np.where(np.diff(cuts) > 0, np.add.reduceat(log, cuts[:-1]), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sums)], [x.split()[0] for x in SUMS.split(", ")])
+
+    scored = read.drop("teaches", "words", "logs").mapInArrow(mixed, SUMS)
     p = F.coalesce("n", F.lit(0)) / max(1, total) * mix + F.exp("log") * (1 - mix)
-    tail = tail.join(counts.where(F.col("n") < least), "key", "left").groupBy("uid").agg(F.count("n").alias("rare"), F.sum(F.log10(F.col("n") + 0.1)).alias("rare_base"), F.sum(F.log10(F.greatest(p, F.lit(1e-300)))).alias("rare_score"))
-    out = scored.drop("words", "logs").join(tail, "uid", "left").withColumn("n_known", F.col("sure") + F.coalesce("rare", F.lit(0)))
+    tail = tail.groupBy("uid").agg(F.count("n").alias("rare"), F.sum(F.log10(F.col("n") + 0.1)).alias("rare_base"), F.sum(F.log10(F.greatest(p, F.lit(1e-300)))).alias("rare_score"))
+    out = scored.join(tail, "uid", "left").withColumn("n_known", F.col("sure") + F.coalesce("rare", F.lit(0)))
     unknown = (F.col("n_tokens") - F.col("n_known")) * float(np.log10(0.1))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + unknown - F.col("n_tokens") * float(np.log10(total + 0.1 * (distinct + 1)))
     score = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
@@ -591,4 +607,4 @@ def default_path() -> str:
 def query(spark, sf_dir: str) -> DataFrame:
     from tracelake.llm._io import table
 
-    return score_texts(table(spark, sf_dir, "documents"), default_path())
+    return score_texts(table(spark, sf_dir, "documents"), default_path(), slice_of=None)
