@@ -524,3 +524,26 @@ def test_lines_with_one_changed_character(spark):
         texts += [line, line[: n // 2] + "#" + line[n // 2 + 1 :]]
     got = lines.document_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {g.doc_id for g in got if g.n_dropped} == {1, 3, 5}
+
+
+def test_lm_weight_reads_sums_of_slices_not_tokens():
+    """What tasks pass on for the weight is bounded by steps, whatever the tokens; lists of a batch are read in short runs."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    c, log = r.integers(1, 2000, 300_000), -r.exponential(9.0, 300_000).astype(np.float32)
+    c[:100], log[100:110] = 1, -5000.0
+    over, n = lm.over_shares(c, log, 10**6)
+    assert len(over) < 2 * lm.WIDEST + 3 and n.sum() == len(c) and n[over == lm.ALONE].sum() == (c == 1).sum()
+    some = [(int(a), float(b)) for a, b in zip(c[:500], log[:500], strict=True) if a > 1]
+    one = [round(round(max(b, -1000.0) * lm.BINS_A_UNIT) - np.log((a - 1) / (10**6 - 1)) * lm.BINS_A_UNIT) for a, b in some]
+    got = lm.over_shares(*(np.array(x) for x in zip(*some, strict=True)), 10**6)
+    assert sorted(np.repeat(*got).tolist()) == sorted(max(-lm.WIDEST, min(lm.WIDEST, x)) for x in one)
+    size = [5, 0, 3 * lm.PART_TOKENS, 7, *[lm.PART_TOKENS // 4] * 9]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.arange(sum(size))))
+    batch = pa.RecordBatch.from_arrays([lists, pa.array(range(len(size)))], ["x", "i"])
+    for whole in (batch, batch.slice(1)):
+        runs = list(lm._runs(whole, "x"))
+        assert pa.Table.from_batches(runs).equals(pa.Table.from_batches([whole]))
+        assert all(x.num_rows == 1 or len(lm._flat(x.column(0))[0]) <= lm.PART_TOKENS for x in runs)

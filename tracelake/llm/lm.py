@@ -49,12 +49,14 @@ ROUNDS, PASSES = 4, 1
 PER_TRAINER = 200_000
 CHUNK = 64
 SLICE_OF = 1
-BINS_A_UNIT, LOW = 16, 14
+BINS_A_UNIT, WIDEST = 16, 960
+ALONE = WIDEST + 1
 HIGHEST = np.float32(60)
 BLOCKS = 16
 END_KEY = 1
 MOST_WORDS = 800_000
 PART_WORDS = 200_000
+PART_TOKENS = 1 << 17
 
 
 def load(path: str):
@@ -389,9 +391,9 @@ def _gather(docs: DataFrame, path: str) -> DataFrame:
                 counts += np.bincount(ids, minlength=END + 1)
                 ends += part.num_rows
                 held.append(np.unique(words.hash, return_counts=True))
-                if sum(len(x[0]) for x in held) > 3 * MOST_WORDS:
+                if sum(len(x[0]) for x in held) > 3 * MOST_WORDS // 2:
                     held[:] = [merged()]
-                    if len(held[0][0]) > 2 * MOST_WORDS:
+                    if len(held[0][0]) > MOST_WORDS:
                         yield rows(0, held[0][0].view(np.int64), held[0][1])
                         held.clear()
                 ids, many = windows_of(ids, np.append(0, np.cumsum(n))[first])
@@ -520,7 +522,7 @@ def best_weight(over: np.ndarray, n: np.ndarray, alone: int) -> float:
     return (lo + hi) / 2
 
 
-READ = "uid long, doc_id long, held_out boolean, teaches boolean, n_tokens long, sure long, base double, words array<long>, logs array<float>, counts array<long>, inner array<float>"
+READ = "uid long, doc_id long, held_out boolean, teaches boolean, n_tokens long, sure long, base double, words array<long>, logs array<float>, counts array<long>, inner array<float>, over array<int>, times array<long>"
 SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, sure long, base double, score double"
 
 
@@ -530,22 +532,32 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
 
 
+def _runs(batch: pa.RecordBatch, column: str):
+    """Runs of rows with about PART_TOKENS values of a list column, at least one row each."""
+    cuts, at = batch.column(column).offsets.to_numpy(), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(cuts, int(cuts[at]) + PART_TOKENS, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def over_shares(c: np.ndarray, log: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Network over deleted share of words that stand c times, in steps of logarithms, ALONE for c = 1: distinct ones and how often."""
+    step = np.round(np.maximum(log.astype(float), -1000.0) * BINS_A_UNIT)
+    over = np.round(step - np.log(np.maximum(c - 1, 1) / max(1, total - 1)) * BINS_A_UNIT)
+    over, n = np.unique(np.where(c > 1, np.clip(over, -WIDEST, WIDEST), ALONE), return_counts=True)
+    return over.astype(np.int32), n.astype(np.int64)
+
+
 def _weight(read: DataFrame, tail: DataFrame, total: int) -> float:
     """The weight for the words of documents that teach it, each word's own occurrence deleted from the counts."""
-
-    def run(batches):
-        for batch in batches:
-            (c, _), (inner, _) = (_flat(x) for x in batch.columns)
-            step = np.round(np.maximum(inner.astype(float), -1000.0) * BINS_A_UNIT).astype(np.int64)
-            both, n = np.unique((c << LOW) - step, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (both >> LOW, -(both & ((1 << LOW) - 1)), n)], ["c", "step", "n"])
-
-    # Frequent words are added up by count and step in their tasks.
-    each = read.where("teaches").select("counts", "inner").mapInArrow(run, "c long, step long, n long")
-    rare = tail.where("teaches and n is not null").select(F.col("n").alias("c"), F.rint(F.greatest("log", F.lit(-1000.0)) * BINS_A_UNIT).cast("long").alias("step"), F.lit(1).cast("long").alias("n"))
-    # Network over deleted share, in steps of logarithms: at most some thousand rows, whatever the corpus.
-    over = F.when(F.col("c") > 1, F.round(F.col("step") - F.log((F.col("c") - 1) / max(1, total - 1)) * BINS_A_UNIT))
-    rows = each.unionByName(rare).groupBy(F.greatest(F.lit(-960.0), F.least(F.lit(960.0), over)).alias("over")).agg(F.sum("n").alias("n")).collect()
+    # Tasks have added up frequent words by step: at most some thousand rows a slice of texts, whatever the corpus.
+    each = read.where(F.size("over") > 0).select(F.explode(F.arrays_zip("over", "times")).alias("x")).select(F.nullif(F.col("x.over"), F.lit(ALONE)).cast("double").alias("over"), F.col("x.times").alias("n"))
+    step = F.rint(F.greatest("log", F.lit(-1000.0)) * BINS_A_UNIT)
+    over = F.when(F.col("n") > 1, F.round(step - F.log((F.col("n") - 1) / max(1, total - 1)) * BINS_A_UNIT))
+    over = F.when(over.isNotNull(), F.greatest(F.lit(-float(WIDEST)), F.least(F.lit(float(WIDEST)), over)))
+    rare = tail.where("teaches and n is not null").select(over.alias("over"), F.lit(1).cast("long").alias("n"))
+    rows = each.unionByName(rare).groupBy("over").agg(F.sum("n").alias("n")).collect()
     some = sorted((r.over, r.n) for r in rows if r.over is not None)
     return best_weight(np.exp(np.array([x for x, _ in some]) / BINS_A_UNIT), np.array([n for _, n in some], float), sum(r.n for r in rows if r.over is None))
 
@@ -572,6 +584,11 @@ def score_texts(docs: DataFrame, path: str, slice_of: int | None = SLICE_OF) ->
             at = [pa.array(np.append(0, np.cumsum(x))[first].astype(np.int32)) for x in (~sure, sure)]
             lists = [pa.ListArray.from_arrays(at[k], pa.array(x)) for k, x in ((0, token.view(np.int64)[~sure]), (0, inner[~sure]), (1, c[sure]), (1, inner[sure]))]
             sums = [pa.array(np.add.reduceat(x, cut)) for x in (sure.astype(np.int64), base)]
+            # What the weight needs of frequent words stands in a slice's first row.
+            taught = np.repeat(part.column(3).to_numpy(zero_copy_only=False), np.diff(first)) & sure
+            over = over_shares(c[taught], inner[taught], total)
+            at = pa.array(np.append(0, np.full(len(cut), len(over[0]))).astype(np.int32))
+            lists += [pa.ListArray.from_arrays(at, pa.array(x)) for x in over]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(cut))), part.column(0), part.column(2), part.column(3), pa.array(np.diff(first)), *sums, *lists], [x.split()[0] for x in READ.split(", ")])
             uid += len(cut)
 
@@ -583,12 +600,13 @@ def score_texts(docs: DataFrame, path: str, slice_of: int | None = SLICE_OF) ->
 
     def mixed(batches):
         for batch in batches:
-            (c, cuts), (inner, _) = (_flat(batch.column(k)) for k in ("counts", "inner"))
-            log = np.append(np.log10(np.maximum(mix * (c / max(1, total)) + (1 - mix) * np.exp(inner.astype(float)), 1e-300)), 0.0)
-            sums = np.where(np.diff(cuts) > 0, np.add.reduceat(log, cuts[:-1]), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sums)], [x.split()[0] for x in SUMS.split(", ")])
+            for part in _runs(batch, "counts"):
+                (c, cuts), (inner, _) = (_flat(part.column(k)) for k in ("counts", "inner"))
+                log = np.append(np.log10(np.maximum(mix * (c / max(1, total)) + (1 - mix) * np.exp(inner.astype(float)), 1e-300)), 0.0)
+                sums = np.where(np.diff(cuts) > 0, np.add.reduceat(log, cuts[:-1]), 0.0)
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(sums)], [x.split()[0] for x in SUMS.split(", ")])
 
-    scored = read.drop("teaches", "words", "logs").mapInArrow(mixed, SUMS)
+    scored = read.drop("teaches", "words", "logs", "over", "times").mapInArrow(mixed, SUMS)
     p = F.coalesce("n", F.lit(0)) / max(1, total) * mix + F.exp("log") * (1 - mix)
     tail = tail.groupBy("uid").agg(F.count("n").alias("rare"), F.sum(F.log10(F.col("n") + 0.1)).alias("rare_base"), F.sum(F.log10(F.greatest(p, F.lit(1e-300)))).alias("rare_score"))
     out = scored.join(tail, "uid", "left").withColumn("n_known", F.col("sure") + F.coalesce("rare", F.lit(0)))
