@@ -547,3 +547,16 @@ def test_lm_weight_reads_sums_of_slices_not_tokens():
         runs = list(lm._runs(whole, "x"))
         assert pa.Table.from_batches(runs).equals(pa.Table.from_batches([whole]))
         assert all(x.num_rows == 1 or len(lm._flat(x.column(0))[0]) <= lm.PART_TOKENS for x in runs)
+
+
+def test_lm_workers_give_back_what_training_does_not_use():
+    import pyarrow as pa
+
+    lm.pieces_of(lm.default_path())
+    batch = pa.array([b"x" * 1000] * 20_000)
+    assert batch.nbytes > 20_000_000
+    del batch
+    lm.spare()
+    assert lm._PIECES
+    lm.spare(pieces=True)
+    assert not lm._PIECES and lm.pieces_of(lm.default_path()).one(b" a")

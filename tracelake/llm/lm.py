@@ -78,6 +78,13 @@ def pieces_of(path: str) -> Pieces:
     return _PIECES[path]
 
 
+def spare(pieces: bool = False) -> None:
+    """Give back what a worker, which outlives its tasks, holds and does not use: freed batches, and its ``pieces`` too."""
+    if pieces:
+        _PIECES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def word_starts(path: str) -> np.ndarray:
     """Which ids begin a word; the end counts as one."""
     out = np.zeros(END + 1, bool)
@@ -414,6 +421,7 @@ def _gather(docs: DataFrame, path: str) -> DataFrame:
             yield rows(0, np.array([END_KEY]), np.array([ends]))
         some = np.flatnonzero(counts)
         yield rows(1, some, counts[some])
+        spare()
 
     return docs.select("text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)).alias("h")).mapInArrow(run, GATHERED)
 
@@ -443,6 +451,7 @@ def _round(net: Attention, windows: DataFrame, trainers: int, seed: int) -> None
     names = sorted(net.p)
 
     def run(batches):
+        spare(pieces=True)
         own, done = shared.value, 0
         own.p, own.sums = {k: x.copy() for k, x in own.p.items()}, {k: x.copy() for k, x in own.sums.items()}
         for batch in batches:
@@ -510,6 +519,7 @@ class Reader:
                 token, rows = np.full(len(n), END_KEY, W.U), np.diff(words.first)
                 token[np.arange(len(words.hash)) + np.repeat(np.arange(len(rows)), rows)] = words.hash
                 yield part, token, inner, ns[frequent.find(token)], first
+        spare()
 
 
 def best_weight(over: np.ndarray, n: np.ndarray, alone: int) -> float:
