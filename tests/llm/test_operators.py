@@ -560,3 +560,38 @@ def test_lm_workers_give_back_what_training_does_not_use():
     assert lm._PIECES
     lm.spare(pieces=True)
     assert not lm._PIECES and lm.pieces_of(lm.default_path()).one(b" a")
+
+
+def test_groups_without_a_link_are_left_out_before_their_forests():
+    import numpy as np
+    import pyarrow as pa
+
+    from tracelake.llm import _linkage
+
+    r, how, rows = np.random.default_rng(3), lines.LineSets(5), []
+    words = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(100)]
+    for g in range(300):
+        n, apart, band, base = int(r.choice([1, 2, 2, 3, 7, 300], p=[0.2, 0.3, 0.2, 0.2, 0.09, 0.01])), bool(r.integers(2)), int(r.integers(22)), list(r.choice(words, 12))
+        for k in range(n):
+            w = list(base) if r.random() < 0.2 else list(r.choice(words, 12))
+            w[-1] = str(r.choice(words))
+            rows.append((g, -1 if apart else 0, 0, band, 1000 * g + k, 1000 * g + int(r.integers(n)), -int(r.integers(2)) if apart else 0, " ".join(w).encode()))
+    full = how.sign([x[7] for x in rows], 154)
+    cols = [pa.array(x, pa.int32() if i == 3 else pa.int64()) for i, x in enumerate(list(zip(*rows, strict=True))[:7])]
+    cols += [pa.array([x.tobytes() for x in y], pa.binary()) for y in (full[:, :128].astype(np.uint8), _linkage.band_keys(full, 7))]
+    batch = pa.RecordBatch.from_arrays([*cols, pa.array([x[7] for x in rows], pa.binary())], [*_linkage.ORDER, "id", "root", "block", "sig", "bands", "set"])
+    least = _linkage.bounds(0.8, 1e-8, how.length)
+
+    def links(batches):
+        out = []
+        for (_, lo, hi, band), some in _linkage._blocks(batches, 6):
+            block = _linkage._Block(band, lo, hi, some)
+            out += block.forest(block.pairs(least), lambda i, j, some=some: _linkage.linked(how.decode(some[i][5]), how.decode(some[j][5]), 80))
+        return out
+
+    every = links([batch])
+    assert len(every) > 5
+    for n in (7, 500, batch.num_rows):
+        live = list(_linkage._live([batch.slice(i, n) for i in range(0, batch.num_rows, n)], least, 80, how))
+        assert links(live) == every
+        assert sum(x.num_rows for x in live) < batch.num_rows

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from math import exp, lgamma, log
 
 import numpy as np
@@ -46,6 +47,7 @@ MANY = 4 * BLOCK
 PART_ROWS = 1 << 20
 HOLD = 1 << 21
 PAIRS = 1 << 14
+FEW = BLOCK
 
 
 @lru_cache(4)
@@ -417,6 +419,53 @@ def _blocks(batches, width: int):
         yield group, held
 
 
+def _wide(column, kind) -> np.ndarray:
+    """A binary column of one width as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _live(batches, least: tuple[int, ...], percent: int, how: Sets):
+    """Batches (key, lo, hi, band, id, root, block, sig, bands, set) without the groups that hold no link between components.
+
+    Pairs of many small groups are excluded and verified at once; larger groups stay.
+    """
+    tail = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            batch = pa.concat_batches([tail, batch]) if tail is not None and tail.num_rows else batch
+        else:
+            batch = tail
+        if batch is None or not batch.num_rows:
+            continue
+        group = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+        cut = np.append(0, np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1)
+        if batch is tail:
+            cut, tail = np.append(cut, batch.num_rows), None
+        else:  # the last group may go on
+            batch, tail = batch.slice(0, cut[-1]), batch.slice(cut[-1])
+        size, start = np.diff(cut), cut[:-1]
+        if not len(size):
+            continue
+        band, apart = group[:, 3], group[:, 1] != group[:, 2]
+        root, block = (batch.column(i).to_numpy() for i in (5, 6))
+        sig, bands = _wide(batch.column(7), np.uint8), _wide(batch.column(8), np.int64)
+        stays = size > FEW
+        for n in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+            some, (i, j) = np.flatnonzero(size == n), np.triu_indices(n, 1)
+            for at in range(0, len(some), max(1, PAIRS // len(i))):
+                own = some[at : at + max(1, PAIRS // len(i))]
+                a, b = ((start[own][:, None] + x).reshape(-1) for x in (i, j))
+                own = np.repeat(own, len(i))
+                ok = (root[a] != root[b]) & ~(apart[a] & (block[a] == block[b]))
+                a, b, own = a[ok], b[ok], own[ok]
+                ok, _ = surviving(sig[a], sig[b], least)
+                a, b, own = a[ok], b[ok], own[ok]
+                ok = ~((bands[a] == bands[b]) & (np.arange(bands.shape[1]) < band[a][:, None])).any(1)
+                x, y = (batch.column(9).take(pa.array(v[ok])).to_pylist() for v in (a, b))
+                stays[own[ok][how.linked(x, y, percent)]] = True
+        yield batch.take(pa.array(np.flatnonzero(np.repeat(stays, size))))
+
+
 def _in_groups(found, names: list[str], kinds: list, most: int = 20_000):
     out: list[tuple] = []
     for rows in found:
@@ -464,7 +513,7 @@ def _rest(rows: DataFrame, sets: DataFrame, least: tuple[int, ...], percent: int
 
     def run(batches):
         def found():
-            for (_, lo, hi, band), rows in _blocks(batches, 6):
+            for (_, lo, hi, band), rows in _blocks(_live(batches, least, percent, how), 6):
                 block = _Block(band, lo, hi, rows)
                 full = lru_cache(None)(lambda i, rows=rows: how.decode(rows[i][5]))
                 yield block.forest(block.pairs(least), lambda i, j, full=full: linked(full(i), full(j), percent))
